@@ -22,7 +22,7 @@ def as_of_col(as_of=None) -> Column:
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, (dt.datetime, dt.date)):
-        return F.lit(as_of).cast("timestamp")
+        return F.lit(as_of.isoformat(sep=" ") if isinstance(as_of, dt.datetime) else as_of.isoformat()).cast("timestamp")
     return F.lit(str(as_of)).cast("timestamp")
 
 
