@@ -221,7 +221,9 @@ def default_time_nanos(nanos, batch_nanos) -> Column:
 def nanos_to_ts(nanos) -> Column:
     """Nanoseconds since epoch -> TIMESTAMP (micro precision; the nanos
     column keeps the rest)."""
-    return F.timestamp_micros(F.floor(_col(nanos) / 1000).cast("bigint"))
+    # exact integer division (a double division loses the last digits)
+    micros = F.floor(_col(nanos).cast("decimal(20,0)") / F.lit(1000)).cast("bigint")
+    return F.timestamp_micros(micros)
 
 
 def id_hex(raw, n_bytes: int) -> Column:
