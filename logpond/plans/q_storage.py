@@ -1 +1,193 @@
-"""Registered queries."""
+"""Registered storage queries: sink / scan round trips, id check, sizes,
+outlook, disk cards and retention (S4-S6, S11, A14-A17, ST8, ST9)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from logpond.operators import rollups as R
+from logpond.operators import search as Q
+from logpond.operators import storage as ST
+from logpond.plans.oracle import logs_cte, metrics_1m_cte, metrics_1s_cte, ts_lit, with_ctes
+from logpond.plans.registry import ntz, query
+from logpond.session import scratch_path
+from logpond.sources.events_adapter import read_logs
+from logpond.sources.tables import read_table
+
+BASE = with_ctes(logs_cte())
+WIDE = with_ctes(logs_cte(clock="wide"))
+
+
+def _write(spark, sf_dir, clock="dense", name="logs"):
+    path = scratch_path(spark, name)
+    ST.write_logs(read_logs(spark, sf_dir, clock).drop("event_id"), path)
+    return path
+
+
+@query("logs_sink_roundtrip", BASE + """
+SELECT trace_id, span_id, ts, service_name, severity_text, severity_number, body, log_date,
+       len(log_attr_keys) AS n_log_attrs FROM logs""")
+def q_logs_sink_roundtrip(spark, sf_dir):
+    t = ST.read_logs_table(spark, _write(spark, sf_dir))
+    return t.select("trace_id", "span_id", ntz("ts"), "service_name", "severity_text", "severity_number",
+                    "body", "log_date", F.size("log_attr_keys").alias("n_log_attrs"))
+
+
+SCAN = dict(start="2024-01-10 00:00:00", end="2024-01-12 12:00:00", severity_text="ERR")
+
+
+@query("logs_scan", WIDE + """
+SELECT trace_id, ts, service_name FROM logs
+WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 12:00:00'
+  AND severity_text ILIKE 'ERR%'""")
+def q_logs_scan(spark, sf_dir):
+    t = ST.read_logs_table(spark, _write(spark, sf_dir, "wide"))
+    return Q.apply_filter(t, Q.LogFilter(**SCAN)).select("trace_id", ntz("ts"), "service_name")
+
+
+@query("validate_ids", BASE + """
+SELECT count(*) FILTER (WHERE event_id % 11 <> 0) AS valid,
+       count(*) FILTER (WHERE event_id % 11 = 0) AS invalid FROM logs""")
+def q_validate_ids(spark, sf_dir):
+    logs = read_logs(spark, sf_dir).withColumn(
+        "trace_id", F.when(F.col("event_id") % 11 == 0, F.substring("trace_id", 1, 31)).otherwise(F.col("trace_id")))
+    return ST.id_check_counts(logs)
+
+
+@query("load_if_empty", BASE + """
+SELECT 1 AS call, CAST(count(*) AS BIGINT) AS row_count, true AS loaded FROM logs
+UNION ALL SELECT 2, CAST(count(*) AS BIGINT), false FROM logs""")
+def q_load_if_empty(spark, sf_dir):
+    path = scratch_path(spark, "seeded")
+    rows = read_logs(spark, sf_dir).drop("event_id")
+    out = []
+    for call in (1, 2):
+        loaded = ST.load_if_empty(spark, path, rows)
+        out.append(ST.read_logs_table(spark, path).agg(
+            F.lit(call).alias("call"), F.count(F.lit(1)).alias("row_count"), F.lit(loaded).alias("loaded")))
+    return out[0].unionByName(out[1])
+
+
+@query("partition_bytes", WIDE + """
+SELECT log_date, CAST(sum(strlen(body)) AS BIGINT) AS partition_bytes FROM logs GROUP BY 1""")
+def q_partition_bytes(spark, sf_dir):
+    return ST.partition_bytes(read_logs(spark, sf_dir, "wide"), F.octet_length("body"))
+
+
+_OUTLOOK_SQL = WIDE + """
+, p AS (SELECT log_date, CAST(sum(strlen(body)) AS BIGINT) AS b FROM logs GROUP BY 1)
+, s AS (SELECT 'all' AS scenario, * FROM p UNION ALL
+        SELECT 'last10' AS scenario, * FROM p WHERE log_date >= DATE '2024-01-21')
+, o AS (SELECT scenario, CAST(sum(b) AS BIGINT) AS current_total_bytes,
+       CAST(count(*) AS INTEGER) AS days_of_history, count(*) >= 30 AS is_steady_state,
+       CAST(CASE WHEN count(*) >= 30 THEN sum(b)
+            WHEN count(*) > 1 THEN ((sum(b) - max_by(b, log_date)) // (count(*) - 1)) * 30
+            ELSE sum(b) * 30 END AS BIGINT) AS projected_steady_state_bytes
+       FROM s GROUP BY scenario)
+"""
+
+
+def _outlook(spark, sf_dir, scenario):
+    parts = ST.partition_bytes(read_logs(spark, sf_dir, "wide"), F.octet_length("body"))
+    if scenario == "last10":
+        parts = parts.filter(F.col("log_date") >= F.lit("2024-01-21").cast("date"))
+    return ST.storage_outlook(parts)
+
+
+@query("storage_outlook", _OUTLOOK_SQL + "SELECT * FROM o")
+def q_storage_outlook(spark, sf_dir):
+    return (_outlook(spark, sf_dir, "all").select(F.lit("all").alias("scenario"), "*")
+            .unionByName(_outlook(spark, sf_dir, "last10").select(F.lit("last10").alias("scenario"), "*")))
+
+
+DISK_TOTAL = 1 << 30
+
+
+def _disks(spark, sf_dir):
+    # one disk holding the logs table: used = the table's bytes
+    logs = read_logs(spark, sf_dir, "wide")
+    used = logs.agg(F.sum(F.octet_length("body")).cast("bigint").alias("used"))
+    return used.select(F.lit("default").alias("disk_name"),
+                       (F.lit(DISK_TOTAL) - F.col("used")).cast("bigint").alias("free_bytes"),
+                       F.lit(DISK_TOTAL).cast("bigint").alias("total_bytes"))
+
+
+_DISK_SQL = f"""
+, d AS (SELECT 'default' AS disk_name, CAST({DISK_TOTAL} - sum(strlen(body)) AS BIGINT) AS free_bytes,
+               CAST({DISK_TOTAL} AS BIGINT) AS total_bytes FROM logs)
+"""
+
+
+@query("disk_usage", WIDE + _DISK_SQL + """
+SELECT disk_name, free_bytes, total_bytes,
+       round((total_bytes - free_bytes) / total_bytes * 100, 2) AS used_percent FROM d""")
+def q_disk_usage(spark, sf_dir):
+    return ST.disk_usage(_disks(spark, sf_dir))
+
+
+@query("storage_runway", _OUTLOOK_SQL + _DISK_SQL + """
+, j AS (SELECT o.scenario, d.*, o.projected_steady_state_bytes AS projected,
+               (d.total_bytes - d.free_bytes) AS used FROM o, d)
+, c AS (SELECT *, (projected - used) / 30.0 AS growth FROM j)
+SELECT scenario, printf('%.0f', used / total_bytes * 100) AS value, '%' AS unit,
+  CASE WHEN projected <= used THEN 'Stable'
+       WHEN free_bytes / growth > 30 THEN '~' || printf('%.0f', free_bytes / growth) || ' days at current rate'
+       ELSE '~' || printf('%.0f', free_bytes / growth) || ' days — action needed' END AS delta,
+  CASE WHEN projected <= used THEN 'text.secondary' WHEN free_bytes / growth > 30 THEN 'warning.main'
+       ELSE 'error.main' END AS delta_colour,
+  CASE WHEN projected > used THEN free_bytes / growth END AS days_remaining
+FROM c""")
+def q_storage_runway(spark, sf_dir):
+    disks = _disks(spark, sf_dir)
+    return (ST.storage_runway(disks, _outlook(spark, sf_dir, "all")).select(F.lit("all").alias("scenario"), "*")
+            .unionByName(ST.storage_runway(disks, _outlook(spark, sf_dir, "last10"))
+                         .select(F.lit("last10").alias("scenario"), "*")))
+
+
+RET_AS_OF = "2024-01-31 00:00:00"
+
+
+@query("retention_logs", WIDE + f"""
+SELECT trace_id, ts FROM logs WHERE ts > {ts_lit(RET_AS_OF)} - INTERVAL 7 DAY""")
+def q_retention_logs(spark, sf_dir):
+    path = _write(spark, sf_dir, "wide", "retained")
+    ST.apply_retention(spark, path, RET_AS_OF, "7 days")
+    return ST.read_logs_table(spark, path).select("trace_id", ntz("ts"))
+
+
+MET_AS_OF = "2024-01-01 01:10:00"
+
+
+@query("retention_metrics", BASE.rstrip() + ",\n" + metrics_1s_cte() + ",\n" + metrics_1m_cte() + f"""
+SELECT '1s' AS tbl, ts, service_name, logs_count, errors_count FROM m1s
+WHERE ts > {ts_lit(MET_AS_OF)} - INTERVAL 1 HOUR
+UNION ALL
+SELECT '1m' AS tbl, ts, service_name, logs_count, errors_count FROM m1m
+WHERE ts > {ts_lit(MET_AS_OF)} - INTERVAL 1 DAY""")
+def q_retention_metrics(spark, sf_dir):
+    m1s = R.metrics_1s(read_logs(spark, sf_dir))
+    m1m = R.metrics_1m(m1s)
+    a = ST.retention_view(m1s, MET_AS_OF, "1 hour").select(F.lit("1s").alias("tbl"), "*")
+    b = ST.retention_view(m1m, MET_AS_OF, "1 day").select(F.lit("1m").alias("tbl"), "*")
+    return a.unionByName(b).select("tbl", ntz("ts"), "service_name", "logs_count", "errors_count")
+
+
+RAW_CAP, DLQ_CAP = 600, 1500
+
+
+@query("retention_bytes", f"""
+WITH m AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, strlen(props) AS s FROM events),
+raw AS (SELECT event_id, sum(s) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS run
+        FROM m WHERE ts > {ts_lit(RET_AS_OF)} - INTERVAL 12 HOUR),
+dlq AS (SELECT event_id, sum(s) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS run
+        FROM m WHERE ts > {ts_lit(RET_AS_OF)} - INTERVAL 24 HOUR AND event_id % 13 >= 10)
+SELECT 'raw' AS queue, event_id AS msg_id FROM raw WHERE run <= {RAW_CAP}
+UNION ALL SELECT 'dlq' AS queue, event_id AS msg_id FROM dlq WHERE run <= {DLQ_CAP}""")
+def q_retention_bytes(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("msg_id"), F.col("ts").cast("timestamp").alias("received_at"),
+        F.octet_length("props").alias("size"))
+    raw = ST.retention_bytes(ev, RET_AS_OF, "12 hours", RAW_CAP)
+    dlq = ST.retention_bytes(ev.filter(F.col("msg_id") % 13 >= 10), RET_AS_OF, "24 hours", DLQ_CAP)
+    return (raw.select(F.lit("raw").alias("queue"), "msg_id")
+            .unionByName(dlq.select(F.lit("dlq").alias("queue"), "msg_id")))
