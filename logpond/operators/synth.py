@@ -1,0 +1,119 @@
+"""Synthetic log generator (ST11) and its config cleaning (ST12).
+
+Every random draw is a hash of (seed, key, salt): ``md5`` -> first 32 bits
+-> [0, 1). Rows therefore depend neither on partitioning nor on task retries,
+and a lost executor recomputes exactly the same rows. The template pool is a
+pure function of the template index, so it is never materialised: a row
+picks a template index and derives the template's severity and body from it.
+The rows to generate come from an input DataFrame (one synthetic record per
+input row id), so the work is spread like that input.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from logpond import schema as S
+
+
+@dataclass
+class SynthConfig:
+    seed: int = 42
+    pool_size: int = 5000
+    batch_size: int = 10
+    severity_distribution: tuple = S.SYNTH_SEVERITY_DISTRIBUTION
+    service_names: tuple = S.SYNTH_SERVICE_NAMES
+    body_min: int = S.SYNTH_BODY_MIN_TOKENS
+    body_max: int = S.SYNTH_BODY_MAX_TOKENS
+    dictionary: tuple = S.SYNTH_BODY_DICTIONARY
+    log_attributes: tuple = S.SYNTH_LOG_ATTRIBUTES
+    start: str = "2024-01-01 00:00:00"
+    rps: float = 10.0                       # batches per second
+    extra: dict = field(default_factory=dict)
+
+
+def clean_config(cfg: SynthConfig) -> SynthConfig:
+    """ST12: negative pool -> 1000, pool capped at 1e6; a distribution that
+    is not five values summing to 1 (1e-9) -> the default."""
+    pool = cfg.pool_size
+    if pool < 0:
+        pool = S.SYNTH_POOL_DEFAULT
+    if pool > S.SYNTH_POOL_MAX:
+        pool = S.SYNTH_POOL_MAX
+    dist = tuple(cfg.severity_distribution)
+    if len(dist) != 5 or abs(sum(dist) - 1.0) >= 1e-9:
+        dist = S.SYNTH_SEVERITY_DISTRIBUTION
+    return SynthConfig(seed=cfg.seed, pool_size=pool, batch_size=cfg.batch_size,
+                       severity_distribution=dist, service_names=tuple(cfg.service_names),
+                       body_min=cfg.body_min, body_max=cfg.body_max, dictionary=tuple(cfg.dictionary),
+                       log_attributes=tuple(cfg.log_attributes), start=cfg.start, rps=cfg.rps, extra=cfg.extra)
+
+
+def uniform(seed: int, key: Column, salt: str | Column) -> Column:
+    """Deterministic draw in [0, 1) from (seed, key, salt)."""
+    s = F.lit(salt) if isinstance(salt, str) else salt
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), s))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+def pick(u: Column, n: int) -> Column:
+    """Index in [0, n) from a draw."""
+    return F.least(F.floor(u * n).cast("int"), F.lit(n - 1))
+
+
+def synth_logs(ids: DataFrame, cfg: SynthConfig | None = None, id_col: str = "id") -> DataFrame:
+    """One synthetic log row per input id: seeded template (weighted
+    severity, number inside the severity's band, body of dictionary words),
+    service drawn per batch of ``batch_size`` ids, random ids, one timestamp
+    per batch."""
+    cfg = clean_config(cfg or SynthConfig())
+    rid = F.col(id_col).cast("bigint")
+    tpl = pick(uniform(cfg.seed, rid, "tpl"), max(cfg.pool_size, 1))
+    # weighted severity (integer weights, as percentages)
+    weights = [int(p * 100) for p in cfg.severity_distribution]
+    total = sum(weights)
+    w = pick(uniform(cfg.seed, tpl, "sev"), total)
+    sev = F.lit(S.SYNTH_SEVERITY_NAMES[0])
+    lower = 0
+    for name, wt in zip(S.SYNTH_SEVERITY_NAMES, weights):
+        if wt > 0:   # the last (highest) bound ends up outermost
+            sev = F.when(w >= lower, F.lit(name)).otherwise(sev)
+        lower += wt
+    lo = F.lit(0)
+    for name, low, _ in S.SEVERITY_BANDS:
+        lo = F.when(sev == name, F.lit(low)).otherwise(lo)
+    number = (lo + pick(uniform(cfg.seed, tpl, "num"), 4)).cast("int")
+    n_tokens = cfg.body_min + pick(uniform(cfg.seed, tpl, "len"), cfg.body_max - cfg.body_min + 1)
+    dictionary = F.array(*[F.lit(x) for x in cfg.dictionary])
+    words = F.transform(F.sequence(F.lit(0), n_tokens - 1), lambda i: F.element_at(
+        dictionary, pick(uniform(cfg.seed, tpl, F.concat(F.lit("w"), i.cast("string"))), len(cfg.dictionary)) + 1))
+    body = F.array_join(words, " ") if cfg.dictionary else F.lit("")
+    batch = F.floor(rid.cast("decimal(20,0)") / F.lit(cfg.batch_size)).cast("bigint")
+    services = F.array(*[F.lit(x) for x in cfg.service_names])
+    service = F.element_at(services, pick(uniform(cfg.seed, batch, "svc"), len(cfg.service_names)) + 1)
+    start_us = F.unix_micros(F.lit(cfg.start).cast("timestamp"))
+    ts = F.timestamp_micros(start_us + (batch * F.lit(1e6 / cfg.rps)).cast("bigint"))
+    trace = F.md5(F.concat_ws(":", F.lit(str(cfg.seed)), rid.cast("string"), F.lit("trace")))
+    span = F.substring(F.md5(F.concat_ws(":", F.lit(str(cfg.seed)), rid.cast("string"), F.lit("span"))), 1, 16)
+    keys = F.array(*[F.lit(k) for k, _ in cfg.log_attributes]) if cfg.log_attributes else F.array().cast("array<string>")
+    vals = F.array(*[F.lit(v) for _, v in cfg.log_attributes]) if cfg.log_attributes else F.array().cast("array<string>")
+    return ids.select(
+        rid.alias("id"),
+        ts.alias("ts"),
+        trace.alias("trace_id"),
+        span.alias("span_id"),
+        sev.alias("severity_text"),
+        number.alias("severity_number"),
+        service.alias("service_name"),
+        body.alias("body"),
+        F.lit(S.SYNTH_SCOPE_NAME).alias("scope_name"),
+        F.lit(S.SYNTH_SCOPE_VERSION).alias("scope_version"),
+        keys.alias("log_attr_keys"),
+        vals.alias("log_attr_values"),
+        F.array(F.lit(S.SERVICE_NAME_KEY)).alias("res_attr_keys"),
+        F.array(service).alias("res_attr_values"),
+        tpl.alias("template"),
+    )
