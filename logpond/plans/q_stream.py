@@ -1 +1,104 @@
-"""Registered queries."""
+"""Registered streaming queries (ST1-ST6, ST10).
+
+Each runs a bounded stream: the envelopes derived from ``events`` are
+written as four files, the ingest query processes them one file per
+micro-batch with an ``availableNow`` trigger, and the batch read of its
+output tables is returned. The stream run is shared by the four ingest keys
+of one session and input folder.
+"""
+
+from __future__ import annotations
+
+import threading
+
+from pyspark.sql import functions as F
+
+from logpond.plans.oracle import logs_cte, metrics_1m_cte, metrics_1s_cte, with_ctes
+from logpond.plans.q_decode import _FLAT_COLS, _FLAT_SQL, _flat_out, _requests
+from logpond.plans.registry import ntz, query
+from logpond.session import scratch_path
+from logpond.sources.envelopes import to_envelopes
+from logpond.sources.events_adapter import read_logs
+from logpond.streaming import ingest as I
+from logpond.streaming import livetail as LT
+
+STREAM_TIMEOUT_S = 900
+N_FILES = 4
+_RUNS: dict = {}
+_LOCK = threading.Lock()
+
+
+def _ingest_run(spark, sf_dir) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    with _LOCK:
+        if key in _RUNS:
+            return _RUNS[key]
+        src = scratch_path(spark, "ingest_src")
+        out = scratch_path(spark, "ingest_out")
+        b = F.col("batch_id")
+        ct = F.when(b % 2 == 0, F.lit("application/json")).otherwise(F.lit("application/x-protobuf"))
+        enc = F.element_at(F.array(F.lit(""), F.lit("gzip"), F.lit("zstd")), (b % 3 + 1).cast("int"))
+        env = to_envelopes(_requests(spark, sf_dir), ct, enc)
+        env.repartitionByRange(N_FILES, "batch_id").write.parquet(src)
+        q = I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1)
+        if not q.awaitTermination(STREAM_TIMEOUT_S):
+            q.stop()
+            raise TimeoutError("ingest stream did not finish")
+        if q.exception():
+            raise RuntimeError(str(q.exception()))
+        _RUNS[key] = out
+        return out
+
+
+@query("stream_ingest", _FLAT_SQL)
+def q_stream_ingest(spark, sf_dir):
+    return _flat_out(I.read_stream_logs(spark, _ingest_run(spark, sf_dir)))
+
+
+M = with_ctes(logs_cte(), metrics_1s_cte(), metrics_1m_cte())
+
+
+@query("stream_metrics_1s", M + "SELECT ts, service_name, logs_count, errors_count FROM m1s")
+def q_stream_metrics_1s(spark, sf_dir):
+    m = I.read_metrics(spark, _ingest_run(spark, sf_dir), "1s")
+    return m.select(ntz("ts"), "service_name", "logs_count", "errors_count")
+
+
+@query("stream_metrics_1m", M + "SELECT ts, service_name, logs_count, errors_count FROM m1m")
+def q_stream_metrics_1m(spark, sf_dir):
+    m = I.read_metrics(spark, _ingest_run(spark, sf_dir), "1m")
+    return m.select(ntz("ts"), "service_name", "logs_count", "errors_count")
+
+
+@query("stream_registry", with_ctes(logs_cte()) + """
+SELECT service_name, CAST(min(date_trunc('second', ts)) AS TIMESTAMP) AS first_seen,
+       CAST(max(date_trunc('second', ts)) AS TIMESTAMP) AS last_seen
+FROM logs GROUP BY service_name""")
+def q_stream_registry(spark, sf_dir):
+    r = I.read_registry(spark, _ingest_run(spark, sf_dir))
+    return r.select("service_name", ntz("first_seen"), ntz("last_seen"))
+
+
+LIVE = dict(services=("svc-0", "svc-3", "svc-5", "svc-6"), severities=("info", "fatal", "warn"), term="")
+
+
+@query("stream_live_tail", with_ctes(logs_cte()) + """
+, buf AS (SELECT * FROM logs ORDER BY event_id DESC LIMIT 300)
+SELECT event_id, ts, service_name FROM buf
+WHERE service_name IN ('svc-0', 'svc-3', 'svc-5', 'svc-6') AND severity_text IN ('INFO', 'FATAL', 'WARNING')
+ORDER BY ts DESC, event_id DESC LIMIT 15""")
+def q_stream_live_tail(spark, sf_dir):
+    src = scratch_path(spark, "tail_src")
+    root = scratch_path(spark, "tail_ring")
+    rows = read_logs(spark, sf_dir).withColumn("arrival_seq", F.col("event_id"))
+    rows.repartitionByRange(N_FILES, "arrival_seq").write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = LT.start_live_tail(spark, stream, root, root + "_checkpoint")
+    if not q.awaitTermination(STREAM_TIMEOUT_S):
+        q.stop()
+        raise TimeoutError("live-tail stream did not finish")
+    v = LT.live_view_from_ring(spark, root, "arrival_seq", **LIVE)
+    return v.select("event_id", ntz("ts"), "service_name")
+
+
+_ = _FLAT_COLS
