@@ -140,6 +140,35 @@ def any_value_text_py(v: dict | None) -> str:
     return _json_text(raw)
 
 
+# value kinds other than stringValue, as JSON keys
+NON_STRING_KINDS = ("intValue", "doubleValue", "boolValue", "bytesValue", "arrayValue", "kvlistValue")
+
+
+def _as_string_value(v):
+    if not isinstance(v, dict) or not v or "stringValue" in v:
+        return v
+    return {"stringValue": any_value_text_py(v)}
+
+
+def rewrite_values_to_text(req: dict) -> dict:
+    """Replace every non-string value of an OTLP/JSON request (resource,
+    scope and record attributes, record bodies) by its text form as a
+    ``stringValue``, so the JVM flatten only ever meets strings."""
+    def kvs(lst):
+        for kv in lst or []:
+            if isinstance(kv, dict) and "value" in kv:
+                kv["value"] = _as_string_value(kv["value"])
+    for rl in req.get("resourceLogs", []) or []:
+        kvs((rl.get("resource") or {}).get("attributes"))
+        for sl in rl.get("scopeLogs", []) or []:
+            kvs((sl.get("scope") or {}).get("attributes"))
+            for rec in sl.get("logRecords", []) or []:
+                kvs(rec.get("attributes"))
+                if "body" in rec:
+                    rec["body"] = _as_string_value(rec["body"])
+    return req
+
+
 @F.pandas_udf(T.StringType())
 def _nested_value_text(values: pd.Series) -> pd.Series:
     return values.map(lambda s: None if s is None else any_value_text_py(json.loads(s)))
@@ -183,10 +212,10 @@ def scalar_value_text(v: Column) -> Column:
 
 
 def any_value_text(v) -> Column:
-    """P10: text of one AnyValue struct column."""
+    """P10: text of one AnyValue struct column (string kind first)."""
     v = _col(v)
-    py = _nested_value_text(F.when(_needs_python(v), F.to_json(v)))
-    return F.coalesce(scalar_value_text(v), py, F.lit(""))
+    py = _nested_value_text(F.when(v["stringValue"].isNull() & _needs_python(v), F.to_json(v)))
+    return F.coalesce(v["stringValue"], scalar_value_text(v), py, F.lit(""))
 
 
 def attrs_keys(attrs) -> Column:
@@ -195,12 +224,23 @@ def attrs_keys(attrs) -> Column:
 
 
 def attrs_values_text(attrs) -> Column:
-    """P11 + P10: value texts parallel to ``attrs_keys``."""
-    attrs = F.coalesce(_col(attrs), F.array().cast(T.ArrayType(KEY_VALUE_TYPE)))
+    """P11 + P10: value texts parallel to ``attrs_keys``.
+
+    Common case first: when every value holds a ``stringValue`` (checked
+    without a lambda: ``array_contains`` is NULL exactly when the probe is
+    absent and a NULL element exists), the texts are that field, extracted
+    by codegen'd array-of-struct field access. Other lists take per-element
+    JVM text; nested values go to Python."""
+    attrs = _col(attrs)
+    empty = F.array().cast(T.ArrayType(T.StringType()))
+    strings = attrs["value"]["stringValue"]
+    all_strings = F.array_contains(strings, F.lit("\u0001")).isNotNull()
+    py_in = F.when(attrs.isNull() | all_strings, F.lit(None).cast("string")) \
+        .when(F.exists(attrs, lambda a: _needs_python(a["value"])), F.to_json(attrs))
+    py = _nested_attrs_text(py_in)
     jvm = F.transform(attrs, lambda a: scalar_value_text(a["value"]))
-    needs = F.exists(attrs, lambda a: _needs_python(a["value"]))
-    py = _nested_attrs_text(F.when(needs, F.to_json(attrs)))
-    return F.when(needs, py).otherwise(jvm)
+    return (F.when(attrs.isNull(), empty).when(all_strings, strings)
+            .when(py.isNotNull(), py).otherwise(jvm))
 
 
 def service_name_from(keys, values) -> Column:

@@ -47,9 +47,35 @@ def get_spark(master: str | None = None, app_name: str = "logpond",
 
 
 def apply_runtime_defaults(spark: SparkSession) -> None:
-    """Pin the settings operators depend on for an already running session."""
+    """Pin the settings operators depend on for an already running session
+    and make the package importable on the executors."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Zip this package once per application and ``addPyFile`` it, so Python
+    workers (pandas UDFs) can import it wherever the driver was started."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="logpond-pkg-")
+    zpath = os.path.join(out_dir, "logpond.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -114,3 +114,77 @@ def compress(payload, encoding) -> Column:
     p = F.col(payload) if isinstance(payload, str) else payload
     enc = _enc(encoding)
     return F.when(enc.isin("gzip", "zstd"), _compress_udf(F.when(enc.isin("gzip", "zstd"), p), enc)).otherwise(p)
+
+
+CODEC_DECODE_RESULT = T.StructType([
+    T.StructField("payload", T.BinaryType()),
+    T.StructField("json", T.StringType()),
+    T.StructField("error", T.StringType()),
+])
+
+
+_NON_STRING_KEYS = tuple(('"' + k + '"').encode() for k in (
+    "intValue", "doubleValue", "boolValue", "bytesValue", "arrayValue", "kvlistValue"))
+
+
+@F.pandas_udf(CODEC_DECODE_RESULT)
+def _payload_codec_udf(payload: pd.Series, encoding: pd.Series, is_proto: pd.Series) -> pd.DataFrame:
+    import json as _json
+
+    from logpond.functions.values import rewrite_values_to_text
+    from logpond.sources.otlp_proto import proto_to_dict
+    out_p, out_j, out_e = [], [], []
+    for data, enc, proto in zip(payload, encoding, is_proto):
+        if data is None:
+            out_p.append(None)
+            out_j.append(None)
+            out_e.append(None)
+            continue
+        raw = bytes(data)
+        try:
+            if enc in ("gzip", "zstd"):
+                raw = decompress_bytes(raw, enc)
+        except Exception as e:  # noqa: BLE001 - a codec failure is a row error
+            out_p.append(None)
+            out_j.append(None)
+            out_e.append(f"{enc} decompress error: {type(e).__name__}: {e}"[:500])
+            continue
+        if proto:
+            try:
+                d = rewrite_values_to_text(proto_to_dict(raw))
+                out_j.append(_json.dumps(d, separators=(",", ":")))
+                out_e.append(None)
+            except Exception as e:  # noqa: BLE001
+                out_j.append(None)
+                out_e.append(f"protobuf decode error: {type(e).__name__}: {e}"[:500])
+            out_p.append(None)
+            continue
+        if any(k in raw for k in _NON_STRING_KEYS):
+            try:
+                d = rewrite_values_to_text(_json.loads(raw))
+                out_p.append(None)
+                out_j.append(_json.dumps(d, separators=(",", ":")))
+                out_e.append(None)
+                continue
+            except Exception:  # noqa: BLE001 - leave invalid JSON to the JVM parser
+                pass
+        # unchanged JSON: send nothing back unless it was decompressed
+        out_p.append(raw if enc in ("gzip", "zstd") else None)
+        out_j.append(None)
+        out_e.append(None)
+    return pd.DataFrame({"payload": out_p, "json": out_j, "error": out_e})
+
+
+def has_non_string_values(text: Column) -> Column:
+    """True when a JSON payload may hold a non-string value kind."""
+    cond = F.lit(False)
+    for k in ("intValue", "doubleValue", "boolValue", "bytesValue", "arrayValue", "kvlistValue"):
+        cond = cond | (F.instr(text, '"' + k + '"') > 0)
+    return cond
+
+
+def payload_codec(payload: Column, encoding: Column, is_proto: Column) -> Column:
+    """Decompression, protobuf-to-JSON and value-to-text rewriting in one
+    Arrow round trip: struct(payload = JSON bytes when unchanged, json =
+    rewritten JSON text, error). NULL payload in -> NULLs out."""
+    return _payload_codec_udf(payload, encoding, is_proto)

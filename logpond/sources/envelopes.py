@@ -69,9 +69,8 @@ def decompress_envelopes(env: DataFrame) -> DataFrame:
 
 def decode_envelopes(env: DataFrame) -> DataFrame:
     """P1 + P3-P6: decompress and parse; ``decode_error`` carries the first
-    failure (decompression or decode)."""
-    d = decode_requests(decompress_envelopes(env))
-    return d.withColumn("decode_error", F.coalesce("decompress_error", "decode_error")).drop("decompress_error")
+    failure (encoding, decompression, content type or decode)."""
+    return decode_requests(env)
 
 
 def envelopes_to_logs(env: DataFrame, batch_nanos: Column | None = None,

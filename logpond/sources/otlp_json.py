@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from logpond import schema as S
 from logpond.functions import values as V
-from logpond.sources.otlp_proto import proto_payload_to_json
+from logpond.sources import codecs
 
 _KVS = T.ArrayType(V.KEY_VALUE_TYPE)
 
@@ -74,20 +74,54 @@ def severity_number_from(text: Column) -> Column:
     return F.coalesce(t.try_cast("int"), base + offset, F.lit(0)).cast("int")
 
 
-def decode_requests(env: DataFrame, payload: str = "payload", content_type: str = "content_type") -> DataFrame:
-    """Add ``request`` (parsed struct) and ``decode_error``."""
+def decode_requests(env: DataFrame, payload: str = "payload", content_type: str = "content_type",
+                    content_encoding: str | None = "content_encoding") -> DataFrame:
+    """P1 + P3-P5: decompress and parse; adds ``request`` (parsed struct)
+    and ``decode_error``.
+
+    One Arrow round trip (``codecs.payload_codec``) decompresses, turns
+    protobuf into JSON and rewrites non-string values to text, so the JVM
+    parse and flatten below only meet string values. A plain JSON payload
+    with string values only comes back as NULLs (nothing copied back) and is
+    parsed from its original bytes.
+    Errors follow the worker's order: encoding, decompression, content
+    type, protobuf, parse."""
     ct = F.coalesce(F.col(content_type), F.lit(""))
+    enc = F.coalesce(F.col(content_encoding), F.lit("")) if content_encoding else F.lit("")
     is_json = ct.startswith("application/json")
     is_proto = ct.startswith("application/x-protobuf")
+    passthrough = enc.isin(*S.PASSTHROUGH_ENCODINGS)
+    compressed = enc.isin("gzip", "zstd")
     p = F.col(payload)
-    df = env.withColumn("_proto", proto_payload_to_json(F.when(is_proto, p)))
-    text = F.when(is_json, F.decode(p, "UTF-8")).when(is_proto, F.col("_proto.json"))
+    needs_py = (compressed | passthrough) & (is_json | is_proto)
+    df = env.withColumn("_codec", codecs.payload_codec(F.when(needs_py, p), enc, is_proto))
+    # the codec returns bytes only when it changed them (decompressed)
+    plain = F.coalesce(F.col("_codec.payload"), F.when(passthrough, p))
+    text = F.coalesce(F.col("_codec.json"), F.when(is_json, plain.cast("string")))
     df = df.withColumn("request", F.from_json(text, REQUEST_TYPE, JSON_OPTIONS))
-    err = (F.when(~is_json & ~is_proto, F.concat(F.lit("unsupported or missing content type: "), ct))
-           .when(is_proto & F.col("_proto.error").isNotNull(), F.col("_proto.error"))
+    err = (F.when(~passthrough & ~compressed, F.lit("unsupported encoding"))
+           .when(~is_json & ~is_proto, F.concat(F.lit("unsupported or missing content type: "), ct))
+           .when(F.col("_codec.error").isNotNull(), F.col("_codec.error"))
            .when(p.isNull(), F.lit("empty payload"))
            .when(F.col("request").isNull() | F.col(f"request.{CORRUPT}").isNotNull(), F.lit("invalid json payload")))
-    return df.withColumn("decode_error", err).drop("_proto")
+    return df.withColumn("decode_error", err).drop("_codec")
+
+
+def _keys(attrs: Column) -> Column:
+    # field extraction over an array of structs is codegen'd
+    return F.coalesce(attrs["key"], F.array().cast(T.ArrayType(T.StringType())))
+
+
+def _texts(attrs: Column) -> Column:
+    """Value texts of an attribute list. After ``decode_requests`` every
+    value is a ``stringValue`` (non-string kinds were rewritten to text in
+    the codec step), so this is field extraction; only a list with a missing
+    value takes the per-element path."""
+    strings = attrs["value"]["stringValue"]
+    all_strings = F.array_contains(strings, F.lit("\u0001")).isNotNull()
+    return (F.when(attrs.isNull(), F.array().cast(T.ArrayType(T.StringType())))
+            .when(all_strings, strings)
+            .otherwise(F.transform(attrs, lambda a: F.coalesce(V.scalar_value_text(a["value"]), F.lit("")))))
 
 
 def flatten(decoded: DataFrame, batch_nanos: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -96,12 +130,16 @@ def flatten(decoded: DataFrame, batch_nanos: Column | None = None, keep: tuple[s
     query's current time. ``keep`` names input columns carried along."""
     if batch_nanos is None:
         batch_nanos = F.unix_micros(F.current_timestamp()) * 1000
-    ok = decoded.filter(F.col("decode_error").isNull())
-    rl = ok.select(*keep, batch_nanos.alias("_batch_nanos"), F.explode("request.resourceLogs").alias("rl"))
+    # No filter on decode_error: a payload that failed anywhere has a NULL
+    # request (or only the corrupt-record field set), so the explode yields
+    # no rows for it. A filter here would be pushed below the projection and
+    # make Spark evaluate from_json and the codec UDFs more than once.
+    rl = decoded.select(*keep, batch_nanos.alias("_batch_nanos"),
+                        F.explode(F.col("request.resourceLogs")).alias("rl"))
     res_attrs = F.col("rl.resource.attributes")
     rl = rl.select(*keep, "_batch_nanos",
-                   V.attrs_keys(res_attrs).alias("res_attr_keys"),
-                   V.attrs_values_text(res_attrs).alias("res_attr_values"),
+                   _keys(res_attrs).alias("res_attr_keys"),
+                   _texts(res_attrs).alias("res_attr_values"),
                    F.explode("rl.scopeLogs").alias("sl"))
     rl = rl.withColumn("service_name", V.service_name_from("res_attr_keys", "res_attr_values"))
     recs = rl.select(*keep, "_batch_nanos", "res_attr_keys", "res_attr_values", "service_name",
@@ -121,11 +159,11 @@ def flatten(decoded: DataFrame, batch_nanos: Column | None = None, keep: tuple[s
         F.coalesce(F.col("r.severityText"), F.lit("")).alias("severity_text"),
         severity_number_from(F.col("r.severityNumber")).alias("severity_number"),
         "service_name",
-        V.any_value_text(F.col("r.body")).alias("body"),
+        F.coalesce(F.col("r.body.stringValue"), V.scalar_value_text(F.col("r.body")), F.lit("")).alias("body"),
         F.lit(S.BODY_TYPE_STRING).alias("body_type"),
         "scope_name", "scope_version",
-        V.attrs_keys(F.col("r.attributes")).alias("log_attr_keys"),
-        V.attrs_values_text(F.col("r.attributes")).alias("log_attr_values"),
+        _keys(F.col("r.attributes")).alias("log_attr_keys"),
+        _texts(F.col("r.attributes")).alias("log_attr_values"),
         "res_attr_keys", "res_attr_values",
     )
     return out.withColumn("log_date", F.to_date("ts"))

@@ -108,14 +108,18 @@ def _walk_ids(d: dict, conv) -> None:
                         rec[k] = conv(rec[k])
 
 
-def proto_to_json(data: bytes) -> str:
-    """Binary ExportLogsServiceRequest -> OTLP/JSON text (ids as hex,
+def proto_to_dict(data: bytes) -> dict:
+    """Binary ExportLogsServiceRequest -> OTLP/JSON object (ids as hex,
     severity as integer, 64-bit integers as strings)."""
     msg = _request_class()()
     msg.ParseFromString(data)
     d = json_format.MessageToDict(msg, use_integers_for_enums=True)
     _walk_ids(d, _b64_to_hex)
-    return json.dumps(d, separators=(",", ":"))
+    return d
+
+
+def proto_to_json(data: bytes) -> str:
+    return json.dumps(proto_to_dict(data), separators=(",", ":"))
 
 
 def json_to_proto(text: str) -> bytes:
