@@ -122,6 +122,46 @@ def _json_text(x) -> str:
     return json.dumps(x)
 
 
+def raw_from_message(v):
+    """AnyValue protobuf message -> plain Python value (the 'raw' form)."""
+    kind = v.WhichOneof("value")
+    if kind is None:
+        return None
+    if kind == "string_value":
+        return v.string_value
+    if kind == "bool_value":
+        return v.bool_value
+    if kind == "int_value":
+        return v.int_value
+    if kind == "double_value":
+        return v.double_value
+    if kind == "bytes_value":
+        return _Bytes(base64.b64encode(v.bytes_value).decode())
+    if kind == "array_value":
+        return [raw_from_message(x) for x in v.array_value.values]
+    out = {}
+    for kv in v.kvlist_value.values:
+        out[kv.key] = raw_from_message(kv.value)
+    return out
+
+
+def raw_text(raw) -> str:
+    """Text form of a raw value (see ``any_value_text_py``)."""
+    if raw is None:
+        return ""
+    if isinstance(raw, _Bytes):
+        return str(raw)
+    if isinstance(raw, bool):
+        return "true" if raw else "false"
+    if isinstance(raw, int):
+        return str(raw)
+    if isinstance(raw, float):
+        return float_text(raw)
+    if isinstance(raw, str):
+        return raw
+    return _json_text(raw)
+
+
 def any_value_text_py(v: dict | None) -> str:
     """Text form of one AnyValue (dict as in OTLP/JSON)."""
     raw = _raw(v or {})

@@ -321,6 +321,7 @@ SELECT id, severity_text,
   md5(concat_ws(':', '42', CAST(id AS VARCHAR), 'trace')) AS trace_id
 FROM v""")
 def q_synth_logs(spark, sf_dir):
-    ids = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    # per-row work is heavy (a dozen hashes per row): spread a one-split scan
+    ids = read_table(spark, sf_dir, "events", spread_by="event_id").select(F.col("event_id").alias("id"))
     s = SY.synth_logs(ids)
     return s.select("id", "severity_text", "severity_number", "service_name", "body", "trace_id")

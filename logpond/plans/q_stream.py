@@ -38,8 +38,11 @@ def _ingest_run(spark, sf_dir) -> str:
         b = F.col("batch_id")
         ct = F.when(b % 2 == 0, F.lit("application/json")).otherwise(F.lit("application/x-protobuf"))
         enc = F.element_at(F.array(F.lit(""), F.lit("gzip"), F.lit("zstd")), (b % 3 + 1).cast("int"))
-        env = to_envelopes(_requests(spark, sf_dir), ct, enc)
-        env.repartitionByRange(N_FILES, "batch_id").write.parquet(src)
+        env = to_envelopes(_requests(spark, sf_dir), ct, enc).persist()
+        try:   # cached: the range sampling pass and the write share one encode
+            env.repartitionByRange(N_FILES, "batch_id").write.parquet(src)
+        finally:
+            env.unpersist()
         q = I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1)
         if not q.awaitTermination(STREAM_TIMEOUT_S):
             q.stop()

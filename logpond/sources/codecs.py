@@ -132,7 +132,7 @@ def _payload_codec_udf(payload: pd.Series, encoding: pd.Series, is_proto: pd.Ser
     import json as _json
 
     from logpond.functions.values import rewrite_values_to_text
-    from logpond.sources.otlp_proto import proto_to_dict
+    from logpond.sources.otlp_proto import proto_to_text_dict
     out_p, out_j, out_e = [], [], []
     for data, enc, proto in zip(payload, encoding, is_proto):
         if data is None:
@@ -151,7 +151,7 @@ def _payload_codec_udf(payload: pd.Series, encoding: pd.Series, is_proto: pd.Ser
             continue
         if proto:
             try:
-                d = rewrite_values_to_text(proto_to_dict(raw))
+                d = proto_to_text_dict(raw)
                 out_j.append(_json.dumps(d, separators=(",", ":")))
                 out_e.append(None)
             except Exception as e:  # noqa: BLE001

@@ -131,11 +131,15 @@ def flatten(decoded: DataFrame, batch_nanos: Column | None = None, keep: tuple[s
     if batch_nanos is None:
         batch_nanos = F.unix_micros(F.current_timestamp()) * 1000
     # No filter on decode_error: a payload that failed anywhere has a NULL
-    # request (or only the corrupt-record field set), so the explode yields
-    # no rows for it. A filter here would be pushed below the projection and
-    # make Spark evaluate from_json and the codec UDFs more than once.
-    rl = decoded.select(*keep, batch_nanos.alias("_batch_nanos"),
-                        F.explode(F.col("request.resourceLogs")).alias("rl"))
+    # request (or only the corrupt-record field set), so it yields no rows.
+    # Any filter below this point (ours, or the size(..) > 0 filter Spark
+    # infers for an inner explode) would be pushed under the projection and
+    # make Spark evaluate from_json and the codec UDF more than once per
+    # payload; explode_outer infers none, and the NULL rows it emits for
+    # empty or missing lists are dropped on the generated column instead.
+    rl = (decoded.select(*keep, batch_nanos.alias("_batch_nanos"),
+                         F.explode_outer(F.col("request.resourceLogs")).alias("rl"))
+          .filter(F.col("rl").isNotNull()))
     res_attrs = F.col("rl.resource.attributes")
     rl = rl.select(*keep, "_batch_nanos",
                    _keys(res_attrs).alias("res_attr_keys"),

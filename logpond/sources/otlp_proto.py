@@ -118,6 +118,50 @@ def proto_to_dict(data: bytes) -> dict:
     return d
 
 
+def _text_value(v) -> dict:
+    from logpond.functions.values import raw_from_message, raw_text
+    kind = v.WhichOneof("value")
+    if kind is None:
+        return {}
+    if kind == "string_value":
+        return {"stringValue": v.string_value}
+    return {"stringValue": raw_text(raw_from_message(v))}
+
+
+def _text_kvs(kvs) -> list:
+    return [{"key": kv.key, "value": _text_value(kv.value)} for kv in kvs]
+
+
+def proto_to_text_dict(data: bytes) -> dict:
+    """Binary ExportLogsServiceRequest -> OTLP/JSON-shaped object for the
+    flatten, by direct field access (no generic JSON walker): ids as hex,
+    times as decimal strings, and every value already in text form as a
+    ``stringValue`` (the same text ``rewrite_values_to_text`` produces)."""
+    msg = _request_class()()
+    msg.ParseFromString(data)
+    out = []
+    for rl in msg.resource_logs:
+        scopes = []
+        for sl in rl.scope_logs:
+            recs = []
+            for r in sl.log_records:
+                rec = {"timeUnixNano": str(r.time_unix_nano),
+                       "observedTimeUnixNano": str(r.observed_time_unix_nano),
+                       "severityNumber": r.severity_number,
+                       "severityText": r.severity_text,
+                       "attributes": _text_kvs(r.attributes),
+                       "traceId": r.trace_id.hex(),
+                       "spanId": r.span_id.hex()}
+                if r.HasField("body"):
+                    rec["body"] = _text_value(r.body)
+                recs.append(rec)
+            scopes.append({"scope": {"name": sl.scope.name, "version": sl.scope.version,
+                                     "attributes": _text_kvs(sl.scope.attributes)},
+                           "logRecords": recs})
+        out.append({"resource": {"attributes": _text_kvs(rl.resource.attributes)}, "scopeLogs": scopes})
+    return {"resourceLogs": out}
+
+
 def proto_to_json(data: bytes) -> str:
     return json.dumps(proto_to_dict(data), separators=(",", ":"))
 

@@ -70,7 +70,7 @@ def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
     and the registry delta are derived from it (both are exact functions of
     the per-second counts), so the rows are scanned for rollups only once."""
     bid = F.lit(batch_id).cast("bigint")
-    decoded = decode_envelopes(env)
+    decoded = decode_envelopes(spread_envelopes(env))
     decoded = decoded.select(
         "request", "decode_error",
         F.when(F.col("decode_error").isNotNull(), F.col("payload")).alias("payload"),
@@ -97,6 +97,18 @@ def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
         decoded.unpersist()
 
 
+def spread_envelopes(env: DataFrame) -> DataFrame:
+    """Decoding is CPU-bound per payload; a micro-batch that arrived as few
+    large files would decode in few tasks. Hash-partition the envelopes
+    over the cluster's cores first (a hash of the payload, so a retried
+    task sees the same rows)."""
+    target = env.sparkSession.sparkContext.defaultParallelism
+    if env.rdd.getNumPartitions() >= target:
+        return env
+    key = F.col("batch_id") if "batch_id" in env.columns else F.xxhash64("payload")
+    return env.repartition(target, key)
+
+
 def spark_read_batch(spark: SparkSession, logs_path: str, batch_id: int) -> DataFrame:
     """The rows just written for one batch (columnar re-read of two columns
     is cheaper than recomputing or caching the wide rows)."""
