@@ -59,7 +59,7 @@ def decompress_bytes(data: bytes, encoding: str) -> bytes:
 
 def compress_bytes(data: bytes, encoding: str) -> bytes:
     if encoding == "gzip":
-        return gzip.compress(data, mtime=0)
+        return gzip.compress(data, compresslevel=6, mtime=0)
     if encoding == "zstd":
         if _zstd is None:
             raise RuntimeError("zstandard is not installed")

@@ -166,15 +166,84 @@ def proto_to_json(data: bytes) -> str:
     return json.dumps(proto_to_dict(data), separators=(",", ":"))
 
 
-def json_to_proto(text: str) -> bytes:
-    """OTLP/JSON text -> binary ExportLogsServiceRequest."""
-    d = json.loads(text)
-    _walk_ids(d, _hex_to_b64)
+def _set_any(m, v: dict) -> None:
+    if not isinstance(v, dict) or not v:
+        return
+    if "stringValue" in v:
+        m.string_value = v["stringValue"] or ""
+    elif "boolValue" in v:
+        m.bool_value = bool(v["boolValue"])
+    elif "intValue" in v:
+        m.int_value = int(v["intValue"])
+    elif "doubleValue" in v:
+        m.double_value = float(v["doubleValue"])
+    elif "bytesValue" in v:
+        m.bytes_value = base64.b64decode(v["bytesValue"] or "")
+    elif "arrayValue" in v:
+        m.array_value.SetInParent()
+        for x in (v["arrayValue"] or {}).get("values", []) or []:
+            _set_any(m.array_value.values.add(), x)
+    elif "kvlistValue" in v:
+        m.kvlist_value.SetInParent()
+        _set_kvs(m.kvlist_value.values, (v["kvlistValue"] or {}).get("values"))
+
+
+def _set_kvs(target, kvs) -> None:
+    for kv in kvs or []:
+        item = target.add()
+        item.key = kv.get("key", "") or ""
+        _set_any(item.value, kv.get("value") or {})
+
+
+def _severity_int(v) -> int:
+    if v is None or v == "":
+        return 0
+    if isinstance(v, int):
+        return v
+    s = str(v)
+    if s.lstrip("-").isdigit():
+        return int(s)
+    from logpond.sources.otlp_json import SEVERITY_ENUM_BASE
+    name = s.removeprefix("SEVERITY_NUMBER_")
+    suffix = name[-1] if name[-1:] in "234" else ""
+    base = SEVERITY_ENUM_BASE.get(name[:-1] if suffix else name, 0)
+    return base + (int(suffix) - 1 if suffix and base else 0)
+
+
+def dict_to_proto(d: dict) -> bytes:
+    """OTLP/JSON object -> binary ExportLogsServiceRequest, by direct field
+    assignment (ids from hex, times from decimal strings)."""
     msg = _request_class()()
-    json_format.ParseDict(d, msg, ignore_unknown_fields=True)
+    for rl in d.get("resourceLogs", []) or []:
+        r = msg.resource_logs.add()
+        _set_kvs(r.resource.attributes, (rl.get("resource") or {}).get("attributes"))
+        for sl in rl.get("scopeLogs", []) or []:
+            s = r.scope_logs.add()
+            sc = sl.get("scope") or {}
+            s.scope.name = sc.get("name", "") or ""
+            s.scope.version = sc.get("version", "") or ""
+            _set_kvs(s.scope.attributes, sc.get("attributes"))
+            for rec in sl.get("logRecords", []) or []:
+                lr = s.log_records.add()
+                lr.time_unix_nano = int(rec.get("timeUnixNano") or 0)
+                lr.observed_time_unix_nano = int(rec.get("observedTimeUnixNano") or 0)
+                lr.severity_number = _severity_int(rec.get("severityNumber"))
+                lr.severity_text = rec.get("severityText", "") or ""
+                if rec.get("body"):
+                    _set_any(lr.body, rec["body"])
+                _set_kvs(lr.attributes, rec.get("attributes"))
+                if rec.get("traceId"):
+                    lr.trace_id = bytes.fromhex(rec["traceId"])
+                if rec.get("spanId"):
+                    lr.span_id = bytes.fromhex(rec["spanId"])
     return msg.SerializeToString()
 
 
+def json_to_proto(text: str) -> bytes:
+    """OTLP/JSON text -> binary ExportLogsServiceRequest."""
+    return dict_to_proto(json.loads(text))
+
+
 PROTO_RESULT = T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())])
 
 

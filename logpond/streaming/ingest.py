@@ -165,3 +165,90 @@ def windowed_metrics_1s(logs_stream: DataFrame, watermark: str = "10 seconds") -
             .groupBy(F.window("ts", "1 second"), "service_name")
             .agg(F.count(F.lit(1)).alias("logs_count"), F.count_if(R.is_error()).alias("errors_count"))
             .select(F.col("window.start").alias("ts"), "service_name", "logs_count", "errors_count"))
+
+
+# -- compaction of committed micro-batch partitions ---------------------------
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _batch_dirs(spark: SparkSession, parent: str, upto_batch_id: int) -> list:
+    jvm, fs = _fs(spark, parent)
+    p = jvm.org.apache.hadoop.fs.Path(parent)
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("batch_id="):
+            bid = int(name.split("=", 1)[1])
+            if bid <= upto_batch_id:
+                out.append((bid, st.getPath()))
+    return sorted(out)
+
+
+def _swap_in(spark: SparkSession, parent: str, tmp: str, upto_batch_id: int, olds: list) -> None:
+    """Replace the compacted batch folders by the new one. The new folder is
+    written completely first; the old folders are removed only after it is
+    in place under the highest batch id it covers."""
+    jvm, fs = _fs(spark, parent)
+    target = jvm.org.apache.hadoop.fs.Path(f"{parent}/batch_id={upto_batch_id}")
+    staged = jvm.org.apache.hadoop.fs.Path(f"{parent}/_staged_batch_id={upto_batch_id}")
+    fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), staged)
+    for _bid, path in olds:
+        fs.delete(path, True)
+    fs.rename(staged, target)
+
+
+def compact_logs_day(spark: SparkSession, out_root: str, day: str, upto_batch_id: int,
+                     num_files: int | None = None) -> int:
+    """Merge the committed micro-batch partitions ``batch_id <= upto`` of one
+    ``log_date`` into a single partition, range-partitioned and sorted on
+    (service_name, ts) for tight row-group statistics. Only committed batch
+    ids may be compacted (a committed batch is never replayed). Returns the
+    number of batch folders merged."""
+    paths = IngestPaths(out_root)
+    parent = f"{paths.logs}/log_date={day}"
+    olds = _batch_dirs(spark, parent, upto_batch_id)
+    if len(olds) <= 1:
+        return len(olds)
+    rows = (spark.read.parquet(paths.logs)
+            .filter((F.col("log_date") == F.lit(day).cast("date")) & (F.col("batch_id") <= upto_batch_id))
+            .drop("log_date", "batch_id"))
+    keys = ["service_name", "ts"]
+    ranged = rows.repartitionByRange(num_files, *keys) if num_files else rows.repartitionByRange(*keys)
+    tmp = f"{paths.logs}/_compact_{day}_{upto_batch_id}"
+    ranged.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(tmp)
+    _swap_in(spark, parent, tmp, upto_batch_id, olds)
+    return len(olds)
+
+
+def compact_deltas(spark: SparkSession, out_root: str, table: str, upto_batch_id: int) -> int:
+    """Collapse the delta rows of batches ``<= upto`` of a rollup table
+    (``metrics_1s``, ``metrics_1m``: summed; ``service_registry``: min / max)
+    into one partition, so readers scan one folder instead of one per
+    micro-batch. Results read through the summing readers are unchanged."""
+    paths = IngestPaths(out_root)
+    path = getattr(paths, {"metrics_1s": "metrics_1s", "metrics_1m": "metrics_1m",
+                           "service_registry": "registry"}[table])
+    olds = _batch_dirs(spark, path, upto_batch_id)
+    if len(olds) <= 1:
+        return len(olds)
+    deltas = spark.read.parquet(path).filter(F.col("batch_id") <= upto_batch_id).drop("batch_id")
+    merged = R.metrics_compact(deltas) if table.startswith("metrics") else R.registry_latest(deltas, "global")
+    tmp = f"{path}/_compact_{upto_batch_id}"
+    merged.write.mode("overwrite").option("compression", "zstd").parquet(tmp)
+    _swap_in(spark, path, tmp, upto_batch_id, olds)
+    return len(olds)
+
+
+def committed_batch_id(spark: SparkSession, out_root: str) -> int | None:
+    """Highest micro-batch id whose commit the checkpoint has recorded."""
+    jvm, fs = _fs(spark, IngestPaths(out_root).checkpoint)
+    p = jvm.org.apache.hadoop.fs.Path(IngestPaths(out_root).checkpoint + "/commits")
+    if not fs.exists(p):
+        return None
+    ids = [int(st.getPath().getName()) for st in fs.listStatus(p) if st.getPath().getName().isdigit()]
+    return max(ids) if ids else None

@@ -75,3 +75,27 @@ def test_windowed_variant_has_watermark(spark, tmp_dir):
     got = spark.sql("SELECT sum(logs_count) AS n FROM w1s").first()["n"]
     # append mode emits closed windows only: all but the last few seconds
     assert 0 < got <= read_logs(spark, SF_SMALL).count()
+
+
+def test_compaction_keeps_results(spark, tmp_dir):
+    src, out = tmp_dir + "/src", tmp_dir + "/out"
+    _envelopes(spark, src)
+    q = I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1)
+    assert q.awaitTermination(300)
+    upto = I.committed_batch_id(spark, out)
+    assert upto == 2
+    cols = ["trace_id", "span_id", "ts_nanos", "service_name", "body"]
+    before_logs = _rows(I.read_stream_logs(spark, out).select(cols))
+    before_m = _rows(I.read_metrics(spark, out, "1s"))
+    before_r = _rows(I.read_registry(spark, out))
+    days = [d.split("=", 1)[1] for d in os.listdir(I.IngestPaths(out).logs) if d.startswith("log_date=")]
+    for day in days:
+        assert I.compact_logs_day(spark, out, day, upto) == 3
+    for t in ("metrics_1s", "metrics_1m", "service_registry"):
+        assert I.compact_deltas(spark, out, t, upto) == 3
+    assert _rows(I.read_stream_logs(spark, out).select(cols)) == before_logs
+    assert _rows(I.read_metrics(spark, out, "1s")) == before_m
+    assert _rows(I.read_registry(spark, out)) == before_r
+    for day in days:
+        sub = [d for d in os.listdir(f"{I.IngestPaths(out).logs}/log_date={day}") if d.startswith("batch_id=")]
+        assert sub == [f"batch_id={upto}"]
