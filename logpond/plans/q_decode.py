@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from logpond.functions import values as V
 from logpond.sources import codecs
 from logpond.sources import envelopes as E
-from logpond.sources.events_adapter import dense_micros, read_logs
+from logpond.sources.events_adapter import dense_micros, logs_from_events, read_logs
 from logpond.sources.otlp_json import flatten
 from logpond.sources.tables import read_table
 from logpond.plans.oracle import logs_cte, with_ctes
@@ -254,3 +254,54 @@ def q_id_hex(spark, sf_dir):
 
 _ = T  # types kept for callers extending the module
 _ = flatten
+
+
+# -- typed attribute values through the whole decode path --------------------
+def _typed_attributes():
+    null_s = F.lit(None).cast("string")
+    any_t = ("struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, "
+             "kvlistValue: struct<values: array<struct<key: string, value: struct<stringValue: string, "
+             "intValue: string>>>>>")
+
+    def val(s=None, i=None, d=None, b=None, kv=None):
+        return F.struct(
+            (s if s is not None else null_s).alias("stringValue"),
+            (i if i is not None else null_s).alias("intValue"),
+            (d if d is not None else F.lit(None).cast("double")).alias("doubleValue"),
+            (b if b is not None else F.lit(None).cast("boolean")).alias("boolValue"),
+            (kv if kv is not None else F.lit(None).cast(
+                "struct<values: array<struct<key: string, value: struct<stringValue: string, intValue: string>>>>"))
+            .alias("kvlistValue")).cast(any_t)
+
+    ctx = F.struct(F.array(
+        F.struct(F.lit("user").alias("key"), F.struct(null_s.alias("stringValue"),
+                                                      F.col("user_id").cast("string").alias("intValue")).alias("value")),
+        F.struct(F.lit("type").alias("key"), F.struct(F.col("event_type").alias("stringValue"),
+                                                      null_s.alias("intValue")).alias("value"))).alias("values"))
+    return F.array(
+        F.struct(F.lit("event.type").alias("key"), val(s=F.col("event_type")).alias("value")),
+        F.struct(F.lit("k").alias("key"), val(i=F.get_json_object("props", "$.k")).alias("value")),
+        F.struct(F.lit("value").alias("key"), val(d=F.col("value")).alias("value")),
+        F.struct(F.lit("big").alias("key"), val(b=F.col("value") > 50).alias("value")),
+        F.struct(F.lit("ctx").alias("key"), val(kv=ctx).alias("value")))
+
+
+@query("otlp_value_kinds", """
+WITH e AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS trace_id, event_type, user_id, value,
+                  json_extract_string(props, '$.k') AS k FROM events)
+SELECT trace_id, 0 AS pos, 'event.type' AS key, event_type AS value FROM e
+UNION ALL SELECT trace_id, 1, 'k', k FROM e
+UNION ALL SELECT trace_id, 2, 'value', regexp_replace(CAST(value AS VARCHAR), '\.0$', '') FROM e
+UNION ALL SELECT trace_id, 3, 'big', CASE WHEN value > 50 THEN 'true' ELSE 'false' END FROM e
+UNION ALL SELECT trace_id, 4, 'ctx', '{"type":"' || event_type || '","user":' || CAST(user_id AS VARCHAR) || '}' FROM e""")
+def q_otlp_value_kinds(spark, sf_dir):
+    ev = _events(spark, sf_dir).withColumn("log_attributes", _typed_attributes())
+    logs = logs_from_events(ev, keep=("log_attributes",)).withColumn("batch_id", F.expr(f"event_id div {BATCH}"))
+    b = F.col("batch_id")
+    ct = F.when(b % 2 == 0, F.lit("application/json")).otherwise(F.lit("application/x-protobuf"))
+    enc = F.element_at(F.array(F.lit(""), F.lit("zstd"), F.lit("gzip")), (b % 3 + 1).cast("int"))
+    env = E.to_envelopes(E.otlp_export(logs, "batch_id"), ct, enc)
+    flat, _ = E.envelopes_to_logs(env)
+    z = flat.select("trace_id", F.posexplode(F.arrays_zip("log_attr_keys", "log_attr_values")).alias("pos", "kv"))
+    return z.select("trace_id", F.col("pos").cast("int").alias("pos"),
+                    F.col("kv.log_attr_keys").alias("key"), F.col("kv.log_attr_values").alias("value"))

@@ -89,7 +89,9 @@ def _kv_list(keys: str, values: str) -> Column:
 
 
 def otlp_export(logs: DataFrame, batch_col: str = "batch_id") -> DataFrame:
-    """Group log rows into OTLP/JSON export requests, one per batch:
+    """Group log rows into OTLP/JSON export requests, one per batch.
+    Attributes come from the key/value text arrays, or from a
+    ``log_attributes`` column (list of key + AnyValue struct) when present:
     (batch, resource, scope) -> scopeLogs, (batch, resource) -> resourceLogs.
 
     The rows are shuffled once, on the batch column; the three grouping
@@ -102,7 +104,8 @@ def otlp_export(logs: DataFrame, batch_col: str = "batch_id") -> DataFrame:
         F.col("severity_number").alias("severityNumber"),
         F.col("severity_text").alias("severityText"),
         F.struct(F.col("body").alias("stringValue")).alias("body"),
-        _kv_list("log_attr_keys", "log_attr_values").alias("attributes"),
+        (F.col("log_attributes") if "log_attributes" in logs.columns
+         else _kv_list("log_attr_keys", "log_attr_values")).alias("attributes"),
         F.col("trace_id").alias("traceId"),
         F.col("span_id").alias("spanId"),
     )

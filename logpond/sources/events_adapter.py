@@ -53,8 +53,9 @@ def severity_text(event_type: Column, event_id: Column) -> Column:
             .otherwise(F.lit("INFO")))
 
 
-def logs_from_events(events: DataFrame, clock: str = "dense") -> DataFrame:
-    """Map ``events`` rows to the logs schema plus ``event_id``.
+def logs_from_events(events: DataFrame, clock: str = "dense", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Map ``events`` rows to the logs schema plus ``event_id`` (and the
+    input columns named in ``keep``).
 
     Pure projection: partitioning of the input is kept, nothing shuffles.
     """
@@ -78,6 +79,7 @@ def logs_from_events(events: DataFrame, clock: str = "dense") -> DataFrame:
         F.col("user_id"),
         F.col("props"),
         service.alias("service_name"),
+        *keep,
     )
     return out.select(
         "event_id",
@@ -100,6 +102,7 @@ def logs_from_events(events: DataFrame, clock: str = "dense") -> DataFrame:
         F.array(F.lit(S.SERVICE_NAME_KEY)).alias("res_attr_keys"),
         F.array(F.col("service_name")).alias("res_attr_values"),
         F.to_date("ts").alias("log_date"),
+        *keep,
     )
 
 
