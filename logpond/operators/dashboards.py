@@ -92,12 +92,13 @@ def error_rate(m1s: DataFrame, as_of=None,
 def top_service_errors(m1m: DataFrame, as_of=None, hours: int = S.TOP_ERRORS_WINDOW_HOURS,
                        limit: int = S.TOP_ERRORS_LIMIT) -> DataFrame:
     """Services with the highest error rate over the last hour of
-    the per-minute rollup. Ties are broken by service name."""
+    the per-minute rollup. Ties are broken by service name. The rate is
+    rounded half-to-even, as the original store rounds floats."""
     now = as_of_col(as_of)
     recent = m1m.filter((F.col("ts") >= now - seconds(3600 * hours)) & (F.col("ts") <= now))
     per = recent.groupBy("service_name").agg(
         F.sum("errors_count").cast("bigint").alias("total_errors"),
-        F.round(F.sum("errors_count") / F.sum("logs_count") * 100, 2).alias("error_rate"))
+        F.bround(F.sum("errors_count") / F.sum("logs_count") * 100, 2).alias("error_rate"))
     return per.orderBy(F.col("error_rate").desc(), F.col("service_name").asc()).limit(limit)
 
 
@@ -107,7 +108,7 @@ def service_error_rates(m1m: DataFrame, as_of=None, hours: int = S.TOP_ERRORS_WI
     recent = m1m.filter((F.col("ts") >= now - seconds(3600 * hours)) & (F.col("ts") <= now))
     return recent.groupBy("service_name").agg(
         F.sum("errors_count").cast("bigint").alias("total_errors"),
-        F.round(F.sum("errors_count") / F.sum("logs_count") * 100, 2).alias("error_rate"))
+        F.bround(F.sum("errors_count") / F.sum("logs_count") * 100, 2).alias("error_rate"))
 
 
 def log_rate_stats(m1s: DataFrame, as_of=None,

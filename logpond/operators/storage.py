@@ -140,7 +140,7 @@ def disk_usage(disks: DataFrame) -> DataFrame:
     free_bytes, total_bytes)."""
     return disks.select(
         "disk_name", "free_bytes", "total_bytes",
-        F.round((F.col("total_bytes") - F.col("free_bytes")) / F.col("total_bytes") * 100, 2).alias("used_percent"))
+        F.bround((F.col("total_bytes") - F.col("free_bytes")) / F.col("total_bytes") * 100, 2).alias("used_percent"))
 
 
 def storage_runway(disks: DataFrame, outlook: DataFrame, ttl_days: int = S.LOGS_TTL_DAYS) -> DataFrame:

@@ -118,7 +118,7 @@ def q_error_rate(spark, sf_dir):
 
 _TOP_SQL = BASE + f"""
 SELECT service_name, CAST(sum(errors_count) AS BIGINT) AS total_errors,
-       round(sum(errors_count) / sum(logs_count) * 100, 2) AS error_rate
+       round_even(sum(errors_count) / sum(logs_count) * 100, 2) AS error_rate
 FROM m1m WHERE ts >= {ts_lit(AS_OF_TOP)} - INTERVAL 1 HOUR AND ts <= {ts_lit(AS_OF_TOP)}
 GROUP BY service_name"""
 

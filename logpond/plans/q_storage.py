@@ -120,7 +120,7 @@ _DISK_SQL = f"""
 
 @query("disk_usage", WIDE + _DISK_SQL + """
 SELECT disk_name, free_bytes, total_bytes,
-       round((total_bytes - free_bytes) / total_bytes * 100, 2) AS used_percent FROM d""")
+       round_even((total_bytes - free_bytes) / total_bytes * 100, 2) AS used_percent FROM d""")
 def q_disk_usage(spark, sf_dir):
     return ST.disk_usage(_disks(spark, sf_dir))
 
