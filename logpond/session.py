@@ -86,11 +86,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     a fresh local folder is made and registered.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = spark.sparkContext.getCheckpointDir()
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="logpond-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
+    if conf_dir:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(conf_dir)
+        return conf_dir
+    ctx_dir = spark.sparkContext.getCheckpointDir()
+    if ctx_dir:
+        return ctx_dir
+    conf_dir = tempfile.mkdtemp(prefix="logpond-ckpt-")   # local runs only
+    spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
 
