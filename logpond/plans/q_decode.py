@@ -291,7 +291,7 @@ WITH e AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS trace_id, event_ty
                   json_extract_string(props, '$.k') AS k FROM events)
 SELECT trace_id, 0 AS pos, 'event.type' AS key, event_type AS value FROM e
 UNION ALL SELECT trace_id, 1, 'k', k FROM e
-UNION ALL SELECT trace_id, 2, 'value', regexp_replace(CAST(value AS VARCHAR), '\.0$', '') FROM e
+UNION ALL SELECT trace_id, 2, 'value', regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') FROM e
 UNION ALL SELECT trace_id, 3, 'big', CASE WHEN value > 50 THEN 'true' ELSE 'false' END FROM e
 UNION ALL SELECT trace_id, 4, 'ctx', '{"type":"' || event_type || '","user":' || CAST(user_id AS VARCHAR) || '}' FROM e""")
 def q_otlp_value_kinds(spark, sf_dir):
