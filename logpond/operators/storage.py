@@ -187,22 +187,26 @@ def retention_view(df: DataFrame, as_of=None, ttl: str = f"{S.LOGS_TTL_DAYS} day
 
 
 def apply_retention(spark: SparkSession, path: str, as_of=None,
-                    ttl: str = f"{S.LOGS_TTL_DAYS} days") -> dict:
-    """ST8 maintenance job on a ``log_date``-partitioned table: whole expired
-    day folders are deleted; the one edge day is rewritten without its
-    expired rows (written to a new folder first, then swapped in)."""
+                    ttl: str = f"{S.LOGS_TTL_DAYS} days", date_col: str = "log_date",
+                    ts_col: str = "ts", schema=S.LOGS_SCHEMA) -> dict:
+    """ST8 maintenance job on a table partitioned by a date column (logs by
+    ``log_date``, queue samples by ``sample_date``): whole expired day
+    folders are deleted; the one edge day is rewritten without its expired
+    rows. The rewrite is complete in a hidden folder before the old day is
+    moved aside, so a failure midway loses no rows."""
     cutoff_row = spark.range(1).select(
         (as_of_col(as_of) - _ttl(ttl)).cast("timestamp_ntz").alias("c"),
         F.to_date(as_of_col(as_of) - _ttl(ttl)).alias("d")).first()
     cutoff, edge_day = cutoff_row["c"], cutoff_row["d"]
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
+    Path = jvm.org.apache.hadoop.fs.Path
+    root = Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     dropped, rewritten = [], None
+    prefix = f"{date_col}="
     for st in fs.listStatus(root):
         name = st.getPath().getName()
-        if not (st.isDirectory() and name.startswith("log_date=")):
+        if not (st.isDirectory() and name.startswith(prefix)):
             continue
         day = name.split("=", 1)[1]
         if day < edge_day.isoformat():
@@ -211,15 +215,18 @@ def apply_retention(spark: SparkSession, path: str, as_of=None,
         elif day == edge_day.isoformat():
             rewritten = day
     if rewritten:
-        part = f"{path.rstrip('/')}/log_date={rewritten}"
-        keep = (spark.read.schema(S.LOGS_SCHEMA).parquet(path)
-                .filter(F.col("log_date") == F.lit(rewritten).cast("date"))
-                .filter(F.col("ts").cast("timestamp_ntz") > F.lit(cutoff)))
-        tmp = part + ".rewrite"
-        keep.drop("log_date").write.mode("overwrite").option("compression", "zstd").parquet(tmp)
-        fs.delete(jvm.org.apache.hadoop.fs.Path(part), True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(part))
-        for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(part)):
+        part = f"{path.rstrip('/')}/{prefix}{rewritten}"
+        reader = spark.read.schema(schema) if schema is not None else spark.read
+        keep = (reader.parquet(path)
+                .filter(F.col(date_col) == F.lit(rewritten).cast("date"))
+                .filter(F.col(ts_col).cast("timestamp_ntz") > F.lit(cutoff)))
+        tmp = f"{path.rstrip('/')}/_rewrite_{prefix}{rewritten}"
+        keep.drop(date_col).write.mode("overwrite").option("compression", "zstd").parquet(tmp)
+        aside = Path(f"{path.rstrip('/')}/_old_{prefix}{rewritten}")
+        fs.rename(Path(part), aside)
+        fs.rename(Path(tmp), Path(part))
+        fs.delete(aside, True)
+        for st in fs.listStatus(Path(part)):
             if st.getPath().getName().startswith(("_", ".")):
                 fs.delete(st.getPath(), True)
     return {"dropped_days": dropped, "rewritten_day": rewritten}

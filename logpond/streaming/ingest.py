@@ -219,16 +219,24 @@ def _batch_dirs(spark: SparkSession, parent: str, upto_batch_id: int) -> list:
 
 
 def _swap_in(spark: SparkSession, parent: str, tmp: str, upto_batch_id: int, olds: list) -> None:
-    """Replace the compacted batch folders by the new one. The new folder is
-    written completely first; the old folders are removed only after it is
-    in place under the highest batch id it covers."""
+    """Replace the compacted batch folders by the new one, in an order that
+    never loses rows if the job dies midway: the new data is complete in a
+    hidden folder first, the old folders are moved aside (hidden, still on
+    the shared store), the new folder is moved in, and only then are the
+    old folders removed. A crash leaves every row in a visible or hidden
+    folder; readers may briefly miss the affected batches while it runs."""
     jvm, fs = _fs(spark, parent)
-    target = jvm.org.apache.hadoop.fs.Path(f"{parent}/batch_id={upto_batch_id}")
-    staged = jvm.org.apache.hadoop.fs.Path(f"{parent}/_staged_batch_id={upto_batch_id}")
-    fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), staged)
-    for _bid, path in olds:
-        fs.delete(path, True)
-    fs.rename(staged, target)
+    Path = jvm.org.apache.hadoop.fs.Path
+    staged = Path(f"{parent}/_staged_batch_id={upto_batch_id}")
+    fs.rename(Path(tmp), staged)
+    moved = []
+    for bid, path in olds:
+        aside = Path(f"{parent}/_old_batch_id={bid}")
+        fs.rename(path, aside)
+        moved.append(aside)
+    fs.rename(staged, Path(f"{parent}/batch_id={upto_batch_id}"))
+    for aside in moved:
+        fs.delete(aside, True)
 
 
 def compact_logs_day(spark: SparkSession, out_root: str, day: str, upto_batch_id: int,
@@ -254,19 +262,27 @@ def compact_logs_day(spark: SparkSession, out_root: str, day: str, upto_batch_id
     return len(olds)
 
 
-def compact_deltas(spark: SparkSession, out_root: str, table: str, upto_batch_id: int) -> int:
+def compact_deltas(spark: SparkSession, out_root: str, table: str, upto_batch_id: int,
+                   as_of=None, ttl: str | None = None) -> int:
     """Collapse the delta rows of batches ``<= upto`` of a rollup table
     (``metrics_1s``, ``metrics_1m``: summed; ``service_registry``: min / max)
     into one partition, so readers scan one folder instead of one per
-    micro-batch. Results read through the summing readers are unchanged."""
+    micro-batch. Results read through the summing readers are unchanged.
+    With ``ttl`` (e.g. ``"1 hour"`` for the 1 s rollup, ``"1 day"`` for the
+    1 m rollup) rows older than ``as_of - ttl`` are dropped on the way
+    (ST8 for the rollup tables)."""
+    from logpond.operators.dashboards import as_of_col
     paths = IngestPaths(out_root)
     path = getattr(paths, {"metrics_1s": "metrics_1s", "metrics_1m": "metrics_1m",
                            "service_registry": "registry"}[table])
     olds = _batch_dirs(spark, path, upto_batch_id)
-    if len(olds) <= 1:
+    if len(olds) <= 1 and ttl is None:
         return len(olds)
     deltas = spark.read.parquet(path).filter(F.col("batch_id") <= upto_batch_id).drop("batch_id")
     merged = R.metrics_compact(deltas) if table.startswith("metrics") else R.registry_latest(deltas, "global")
+    if ttl is not None:
+        ts_col = "ts" if table.startswith("metrics") else "last_seen"
+        merged = merged.filter(F.col(ts_col) > as_of_col(as_of) - F.expr(f"INTERVAL {ttl}"))
     tmp = f"{path}/_compact_{upto_batch_id}"
     merged.write.mode("overwrite").option("compression", "zstd").parquet(tmp)
     _swap_in(spark, path, tmp, upto_batch_id, olds)

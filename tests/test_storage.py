@@ -112,3 +112,19 @@ def test_retention_bytes_matches_brute_force(spark):
             if acc <= cap:
                 want.append(i)
         assert got == sorted(want), cap
+
+
+def test_retention_on_queue_samples(spark, tmp_dir):
+    from logpond.operators import queue as QU
+    from pyspark.sql import types as T
+    from logpond import schema as S
+    rows = [(dt.datetime(2024, 1, d, h), "w", "LOGS", 0, 0, d * 100 + h) for d in (1, 2, 3) for h in (1, 13)]
+    samples = spark.createDataFrame(rows, "ts timestamp, consumer_name string, stream_name string, "
+                                          "num_ack_pending long, num_redelivered long, num_pending long")
+    path = tmp_dir + "/qs"
+    QU.append_samples(samples, path)
+    res = ST.apply_retention(spark, path, "2024-01-03 02:00:00", "1 day", date_col="sample_date",
+                             schema=T.StructType(S.QUEUE_SAMPLE_SCHEMA.fields + [T.StructField("sample_date", T.DateType())]))
+    assert res == {"dropped_days": ["2024-01-01"], "rewritten_day": "2024-01-02"}
+    left = sorted(r["num_pending"] for r in QU.read_samples(spark, path).collect())
+    assert left == [213, 301, 313]

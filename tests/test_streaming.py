@@ -99,3 +99,16 @@ def test_compaction_keeps_results(spark, tmp_dir):
     for day in days:
         sub = [d for d in os.listdir(f"{I.IngestPaths(out).logs}/log_date={day}") if d.startswith("batch_id=")]
         assert sub == [f"batch_id={upto}"]
+
+
+def test_delta_compaction_with_ttl(spark, tmp_dir):
+    src, out = tmp_dir + "/src", tmp_dir + "/out"
+    _envelopes(spark, src)
+    q = I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1)
+    assert q.awaitTermination(300)
+    m = I.read_metrics(spark, out, "1s")
+    cutoff_row = m.orderBy("ts").collect()[len(m.collect()) // 2]
+    as_of = cutoff_row["ts"].replace(tzinfo=None) + __import__("datetime").timedelta(hours=1)
+    expected = _rows(m.filter(F.col("ts") > F.lit(cutoff_row["ts"])))
+    I.compact_deltas(spark, out, "metrics_1s", I.committed_batch_id(spark, out), as_of.isoformat(sep=" "), "1 hour")
+    assert _rows(I.read_metrics(spark, out, "1s")) == expected
