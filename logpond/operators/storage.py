@@ -239,25 +239,41 @@ def retention_bytes(msgs: DataFrame, as_of=None, max_age: str = S.RAW_QUEUE_MAX_
     """ST9: a queue's age and byte limits. Messages older than ``max_age``
     go; then the oldest go until the rest fits in ``max_bytes``.
 
-    Sizes are first summed per time bucket (one row per bucket, so the
-    cumulative pass over buckets is small); only the single edge bucket
-    needs an exact running sum, done with the range-partitioned prefix sum
-    so a hot bucket is still split across tasks."""
-    young = msgs.filter(F.col(ts_col) > as_of_col(as_of) - _ttl(max_age)).withColumn(
-        "_b", F.date_trunc(bucket, ts_col))
-    sizes = young.groupBy("_b").agg(F.sum(size_col).alias("_bs"))
-    w = _desc_window("_b")
-    cum = sizes.select("_b", F.sum("_bs").over(w).alias("_cum"), "_bs")
-    cum = cum.withColumn("_before", F.col("_cum") - F.col("_bs"))
-    # buckets fully inside the budget, and the (at most one) edge bucket
-    keep_b = cum.filter(F.col("_cum") <= max_bytes).select("_b")
-    edge_b = cum.filter((F.col("_before") <= max_bytes) & (F.col("_cum") > max_bytes)).select("_b", "_before")
-    # keep_b / edge_b have at most one row per bucket of the age window
-    full = young.join(F.broadcast(keep_b), "_b", "left_semi")
-    edge_rows = young.join(F.broadcast(edge_b), "_b")
-    ranked = running_sum_desc(edge_rows, [ts_col, id_col], size_col, "_run")
-    partial = ranked.filter(F.col("_before") + F.col("_run") <= max_bytes).drop("_before", "_run")
-    return full.unionByName(partial).drop("_b")
+    One aggregate pass sums sizes per time bucket (one row per bucket of
+    the age window, so the cumulative pass over buckets is small). A single
+    scalar row from it - the oldest bucket kept whole, the edge bucket and
+    the bytes newer than the edge - turns the rest into time-range filters
+    that reach the scan: rows newer than the edge are kept as they are, and
+    only the edge bucket's rows get an exact running sum, computed with the
+    range-partitioned prefix sum so even a hot bucket is split across tasks.
+    """
+    young = msgs.filter(F.col(ts_col) > as_of_col(as_of) - _ttl(max_age))
+    sizes = young.groupBy(F.date_trunc(bucket, ts_col).alias("_b")).agg(F.sum(size_col).alias("_bs"))
+    cum = sizes.select("_b", "_bs", F.sum("_bs").over(_desc_window("_b")).alias("_cum"))
+    over = F.col("_cum") > max_bytes
+    edge = cum.agg(
+        F.min(F.when(~over, F.col("_b"))).alias("full_from"),
+        F.max(F.when(over, F.col("_b"))).alias("edge"),
+        F.max_by(F.col("_cum") - F.col("_bs"), F.when(over, F.col("_b"))).alias("before")).first()
+    if edge["edge"] is None:                       # everything fits
+        return young
+    ts = F.col(ts_col)
+    edge_start = F.lit(edge["edge"])
+    edge_end = edge_start + _ttl(f"1 {bucket}")
+    parts = []
+    if edge["full_from"] is not None:
+        parts.append(young.filter(ts >= F.lit(edge["full_from"])))
+    before = int(edge["before"] or 0)
+    if before <= max_bytes:
+        edge_rows = young.filter((ts >= edge_start) & (ts < edge_end))
+        ranked = running_sum_desc(edge_rows, [ts_col, id_col], size_col, "_run")
+        parts.append(ranked.filter(F.col("_run") + before <= max_bytes).drop("_run"))
+    if not parts:
+        return young.limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _desc_window(col: str):
