@@ -53,14 +53,16 @@ def queue_stability(samples: DataFrame, run_col: str = "consumer_name", max_slop
     is at most ``max_end_pending``). The thresholds are parameters: the
     original report states the rule only in words."""
     t = F.unix_micros("ts") / 1e6
-    bounds = samples.groupBy(run_col).agg(((F.min(t) + F.max(t)) / 2).alias("_mid"))
-    second_half = samples.join(bounds, run_col).filter(t >= F.col("_mid"))
-    slope = second_half.groupBy(run_col).agg(F.regr_slope(F.col("num_pending").cast("double"), t).alias("slope"))
-    peaks = samples.groupBy(run_col).agg(
+    # pass 1: everything per run that needs no midpoint (partial aggregates)
+    stats = samples.groupBy(run_col).agg(
+        ((F.min(t) + F.max(t)) / 2).alias("_mid"),
         F.max("num_pending").alias("peak_pending"),
         F.max_by("num_pending", "ts").alias("last_pending"),
         F.count(F.lit(1)).alias("samples"))
-    out = peaks.join(slope, run_col, "left")
+    # pass 2: slope over the second half (one row per run joined back)
+    second_half = samples.join(stats.select(run_col, "_mid"), run_col).filter(t >= F.col("_mid"))
+    slope = second_half.groupBy(run_col).agg(F.regr_slope(F.col("num_pending").cast("double"), t).alias("slope"))
+    out = stats.drop("_mid").join(slope, run_col, "left")
     stable = F.coalesce(F.col("slope"), F.lit(0.0)) <= max_slope
     if max_end_pending is not None:
         stable = stable & (F.col("last_pending") <= max_end_pending)
