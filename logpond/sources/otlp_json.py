@@ -71,7 +71,26 @@ def severity_number_from(text: Column) -> Column:
     for name, num in SEVERITY_ENUM_BASE.items():
         base = F.when(m == name, F.lit(num)).otherwise(base)
     offset = F.when(suffix == "", F.lit(0)).otherwise(suffix.try_cast("int") - 1)
-    return F.coalesce(t.try_cast("int"), base + offset, F.lit(0)).cast("int")
+    n = F.coalesce(t.try_cast("int"), base + offset, F.lit(0))
+    return F.pmod(n, F.lit(256)).cast("int")   # stored as an unsigned byte
+
+
+def _all_ids(parsed: Column, field: str) -> Column:
+    # resourceLogs[].scopeLogs[].logRecords[].<id>, one level at a time:
+    # field extraction over array<struct> plus flatten, no lambdas
+    scopes = F.flatten(parsed.getField("resourceLogs").getField("scopeLogs"))
+    records = F.flatten(scopes.getField("logRecords"))
+    return records.getField(field)
+
+
+def ids_valid(parsed: Column) -> Column:
+    """Every trace id is empty or 32 hex digits and every span id empty or
+    16 (a payload with any other id is rejected whole, as the OTLP decoder
+    does). One regex per payload over the joined ids, no per-id lambda."""
+    def ok(field, n):
+        joined = F.array_join(_all_ids(parsed, field), ",", "")
+        return F.coalesce(joined.rlike(f"^([0-9a-fA-F]{{{n}}})?(,([0-9a-fA-F]{{{n}}})?)*$"), F.lit(True))
+    return ok("traceId", 32) & ok("spanId", 16)
 
 
 def decode_requests(env: DataFrame, payload: str = "payload", content_type: str = "content_type",
@@ -98,13 +117,18 @@ def decode_requests(env: DataFrame, payload: str = "payload", content_type: str
     # the codec returns bytes only when it changed them (decompressed)
     plain = F.coalesce(F.col("_codec.payload"), F.when(passthrough, p))
     text = F.coalesce(F.col("_codec.json"), F.when(is_json, plain.cast("string")))
-    df = df.withColumn("request", F.from_json(text, REQUEST_TYPE, JSON_OPTIONS))
+    # two projections: CollapseProject does not inline a non-trivial
+    # expression that is used twice, so from_json runs once per payload
+    df = df.withColumn("_parsed", F.from_json(text, REQUEST_TYPE, JSON_OPTIONS))
+    df = df.withColumn("_ids_ok", ids_valid(F.col("_parsed")))
+    df = df.withColumn("request", F.when(F.col("_ids_ok"), F.col("_parsed")))
     err = (F.when(~passthrough & ~compressed, F.lit("unsupported encoding"))
            .when(~is_json & ~is_proto, F.concat(F.lit("unsupported or missing content type: "), ct))
            .when(F.col("_codec.error").isNotNull(), F.col("_codec.error"))
            .when(p.isNull(), F.lit("empty payload"))
-           .when(F.col("request").isNull() | F.col(f"request.{CORRUPT}").isNotNull(), F.lit("invalid json payload")))
-    return df.withColumn("decode_error", err).drop("_codec")
+           .when(F.col("_parsed").isNull() | F.col(f"_parsed.{CORRUPT}").isNotNull(), F.lit("invalid json payload"))
+           .when(~F.col("_ids_ok"), F.lit("invalid trace or span id")))
+    return df.withColumn("decode_error", err).drop("_codec", "_parsed", "_ids_ok")
 
 
 def _keys(attrs: Column) -> Column:

@@ -145,6 +145,8 @@ def proto_to_text_dict(data: bytes) -> dict:
         for sl in rl.scope_logs:
             recs = []
             for r in sl.log_records:
+                if len(r.trace_id) not in (0, 16) or len(r.span_id) not in (0, 8):
+                    raise ValueError("invalid trace or span id length")
                 rec = {"timeUnixNano": str(r.time_unix_nano),
                        "observedTimeUnixNano": str(r.observed_time_unix_nano),
                        "severityNumber": r.severity_number,

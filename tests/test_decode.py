@@ -220,3 +220,26 @@ def test_any_value_text_py():
     assert any_value_text_py({"kvlistValue": {"values": [kv("b", {"boolValue": False}), kv("a", s("x"))]}}) \
         == '{"a":"x","b":false}'
     assert any_value_text_py({}) == ""
+
+
+@pytest.mark.parametrize("ct", ["application/json", "application/x-protobuf"])
+def test_bad_ids_reject_the_payload(spark, ct):
+    if ct.startswith("application/x-protobuf"):
+        from logpond.sources.otlp_proto import _request_class
+        m = _request_class()()
+        rec = m.resource_logs.add().scope_logs.add().log_records.add()
+        rec.trace_id = b"\x01" * 15
+        data = m.SerializeToString()
+    else:
+        data = json.dumps(request(resource([], scope(record(), record(traceId="xyz"))))).encode()
+    logs, bad = envelopes_to_logs(env_df(spark, [(data, ct, "")]), F.lit(NOW_NS))
+    assert logs.count() == 0
+    err = bad.first()["error"]
+    assert "invalid trace or span id" in err
+
+
+def test_uppercase_ids_and_byte_severity(spark):
+    rows, _ = flat(spark, request(resource([], scope(record(traceId="5B8EFFF798038103D269B633813FC60C",
+                                                            severityNumber=257)))))
+    assert rows[0]["trace_id"] == "5b8efff798038103d269b633813fc60c"
+    assert rows[0]["severity_number"] == 1
