@@ -243,3 +243,26 @@ def test_uppercase_ids_and_byte_severity(spark):
                                                             severityNumber=257)))))
     assert rows[0]["trace_id"] == "5b8efff798038103d269b633813fc60c"
     assert rows[0]["severity_number"] == 1
+
+
+@pytest.mark.parametrize("ct,enc,accepted", [
+    ("application/json", None, True), ("application/json", "gzip", True), ("application/json", "zstd", True),
+    ("application/x-protobuf", None, True), ("application/x-protobuf", "gzip", True),
+    ("application/x-protobuf", "zstd", True), ("text/plain", None, False), (None, None, False),
+    ("application/json", "deflate", False), ("application/x-protobuf", "br", False),
+    ("application/json", "identity", True), ("application/json", "none", False),
+])
+def test_admission_matrix(spark, ct, enc, accepted):
+    df = env_df(spark, [(b"{}", ct, enc)])
+    r = admit_envelopes(df).first()
+    assert r["accepted"] is accepted
+    assert (r["reject_reason"] is None) is accepted
+
+
+@pytest.mark.parametrize("ct,enc", [("application/json", ""), ("application/json", "gzip"),
+                                    ("application/json", "zstd"), ("application/x-protobuf", ""),
+                                    ("application/x-protobuf", "gzip"), ("application/x-protobuf", "zstd")])
+def test_accepted_envelopes_decode(spark, ct, enc):
+    rows, bad = flat(spark, request(resource([kv("service.name", s("svc"))], scope(record(), record(spanId="1" * 16)))),
+                     ct, enc)
+    assert len(rows) == 2 and bad == []

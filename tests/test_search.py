@@ -117,3 +117,14 @@ def test_partition_filter_in_plan(spark, tmp_dir, logs):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(log_date" in plan
     assert q.count() == 2
+
+
+def test_unflatten_and_live_zip(spark):
+    from pyspark.sql import functions as F
+    from logpond.functions.values import live_tail_attrs, unflatten_attrs
+    df = spark.createDataFrame([(["a", "b", "c"], ["1"]), (None, ["x"]), (["k"], ["v", "extra"])],
+                               "k array<string>, v array<string>")
+    got = [r["u"] for r in df.select(unflatten_attrs("k", "v").alias("u")).collect()]
+    assert [[tuple(x) for x in g] for g in got] == [[("a", "1"), ("b", ""), ("c", "")], [], [("k", "v")]]
+    live = [r["u"] for r in df.select(live_tail_attrs("k", "v").alias("u")).collect()]
+    assert [[tuple(x) for x in g] for g in live] == [[("a", "1"), ("b", None), ("c", None)], [], [("k", "v")]]
