@@ -37,17 +37,21 @@ class IngestPaths:
     def logs(self) -> str:
         return f"{self.root}/logs"
 
+    @property
+    def rollups(self) -> str:
+        return f"{self.root}/rollups"
+
     @property
     def metrics_1s(self) -> str:
-        return f"{self.root}/metrics_1s"
+        return f"{self.rollups}/kind=metrics_1s"
 
     @property
     def metrics_1m(self) -> str:
-        return f"{self.root}/metrics_1m"
+        return f"{self.rollups}/kind=metrics_1m"
 
     @property
     def registry(self) -> str:
-        return f"{self.root}/service_registry"
+        return f"{self.rollups}/kind=service_registry"
 
     @property
     def quarantine(self) -> str:
@@ -63,12 +67,32 @@ def _overwrite_batch(df: DataFrame, path: str, *partition_cols: str) -> None:
      .option("compression", "zstd").partitionBy(*partition_cols).parquet(path))
 
 
+ROLLUP_COLUMNS = ["ts", "service_name", "logs_count", "errors_count", "first_seen", "last_seen"]
+
+
+def rollup_deltas(rows: DataFrame) -> DataFrame:
+    """The three delta kinds of one batch as one frame (``kind`` column):
+    the 1 s rollup, the 1 m rollup and the registry, the last two derived
+    from the first (both are exact functions of the per-second counts)."""
+    m1s = R.metrics_1s(rows)
+    null_ts = F.lit(None).cast("timestamp")
+    null_n = F.lit(None).cast("bigint")
+    a = m1s.select(F.lit("metrics_1s").alias("kind"), "ts", "service_name", "logs_count", "errors_count",
+                   null_ts.alias("first_seen"), null_ts.alias("last_seen"))
+    b = R.metrics_1m(m1s).select(F.lit("metrics_1m").alias("kind"), "ts", "service_name", "logs_count",
+                                 "errors_count", null_ts.alias("first_seen"), null_ts.alias("last_seen"))
+    c = (m1s.groupBy("service_name").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+         .select(F.lit("service_registry").alias("kind"), null_ts.alias("ts"), "service_name",
+                 null_n.alias("logs_count"), null_n.alias("errors_count"), "first_seen", "last_seen"))
+    return a.unionByName(b).unionByName(c)
+
+
 def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
-    """One micro-batch. The decode (codec UDFs + ``from_json``) runs once:
-    its result is cached and feeds both the flattened rows and the
-    quarantine. The 1 s delta is computed once from the rows; the 1 m delta
-    and the registry delta are derived from it (both are exact functions of
-    the per-second counts), so the rows are scanned for rollups only once."""
+    """One micro-batch, three jobs. The decode (codec UDF + ``from_json``)
+    runs once: its result is cached and feeds the rows, the rollup deltas
+    and the quarantine. The 1 s delta is computed once (its shuffle is
+    reused by the 1 m and registry deltas) and all three are written by one
+    job into ``rollups/kind=<kind>/batch_id=<id>``."""
     bid = F.lit(batch_id).cast("bigint")
     decoded = decode_envelopes(spread_envelopes(env))
     decoded = decoded.select(
@@ -81,17 +105,11 @@ def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
                 .withColumn("batch_id", bid))
         # within-task sort only: a micro-batch is appended as one file per
         # task and day, each sorted for tight row-group statistics; the
-        # compaction job (storage.write_logs) range-partitions whole days
+        # compaction job range-partitions whole days later
         _overwrite_batch(logs.sortWithinPartitions("log_date", "service_name", "ts"),
                          paths.logs, "log_date", "batch_id")
-        m1s = R.metrics_1s(spark_read_batch(logs.sparkSession, paths.logs, batch_id)).persist()
-        try:
-            _overwrite_batch(m1s.withColumn("batch_id", bid), paths.metrics_1s, "batch_id")
-            _overwrite_batch(R.metrics_1m(m1s).withColumn("batch_id", bid), paths.metrics_1m, "batch_id")
-            reg = m1s.groupBy("service_name").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-            _overwrite_batch(reg.withColumn("batch_id", bid), paths.registry, "batch_id")
-        finally:
-            m1s.unpersist()
+        rows = flatten(decoded).select("ts", "service_name", "severity_number")
+        _overwrite_batch(rollup_deltas(rows).withColumn("batch_id", bid), paths.rollups, "kind", "batch_id")
         _overwrite_batch(quarantine(decoded).withColumn("batch_id", bid), paths.quarantine, "batch_id")
     finally:
         decoded.unpersist()
@@ -109,13 +127,6 @@ def spread_envelopes(env: DataFrame) -> DataFrame:
     return env.repartition(target, key)
 
 
-def spark_read_batch(spark: SparkSession, logs_path: str, batch_id: int) -> DataFrame:
-    """The rows just written for one batch (columnar re-read of two columns
-    is cheaper than recomputing or caching the wide rows)."""
-    return (spark.read.parquet(logs_path).filter(F.col("batch_id") == batch_id)
-            .select("ts", "service_name", "severity_number"))
-
-
 def envelope_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming envelope source over a folder of parquet files. On a
     cluster the same reader shape fits a Kafka source with headers."""
@@ -178,11 +189,12 @@ def read_stream_logs(spark: SparkSession, out_root: str) -> DataFrame:
 def read_metrics(spark: SparkSession, out_root: str, grain: str = "1s") -> DataFrame:
     p = IngestPaths(out_root)
     deltas = spark.read.parquet(p.metrics_1s if grain == "1s" else p.metrics_1m)
-    return R.metrics_compact(deltas)
+    return R.metrics_compact(deltas.select("ts", "service_name", "logs_count", "errors_count"))
 
 
 def read_registry(spark: SparkSession, out_root: str, first_seen: str = "global") -> DataFrame:
-    return R.registry_latest(spark.read.parquet(IngestPaths(out_root).registry), first_seen)
+    deltas = spark.read.parquet(IngestPaths(out_root).registry).select("service_name", "first_seen", "last_seen")
+    return R.registry_latest(deltas, first_seen)
 
 
 def windowed_metrics_1s(logs_stream: DataFrame, watermark: str = "10 seconds") -> DataFrame:
@@ -279,7 +291,14 @@ def compact_deltas(spark: SparkSession, out_root: str, table: str, upto_batch_id
     if len(olds) <= 1 and ttl is None:
         return len(olds)
     deltas = spark.read.parquet(path).filter(F.col("batch_id") <= upto_batch_id).drop("batch_id")
-    merged = R.metrics_compact(deltas) if table.startswith("metrics") else R.registry_latest(deltas, "global")
+    null_ts, null_n = F.lit(None).cast("timestamp"), F.lit(None).cast("bigint")
+    if table.startswith("metrics"):
+        merged = R.metrics_compact(deltas.select("ts", "service_name", "logs_count", "errors_count")).select(
+            "ts", "service_name", "logs_count", "errors_count", null_ts.alias("first_seen"), null_ts.alias("last_seen"))
+    else:
+        merged = R.registry_latest(deltas.select("service_name", "first_seen", "last_seen"), "global").select(
+            null_ts.alias("ts"), "service_name", null_n.alias("logs_count"), null_n.alias("errors_count"),
+            "first_seen", "last_seen")
     if ttl is not None:
         ts_col = "ts" if table.startswith("metrics") else "last_seen"
         merged = merged.filter(F.col(ts_col) > as_of_col(as_of) - F.expr(f"INTERVAL {ttl}"))
