@@ -15,7 +15,7 @@ import datetime as dt
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logpond import schema as S
@@ -139,14 +139,27 @@ def record_struct(df: DataFrame) -> Column:
 JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
+def search_page_with_total(logs: DataFrame, f: LogFilter) -> tuple[DataFrame, int]:
+    """T1 + A11 in one scan: the filtered rows are counted by an
+    ``Observation`` below the top-k, so computing the page also yields the
+    total. The page (at most ``limit`` rows) is cached so that building the
+    response from it does not scan again."""
+    obs = Observation("search_total")
+    counted = apply_filter(logs, f).observe(obs, F.count(F.lit(1)).alias("total"))
+    page = counted.orderBy(*_sort_keys(f)).offset(f.page_offset).limit(f.page_limit).cache()
+    page.count()
+    return page, int(obs.get["total"])
+
+
 def search_json(logs: DataFrame, f: LogFilter, total: int | None = None) -> DataFrame:
     """The search response ``{"data": [...], "meta": {"totalRowCount": n}}``
-    as one JSON string. The page has at most ``limit`` rows, so gathering it
-    into one row is bounded by the page size. The total is a scalar from a
-    separate count (as the service does); pass it in to reuse one."""
+    as one JSON string. Page and total come from one scan
+    (``search_page_with_total``); the page has at most ``limit`` rows, so
+    gathering it into one row is bounded by the page size."""
     if total is None:
-        total = apply_filter(logs, f).count()
-    page = search_logs(logs, f)
+        page, total = search_page_with_total(logs, f)
+    else:
+        page = search_logs(logs, f)
     ordered = page.select(F.struct(*[F.col(c) for c in (f.order_column, "trace_id", "span_id")]).alias("k"),
                           record_struct(page).alias("r"))
     arr = F.array_sort(F.collect_list(F.struct("k", "r")))
