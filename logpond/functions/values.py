@@ -333,11 +333,3 @@ def live_tail_attrs(keys, values) -> Column:
     keys = F.coalesce(_col(keys), F.array().cast(T.ArrayType(T.StringType())))
     values = _col(values)
     return F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.get(values, i).alias("value")))
-
-
-def b64_bytes_text(b) -> Column:
-    return F.base64(_col(b))
-
-
-def bytes_text_py(b: bytes) -> str:
-    return base64.b64encode(b).decode()

@@ -9,13 +9,11 @@ adapter SQL itself.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logpond.functions import values as V
 from logpond.sources import codecs
 from logpond.sources import envelopes as E
 from logpond.sources.events_adapter import dense_micros, logs_from_events, read_logs
-from logpond.sources.otlp_json import flatten
 from logpond.sources.tables import read_table
 from logpond.plans.oracle import logs_cte, with_ctes
 from logpond.plans.registry import ntz, query
@@ -252,8 +250,6 @@ def q_id_hex(spark, sf_dir):
     return ev.select("event_id", V.id_hex(trace_raw, 16).alias("trace_hex"), V.id_hex(span_raw, 8).alias("span_hex"))
 
 
-_ = T  # types kept for callers extending the module
-_ = flatten
 
 
 # -- typed attribute values through the whole decode path --------------------

@@ -14,7 +14,7 @@ import threading
 from pyspark.sql import functions as F
 
 from logpond.plans.oracle import logs_cte, metrics_1m_cte, metrics_1s_cte, with_ctes
-from logpond.plans.q_decode import _FLAT_COLS, _FLAT_SQL, _flat_out, _requests
+from logpond.plans.q_decode import _FLAT_SQL, _flat_out, _requests
 from logpond.plans.registry import ntz, query
 from logpond.session import scratch_path
 from logpond.sources.envelopes import to_envelopes
@@ -103,5 +103,3 @@ def q_stream_live_tail(spark, sf_dir):
     v = LT.live_view_from_ring(spark, root, "arrival_seq", **LIVE)
     return v.select("event_id", ntz("ts"), "service_name")
 
-
-_ = _FLAT_COLS

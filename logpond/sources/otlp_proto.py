@@ -1,9 +1,10 @@
 """OTLP/protobuf codec (P4) for the decode job.
 
 The spark-protobuf module is not on the classpath, so protobuf payloads are
-translated to OTLP/JSON text in an Arrow-batched pandas UDF and then go
-through the same ``from_json`` flatten as JSON payloads: Python only does the
-wire-format translation, every relational step stays in the JVM.
+translated to OTLP/JSON-shaped text inside the decode job's single codec
+UDF (``sources.codecs.payload_codec``) and then go through the same
+``from_json`` flatten as JSON payloads: Python only does the wire-format
+translation, every relational step stays in the JVM.
 
 The message descriptors are declared here in code, following the public
 OpenTelemetry protocol definitions (logs v1, common v1, resource v1).
@@ -164,10 +165,6 @@ def proto_to_text_dict(data: bytes) -> dict:
     return {"resourceLogs": out}
 
 
-def proto_to_json(data: bytes) -> str:
-    return json.dumps(proto_to_dict(data), separators=(",", ":"))
-
-
 def _set_any(m, v: dict) -> None:
     if not isinstance(v, dict) or not v:
         return
@@ -246,35 +243,10 @@ def json_to_proto(text: str) -> bytes:
     return dict_to_proto(json.loads(text))
 
 
-PROTO_RESULT = T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())])
-
-
-@F.pandas_udf(PROTO_RESULT)
-def _proto_to_json_udf(payload: pd.Series) -> pd.DataFrame:
-    out_j, out_e = [], []
-    for data in payload:
-        if data is None:
-            out_j.append(None)
-            out_e.append(None)
-            continue
-        try:
-            out_j.append(proto_to_json(bytes(data)))
-            out_e.append(None)
-        except Exception as e:  # noqa: BLE001 - undecodable payload is a row error
-            out_j.append(None)
-            out_e.append(f"protobuf decode error: {type(e).__name__}: {e}"[:500])
-    return pd.DataFrame({"json": out_j, "error": out_e})
-
-
 @F.pandas_udf(T.BinaryType())
 def _json_to_proto_udf(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else json_to_proto(t) for t in text])
 
 
-def proto_payload_to_json(payload: Column) -> Column:
-    """struct(json, error) for protobuf payloads (NULL input -> NULLs)."""
-    return _proto_to_json_udf(payload)
-
-
 def json_text_to_proto(text: Column) -> Column:
     return _json_to_proto_udf(text)

@@ -266,3 +266,14 @@ def test_accepted_envelopes_decode(spark, ct, enc):
     rows, bad = flat(spark, request(resource([kv("service.name", s("svc"))], scope(record(), record(spanId="1" * 16)))),
                      ct, enc)
     assert len(rows) == 2 and bad == []
+
+
+def test_attrs_values_text_standalone(spark):
+    from logpond.functions.values import KEY_VALUE_TYPE, attrs_keys, attrs_values_text
+    from pyspark.sql import types as T
+    data = [([{"key": "a", "value": {"stringValue": "x"}}, {"key": "b", "value": {"intValue": "5"}},
+              {"key": "c", "value": {"kvlistValue": '{"values":[{"key":"z","value":{"boolValue":true}}]}'}}],),
+            ([{"key": "s", "value": {"stringValue": "only"}}],), (None,)]
+    df = spark.createDataFrame(data, T.StructType([T.StructField("attrs", T.ArrayType(KEY_VALUE_TYPE))]))
+    got = [(r["k"], r["v"]) for r in df.select(attrs_keys("attrs").alias("k"), attrs_values_text("attrs").alias("v")).collect()]
+    assert got == [(["a", "b", "c"], ["x", "5", '{"z":true}']), (["s"], ["only"]), ([], [])]
