@@ -2,9 +2,11 @@
 
 OTLP values (``AnyValue``) are read as a struct with one member per kind;
 nested kinds (array, kvlist) are kept as raw JSON text. Scalars become text
-with JVM expressions. Only values that hold a nested array / kvlist (or a
-double outside the plain-decimal range) go through a pandas UDF; for every
-other row the UDF input is NULL, so the Python side does no work for it.
+with JVM expressions. In the standalone column functions below, only values
+that hold a nested array / kvlist (or a double outside the plain-decimal
+range) go through a pandas UDF; for every other row the UDF input is NULL.
+The decode job does better still: the codec step rewrites non-string values
+to text per payload (``rewrite_values_to_text``), so its flatten is pure JVM.
 """
 
 from __future__ import annotations

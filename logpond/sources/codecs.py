@@ -1,9 +1,13 @@
-"""Payload codecs: compression sniffing (P2) and gzip / zstd.
-
-Sniffing is a JVM expression. (De)compression needs Python; it runs as an
-Arrow-batched pandas UDF whose input is NULL for every row that needs no
-work (identity / unknown encodings), so uncompressed rows never cross into
-Python with their bytes.
+"""Payload codecs: compression sniffing (P2), gzip / zstd (P1) and the
+decode job's single codec round trip.
+
+Sniffing is a JVM expression. (De)compression needs Python; it runs in
+Arrow-batched pandas UDFs, one call per envelope (not per record).
+``decompress`` (P1 on its own) hands Python only gzip / zstd rows.
+``payload_codec`` (the decode job) also takes protobuf payloads (to JSON)
+and plain JSON payloads (a fast bytes search for non-string value kinds,
+rewritten to text only when present); it returns bytes only when it
+changed them, so unchanged JSON is not copied back.
 """
 
 from __future__ import annotations
