@@ -55,6 +55,15 @@ def retry_route(failures: DataFrame, max_deliver: int = S.MAX_DELIVER,
     return out
 
 
+def due_retries(routed: DataFrame, as_of=None) -> DataFrame:
+    """ST7: retries whose backoff has passed at ``as_of``, with the delivery
+    count advanced, ready to be unioned into the next batch's envelopes."""
+    from logpond.operators.dashboards import as_of_col
+    due = routed.filter((F.col("action") == "retry") & (F.col("next_attempt_at") <= as_of_col(as_of)))
+    return (due.withColumn("num_delivered", (F.coalesce(F.col("num_delivered"), F.lit(0)) + 1).cast("int"))
+            .drop("action", "delay_seconds", "next_attempt_at"))
+
+
 def dead_letters(routed: DataFrame, reason: str = "max deliveries reached") -> DataFrame:
     """Rows routed to the dead-letter queue, in the DLQ table shape."""
     d = routed.filter(F.col("action") == "dlq")

@@ -159,3 +159,11 @@ def test_synth_is_deterministic_and_banded(spark):
     # one service and one timestamp per batch of 10
     for i in range(0, 2000, 10):
         assert len({(x["service_name"], x["ts"]) for x in a[i:i + 10]}) == 1
+
+
+def test_due_retries(spark):
+    f = spark.createDataFrame([(1, 2, "2024-01-01 00:00:00"), (2, 5, "2024-01-01 00:00:00"), (3, 10, "2024-01-01 00:00:00")],
+                              "msg_id long, num_delivered int, failed_at string").withColumn("failed_at", F.col("failed_at").cast("timestamp"))
+    routed = RT.retry_route(f, backoff_seconds=[5, 30, 60, 300, 3600])
+    due = {r["msg_id"]: r["num_delivered"] for r in RT.due_retries(routed, "2024-01-01 00:01:00").collect()}
+    assert due == {1: 3}          # 30 s passed; 5 deliveries wait 3600 s; 10 went to the DLQ
