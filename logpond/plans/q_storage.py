@@ -26,7 +26,7 @@ def _write(spark, sf_dir, clock="dense", name="logs"):
 
 @query("logs_sink_roundtrip", BASE + """
 SELECT trace_id, span_id, ts, service_name, severity_text, severity_number, body, log_date,
-       len(log_attr_keys) AS n_log_attrs FROM logs""")
+       CAST(len(log_attr_keys) AS INTEGER) AS n_log_attrs FROM logs""")
 def q_logs_sink_roundtrip(spark, sf_dir):
     t = ST.read_logs_table(spark, _write(spark, sf_dir))
     return t.select("trace_id", "span_id", ntz("ts"), "service_name", "severity_text", "severity_number",
