@@ -107,7 +107,9 @@ def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
         # within-task sort only: a micro-batch is appended as one file per
         # task and day, each sorted for tight row-group statistics; the
         # compaction job range-partitions whole days later
-        _overwrite_batch(logs.sortWithinPartitions("log_date", "service_name", "ts"),
+        # the sort key starts with the partition columns, so the file writer
+        # needs no sort of its own
+        _overwrite_batch(logs.sortWithinPartitions("log_date", "batch_id", "service_name", "ts"),
                          paths.logs, "log_date", "batch_id")
         rows = batch_rows(logs.sparkSession, paths.logs, batch_id)
         if rows is not None:
