@@ -33,15 +33,25 @@ def live_tail_filter(logs: DataFrame, services=(), severities=(), term: str = ""
     return logs.filter(live_filter_condition(services, severities, term))
 
 
-def live_buffer(logs: DataFrame, arrival_col: str = "arrival_seq", size: int = S.LIVE_BUFFER_SIZE) -> DataFrame:
-    """The newest ``size`` arrivals."""
+def live_buffer(logs: DataFrame, arrival_col: str = "arrival_seq", size: int = S.LIVE_BUFFER_SIZE,
+                since=None, ts_col: str = "ts") -> DataFrame:
+    """The newest ``size`` arrivals. ``since`` (a time) restricts the scan to
+    recent rows first; on a date-partitioned logs table the filter prunes
+    whole days, so a dashboard view never scans the full history."""
+    if since is not None:
+        from logpond.operators.dashboards import as_of_col
+        cond = F.col(ts_col) >= as_of_col(since)
+        if "log_date" in logs.columns:
+            cond = cond & (F.col("log_date") >= F.to_date(as_of_col(since)))
+        logs = logs.filter(cond)
     return logs.orderBy(F.col(arrival_col).desc()).limit(size)
 
 
 def live_tail_view(logs: DataFrame, arrival_col: str = "arrival_seq", services=(), severities=(),
-                   term: str = "", size: int = S.LIVE_BUFFER_SIZE, rows: int = S.LIVE_VIEW_ROWS) -> DataFrame:
+                   term: str = "", size: int = S.LIVE_BUFFER_SIZE, rows: int = S.LIVE_VIEW_ROWS,
+                   since=None) -> DataFrame:
     """Last ``size`` arrivals, newest timestamp first (ties: newest
     arrival first), then the filters, then the first ``rows``."""
-    buf = live_buffer(logs, arrival_col, size)
+    buf = live_buffer(logs, arrival_col, size, since)
     return (buf.filter(live_filter_condition(services, severities, term))
             .orderBy(F.col("ts").desc(), F.col(arrival_col).desc()).limit(rows))
