@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logpond import schema as S
@@ -88,35 +88,38 @@ def rollup_deltas(rows: DataFrame) -> DataFrame:
 
 
 def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
-    """One micro-batch, three jobs. The decode (codec UDF + ``from_json``)
-    runs once: its result is cached and feeds the rows and the quarantine.
-    The rollups read back three columns of the rows just written (cheaper
-    than re-exploding the cached nested decode); the 1 s delta is computed
-    once (its shuffle is reused by the 1 m and registry deltas) and all
-    three are written by one job into ``rollups/kind=<kind>/batch_id=<id>``."""
+    """One micro-batch, usually two jobs.
+
+    1. Decode (codec UDF + ``from_json``, once per payload) and flatten,
+       written as the batch's rows. An ``Observation`` on the decoded
+       envelopes counts decode errors in the same pass, so nothing is cached.
+    2. Rollup deltas: three columns of the rows just written are read back;
+       the 1 s delta is computed once (its shuffle is reused by the 1 m and
+       registry deltas) and all three are written by one job into
+       ``rollups/kind=<kind>/batch_id=<id>``.
+    3. Only when step 1 saw decode errors: the batch is decoded again and
+       its bad payloads are written to the quarantine table.
+    """
     bid = F.lit(batch_id).cast("bigint")
-    decoded = decode_envelopes(spread_envelopes(env))
-    decoded = decoded.select(
-        "request", "decode_error",
-        F.when(F.col("decode_error").isNotNull(), F.col("payload")).alias("payload"),
-        "content_type", "content_encoding").persist()
-    try:
-        logs = (flatten(decoded)
-                .withColumn("inserted_at", F.date_trunc("second", F.current_timestamp()))
-                .withColumn("batch_id", bid))
-        # within-task sort only: a micro-batch is appended as one file per
-        # task and day, each sorted for tight row-group statistics; the
-        # compaction job range-partitions whole days later
-        # the sort key starts with the partition columns, so the file writer
-        # needs no sort of its own
-        _overwrite_batch(logs.sortWithinPartitions("log_date", "batch_id", "service_name", "ts"),
-                         paths.logs, "log_date", "batch_id")
-        rows = batch_rows(logs.sparkSession, paths.logs, batch_id)
-        if rows is not None:
-            _overwrite_batch(rollup_deltas(rows).withColumn("batch_id", bid), paths.rollups, "kind", "batch_id")
-        _overwrite_batch(quarantine(decoded).withColumn("batch_id", bid), paths.quarantine, "batch_id")
-    finally:
-        decoded.unpersist()
+    spark = env.sparkSession
+    obs = Observation(f"decode_errors_{batch_id}")
+    decoded = decode_envelopes(spread_envelopes(env)).observe(
+        obs, F.count_if(F.col("decode_error").isNotNull()).alias("errors"))
+    logs = (flatten(decoded)
+            .withColumn("inserted_at", F.date_trunc("second", F.current_timestamp()))
+            .withColumn("batch_id", bid))
+    # within-task sort only: a micro-batch is appended as one file per task
+    # and day, sorted for tight row-group statistics (the compaction job
+    # range-partitions whole days later); the key starts with the partition
+    # columns, so the file writer needs no sort of its own
+    _overwrite_batch(logs.sortWithinPartitions("log_date", "batch_id", "service_name", "ts"),
+                     paths.logs, "log_date", "batch_id")
+    rows = batch_rows(spark, paths.logs, batch_id)
+    if rows is not None:
+        _overwrite_batch(rollup_deltas(rows).withColumn("batch_id", bid), paths.rollups, "kind", "batch_id")
+    if obs.get.get("errors", 0):
+        bad = quarantine(decode_envelopes(env)).withColumn("batch_id", bid)
+        _overwrite_batch(bad, paths.quarantine, "batch_id")
 
 
 def batch_rows(spark: SparkSession, logs_path: str, batch_id: int) -> DataFrame | None:

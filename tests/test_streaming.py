@@ -112,3 +112,19 @@ def test_delta_compaction_with_ttl(spark, tmp_dir):
     expected = _rows(m.filter(F.col("ts") > F.lit(cutoff_row["ts"])))
     I.compact_deltas(spark, out, "metrics_1s", I.committed_batch_id(spark, out), as_of.isoformat(sep=" "), "1 hour")
     assert _rows(I.read_metrics(spark, out, "1s")) == expected
+
+
+def test_batch_with_bad_payload_writes_quarantine(spark, tmp_dir):
+    src = tmp_dir + "/src"
+    _envelopes(spark, src)
+    env = read_envelopes(spark, src).filter(F.col("batch_id") < 3)
+    bad = env.limit(1).withColumn("batch_id", F.lit(999).cast("bigint")) \
+        .withColumn("payload", F.lit(b"{not json").cast("binary")) \
+        .withColumn("content_type", F.lit("application/json")).withColumn("content_encoding", F.lit(""))
+    paths = I.IngestPaths(tmp_dir + "/out")
+    I.process_batch(env.unionByName(bad), 3, paths)
+    q = spark.read.parquet(paths.quarantine).collect()
+    assert len(q) == 1 and q[0]["error"] == "invalid json payload" and q[0]["batch_id"] == 3
+    assert I.read_stream_logs(spark, paths.root).count() == 300
+    I.process_batch(env.unionByName(bad), 3, paths)   # replay: still one copy
+    assert spark.read.parquet(paths.quarantine).count() == 1
