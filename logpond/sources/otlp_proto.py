@@ -130,14 +130,24 @@ def _text_value(v) -> dict:
 
 
 def _text_kvs(kvs) -> list:
-    return [{"key": kv.key, "value": _text_value(kv.value)} for kv in kvs]
+    out = []
+    append = out.append
+    for kv in kvs:
+        v = kv.value
+        if v.WhichOneof("value") == "string_value":   # the common case, inline
+            append({"key": kv.key, "value": {"stringValue": v.string_value}})
+        else:
+            append({"key": kv.key, "value": _text_value(v)})
+    return out
 
 
 def proto_to_text_dict(data: bytes) -> dict:
     """Binary ExportLogsServiceRequest -> OTLP/JSON-shaped object for the
     flatten, by direct field access (no generic JSON walker): ids as hex,
     times as decimal strings, and every value already in text form as a
-    ``stringValue`` (the same text ``rewrite_values_to_text`` produces)."""
+    ``stringValue`` (the same text ``rewrite_values_to_text`` produces).
+    Fields the flatten does not read (scope attributes, flags, dropped
+    counts) are left out."""
     msg = _request_class()()
     msg.ParseFromString(data)
     out = []
@@ -145,22 +155,24 @@ def proto_to_text_dict(data: bytes) -> dict:
         scopes = []
         for sl in rl.scope_logs:
             recs = []
+            append = recs.append
             for r in sl.log_records:
-                if len(r.trace_id) not in (0, 16) or len(r.span_id) not in (0, 8):
+                tid, sid = r.trace_id, r.span_id
+                if len(tid) not in (0, 16) or len(sid) not in (0, 8):
                     raise ValueError("invalid trace or span id length")
                 rec = {"timeUnixNano": str(r.time_unix_nano),
                        "observedTimeUnixNano": str(r.observed_time_unix_nano),
                        "severityNumber": r.severity_number,
                        "severityText": r.severity_text,
                        "attributes": _text_kvs(r.attributes),
-                       "traceId": r.trace_id.hex(),
-                       "spanId": r.span_id.hex()}
+                       "traceId": tid.hex(),
+                       "spanId": sid.hex()}
                 if r.HasField("body"):
-                    rec["body"] = _text_value(r.body)
-                recs.append(rec)
-            scopes.append({"scope": {"name": sl.scope.name, "version": sl.scope.version,
-                                     "attributes": _text_kvs(sl.scope.attributes)},
-                           "logRecords": recs})
+                    b = r.body
+                    rec["body"] = ({"stringValue": b.string_value} if b.WhichOneof("value") == "string_value"
+                                   else _text_value(b))
+                append(rec)
+            scopes.append({"scope": {"name": sl.scope.name, "version": sl.scope.version}, "logRecords": recs})
         out.append({"resource": {"attributes": _text_kvs(rl.resource.attributes)}, "scopeLogs": scopes})
     return {"resourceLogs": out}
 
