@@ -27,6 +27,10 @@ SESSION_DEFAULTS = {
     # batch bounds reader memory per task (Arrow batches to Python are
     # already bounded by spark.sql.execution.arrow.maxBytesPerBatch)
     "spark.sql.parquet.columnarReaderBatchSize": "1024",
+    # the decode job's Python step works per envelope (tens of KB each):
+    # small Arrow batches let Python decode one batch while the JVM parses
+    # the previous one (measured ~5-10% faster ingest than 10000-row batches)
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
