@@ -157,13 +157,15 @@ def storage_runway(disks: DataFrame, outlook: DataFrame, ttl_days: int = S.LOGS_
     growth = (F.col("projected") - used) / F.lit(float(ttl_days))
     days = free / growth
     stable = F.col("projected") <= used
-    days_txt = F.format_string("%.0f", days)
+    # the card's numbers are printed with round-half-to-even (%.0f in the
+    # original service); format_string alone would round half up
+    days_txt = F.format_string("%.0f", F.bround(days, 0))
     delta = (F.when(stable, F.lit("Stable"))
              .when(days > 30, F.concat(F.lit("~"), days_txt, F.lit(" days at current rate")))
              .otherwise(F.concat(F.lit("~"), days_txt, F.lit(" days — action needed"))))
     colour = (F.when(stable, F.lit("text.secondary")).when(days > 30, F.lit("warning.main"))
               .otherwise(F.lit("error.main")))
-    return one.select(F.format_string("%.0f", used_pct).alias("value"), F.lit("%").alias("unit"),
+    return one.select(F.format_string("%.0f", F.bround(used_pct, 0)).alias("value"), F.lit("%").alias("unit"),
                       delta.alias("delta"), colour.alias("delta_colour"),
                       F.when(~stable, days).alias("days_remaining"))
 

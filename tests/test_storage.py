@@ -128,3 +128,12 @@ def test_retention_on_queue_samples(spark, tmp_dir):
     assert res == {"dropped_days": ["2024-01-01"], "rewritten_day": "2024-01-02"}
     left = sorted(r["num_pending"] for r in QU.read_samples(spark, path).collect())
     assert left == [213, 301, 313]
+
+
+def test_runway_rounds_half_to_even(spark):
+    disks = spark.createDataFrame([("d", 750, 1000), ], "disk_name string, free_bytes bigint, total_bytes bigint")
+    out = ST.storage_runway(disks, spark.createDataFrame([(100,)], "projected_steady_state_bytes bigint")).first()
+    assert out["value"] == "25"      # 25.0 exactly
+    disks2 = spark.createDataFrame([("d", 875, 1000)], "disk_name string, free_bytes bigint, total_bytes bigint")
+    out2 = ST.storage_runway(disks2, spark.createDataFrame([(100,)], "projected_steady_state_bytes bigint")).first()
+    assert out2["value"] == "12"     # 12.5 -> 12, as %.0f prints it
