@@ -68,7 +68,10 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Zip this package once per application and ``addPyFile`` it, so Python
     workers (pandas UDFs) can import it wherever the driver was started."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a context (remote clients)
+        return
     app = sc.applicationId
     if app in _SHIPPED:
         return
