@@ -50,3 +50,25 @@ f AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
+
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_ITEM_WORD}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_ITEM_WORD}') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS win
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT k, s, n, array_to_string(w[s : s + n - 1], ' ') AS win
+       FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS s FROM d) CROSS JOIN lens WHERE s + n - 1 <= len(w)),
+hit AS (SELECT k, s, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+pos AS (SELECT k, count(DISTINCT p) AS n_hit
+        FROM (SELECT DISTINCT k, unnest(range(s, s + n)) AS p FROM hit) GROUP BY k),
+it AS (SELECT k, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+       FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY k)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (k) LEFT JOIN it USING (k)
+"""

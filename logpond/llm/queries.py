@@ -49,3 +49,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("fail_bits").bitwiseAND(F.lit(mask_of("base")).cast("long")) != 0).alias("base_failed"),
         "kept", "fail_bits")
+
+
+# ---- 2: benchmark decontamination -------------------------------------------
+
+@_query("op2_decontaminate", oracles.OP2)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logpond.llm.op2_decontaminate import decontaminate
+    r = decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return r.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+# ---- 4: SimHash near-dedup --------------------------------------------------
+
+@_query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logpond.llm.op4_simhash import near_duplicates
+    r = near_duplicates(load(spark, sf_dir, "documents"))
+    return r.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                    "component_id")
