@@ -70,3 +70,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = near_duplicates(load(spark, sf_dir, "documents"))
     return r.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     "component_id")
+
+
+# ---- 3: secret scans --------------------------------------------------------
+
+@_query("op3_secrets")
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logpond.llm.op3_secrets import render, scan
+    r = scan(load(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return r.select(
+        F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(render(F.col("base")), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"))
