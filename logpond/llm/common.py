@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logpond.session import checkpoint_root, scratch_path
 
@@ -75,3 +76,19 @@ def input_splits(df: DataFrame, name: str = "deal") -> DataFrame:
     """Deal rows out evenly (round robin) before costly per-row work, whatever
     files they came from."""
     return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds ``out``: a gapless rank from 0 within ``group``, also for groups
+    that hold most of the rows. A group is dealt into chunks by a hash of
+    ``order``; the chunk sizes (one row per group and chunk) give each chunk
+    its first rank, and rows are only sorted inside their chunk."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(max(16, n))).cast("int"))
+    keys = [*group, "_chunk"]
+    sizes = d.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return d.withColumn("_r", inside - 1).join(first, keys).withColumn(
+        out, F.col("_first") + F.col("_r")).drop("_chunk", "_r", "_first")

@@ -85,3 +85,32 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(
         F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(render(F.col("base")), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"))
+
+
+# ---- 8: best-fit packing ----------------------------------------------------
+
+def vocabulary() -> str:
+    """The public vocabulary file; it lies at the same place on every node."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logpond.llm.op8_packing import best_fit
+    r = best_fit(load(spark, sf_dir, "documents"), vocabulary())
+    return r.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+# ---- 9: quality classifier --------------------------------------------------
+
+#: Scores from here on count as good.
+QUALITY_LEAST = 0.3
+
+
+@_query("op9_quality_model")
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logpond.llm.op9_quality_model import quality_scores
+    r = quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return r.select(F.col("id").alias("doc_id"), "held_out", "score",
+                    (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
