@@ -92,3 +92,14 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str) -> DataF
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return d.withColumn("_r", inside - 1).join(first, keys).withColumn(
         out, F.col("_first") + F.col("_r")).drop("_chunk", "_r", "_first")
+
+
+def rows_matching(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame, how: str) -> DataFrame:
+    """``docs``, all its columns, semi- or anti-joined (``how``) on id and
+    text with ``decided`` (columns id, th = xxhash64 of the text)."""
+    names = docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    side = decided.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+    same = F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("_id")) & (
+        F.xxhash64(f"c{names.index(text_col)}") == F.col("_th"))
+    return flat.join(side, same, how).toDF(*names)

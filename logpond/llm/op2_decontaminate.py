@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logpond.llm.common import BROADCAST_BYTES, ascii_lower, pick, saved, split_words
+from logpond.llm.common import BROADCAST_BYTES, ascii_lower, pick, rows_matching, saved, small_side, split_words
 
 WINDOW = 10
 SHINGLE = 3
@@ -150,3 +150,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         "id", "th", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("occ", F.array().cast("array<struct<start:int,len:int>>")).alias("occurrences"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, that hold no window of an
+    item. Texts are not shuffled when few documents are contaminated: the
+    (id, text hash) list of those is small enough for Spark to broadcast."""
+    d = pick(docs, id=id_col, t=text_col).select("id", F.xxhash64("t").alias("th"), words_of(F.col("t")).alias("words"))
+    found = occurrences(d, item_windows(items, "item_id", "text", window))
+    bad = saved(found.select("id", "th").distinct(), "contaminated")
+    return rows_matching(docs, id_col, text_col, small_side(bad, bad.count(), 48), "left_anti")

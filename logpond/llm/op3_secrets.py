@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logpond.llm.common import pick, saved
+from logpond.llm.common import pick, saved, small_side
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run that is too short holds no longer one, so the least length can stand in the pattern.
@@ -207,3 +207,21 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         F.when(s["start"] >= a["at"], F.concat(
             a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out")))
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substr(text, done["at"] + 1))).otherwise(text)
+
+
+def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs``, all rows and columns, with every span of the scan replaced
+    by a mark and ``chars_col`` (if there is one) renewed for those rows."""
+    names = docs.columns
+    found = scan(docs, id_col, text_col).where(F.size("spans") > 0).groupBy("id", "th").agg(F.first("spans").alias("spans"))
+    found = saved(found, "masked").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans")
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index(text_col)}"
+    same = F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
+    d = flat.join(small_side(found, found.count(), 200), same, "left")
+    d = d.withColumn(text, F.when(F.col("spans").isNotNull(), redact(F.col(text), F.col("spans"))).otherwise(F.col(text)))
+    if chars_col in names:
+        chars = f"c{names.index(chars_col)}"
+        kind = docs.schema[names.index(chars_col)].dataType
+        d = d.withColumn(chars, F.when(F.col("spans").isNotNull(), F.char_length(text).cast(kind)).otherwise(F.col(chars)))
+    return d.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)

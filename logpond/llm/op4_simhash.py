@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logpond.llm.common import pick, saved
+from logpond.llm.common import pick, rows_matching, saved, small_side
 from logpond.llm.components import roots
 
 BITS = 64
@@ -60,14 +60,14 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """id, fp (signed long): one row per input row."""
-    d = pick(docs, id=id_col, t=text_col)
-    schema = d.select("id", F.lit(0).cast("long").alias("fp")).schema
+    """id, th (hash of the text), fp (signed long): one row per input row."""
+    d = pick(docs, id=id_col, t=text_col).select("id", F.xxhash64("t").alias("th"), "t")
+    schema = d.select("id", "th", F.lit(0).cast("long").alias("fp")).schema
 
     def each(batches):
         for b in batches:
-            fps = [simhash(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            fps = [simhash(t.as_py(), shingle) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=schema.names)
 
     return d.mapInArrow(each, schema)
 
@@ -145,12 +145,31 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """id, fp, component_id (smallest id reachable over links), n_same (rows
+    """id, th (hash of the text), fp, root (a fingerprint that names the
+    component), component_id (smallest id reachable over links), n_same (rows
     with the same fingerprint): one row per input row."""
     fp = saved(fingerprints(docs, id_col, text_col, shingle), "simhash")
     distinct = saved(fp.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("n_same")), "fps")
     root = roots(links(distinct.select("fp"), max_bits)).withColumnRenamed("u", "fp")
     classed = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = classed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = classed.join(lowest, "root").select("fp", "n_same", "component_id")
-    return fp.join(classes, "fp").select("id", "fp", "component_id", "n_same")
+    classes = classed.join(lowest, "root").select("fp", "n_same", "root", "component_id")
+    return fp.join(classes, "fp").select("id", "th", "fp", "root", "component_id", "n_same")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row of every group of near duplicates, all its columns: the row
+    with the smallest id; of several rows with that id, the one with the
+    smallest text hash; a group without ids keeps one of its rows that way.
+    Of wholly equal (id, text) rows one stays."""
+    narrow = near_duplicates(docs, id_col, text_col, shingle, max_bits)
+    per = narrow.groupBy("root", "id", "th").agg(F.count("*").alias("rows"))
+    best = per.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "rows")).alias("b"))
+    kept = saved(best.select("b.id", "b.th", "b.rows"), "kept")
+    repeated = kept.where("rows > 1")
+    once = rows_matching(docs, id_col, text_col, kept.where("rows = 1"), "left_semi")
+    if repeated.isEmpty():
+        return once
+    again = rows_matching(docs, id_col, text_col, small_side(repeated, repeated.count(), 48), "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, text_col]))
