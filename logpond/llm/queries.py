@@ -114,3 +114,13 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return r.select(F.col("id").alias("doc_id"), "held_out", "score",
                     (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
+# ---- 1: sharding ------------------------------------------------------------
+
+@_query("op1_sharding")
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logpond.llm.op1_sharding import shard_documents
+    r = shard_documents(load(spark, sf_dir, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
