@@ -72,3 +72,18 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (k) LEFT JOIN it USING (k)
 """
+
+# base32 of a SHA-1: every five hex digits (20 bits) are four letters
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v{i} >> {s}) & 31 AS INTEGER), 1)"
+    for i in range(8) for s in (15, 10, 5, 0))
+
+OP6 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS x FROM pages),
+v AS (SELECT page_id, strlen(t) AS n, {', '.join(f"CAST('0x' || substr(x, {1 + 5 * i}, 5) AS BIGINT) AS v{i}" for i in range(8))} FROM p),
+d AS (SELECT page_id, n, {_B32} AS digest FROM v),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS low FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to FROM f
+"""

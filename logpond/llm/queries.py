@@ -124,3 +124,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = shard_documents(load(spark, sf_dir, "documents"))
     return r.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"))
+
+
+# ---- 6: WARC ----------------------------------------------------------------
+
+@_query("op6_warc", oracles.OP6)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logpond.llm.op6_warc import round_trip
+    r = round_trip(load(spark, sf_dir, "pages")).where("kind = 'record'")
+    return r.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
