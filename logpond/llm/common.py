@@ -47,7 +47,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     the lineage, and lost executors cost nothing that was written."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

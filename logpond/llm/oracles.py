@@ -87,3 +87,18 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to FROM f
 """
+
+OP5 = rf"""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w FROM documents),
+win AS (SELECT k, s, md5(array_to_string(w[s : s + 34], ' ')) AS g
+        FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS s FROM w WHERE len(w) >= 35)),
+rep AS (SELECT k, s FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT k, unnest(range(s, s + 35)) AS p FROM rep),
+g AS (SELECT k, list(p) AS ps, count(*) AS n FROM gone GROUP BY k),
+kept AS (SELECT w.k, string_agg(x, ' ' ORDER BY p) AS t
+         FROM (SELECT k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w WHERE len(w) > 0) w
+         ANTI JOIN gone ON gone.k = w.k AND gone.p = w.p GROUP BY w.k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (k) LEFT JOIN kept USING (k)
+"""

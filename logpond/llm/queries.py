@@ -133,3 +133,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logpond.llm.op6_warc import round_trip
     r = round_trip(load(spark, sf_dir, "pages")).where("kind = 'record'")
     return r.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+# ---- 5: substring dedup -----------------------------------------------------
+
+@_query("op5_substrings", oracles.OP5)
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logpond.llm.op5_substrings import remove_repeats
+    r = remove_repeats(load(spark, sf_dir, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
