@@ -5,7 +5,9 @@ A window ``ORDER BY`` without ``PARTITION BY`` pulls every row into one task.
 (Spark samples the key, so a hot time range is still split evenly), sums
 each range partition, turns the per-partition totals (one row per
 partition) into offsets, and finishes with a window *per range partition*.
-Every task holds about ``rows / partitions`` rows.
+Every task holds about ``rows / partitions`` rows. The ranged rows are
+written once with their partition number: both the totals and the windows
+read those files, so both see the same ranges.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logpond.session import written
+
 
 def running_sum_desc(df: DataFrame, order_cols: list[str], value_col: str,
                      out_col: str = "running", num_partitions: int | None = None) -> DataFrame:
@@ -22,7 +26,7 @@ def running_sum_desc(df: DataFrame, order_cols: list[str], value_col: str,
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     desc = [F.col(c).desc() for c in order_cols]
-    ranged = df.repartitionByRange(n, *desc).withColumn("_pid", F.spark_partition_id())
+    ranged = written(df.repartitionByRange(n, *desc).withColumn("_pid", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("_pid").agg(F.sum(value_col).alias("_ptot"))
     # one row per range partition: a tiny single-task window is fine here
     offsets = totals.select(

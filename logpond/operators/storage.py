@@ -117,22 +117,17 @@ def storage_outlook(parts: DataFrame, ttl_days: int = S.LOGS_TTL_DAYS) -> DataFr
     """Current total, days of history, steady-state flag and projected
     steady-state bytes. With fewer than ``ttl_days`` partitions the projection
     is the average of all partitions but the newest (all when only one)
-    times ``ttl_days``, in integer arithmetic; no partitions -> 0.
-
-    The partition list has one row per day, so gathering it into one array
-    is bounded by the retention span, not by the data volume."""
-    s = parts.agg(F.array_sort(F.collect_list(F.struct("log_date", "partition_bytes"))).alias("p"))
-    n = F.size("p")
-    usable = F.when(n > 1, F.slice("p", 1, n - 1)).otherwise(F.col("p"))
-    usable_sum = F.aggregate(usable, F.lit(0).cast("bigint"), lambda a, x: a + x["partition_bytes"])
-    avg = F.when(F.size(usable) == 0, F.lit(0).cast("bigint")).otherwise(
-        F.floor(usable_sum.cast("decimal(38,0)") / F.size(usable)).cast("bigint"))
-    total = F.aggregate(F.col("p"), F.lit(0).cast("bigint"), lambda a, x: a + x["partition_bytes"])
-    return s.select(
-        total.alias("current_total_bytes"),
-        n.cast("int").alias("days_of_history"),
-        (n >= ttl_days).alias("is_steady_state"),
-        F.when(n >= ttl_days, total).otherwise(avg * ttl_days).cast("bigint").alias("projected_steady_state_bytes"))
+    times ``ttl_days``, in integer arithmetic; no partitions -> 0."""
+    days, total = F.col("_days"), F.col("_total")
+    older = F.when(days > 1, total - F.col("_newest")).otherwise(total)
+    per_day = F.floor(older.cast("decimal(38,0)") / F.greatest(days - 1, F.lit(1))).cast("bigint")
+    full = days >= ttl_days
+    return parts.agg(
+        F.count("*").alias("_days"), F.coalesce(F.sum("partition_bytes"), F.lit(0)).cast("bigint").alias("_total"),
+        F.max_by("partition_bytes", "log_date").alias("_newest"),
+    ).select(total.alias("current_total_bytes"), days.cast("int").alias("days_of_history"),
+             full.alias("is_steady_state"),
+             F.when(full, total).otherwise(per_day * ttl_days).cast("bigint").alias("projected_steady_state_bytes"))
 
 
 def disk_usage(disks: DataFrame) -> DataFrame:
@@ -189,49 +184,26 @@ def retention_view(df: DataFrame, as_of=None, ttl: str = f"{S.LOGS_TTL_DAYS} day
 
 
 def apply_retention(spark: SparkSession, path: str, as_of=None,
-                    ttl: str = f"{S.LOGS_TTL_DAYS} days", date_col: str = "log_date",
-                    ts_col: str = "ts", schema=S.LOGS_SCHEMA) -> dict:
+                    ttl: str = f"{S.LOGS_TTL_DAYS} days", date_col: str = "log_date") -> dict:
     """ST8 maintenance job on a table partitioned by a date column (logs by
-    ``log_date``, queue samples by ``sample_date``): whole expired day
-    folders are deleted; the one edge day is rewritten without its expired
-    rows. The rewrite is complete in a hidden folder before the old day is
-    moved aside, so a failure midway loses no rows."""
-    cutoff_row = spark.range(1).select(
-        (as_of_col(as_of) - _ttl(ttl)).cast("timestamp_ntz").alias("c"),
-        F.to_date(as_of_col(as_of) - _ttl(ttl)).alias("d")).first()
-    cutoff, edge_day = cutoff_row["c"], cutoff_row["d"]
-    jvm = spark.sparkContext._jvm
-    Path = jvm.org.apache.hadoop.fs.Path
+    ``log_date``, queue samples by ``sample_date``), whatever lies below the
+    day folders: deletes the days that are expired whole. The edge day stays
+    as it is; readers go through ``retention_view``, which drops its expired
+    rows, until the day is expired whole."""
+    edge_day = spark.range(1).select(F.to_date(as_of_col(as_of) - _ttl(ttl)).alias("d")).first()["d"]
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     root = Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    dropped, rewritten = [], None
-    prefix = f"{date_col}="
+    dropped = []
     for st in fs.listStatus(root):
         name = st.getPath().getName()
-        if not (st.isDirectory() and name.startswith(prefix)):
-            continue
-        day = name.split("=", 1)[1]
-        if day < edge_day.isoformat():
-            fs.delete(st.getPath(), True)
-            dropped.append(day)
-        elif day == edge_day.isoformat():
-            rewritten = day
-    if rewritten:
-        part = f"{path.rstrip('/')}/{prefix}{rewritten}"
-        reader = spark.read.schema(schema) if schema is not None else spark.read
-        keep = (reader.parquet(path)
-                .filter(F.col(date_col) == F.lit(rewritten).cast("date"))
-                .filter(F.col(ts_col).cast("timestamp_ntz") > F.lit(cutoff)))
-        tmp = f"{path.rstrip('/')}/_rewrite_{prefix}{rewritten}"
-        keep.drop(date_col).write.mode("overwrite").option("compression", "zstd").parquet(tmp)
-        aside = Path(f"{path.rstrip('/')}/_old_{prefix}{rewritten}")
-        fs.rename(Path(part), aside)
-        fs.rename(Path(tmp), Path(part))
-        fs.delete(aside, True)
-        for st in fs.listStatus(Path(part)):
-            if st.getPath().getName().startswith(("_", ".")):
-                fs.delete(st.getPath(), True)
-    return {"dropped_days": dropped, "rewritten_day": rewritten}
+        if st.isDirectory() and name.startswith(f"{date_col}="):
+            day = name.split("=", 1)[1]
+            if day < edge_day.isoformat():
+                if not fs.delete(st.getPath(), True):
+                    raise OSError(f"cannot delete {st.getPath()}")
+                dropped.append(day)
+    return {"dropped_days": sorted(dropped)}
 
 
 def retention_bytes(msgs: DataFrame, as_of=None, max_age: str = S.RAW_QUEUE_MAX_AGE,

@@ -30,7 +30,8 @@ def logs_cte(name: str = "logs", clock: str = "dense") -> str:
     event_id,
     {ts} AS ts,
     {nanos} AS ts_nanos,
-    {ts} AS observed_ts,
+    {ts} + INTERVAL {A.OBSERVED_DELAY_MICROS} MICROSECOND AS observed_ts,
+    {nanos} + {A.OBSERVED_DELAY_MICROS * 1000} + event_id % 1000 AS observed_ts_nanos,
     date_trunc('second', {ts}) AS inserted_at,
     md5(CAST(event_id AS VARCHAR)) AS trace_id,
     substr(md5('s' || CAST(event_id AS VARCHAR)), 1, 16) AS span_id,

@@ -23,8 +23,8 @@ BATCH = 100
 BASE = with_ctes(logs_cte())
 
 
-def _requests(spark, sf_dir):
-    logs = read_logs(spark, sf_dir).withColumn("batch_id", F.expr(f"event_id div {BATCH}"))
+def _requests(spark, sf_dir, batch: int = BATCH):
+    logs = read_logs(spark, sf_dir).withColumn("batch_id", F.expr(f"event_id div {batch}"))
     return E.otlp_export(logs, "batch_id")
 
 
@@ -81,21 +81,25 @@ def q_sniff_compression(spark, sf_dir):
     return _mixed_envelopes(spark, sf_dir).select("batch_id", codecs.sniff_compression("payload").alias("detected"))
 
 
-@query("decompress_payloads", BASE + """
-SELECT event_id // 100 AS batch_id, count(*) AS records FROM logs GROUP BY 1""")
+@query("decompress_payloads", """
+SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, md5(coalesce(text, '')) AS digest FROM documents""")
 def q_decompress_payloads(spark, sf_dir):
-    enc = F.element_at(F.array(F.lit("identity"), F.lit("gzip"), F.lit("zstd")),
-                       (F.col("batch_id") % 3 + 1).cast("int"))
-    env = E.to_envelopes(_requests(spark, sf_dir), F.lit("application/json"), enc)
-    d = E.decompress_envelopes(env)
-    recs = F.from_json(F.decode("payload", "UTF-8"),
-                       "resourceLogs array<struct<scopeLogs: array<struct<logRecords: array<struct<traceId: string>>>>>>")
-    n = F.aggregate(recs["resourceLogs"], F.lit(0),
-                    lambda acc, rl: acc + F.aggregate(rl["scopeLogs"], F.lit(0), lambda a2, sl: a2 + F.size(sl["logRecords"])))
-    return d.select("batch_id", n.cast("bigint").alias("records"))
-
-
-_FLAT_COLS = ["trace_id", "span_id", "ts", "ts_nanos", "observed_ts", "severity_text", "severity_number",
+    """Document texts, by turns plain, gzip and zstd; every other compressed
+    payload in two members or frames."""
+    m = F.col("doc_id") % 3
+    enc = F.element_at(F.array(F.lit("identity"), F.lit("gzip"), F.lit("zstd")), (m + 1).cast("int"))
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    cut = F.when((F.col("doc_id") % 2 == 0) & (m > 0), F.floor(F.octet_length("raw") / 2)).otherwise(F.octet_length("raw")).cast("int")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", enc.alias("enc"), raw.alias("raw")).withColumn("cut", cut)
+    d = d.select("doc_id", "enc", F.expr("substring(raw, 1, cut)").alias("a"), F.expr("substring(raw, cut + 1)").alias("b"))
+    d = d.select("doc_id", "enc", F.concat(codecs.compress("a", "enc"), F.when(
+        F.octet_length("b") > 0, codecs.compress("b", "enc")).otherwise(F.lit(b"").cast("binary"))).alias("payload"))
+    out = d.select("doc_id", codecs.decompress("payload", "enc").alias("d"))
+    return out.select("doc_id", F.octet_length("d.payload").cast("bigint").alias("n_bytes"),
+                      F.md5("d.payload").alias("digest"))
+
+
+_FLAT_COLS = ["trace_id", "span_id", "ts", "ts_nanos", "observed_ts", "observed_ts_nanos", "severity_text", "severity_number",
               "service_name", "body", "body_type", "scope_name", "scope_version", "log_date"]
 _FLAT_SQL = BASE + "SELECT " + ", ".join(_FLAT_COLS) + " FROM logs"
 
@@ -104,9 +108,10 @@ def _flat_out(df):
     return df.select(*[ntz(c) if c in ("ts", "observed_ts") else F.col(c) for c in _FLAT_COLS])
 
 
-def _decoded_logs(spark, sf_dir, content_type: str):
+def _decoded_logs(spark, sf_dir, content_type, batch: int = BATCH):
     enc = F.element_at(F.array(F.lit(""), F.lit("gzip"), F.lit("zstd")), (F.col("batch_id") % 3 + 1).cast("int"))
-    env = E.to_envelopes(_requests(spark, sf_dir), F.lit(content_type), enc)
+    ct = F.lit(content_type) if isinstance(content_type, str) else content_type
+    env = E.to_envelopes(_requests(spark, sf_dir, batch), ct, enc)
     logs, _ = E.envelopes_to_logs(env)
     return logs
 
@@ -121,6 +126,17 @@ def q_otlp_flatten_proto(spark, sf_dir):
     return _flat_out(_decoded_logs(spark, sf_dir, "application/x-protobuf"))
 
 
+LARGE_BATCH = 5000
+
+
+@query("otlp_flatten_large", _FLAT_SQL)
+def q_otlp_flatten_large(spark, sf_dir):
+    """Requests as collectors send them: thousands of records each, JSON and
+    protobuf by turns."""
+    ct = F.when(F.col("batch_id") % 2 == 0, "application/json").otherwise("application/x-protobuf")
+    return _flat_out(_decoded_logs(spark, sf_dir, ct, LARGE_BATCH))
+
+
 @query("attr_arrays", BASE + """
 SELECT trace_id, CAST(i - 1 AS INTEGER) AS pos, log_attr_keys[i] AS key, log_attr_values[i] AS value
 FROM (SELECT *, unnest(generate_series(1, len(log_attr_keys))) AS i FROM logs)""")
@@ -146,19 +162,29 @@ def q_quarantine_split(spark, sf_dir):
 
 
 @query("otlp_export", BASE + """
-SELECT event_id // 100 AS batch_id, count(*) AS records, count(DISTINCT service_name) AS services
-FROM logs GROUP BY 1""")
+SELECT event_id // 100 AS batch_id, service_name AS service, scope_name AS scope, trace_id, span_id,
+       CAST(ts_nanos AS VARCHAR) AS time_nanos, CAST(observed_ts_nanos AS VARCHAR) AS observed_nanos,
+       severity_text, severity_number, body, array_to_string(log_attr_keys, ',') AS attr_keys,
+       array_to_string(log_attr_values, ',') AS attr_values
+FROM logs""")
 def q_otlp_export(spark, sf_dir):
     req = _requests(spark, sf_dir)
+    kv = "array<struct<key: string, value: struct<stringValue: string>>>"
+    rec = ("struct<timeUnixNano: string, observedTimeUnixNano: string, severityNumber: int, severityText: string, "
+           f"body: struct<stringValue: string>, attributes: {kv}, traceId: string, spanId: string>")
     parsed = req.select("batch_id", F.from_json(
-        "json", "resourceLogs array<struct<resource: struct<attributes: array<struct<key: string, "
-                "value: struct<stringValue: string>>>>, scopeLogs: array<struct<logRecords: array<struct<traceId: string>>>>>>").alias("r"))
+        "json", f"resourceLogs array<struct<resource: struct<attributes: {kv}>, "
+                f"scopeLogs: array<struct<scope: struct<name: string>, logRecords: array<{rec}>>>>>").alias("r"))
     rl = parsed.select("batch_id", F.explode("r.resourceLogs").alias("rl"))
-    per = rl.select("batch_id",
-                    F.aggregate(F.col("rl.scopeLogs"), F.lit(0), lambda a, sl: a + F.size(sl["logRecords"])).alias("n"),
-                    F.col("rl.resource.attributes")[0]["value"]["stringValue"].alias("svc"))
-    return per.groupBy("batch_id").agg(F.sum("n").cast("bigint").alias("records"),
-                                       F.count_distinct("svc").alias("services"))
+    sl = rl.select("batch_id", F.col("rl.resource.attributes")[0]["value"]["stringValue"].alias("service"),
+                   F.explode("rl.scopeLogs").alias("sl"))
+    r = sl.select("batch_id", "service", F.col("sl.scope.name").alias("scope"), F.explode("sl.logRecords").alias("r"))
+    return r.select("batch_id", "service", "scope", F.col("r.traceId").alias("trace_id"), F.col("r.spanId").alias("span_id"),
+                    F.col("r.timeUnixNano").alias("time_nanos"), F.col("r.observedTimeUnixNano").alias("observed_nanos"),
+                    F.col("r.severityText").alias("severity_text"), F.col("r.severityNumber").alias("severity_number"),
+                    F.col("r.body.stringValue").alias("body"),
+                    F.array_join("r.attributes.key", ",").alias("attr_keys"),
+                    F.array_join("r.attributes.value.stringValue", ",").alias("attr_values"))
 
 
 # -- per-field rules on rows built straight from events ----------------------

@@ -1,5 +1,5 @@
 """Registered queries for UI data rules, thresholds, retry / DLQ, queue
-samples, live tail and the synthetic generator."""
+samples and live tail."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from logpond.operators import livetail as L
 from logpond.operators import queue as QU
 from logpond.operators import retry as RT
 from logpond.operators import rollups as R
-from logpond.operators import synth as SY
 from logpond.operators.thresholds import error_rate_band
 from logpond.plans.oracle import logs_cte, metrics_1m_cte, metrics_1s_cte, ts_lit, with_ctes
 from logpond.plans.q_dashboards import AS_OF_RATE, AS_OF_TOP
@@ -65,28 +64,34 @@ def q_severity_band(spark, sf_dir):
     return ev.select("event_id", "severity_number", severity_band("severity_number").alias("band"))
 
 
-@query("body_hits", BASE + """
-SELECT event_id, CAST(len(regexp_extract_all(body, '(?i)er')) AS INTEGER) AS hits,
-       CAST(2 * len(regexp_extract_all(body, '(?i)er')) + 1 AS INTEGER) AS n_parts FROM logs""")
+HIT_TERM = " ÉAU "
+
+
+@query("body_hits", """
+SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)éau')) AS INTEGER) AS hits,
+       md5(regexp_replace(text, '(?i)(éau)', chr(1) || '\\1' || chr(1), 'g')) AS parts_md5 FROM documents""")
 def q_body_hits(spark, sf_dir):
-    logs = read_logs(spark, sf_dir)
-    parts, hits = body_hits(F.col("body"), " ER ")
-    return logs.select("event_id", hits.cast("int").alias("hits"), F.size(parts).cast("int").alias("n_parts"))
+    docs = read_table(spark, sf_dir, "documents")
+    parts, hits = body_hits(F.col("text"), HIT_TERM)
+    return docs.select("doc_id", hits.cast("int").alias("hits"),
+                       F.md5(F.encode(F.array_join(parts, "\x01"), "UTF-8")).alias("parts_md5"))
 
 
-def _tp3_sql(v: str) -> str:
-    r0 = f"floor({v} + 0.5)"
-    r1 = f"floor({v} * 10 + 0.5) / 10"
-    r2 = f"floor({v} * 100 + 0.5) / 100"
-    return (f"CASE WHEN {v} >= 100 THEN CASE WHEN {r0} >= 1000 THEN '1.00e+3' ELSE printf('%.0f', {r0}) END "
-            f"WHEN {v} >= 10 THEN CASE WHEN {r1} >= 100 THEN '100' ELSE printf('%.1f', {r1}) END "
-            f"ELSE CASE WHEN {r2} >= 10 THEN '10.0' ELSE printf('%.2f', {r2}) END END")
+def _significant_sql(v: str) -> str:
+    """Three significant digits of v >= 1 by the rule: the exponent e, the
+    number as digits x 10^(e - 2), and from e = 3 on an exponent."""
+    e = f"CAST(floor(log10({v}) + 1e-12) AS INTEGER)"
+    n = f"CAST(floor(CASE {e} WHEN 0 THEN {v} * 100 WHEN 1 THEN {v} * 10 ELSE {v} / power(10, {e} - 2) END + 0.5) AS BIGINT)"
+    e, n = f"({e} + CASE WHEN {n} >= 1000 THEN 1 ELSE 0 END)", f"CAST(CASE WHEN {n} >= 1000 THEN 100 ELSE {n} END AS VARCHAR)"
+    return (f"CASE {e} WHEN 0 THEN substr({n}, 1, 1) || '.' || substr({n}, 2) "
+            f"WHEN 1 THEN CASE WHEN {v} < 10 THEN '10.0' ELSE substr({n}, 1, 2) || '.' || substr({n}, 3) END "
+            f"WHEN 2 THEN {n} ELSE substr({n}, 1, 1) || '.' || substr({n}, 2) || 'e+' || CAST({e} AS VARCHAR) END")
 
 
 def _short_sql(x: str) -> str:
-    return (f"CASE WHEN {x} >= 1e9 THEN {_tp3_sql(f'({x} / 1e9)')} || 'B' "
-            f"WHEN {x} >= 1e6 THEN {_tp3_sql(f'({x} / 1e6)')} || 'M' "
-            f"WHEN {x} >= 1e3 THEN {_tp3_sql(f'({x} / 1e3)')} || 'k' "
+    return (f"CASE WHEN {x} >= 1e9 THEN {_significant_sql(f'({x} / 1e9)')} || 'B' "
+            f"WHEN {x} >= 1e6 THEN {_significant_sql(f'({x} / 1e6)')} || 'M' "
+            f"WHEN {x} >= 1e3 THEN {_significant_sql(f'({x} / 1e3)')} || 'k' "
             f"ELSE regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '') END")
 
 
@@ -293,35 +298,3 @@ def q_live_tail_view(spark, sf_dir):
     logs = read_logs(spark, sf_dir).withColumn("arrival_seq", F.col("event_id"))
     v = L.live_tail_view(logs, "arrival_seq", services=LIVE["services"], severities=LIVE["severities"])
     return v.select("event_id", ntz("ts"), "service_name")
-
-
-# -- synthetic generator ------------------------------------------------------
-def _u(key: str, salt: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws(':', '42', CAST({key} AS VARCHAR), {salt})), 1, 8))::BIGINT / 4294967296.0)"
-
-
-_DICT_SQL = "[" + ", ".join(f"'{w}'" for w in S.SYNTH_BODY_DICTIONARY) + "]"
-_SVC_SQL = "[" + ", ".join(f"'{w}'" for w in S.SYNTH_SERVICE_NAMES) + "]"
-
-
-@query("synth_logs", f"""
-WITH i AS (SELECT event_id AS id FROM events),
-t AS (SELECT id, least(CAST(floor({_u('id', "'tpl'")} * 5000) AS BIGINT), 4999) AS tpl,
-             id // 10 AS batch FROM i),
-w AS (SELECT *, least(CAST(floor({_u('tpl', "'sev'")} * 100) AS BIGINT), 99) AS w,
-             least(CAST(floor({_u('tpl', "'num'")} * 4) AS BIGINT), 3) AS num_off FROM t),
-v AS (SELECT *, CASE WHEN w >= 90 THEN 'FATAL' WHEN w >= 80 THEN 'ERROR' WHEN w >= 70 THEN 'WARNING'
-                     WHEN w >= 10 THEN 'INFO' ELSE 'DEBUG' END AS severity_text FROM w)
-SELECT id, severity_text,
-  CAST(CASE severity_text WHEN 'DEBUG' THEN 5 WHEN 'INFO' THEN 9 WHEN 'WARNING' THEN 13 WHEN 'ERROR' THEN 17
-       ELSE 21 END + num_off AS INTEGER) AS severity_number,
-  {_SVC_SQL}[1 + least(CAST(floor({_u('batch', "'svc'")} * 4) AS BIGINT), 3)] AS service_name,
-  array_to_string([{_DICT_SQL}[1 + least(CAST(floor({_u('tpl', "'w' || CAST(k AS VARCHAR)")} * 16) AS BIGINT), 15)]
-                   for k in range(5)], ' ') AS body,
-  md5(concat_ws(':', '42', CAST(id AS VARCHAR), 'trace')) AS trace_id
-FROM v""")
-def q_synth_logs(spark, sf_dir):
-    # per-row work is heavy (a dozen hashes per row): spread a one-split scan
-    ids = read_table(spark, sf_dir, "events", spread_by="event_id").select(F.col("event_id").alias("id"))
-    s = SY.synth_logs(ids)
-    return s.select("id", "severity_text", "severity_number", "service_name", "body", "trace_id")

@@ -77,30 +77,34 @@ def q_partition_bytes(spark, sf_dir):
 _OUTLOOK_SQL = WIDE + """
 , p AS (SELECT log_date, CAST(sum(strlen(body)) AS BIGINT) AS b FROM logs GROUP BY 1)
 , s AS (SELECT 'all' AS scenario, * FROM p UNION ALL
-        SELECT 'last10' AS scenario, * FROM p WHERE log_date >= DATE '2024-01-21')
-, o AS (SELECT scenario, CAST(sum(b) AS BIGINT) AS current_total_bytes,
-       CAST(count(*) AS INTEGER) AS days_of_history, count(*) >= 30 AS is_steady_state,
-       CAST(CASE WHEN count(*) >= 30 THEN sum(b)
-            WHEN count(*) > 1 THEN ((sum(b) - max_by(b, log_date)) // (count(*) - 1)) * 30
-            ELSE sum(b) * 30 END AS BIGINT) AS projected_steady_state_bytes
-       FROM s GROUP BY scenario)
+        SELECT 'ttl90' AS scenario, * FROM p)
+, n AS (SELECT *, CASE scenario WHEN 'all' THEN 30 ELSE 90 END AS ttl FROM s)
+, o AS (SELECT scenario, ttl, CAST(sum(b) AS BIGINT) AS current_total_bytes,
+       CAST(count(*) AS INTEGER) AS days_of_history, count(*) >= ttl AS is_steady_state,
+       CAST(CASE WHEN count(*) >= ttl THEN sum(b)
+            WHEN count(*) > 1 THEN ((sum(b) - max_by(b, log_date)) // (count(*) - 1)) * ttl
+            ELSE sum(b) * ttl END AS BIGINT) AS projected_steady_state_bytes
+       FROM n GROUP BY scenario, ttl)
 """
 
 
+#: a history as long as the retention, and one that is still growing
+TTL_DAYS = {"all": 30, "ttl90": 90}
+
+
 def _outlook(spark, sf_dir, scenario):
     parts = ST.partition_bytes(read_logs(spark, sf_dir, "wide"), F.octet_length("body"))
-    if scenario == "last10":
-        parts = parts.filter(F.col("log_date") >= F.lit("2024-01-21").cast("date"))
-    return ST.storage_outlook(parts)
+    return ST.storage_outlook(parts, TTL_DAYS[scenario])
 
 
-@query("storage_outlook", _OUTLOOK_SQL + "SELECT * FROM o")
+@query("storage_outlook", _OUTLOOK_SQL + "SELECT * EXCLUDE (ttl) FROM o")
 def q_storage_outlook(spark, sf_dir):
     return (_outlook(spark, sf_dir, "all").select(F.lit("all").alias("scenario"), "*")
-            .unionByName(_outlook(spark, sf_dir, "last10").select(F.lit("last10").alias("scenario"), "*")))
+            .unionByName(_outlook(spark, sf_dir, "ttl90").select(F.lit("ttl90").alias("scenario"), "*")))
 
 
-DISK_TOTAL = 1 << 30
+#: the disk holds this many times the table's bytes
+DISK_TIMES = 3
 
 
 def _disks(spark, sf_dir):
@@ -108,13 +112,13 @@ def _disks(spark, sf_dir):
     logs = read_logs(spark, sf_dir, "wide")
     used = logs.agg(F.sum(F.octet_length("body")).cast("bigint").alias("used"))
     return used.select(F.lit("default").alias("disk_name"),
-                       (F.lit(DISK_TOTAL) - F.col("used")).cast("bigint").alias("free_bytes"),
-                       F.lit(DISK_TOTAL).cast("bigint").alias("total_bytes"))
+                       (F.col("used") * (DISK_TIMES - 1)).alias("free_bytes"),
+                       (F.col("used") * DISK_TIMES).alias("total_bytes"))
 
 
 _DISK_SQL = f"""
-, d AS (SELECT 'default' AS disk_name, CAST({DISK_TOTAL} - sum(strlen(body)) AS BIGINT) AS free_bytes,
-               CAST({DISK_TOTAL} AS BIGINT) AS total_bytes FROM logs)
+, d AS (SELECT 'default' AS disk_name, CAST(sum(strlen(body)) * {DISK_TIMES - 1} AS BIGINT) AS free_bytes,
+               CAST(sum(strlen(body)) * {DISK_TIMES} AS BIGINT) AS total_bytes FROM logs)
 """
 
 
@@ -128,7 +132,7 @@ def q_disk_usage(spark, sf_dir):
 @query("storage_runway", _OUTLOOK_SQL + _DISK_SQL + """
 , j AS (SELECT o.scenario, d.*, o.projected_steady_state_bytes AS projected,
                (d.total_bytes - d.free_bytes) AS used FROM o, d)
-, c AS (SELECT *, (projected - used) / 30.0 AS growth FROM j)
+, c AS (SELECT *, (projected - used) / CAST(CASE scenario WHEN 'all' THEN 30 ELSE 90 END AS DOUBLE) AS growth FROM j)
 SELECT scenario, printf('%.0f', used / total_bytes * 100) AS value, '%' AS unit,
   CASE WHEN projected <= used THEN 'Stable'
        WHEN free_bytes / growth > 30 THEN '~' || printf('%.0f', free_bytes / growth) || ' days at current rate'
@@ -139,9 +143,9 @@ SELECT scenario, printf('%.0f', used / total_bytes * 100) AS value, '%' AS unit,
 FROM c""")
 def q_storage_runway(spark, sf_dir):
     disks = _disks(spark, sf_dir)
-    return (ST.storage_runway(disks, _outlook(spark, sf_dir, "all")).select(F.lit("all").alias("scenario"), "*")
-            .unionByName(ST.storage_runway(disks, _outlook(spark, sf_dir, "last10"))
-                         .select(F.lit("last10").alias("scenario"), "*")))
+    both = [ST.storage_runway(disks, _outlook(spark, sf_dir, k), ttl).select(F.lit(k).alias("scenario"), "*")
+            for k, ttl in TTL_DAYS.items()]
+    return both[0].unionByName(both[1])
 
 
 RET_AS_OF = "2024-01-31 00:00:00"
@@ -152,7 +156,8 @@ SELECT trace_id, ts FROM logs WHERE ts > {ts_lit(RET_AS_OF)} - INTERVAL 7 DAY"""
 def q_retention_logs(spark, sf_dir):
     path = _write(spark, sf_dir, "wide", "retained")
     ST.apply_retention(spark, path, RET_AS_OF, "7 days")
-    return ST.read_logs_table(spark, path).select("trace_id", ntz("ts"))
+    left = ST.retention_view(ST.read_logs_table(spark, path), RET_AS_OF, "7 days")
+    return left.select("trace_id", ntz("ts"))
 
 
 MET_AS_OF = "2024-01-01 01:10:00"
@@ -172,22 +177,28 @@ def q_retention_metrics(spark, sf_dir):
     return a.unionByName(b).select("tbl", ntz("ts"), "service_name", "logs_count", "errors_count")
 
 
-RAW_CAP, DLQ_CAP = 600, 1500
+#: caps as shares of what the age limits leave
+RAW_SHARE, DLQ_SHARE = 3, 2
 
 
 @query("retention_bytes", f"""
 WITH m AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, strlen(props) AS s FROM events),
-raw AS (SELECT event_id, sum(s) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS run
-        FROM m WHERE ts > {ts_lit(RET_AS_OF)} - INTERVAL 12 HOUR),
-dlq AS (SELECT event_id, sum(s) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS run
-        FROM m WHERE ts > {ts_lit(RET_AS_OF)} - INTERVAL 24 HOUR AND event_id % 13 >= 10)
-SELECT 'raw' AS queue, event_id AS msg_id FROM raw WHERE run <= {RAW_CAP}
-UNION ALL SELECT 'dlq' AS queue, event_id AS msg_id FROM dlq WHERE run <= {DLQ_CAP}""")
+raw AS (SELECT event_id, sum(s) OVER () // {RAW_SHARE} AS cap,
+               sum(s) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS run
+        FROM m WHERE ts > {ts_lit(RET_AS_OF)} - INTERVAL 12 DAY),
+dlq AS (SELECT event_id, sum(s) OVER () // {DLQ_SHARE} AS cap,
+               sum(s) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS run
+        FROM m WHERE ts > {ts_lit(RET_AS_OF)} - INTERVAL 24 DAY AND event_id % 13 >= 10)
+SELECT 'raw' AS queue, event_id AS msg_id FROM raw WHERE run <= cap
+UNION ALL SELECT 'dlq' AS queue, event_id AS msg_id FROM dlq WHERE run <= cap""")
 def q_retention_bytes(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("msg_id"), F.col("ts").cast("timestamp").alias("received_at"),
-        F.octet_length("props").alias("size"))
-    raw = ST.retention_bytes(ev, RET_AS_OF, "12 hours", RAW_CAP)
-    dlq = ST.retention_bytes(ev.filter(F.col("msg_id") % 13 >= 10), RET_AS_OF, "24 hours", DLQ_CAP)
-    return (raw.select(F.lit("raw").alias("queue"), "msg_id")
-            .unionByName(dlq.select(F.lit("dlq").alias("queue"), "msg_id")))
+        F.octet_length("props").alias("size"), "props")
+
+    def capped(queue, rows, age, share):
+        total = ST.retention_view(rows, RET_AS_OF, age, "received_at").agg(F.sum("size").alias("n")).first()["n"]
+        return ST.retention_bytes(rows, RET_AS_OF, age, (total or 0) // share).select(F.lit(queue).alias("queue"), "msg_id")
+
+    return capped("raw", ev, "12 days", RAW_SHARE).unionByName(
+        capped("dlq", ev.filter(F.col("msg_id") % 13 >= 10), "24 days", DLQ_SHARE))

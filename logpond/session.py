@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of the package needs. Partition counts are left to
 # the caller: on a cluster they come from the job config; tests pass a small
@@ -23,19 +23,20 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
-    # envelope tables hold large binary payloads: a smaller vectorized read
-    # batch bounds reader memory per task (Arrow batches to Python are
-    # already bounded by spark.sql.execution.arrow.maxBytesPerBatch)
-    "spark.sql.parquet.columnarReaderBatchSize": "1024",
-    # the decode job's Python step works per envelope (tens of KB each):
-    # small Arrow batches let Python decode one batch while the JVM parses
-    # the previous one (measured ~5-10% faster ingest than 10000-row batches)
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
+# For a session that only ingests: its Python step works per envelope (tens of
+# KB each), so small batches bound the reader's memory and let Python decode
+# one batch while the JVM parses the one before.
+INGEST_SETTINGS = {
+    "spark.sql.parquet.columnarReaderBatchSize": "1024",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+}
+
+
 def get_spark(master: str | None = None, app_name: str = "logpond",
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
@@ -93,8 +94,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     On a cluster this is ``spark.checkpoint.dir`` (a path every executor and
-    the driver can reach). Only when the session has none, as in local tests,
-    a fresh local folder is made and registered.
+    the driver can reach). Only a local session without one, as in tests,
+    gets a fresh local folder; on a cluster its absence is an error, since
+    executors would write to disks that nobody else can read.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -104,7 +106,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     ctx_dir = spark.sparkContext.getCheckpointDir()
     if ctx_dir:
         return ctx_dir
-    conf_dir = tempfile.mkdtemp(prefix="logpond-ckpt-")   # local runs only
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    conf_dir = tempfile.mkdtemp(prefix="logpond-ckpt-")
     spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
@@ -116,14 +121,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def local_dir(path: str) -> str:
-    """Strip a ``file:`` scheme so Python code can list a local folder."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -21,22 +21,25 @@ SUMMARY_DDL = ("latencies struct<total: bigint, mean: bigint, `50th`: bigint, `9
                "status_codes map<string, bigint>, errors array<string>")
 
 
-def _run_cols(path_col: str = "_path"):
-    # .../<config...>/<n>rps/<file>
-    run_dir = F.regexp_extract(F.col(path_col), r"^(.*)/[^/]+$", 1)
-    rps = F.regexp_extract(run_dir, r"/([0-9]+)rps$", 1).cast("int")
-    config = F.regexp_extract(run_dir, r"([^/]+(?:/[^/]+)*)/[0-9]+rps$", 1)
-    return run_dir.alias("run"), config.alias("config_path"), rps.alias("rps")
+def _run_cols(root: str):
+    """run, config_path and rps from ``<root>/<config...>/<n>rps/<file>``;
+    the configuration is named below ``root``."""
+    top = root.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
+    below = F.substring_index("_path", top, -1)
+    run = F.regexp_extract(below, r"^(.*)/[^/]+$", 1)
+    return (run.alias("run"), F.regexp_extract(run, r"^(.*)/[0-9]+rps$", 1).alias("config_path"),
+            F.regexp_extract(run, r"([0-9]+)rps$", 1).cast("int").alias("rps"))
 
 
 def read_run_summaries(spark: SparkSession, root: str) -> DataFrame:
     df = (spark.read.schema(SUMMARY_DDL).option("multiLine", "true")
           .option("recursiveFileLookup", "true").option("pathGlobFilter", "metrics.json").json(root)
           .withColumn("_path", F.input_file_name()))
-    run, config, rps = _run_cols()
+    run, config, rps = _run_cols(root)
     return df.select(run, config, rps,
                      (F.col("latencies.`99th`") / 1e6).alias("p99_ms"),
                      (F.col("latencies.mean") / 1e6).alias("mean_ms"),
+                     (F.col("duration") / 1e9).alias("load_seconds"),
                      "requests", "throughput", "success")
 
 
@@ -44,17 +47,24 @@ def read_queue_depth(spark: SparkSession, root: str) -> DataFrame:
     df = (spark.read.schema("timestamp timestamp, pending_messages bigint").option("header", "true")
           .option("recursiveFileLookup", "true").option("pathGlobFilter", "queue_depth.csv").csv(root)
           .withColumn("_path", F.input_file_name()))
-    run, config, rps = _run_cols()
+    run, config, rps = _run_cols(root)
     return df.select(run, config, rps, F.col("timestamp").alias("ts"), F.col("pending_messages").alias("num_pending"))
 
 
-def run_verdicts(spark: SparkSession, root: str, max_slope: float = 1.0, p99_limit_ms: float = 100.0) -> DataFrame:
-    """A13 on load-test output: per run the peak backlog, the backlog slope
-    over the second half and the stable flag; per configuration the
-    ceiling (highest stable rate with p99 under the limit)."""
-    depth = read_queue_depth(spark, root)
-    stab = QU.queue_stability(depth, run_col="run", max_slope=max_slope)
-    runs = read_run_summaries(spark, root).join(stab, "run", "left")
+#: backlog growth, as a share of the offered rate, that still counts as stable
+GROWTH_SHARE = 0.01
+
+
+def run_verdicts(spark: SparkSession, root: str, growth_share: float = GROWTH_SHARE,
+                 p99_limit_ms: float = 100.0) -> DataFrame:
+    """A13 on load-test output: per run the peak backlog, the slope of the
+    backlog while the load was on and the stable flag; per configuration the
+    ceiling (highest rate before the first unstable or slow one)."""
+    summaries = read_run_summaries(spark, root)
+    depth = read_queue_depth(spark, root).join(
+        summaries.select("run", "load_seconds", (F.col("rps") * growth_share).alias("allowed")), "run")
+    stab = QU.queue_stability(depth, run_col="run", load_col="load_seconds", allowed_col="allowed")
+    runs = summaries.join(stab, "run", "left")
     runs = runs.withColumn("stable", F.coalesce(F.col("stable"), F.lit(False)))
     ceiling = QU.throughput_ceiling(runs.withColumn("config", F.col("config_path")), p99_limit_ms)
     return runs.join(ceiling.withColumnRenamed("config", "config_path"), "config_path", "left")

@@ -46,11 +46,14 @@ def _zstd_decompress(data: bytes) -> bytes:
     if _zstd is None:
         raise RuntimeError("zstandard is not installed")
     out = io.BytesIO()
-    dobj = _zstd.ZstdDecompressor().decompressobj()
-    out.write(dobj.decompress(data))
-    if not dobj.eof:
-        raise ValueError("zstd: unexpected end of frame")
-    return out.getvalue()
+    while True:                          # a payload may hold several frames
+        dobj = _zstd.ZstdDecompressor().decompressobj()
+        out.write(dobj.decompress(data))
+        if not dobj.eof:
+            raise ValueError("zstd: unexpected end of frame")
+        data = dobj.unused_data
+        if not data:
+            return out.getvalue()
 
 
 def decompress_bytes(data: bytes, encoding: str) -> bytes:
@@ -84,7 +87,7 @@ def _decompress_udf(payload: pd.Series, encoding: pd.Series) -> pd.DataFrame:
             out_e.append(None)
         except Exception as e:  # noqa: BLE001 - any codec failure is a row error
             out_p.append(None)
-            out_e.append(f"{enc} decompress error: {type(e).__name__}: {e}"[:500])
+            out_e.append(f"{enc} decompress error: {type(e).__name__}: {e}")
     return pd.DataFrame({"payload": out_p, "error": out_e})
 
 
@@ -151,7 +154,7 @@ def _payload_codec_udf(payload: pd.Series, encoding: pd.Series, is_proto: pd.Ser
         except Exception as e:  # noqa: BLE001 - a codec failure is a row error
             out_p.append(None)
             out_j.append(None)
-            out_e.append(f"{enc} decompress error: {type(e).__name__}: {e}"[:500])
+            out_e.append(f"{enc} decompress error: {type(e).__name__}: {e}")
             continue
         if proto:
             try:
@@ -160,7 +163,7 @@ def _payload_codec_udf(payload: pd.Series, encoding: pd.Series, is_proto: pd.Ser
                 out_e.append(None)
             except Exception as e:  # noqa: BLE001
                 out_j.append(None)
-                out_e.append(f"protobuf decode error: {type(e).__name__}: {e}"[:500])
+                out_e.append(f"protobuf decode error: {type(e).__name__}: {e}")
             out_p.append(None)
             continue
         if any(k in raw for k in _NON_STRING_KEYS):
@@ -179,14 +182,6 @@ def _payload_codec_udf(payload: pd.Series, encoding: pd.Series, is_proto: pd.Ser
     return pd.DataFrame({"payload": out_p, "json": out_j, "error": out_e})
 
 
-def has_non_string_values(text: Column) -> Column:
-    """True when a JSON payload may hold a non-string value kind."""
-    cond = F.lit(False)
-    for k in ("intValue", "doubleValue", "boolValue", "bytesValue", "arrayValue", "kvlistValue"):
-        cond = cond | (F.instr(text, '"' + k + '"') > 0)
-    return cond
-
-
 def payload_codec(payload: Column, encoding: Column, is_proto: Column) -> Column:
     """Decompression, protobuf-to-JSON and value-to-text rewriting in one
     Arrow round trip: struct(payload = JSON bytes when unchanged, json =

@@ -100,7 +100,7 @@ def otlp_export(logs: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     """
     rec = F.struct(
         F.col("ts_nanos").cast("string").alias("timeUnixNano"),
-        (F.unix_micros("observed_ts") * 1000 + F.col("ts_nanos") % 1000).cast("string").alias("observedTimeUnixNano"),
+        F.col("observed_ts_nanos").cast("string").alias("observedTimeUnixNano"),
         F.col("severity_number").alias("severityNumber"),
         F.col("severity_text").alias("severityText"),
         F.struct(F.col("body").alias("stringValue")).alias("body"),

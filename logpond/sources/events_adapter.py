@@ -38,6 +38,10 @@ def dense_micros(event_id: str = "event_id") -> Column:
     return F.lit(DENSE_EPOCH_MICROS) + eid * DENSE_STEP_MICROS - shift
 
 
+# observed a little after the event, at a nanosecond of its own
+OBSERVED_DELAY_MICROS = 250
+
+
 def severity_number(event_type: Column, event_id: Column) -> Column:
     return (F.when(event_type == "error", 17 + event_id % 8)
             .when(event_type == "purchase", 13 + event_id % 4)
@@ -85,7 +89,8 @@ def logs_from_events(events: DataFrame, clock: str = "dense", keep: tuple[str, .
         "event_id",
         "ts",
         "ts_nanos",
-        F.col("ts").alias("observed_ts"),
+        F.timestamp_micros(F.unix_micros("ts") + OBSERVED_DELAY_MICROS).alias("observed_ts"),
+        (F.col("ts_nanos") + OBSERVED_DELAY_MICROS * 1000 + eid % 1000).alias("observed_ts_nanos"),
         F.date_trunc("second", "ts").alias("inserted_at"),
         F.md5(eid.cast("string")).alias("trace_id"),
         F.substring(F.md5(F.concat(F.lit("s"), eid.cast("string"))), 1, 16).alias("span_id"),

@@ -9,15 +9,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | Non
     """Read ``{sf_dir}/{name}.parquet``; Catalyst prunes columns and pushes
     filters into the scan (also through the repartition below).
 
-    A file with one row group is read by one task. When the scan has fewer
-    splits than the cluster's default parallelism and ``spread_by`` names a
-    row key, the rows are hash-partitioned on it first, so per-row work
-    after the scan uses every core (hash, not round-robin: a retried task
-    gets the same rows). Large inputs already have enough splits and are
-    left alone."""
+    A file with one row group is read by one task. With ``spread_by``, a
+    row key, the rows are hash-partitioned on it after the scan, so costly
+    per-row work uses every core (hash, not round-robin: a retried task gets
+    the same rows)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread_by:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target, spread_by)
-    return df
+    return df.repartition(spread_by) if spread_by else df

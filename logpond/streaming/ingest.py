@@ -11,7 +11,7 @@ flatten -> ``foreachBatch`` that writes, for each micro-batch:
 Every output is partitioned by ``batch_id`` and written with dynamic
 partition overwrite, so a micro-batch that is replayed after a failure
 replaces its own output instead of adding to it: together with the
-checkpoint this gives effectively-once results (the original service is
+checkpoint a replay leaves one copy (the original service is
 at-least-once). Rollup readers sum the deltas (``operators.rollups``), so
 late data of any age is simply counted, as in the service.
 """
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logpond import schema as S
 from logpond.operators import rollups as R
@@ -105,7 +106,10 @@ def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
     obs = Observation(f"decode_errors_{batch_id}")
     decoded = decode_envelopes(spread_envelopes(env)).observe(
         obs, F.count_if(F.col("decode_error").isNotNull()).alias("errors"))
-    logs = (flatten(decoded)
+    # records without a time get the envelope's arrival time, so a replay
+    # gives them the same day as the first attempt
+    clock = F.unix_micros(F.coalesce("received_at", F.current_timestamp())) * 1000
+    logs = (flatten(decoded, clock)
             .withColumn("inserted_at", F.date_trunc("second", F.current_timestamp()))
             .withColumn("batch_id", bid))
     # within-task sort only: a micro-batch is appended as one file per task
@@ -135,15 +139,11 @@ def batch_rows(spark: SparkSession, logs_path: str, batch_id: int) -> DataFrame
 
 
 def spread_envelopes(env: DataFrame) -> DataFrame:
-    """Decoding is CPU-bound per payload; a micro-batch that arrived as few
-    large files would decode in few tasks. Hash-partition the envelopes
-    over the cluster's cores first (a hash of the payload, so a retried
-    task sees the same rows)."""
-    target = env.sparkSession.sparkContext.defaultParallelism
-    if env.rdd.getNumPartitions() >= target:
-        return env
+    """Decoding is CPU-bound per payload, whatever files it arrived in:
+    hash-partition the envelopes over the cluster's cores first (a hash, so
+    a retried task sees the same rows)."""
     key = F.col("batch_id") if "batch_id" in env.columns else F.xxhash64("payload")
-    return env.repartition(target, key)
+    return env.repartition(env.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def envelope_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -202,7 +202,8 @@ def start_ingest(spark: SparkSession, source_dir: str, out_root: str, *,
 
 # -- readers of the stream outputs (deltas are always summed on read) ---------
 def read_stream_logs(spark: SparkSession, out_root: str) -> DataFrame:
-    return spark.read.parquet(IngestPaths(out_root).logs)
+    schema = T.StructType(S.LOGS_SCHEMA.fields + [T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(IngestPaths(out_root).logs)
 
 
 def read_metrics(spark: SparkSession, out_root: str, grain: str = "1s") -> DataFrame:
@@ -249,25 +250,45 @@ def _batch_dirs(spark: SparkSession, parent: str, upto_batch_id: int) -> list:
     return sorted(out)
 
 
-def _swap_in(spark: SparkSession, parent: str, tmp: str, upto_batch_id: int, olds: list) -> None:
-    """Replace the compacted batch folders by the new one, in an order that
-    never loses rows if the job dies midway: the new data is complete in a
-    hidden folder first, the old folders are moved aside (hidden, still on
-    the shared store), the new folder is moved in, and only then are the
-    old folders removed. A crash leaves every row in a visible or hidden
-    folder; readers may briefly miss the affected batches while it runs."""
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def recover_swap(spark: SparkSession, parent: str) -> None:
+    """Undo or finish a compaction that died in ``parent``. Working folders
+    start with ``_`` and hold no ``=``, so readers never list them. While
+    the merged data is still in its working folder, batches moved aside go
+    back; once it has its place, what is left aside is old."""
+    jvm, fs = _fs(spark, parent)
+    Path = jvm.org.apache.hadoop.fs.Path
+    if not fs.exists(Path(parent)):
+        return
+    names = [st.getPath().getName() for st in fs.listStatus(Path(parent))]
+    merged = [n for n in names if n.startswith("_merged-")]
+    for n in names:
+        if n.startswith("_aside-"):
+            if merged:
+                _rename(fs, Path(f"{parent}/{n}"), Path(f"{parent}/batch_id={n[len('_aside-'):]}"))
+            else:
+                fs.delete(Path(f"{parent}/{n}"), True)
+    for n in merged:
+        fs.delete(Path(f"{parent}/{n}"), True)
+
+
+def _swap_in(spark: SparkSession, parent: str, merged: str, upto_batch_id: int, olds: list) -> None:
+    """Put the complete folder ``merged`` (``_merged-<id>`` in ``parent``) in
+    the place of the compacted batch folders. Every row is in a folder at
+    every moment; readers may briefly miss the affected batches."""
     jvm, fs = _fs(spark, parent)
     Path = jvm.org.apache.hadoop.fs.Path
-    staged = Path(f"{parent}/_staged_batch_id={upto_batch_id}")
-    fs.rename(Path(tmp), staged)
-    moved = []
+    aside = []
     for bid, path in olds:
-        aside = Path(f"{parent}/_old_batch_id={bid}")
-        fs.rename(path, aside)
-        moved.append(aside)
-    fs.rename(staged, Path(f"{parent}/batch_id={upto_batch_id}"))
-    for aside in moved:
-        fs.delete(aside, True)
+        aside.append(Path(f"{parent}/_aside-{bid}"))
+        _rename(fs, path, aside[-1])
+    _rename(fs, Path(merged), Path(f"{parent}/batch_id={upto_batch_id}"))
+    for path in aside:
+        fs.delete(path, True)
 
 
 def compact_logs_day(spark: SparkSession, out_root: str, day: str, upto_batch_id: int,
@@ -279,6 +300,7 @@ def compact_logs_day(spark: SparkSession, out_root: str, day: str, upto_batch_id
     number of batch folders merged."""
     paths = IngestPaths(out_root)
     parent = f"{paths.logs}/log_date={day}"
+    recover_swap(spark, parent)
     olds = _batch_dirs(spark, parent, upto_batch_id)
     if len(olds) <= 1:
         return len(olds)
@@ -287,7 +309,7 @@ def compact_logs_day(spark: SparkSession, out_root: str, day: str, upto_batch_id
             .drop("log_date", "batch_id"))
     keys = ["service_name", "ts"]
     ranged = rows.repartitionByRange(num_files, *keys) if num_files else rows.repartitionByRange(*keys)
-    tmp = f"{paths.logs}/_compact_{day}_{upto_batch_id}"
+    tmp = f"{parent}/_merged-{upto_batch_id}"
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(tmp)
     _swap_in(spark, parent, tmp, upto_batch_id, olds)
     return len(olds)
@@ -306,6 +328,7 @@ def compact_deltas(spark: SparkSession, out_root: str, table: str, upto_batch_id
     paths = IngestPaths(out_root)
     path = getattr(paths, {"metrics_1s": "metrics_1s", "metrics_1m": "metrics_1m",
                            "service_registry": "registry"}[table])
+    recover_swap(spark, path)
     olds = _batch_dirs(spark, path, upto_batch_id)
     if len(olds) <= 1 and ttl is None:
         return len(olds)
@@ -321,7 +344,7 @@ def compact_deltas(spark: SparkSession, out_root: str, table: str, upto_batch_id
     if ttl is not None:
         ts_col = "ts" if table.startswith("metrics") else "last_seen"
         merged = merged.filter(F.col(ts_col) > as_of_col(as_of) - F.expr(f"INTERVAL {ttl}"))
-    tmp = f"{path}/_compact_{upto_batch_id}"
+    tmp = f"{path}/_merged-{upto_batch_id}"
     merged.write.mode("overwrite").option("compression", "zstd").parquet(tmp)
     _swap_in(spark, path, tmp, upto_batch_id, olds)
     return len(olds)

@@ -13,7 +13,7 @@ def log_row(ts, service, severity_text, severity_number, body, trace_id, span_id
             log_attrs=(), res_attrs=None):
     res_attrs = res_attrs if res_attrs is not None else [("service.name", service)]
     return {
-        "ts": ts, "ts_nanos": None, "observed_ts": ts, "inserted_at": None,
+        "ts": ts, "ts_nanos": None, "observed_ts": ts, "observed_ts_nanos": None, "inserted_at": None,
         "trace_id": trace_id, "span_id": span_id, "severity_text": severity_text,
         "severity_number": severity_number, "service_name": service, "body": body,
         "body_type": "string", "scope_name": "test", "scope_version": "1.0.0",
@@ -28,7 +28,7 @@ def logs_df(spark, rows):
     df = spark.createDataFrame(
         [{**r, "ts": r["ts"].isoformat(sep=" "), "observed_ts": r["observed_ts"].isoformat(sep=" "),
           "log_date": r["log_date"].isoformat()} for r in rows],
-        "ts string, ts_nanos bigint, observed_ts string, inserted_at timestamp, trace_id string, "
+        "ts string, ts_nanos bigint, observed_ts string, observed_ts_nanos bigint, inserted_at timestamp, trace_id string, "
         "span_id string, severity_text string, severity_number int, service_name string, body string, "
         "body_type string, scope_name string, scope_version string, log_attr_keys array<string>, "
         "log_attr_values array<string>, res_attr_keys array<string>, res_attr_values array<string>, "

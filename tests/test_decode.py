@@ -277,3 +277,31 @@ def test_attrs_values_text_standalone(spark):
     df = spark.createDataFrame(data, T.StructType([T.StructField("attrs", T.ArrayType(KEY_VALUE_TYPE))]))
     got = [(r["k"], r["v"]) for r in df.select(attrs_keys("attrs").alias("k"), attrs_values_text("attrs").alias("v")).collect()]
     assert got == [(["a", "b", "c"], ["x", "5", '{"z":true}']), (["s"], ["only"]), ([], [])]
+
+
+@pytest.mark.parametrize("ct", ["application/json", "application/x-protobuf"])
+def test_fifty_thousand_records_in_one_request(spark, ct):
+    n = 50_000
+    recs = [record(traceId=f"{i:032x}", spanId=f"{i:016x}" if i % 2 else "") for i in range(n)]
+    rows, bad = flat(spark, request(resource([kv("service.name", s("a"))], scope(*recs))), ct)
+    assert not bad and len(rows) == n and len({r["trace_id"] for r in rows}) == n
+
+
+@pytest.mark.parametrize("ids", [("0" * 31, ""), ("0" * 33, ""), ("", "0" * 15), ("", "0" * 32), ("g" + "0" * 31, ""),
+                                 ("0" * 15 + "," + "0" * 16, ""), ("", ","), (",", "")])
+def test_one_bad_id_among_many(spark, ids):
+    recs = [record(), record(traceId="", spanId="")] * 50
+    recs.insert(40, record(traceId=ids[0], spanId=ids[1]))
+    rows, bad = flat(spark, request(resource([], scope(*recs))))
+    assert not rows and [b["error"] for b in bad] == ["invalid trace or span id"]
+
+
+def test_all_frames_are_read():
+    parts = [b"one" * 1000, b"", b"two", b"three" * 9]
+    for enc in ("gzip", "zstd"):
+        data = b"".join(codecs.compress_bytes(p, enc) for p in parts)
+        assert codecs.decompress_bytes(data, enc) == b"".join(parts)
+        with pytest.raises(Exception):
+            codecs.decompress_bytes(data[:-3], enc)
+    with pytest.raises(Exception):
+        codecs.decompress_bytes(codecs.compress_bytes(b"x", "zstd") + b"tail", "zstd")

@@ -19,7 +19,7 @@ def test_every_query_has_an_oracle():
 
 
 FAST = ["metrics_1s", "top_service_errors", "ingestion_series", "search_logs", "search_json",
-        "storage_outlook", "retention_bytes", "queue_stability", "synth_logs", "short_number",
+        "storage_outlook", "retention_bytes", "queue_stability", "short_number",
         "live_tail_view", "otlp_flatten"]
 
 

@@ -75,9 +75,9 @@ def test_apply_retention(spark, tmp_dir):
     path = tmp_dir + "/ret"
     ST.write_logs(logs_df(spark, rows), path)
     res = ST.apply_retention(spark, path, "2024-01-10 06:00:00", "5 days")
-    assert res["rewritten_day"] == "2024-01-05"
     assert sorted(res["dropped_days"]) == [f"2024-01-0{d}" for d in range(1, 5)]
-    left = sorted(r["body"] for r in ST.read_logs_table(spark, path).collect())
+    view = ST.retention_view(ST.read_logs_table(spark, path), "2024-01-10 06:00:00", "5 days")
+    left = sorted(r["body"] for r in view.collect())
     expected = sorted(f"{d}-{h}" for d in range(1, 11) for h in (0, 12)
                       if dt.datetime(2024, 1, d, h) > dt.datetime(2024, 1, 5, 6))
     assert left == expected
@@ -116,18 +116,29 @@ def test_retention_bytes_matches_brute_force(spark):
 
 def test_retention_on_queue_samples(spark, tmp_dir):
     from logpond.operators import queue as QU
-    from pyspark.sql import types as T
-    from logpond import schema as S
     rows = [(dt.datetime(2024, 1, d, h), "w", "LOGS", 0, 0, d * 100 + h) for d in (1, 2, 3) for h in (1, 13)]
     samples = spark.createDataFrame(rows, "ts timestamp, consumer_name string, stream_name string, "
                                           "num_ack_pending long, num_redelivered long, num_pending long")
     path = tmp_dir + "/qs"
     QU.append_samples(samples, path)
-    res = ST.apply_retention(spark, path, "2024-01-03 02:00:00", "1 day", date_col="sample_date",
-                             schema=T.StructType(S.QUEUE_SAMPLE_SCHEMA.fields + [T.StructField("sample_date", T.DateType())]))
-    assert res == {"dropped_days": ["2024-01-01"], "rewritten_day": "2024-01-02"}
+    res = ST.apply_retention(spark, path, "2024-01-03 02:00:00", "1 day", date_col="sample_date")
+    assert res == {"dropped_days": ["2024-01-01"]}
     left = sorted(r["num_pending"] for r in QU.read_samples(spark, path).collect())
-    assert left == [213, 301, 313]
+    assert left == [201, 213, 301, 313]
+    view = ST.retention_view(QU.read_samples(spark, path), "2024-01-03 02:00:00", "1 day")
+    assert sorted(r["num_pending"] for r in view.collect()) == [213, 301, 313]
+
+
+def test_running_sum_with_payload_and_hot_second(spark):
+    n = 400_000
+    t = F.when(F.col("id") % 3 == 0, F.lit("2024-01-01 00:00:30")).otherwise(
+        F.concat(F.lit("2024-01-01 00:"), F.lpad((F.col("id") % 60).cast("string"), 2, "0"), F.lit(":00"))).cast("timestamp")
+    df = spark.range(0, n, 1, 7).select("id", t.alias("ts"), F.lit(1).alias("size"), F.repeat(F.lit("x"), 50).alias("payload"))
+    got = running_sum_desc(df, ["ts", "id"], "size", num_partitions=16)
+    r = got.agg(F.countDistinct("running").alias("d"), F.min("running").alias("lo"), F.max("running").alias("hi")).first()
+    assert (r["d"], r["lo"], r["hi"]) == (n, 1, n)
+    wrong = got.selectExpr("*", "lead(running) OVER (PARTITION BY ts ORDER BY id DESC) - running AS step").where("step <> 1")
+    assert wrong.count() == 0
 
 
 def test_runway_rounds_half_to_even(spark):

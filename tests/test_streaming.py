@@ -128,3 +128,76 @@ def test_batch_with_bad_payload_writes_quarantine(spark, tmp_dir):
     assert I.read_stream_logs(spark, paths.root).count() == 300
     I.process_batch(env.unionByName(bad), 3, paths)   # replay: still one copy
     assert spark.read.parquet(paths.quarantine).count() == 1
+
+
+def test_replay_on_another_day_leaves_one_copy(spark, tmp_dir):
+    """Records without a time take the envelope's arrival time, so a second
+    attempt of a batch, whenever it runs, writes to the same day."""
+    import json
+    rec = {"severityNumber": 9, "severityText": "INFO", "body": {"stringValue": "b"}}
+    payload = json.dumps({"resourceLogs": [{"resource": {"attributes": []}, "scopeLogs": [{"logRecords": [rec] * 12}]}]})
+    env = spark.createDataFrame([(1, payload.encode(), "application/json", "", 1, "2024-03-05 23:59:59")],
+                                "batch_id long, payload binary, content_type string, content_encoding string, "
+                                "num_delivered int, received_at string").withColumn("received_at", F.col("received_at").cast("timestamp"))
+    paths = I.IngestPaths(tmp_dir + "/out")
+    for _ in range(2):
+        I.process_batch(env, 5, paths)
+    logs = I.read_stream_logs(spark, paths.root)
+    assert logs.count() == 12
+    assert [str(r[0]) for r in logs.select("log_date").distinct().collect()] == ["2024-03-05"]
+    assert I.read_metrics(spark, paths.root).agg(F.sum("logs_count")).first()[0] == 12
+
+
+def test_compaction_survives_a_crash_at_every_step(spark, tmp_dir, monkeypatch):
+    src, out = tmp_dir + "/src", tmp_dir + "/out"
+    _envelopes(spark, src)
+    assert I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1).awaitTermination(300)
+    upto = I.committed_batch_id(spark, out)
+    cols = ["trace_id", "span_id", "ts_nanos", "service_name", "body"]
+    before = _rows(I.read_stream_logs(spark, out).select(cols))
+    parent = I.IngestPaths(out).logs
+    day = next(d for d in os.listdir(parent) if d.startswith("log_date=")).split("=", 1)[1]
+    rename = I._rename
+
+    class Crash(Exception):
+        pass
+
+    for step in range(upto + 2):          # before each rename: three batches aside, then the merged one
+        done = []
+
+        def dying(fs, a, b):
+            if len(done) == step:
+                raise Crash
+            done.append(b)
+            rename(fs, a, b)
+
+        monkeypatch.setattr(I, "_rename", dying)
+        try:
+            I.compact_logs_day(spark, out, day, upto)
+            raise AssertionError("no crash")
+        except Crash:
+            pass
+        monkeypatch.setattr(I, "_rename", rename)
+        I.read_stream_logs(spark, out).count()                # readers go on
+        I.recover_swap(spark, f"{parent}/log_date={day}")
+        assert _rows(I.read_stream_logs(spark, out).select(cols)) == before
+    # after the merged folder has its place, before the old ones are gone
+    assert I.compact_logs_day(spark, out, day, upto) == upto + 1
+    os.makedirs(f"{parent}/log_date={day}/_aside-0")
+    I.recover_swap(spark, f"{parent}/log_date={day}")
+    assert not [d for d in os.listdir(f"{parent}/log_date={day}") if d.startswith("_")]
+    assert _rows(I.read_stream_logs(spark, out).select(cols)) == before
+
+
+def test_retention_on_the_streams_own_table(spark, tmp_dir):
+    from logpond.operators import storage as ST
+    src, out = tmp_dir + "/src", tmp_dir + "/out"
+    _envelopes(spark, src)
+    assert I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1).awaitTermination(300)
+    logs = I.read_stream_logs(spark, out)
+    first = logs.agg(F.min("ts")).first()[0].replace(tzinfo=None)
+    as_of = (first + __import__("datetime").timedelta(days=1, seconds=60)).isoformat(sep=" ")
+    want = ST.retention_view(logs, as_of, "1 day").count()
+    assert 0 < want < logs.count()
+    ST.apply_retention(spark, I.IngestPaths(out).logs, as_of, "1 day")
+    assert ST.retention_view(I.read_stream_logs(spark, out), as_of, "1 day").count() == want
