@@ -2,7 +2,8 @@
 
 A failed batch insert is a table of failures (one row per message with its
 delivery count). Routing is a pure column expression, so it runs where the
-failures are; due retries are unioned into the next batch by the stream.
+failures are; the ingest stream stores what it routes and unions due retries
+into its next batch (``streaming.ingest.process_batch``).
 """
 
 from __future__ import annotations

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logpond import schema as S
+from logpond.operators import retry as RT
 from logpond.operators import rollups as R
+from logpond.operators import storage as ST
 from logpond.sources.envelopes import decode_envelopes
 from logpond.sources.otlp_json import flatten, quarantine
 
@@ -58,6 +60,14 @@ class IngestPaths:
     def quarantine(self) -> str:
         return f"{self.root}/quarantine"
 
+    @property
+    def retries(self) -> str:
+        return f"{self.root}/retries"
+
+    @property
+    def dlq(self) -> str:
+        return f"{self.root}/dlq"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/_checkpoint"
@@ -88,12 +98,81 @@ def rollup_deltas(rows: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
-    """One micro-batch, usually two jobs.
+def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths, now=None) -> None:
+    """One micro-batch: retries that are due join it, and it is written by
+    ``write_batch``. When that fails, its envelopes are routed by their
+    delivery count (``operators.retry``): back to the retry table with a
+    delay, or to the dead letters; the stream goes on. Only a failure to
+    store the failures ends the query. ``now`` (a time) is for tests."""
+    spark = env.sparkSession
+    waiting = claimed_retries(spark, paths, batch_id, now)
+    if waiting is not None:
+        env = env.unionByName(waiting, allowMissingColumns=True)
+    try:
+        write_batch(env, batch_id, paths)
+    except Exception as e:  # noqa: BLE001 - any failed write is retried
+        store_failures(env, batch_id, paths, f"{type(e).__name__}: {e}", now)
+
+
+def _clock(now):
+    return F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+
+
+def store_failures(env: DataFrame, batch_id: int, paths: IngestPaths, reason: str, now=None) -> None:
+    """ST7 + S9: one folder of retries per failed batch and delay, and the
+    dead letters. Both are overwritten by batch, so a replay stores one copy."""
+    failed = env.withColumn("msg_id", F.xxhash64("payload", "received_at")).withColumn(
+        "failed_at", _clock(now)).withColumn("failure_reason", F.lit(reason))
+    routed = RT.retry_route(failed)
+    again = routed.filter(F.col("action") == "retry").drop("action", "msg_id", "failed_at", "failure_reason")
+    due = F.unix_seconds("next_attempt_at")
+    _overwrite_batch(again.withColumn("failed_batch", F.lit(batch_id).cast("bigint")).withColumn("due", due)
+                     .drop("delay_seconds", "next_attempt_at"), paths.retries, "failed_batch", "due")
+    _overwrite_batch(RT.dead_letters(routed).withColumn("failed_batch", F.lit(batch_id).cast("bigint")),
+                     paths.dlq, "failed_batch")
+
+
+def claimed_retries(spark: SparkSession, paths: IngestPaths, batch_id: int, now=None) -> DataFrame | None:
+    """The envelopes whose delay has passed, with their delivery count
+    advanced, or None. Their folders are first moved under this batch's name
+    (``_claimed-<batch>-...``), so a replay of the batch takes the same ones
+    and no other batch does; claims of earlier batches are done with."""
+    jvm, fs = _fs(spark, paths.retries)
+    Path = jvm.org.apache.hadoop.fs.Path
+    if not fs.exists(Path(paths.retries)):
+        return None
+    seconds = spark.range(1).select(F.unix_seconds(_clock(now)).alias("s")).first()["s"]
+    mine = f"_claimed-{batch_id}-"
+    taken = []
+    for st in fs.listStatus(Path(paths.retries)):
+        name = st.getPath().getName()
+        if name.startswith(mine):
+            taken.append(f"{paths.retries}/{name}")
+        elif name.startswith("_claimed-") and int(name.split("-")[1]) < batch_id:
+            fs.delete(st.getPath(), True)
+        elif name.startswith("failed_batch="):
+            failed = name.split("=", 1)[1]
+            if failed == str(batch_id):
+                continue                    # a replay: written by the attempt before
+            for d in fs.listStatus(st.getPath()):
+                due = d.getPath().getName()
+                if due.startswith("due=") and int(due[4:]) <= seconds:
+                    target = f"{paths.retries}/{mine}{failed}-{due[4:]}"
+                    _rename(fs, d.getPath(), Path(target))
+                    taken.append(target)
+    if not taken:
+        return None
+    rows = spark.read.schema(S.ENVELOPE_SCHEMA).parquet(*taken)
+    return rows.withColumn("num_delivered", (F.coalesce("num_delivered", F.lit(0)) + 1).cast("int"))
+
+
+def write_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
+    """The output of one micro-batch, usually two jobs.
 
     1. Decode (codec UDF + ``from_json``, once per payload) and flatten,
-       written as the batch's rows. An ``Observation`` on the decoded
-       envelopes counts decode errors in the same pass, so nothing is cached.
+       written as the batch's rows; a row with an id of the wrong length
+       (S5) fails the job. An ``Observation`` on the decoded envelopes counts
+       decode errors in the same pass, so nothing is cached.
     2. Rollup deltas: three columns of the rows just written are read back;
        the 1 s delta is computed once (its shuffle is reused by the 1 m and
        registry deltas) and all three are written by one job into
@@ -111,7 +190,10 @@ def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
     clock = F.unix_micros(F.coalesce("received_at", F.current_timestamp())) * 1000
     logs = (flatten(decoded, clock)
             .withColumn("inserted_at", F.date_trunc("second", F.current_timestamp()))
+            .withColumn("arrival", F.monotonically_increasing_id())
             .withColumn("batch_id", bid))
+    logs = logs.filter(F.when(ST.id_violation(), F.raise_error("an id has the wrong length").cast("boolean"))
+                       .otherwise(F.lit(True)))
     # within-task sort only: a micro-batch is appended as one file per task
     # and day, sorted for tight row-group statistics (the compaction job
     # range-partitions whole days later); the key starts with the partition
@@ -202,8 +284,11 @@ def start_ingest(spark: SparkSession, source_dir: str, out_root: str, *,
 
 # -- readers of the stream outputs (deltas are always summed on read) ---------
 def read_stream_logs(spark: SparkSession, out_root: str) -> DataFrame:
-    schema = T.StructType(S.LOGS_SCHEMA.fields + [T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(schema).parquet(IngestPaths(out_root).logs)
+    """The ingested rows; ``arrival_seq`` orders them by arrival (batch, then
+    place in the batch), as the live tail needs it."""
+    schema = T.StructType(S.LOGS_SCHEMA.fields + [T.StructField("arrival", T.LongType()), T.StructField("batch_id", T.LongType())])
+    logs = spark.read.schema(schema).parquet(IngestPaths(out_root).logs)
+    return logs.withColumn("arrival_seq", F.struct("batch_id", "arrival"))
 
 
 def read_metrics(spark: SparkSession, out_root: str, grain: str = "1s") -> DataFrame:
@@ -304,9 +389,11 @@ def compact_logs_day(spark: SparkSession, out_root: str, day: str, upto_batch_id
     olds = _batch_dirs(spark, parent, upto_batch_id)
     if len(olds) <= 1:
         return len(olds)
-    rows = (spark.read.parquet(paths.logs)
+    rows = (read_stream_logs(spark, out_root)
             .filter((F.col("log_date") == F.lit(day).cast("date")) & (F.col("batch_id") <= upto_batch_id))
-            .drop("log_date", "batch_id"))
+            # one batch id is left: the arrival order of the merged ones goes on in the number
+            .withColumn("arrival", F.col("arrival") - (F.lit(upto_batch_id) - F.col("batch_id")) * (1 << 50))
+            .drop("log_date", "batch_id", "arrival_seq"))
     keys = ["service_name", "ts"]
     ranged = rows.repartitionByRange(num_files, *keys) if num_files else rows.repartitionByRange(*keys)
     tmp = f"{parent}/_merged-{upto_batch_id}"

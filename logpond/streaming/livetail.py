@@ -4,7 +4,7 @@ A second streaming query over arriving log rows keeps a ring of the newest
 ``size`` arrivals. The ring is a small table (at most ``size`` rows) stored
 as one version per micro-batch: version N = top ``size`` of (version N-1
 union batch N) by arrival sequence. A replayed batch rewrites its own
-version, so restarts are safe. Failing to keep up never blocks ingest: the
+version, so restarts are safe; versions before the last two are removed. Failing to keep up never blocks ingest: the
 two queries are independent.
 """
 
@@ -38,6 +38,11 @@ def update_ring(batch: DataFrame, batch_id: int, root: str, arrival_col: str, si
     if prev:
         rows = spark.read.parquet(f"{root}/v={prev[-1]}").unionByName(batch, allowMissingColumns=True)
     live_buffer(rows, arrival_col, size).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+    if prev:      # the version before stays, for its readers and for a replay of this batch
+        jvm = spark.sparkContext._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for v in prev[:-1]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/v={v}"), True)
 
 
 def start_live_tail(spark: SparkSession, rows_stream: DataFrame, root: str, checkpoint: str,

@@ -60,7 +60,7 @@ def test_live_tail_ring(spark, tmp_dir):
     ring = LT.read_ring(spark, root)
     assert ring.count() == 300
     assert ring.agg(F.min("arrival_seq")).first()[0] == rows.count() - 300
-    assert len([d for d in os.listdir(root) if d.startswith("v=")]) == 4
+    assert len([d for d in os.listdir(root) if d.startswith("v=")]) == 2
 
 
 def test_windowed_variant_has_watermark(spark, tmp_dir):
@@ -201,3 +201,55 @@ def test_retention_on_the_streams_own_table(spark, tmp_dir):
     assert 0 < want < logs.count()
     ST.apply_retention(spark, I.IngestPaths(out).logs, as_of, "1 day")
     assert ST.retention_view(I.read_stream_logs(spark, out), as_of, "1 day").count() == want
+
+
+def test_failed_writes_are_retried_then_dead(spark, tmp_dir, monkeypatch):
+    src = tmp_dir + "/src"
+    _envelopes(spark, src)
+    env = read_envelopes(spark, src)
+    a, b = env.filter(F.col("batch_id") < 2), env.filter((F.col("batch_id") >= 2) & (F.col("batch_id") < 5))
+    old = env.filter(F.col("batch_id") == 7).withColumn("num_delivered", F.lit(10))
+    paths = I.IngestPaths(tmp_dir + "/out")
+    write = I.write_batch
+    monkeypatch.setattr(I, "write_batch", lambda *x: (_ for _ in ()).throw(OSError("no store")))
+    for _ in range(2):                                                # replayed: stored once
+        I.process_batch(a.unionByName(old), 1, paths, "2024-01-01 00:00:00")
+    assert spark.read.parquet(paths.dlq).count() == 1                 # tenth delivery
+    assert "no store" in spark.read.parquet(paths.dlq).first()["failure_reason"]
+    monkeypatch.setattr(I, "write_batch", write)
+    I.process_batch(b, 2, paths, "2024-01-01 00:00:02")               # not yet due
+    assert I.read_stream_logs(spark, paths.root).count() == 300
+    c = env.filter(F.col("batch_id") == 5)
+    for _ in range(2):                                                # due; replayed with the same claim
+        I.process_batch(c, 3, paths, "2024-01-01 00:01:00")
+        assert I.read_stream_logs(spark, paths.root).count() == 300 + 200 + 100
+    I.process_batch(env.filter(F.col("batch_id") == 6), 4, paths, "2024-01-01 00:02:00")
+    assert I.read_stream_logs(spark, paths.root).count() == 700       # taken once
+    assert I.read_metrics(spark, paths.root).agg(F.sum("logs_count")).first()[0] == 700
+
+
+def test_retries_run_out(spark, tmp_dir, monkeypatch):
+    src = tmp_dir + "/src"
+    _envelopes(spark, src)
+    env = read_envelopes(spark, src)
+    one, none = env.filter(F.col("batch_id") == 0).withColumn("num_delivered", F.lit(8)), env.filter(F.lit(False))
+    paths = I.IngestPaths(tmp_dir + "/out")
+    monkeypatch.setattr(I, "write_batch", lambda *x: (_ for _ in ()).throw(OSError("no store")))
+    for k, at in enumerate(["00:00:00", "02:00:00", "04:00:00", "06:00:00"]):
+        I.process_batch(one if k == 0 else none, k, paths, f"2024-01-01 {at}")
+    dead = spark.read.parquet(paths.dlq).collect()
+    assert len(dead) == 1 and dead[0]["num_delivered"] == 10
+
+
+def test_live_tail_over_ingested_rows(spark, tmp_dir):
+    from logpond.operators.livetail import live_tail_view
+    src, out, root = tmp_dir + "/src", tmp_dir + "/out", tmp_dir + "/ring"
+    _envelopes(spark, src)
+    assert I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1).awaitTermination(300)
+    logs = I.read_stream_logs(spark, out)
+    last = sorted(((r["batch_id"], r["arrival"], r["trace_id"]) for r in logs.collect()), reverse=True)[:50]
+    view = live_tail_view(logs, "arrival_seq", size=50, rows=50)
+    assert {r["trace_id"] for r in view.collect()} == {x[2] for x in last}
+    for b in range(3):
+        LT.update_ring(logs.filter(F.col("batch_id") == b), b, root, "arrival_seq", 50)
+    assert {r["trace_id"] for r in LT.read_ring(spark, root).collect()} == {x[2] for x in last}
