@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from logpond import schema as S
 from logpond.functions.values import unflatten_attrs
+from logpond.session import written
 
 _ORDER_COLUMNS = {"Timestamp": "ts", "ServiceName": "service_name"}
 
@@ -66,6 +67,21 @@ def _ts(v) -> Column:
     return F.lit(str(v)).cast("timestamp")
 
 
+_HEX = re.compile(r"^[0-9a-fA-F]+$")
+
+
+def _id_prefix(col: str, value: str, width: int, pattern: str) -> Column:
+    """Ids are stored in lower case, so a hexadecimal prefix is a range and a
+    whole id an equality: both reach the scan's statistics, a pattern does
+    not. Anything else (with wildcards, say) stays a pattern."""
+    if not _HEX.match(value) or len(value) > width:
+        return F.col(col).ilike(pattern)
+    low = value.lower()
+    if len(low) == width:
+        return F.col(col) == low
+    return (F.col(col) >= low) & (F.col(col) < low[:-1] + chr(ord(low[-1]) + 1))
+
+
 def filter_condition(f: LogFilter, has_log_date: bool = False) -> Column:
     """All present predicates ANDed; an empty filter is ``TRUE``."""
     conds: list[Column] = []
@@ -78,10 +94,12 @@ def filter_condition(f: LogFilter, has_log_date: bool = False) -> Column:
         conds.append(F.col("ts") <= _ts(f.end))
         if has_log_date:
             conds.append(F.col("log_date") <= F.to_date(_ts(f.end)))
-    for col, value in (("service_name", f.service_name), ("severity_text", f.severity_text),
-                       ("trace_id", f.trace_id), ("span_id", f.span_id)):
+    for col, value in (("service_name", f.service_name), ("severity_text", f.severity_text)):
         if value:
             conds.append(F.col(col).ilike(esc(value) + "%"))
+    for col, value, width in (("trace_id", f.trace_id, S.TRACE_ID_HEX_LEN), ("span_id", f.span_id, S.SPAN_ID_HEX_LEN)):
+        if value:
+            conds.append(_id_prefix(col, value, width, esc(value) + "%"))
     if f.severity_number > 0:
         conds.append(F.col("severity_number") == F.lit(int(f.severity_number)))
     if f.body:
@@ -101,9 +119,28 @@ def errors_only(logs: DataFrame) -> DataFrame:
     return logs.filter(F.col("severity_number") >= S.ERROR_SEVERITY_MIN)
 
 
+def key_columns(f: LogFilter) -> list[str]:
+    """The total order of a search: time to the nanosecond, then ids."""
+    first = ["ts", "ts_nanos"] if f.order_column == "ts" else [f.order_column]
+    return [*first, "trace_id", "span_id"]
+
+
 def _sort_keys(f: LogFilter) -> list[Column]:
-    keys = [f.order_column, "trace_id", "span_id"]
-    return [F.col(k).desc() if f.descending else F.col(k).asc() for k in keys]
+    return [F.col(k).desc() if f.descending else F.col(k).asc() for k in key_columns(f)]
+
+
+def search_after(logs: DataFrame, f: LogFilter, last: dict) -> DataFrame:
+    """The page that follows the row ``last`` (its ``key_columns``): deep
+    paging that keeps ``limit`` rows a task however far it goes. The bound on
+    the first column alone reaches the scan."""
+    def lit(k):
+        return _ts(last[k]) if k == "ts" else F.lit(last[k])
+
+    keys = key_columns(f)
+    here, there = F.struct(*[F.col(k) for k in keys]), F.struct(*[lit(k).alias(k) for k in keys])
+    first = F.col(keys[0])
+    beyond = (here < there) & (first <= lit(keys[0])) if f.descending else (here > there) & (first >= lit(keys[0]))
+    return apply_filter(logs, f).filter(beyond).orderBy(*_sort_keys(f)).limit(f.page_limit)
 
 
 def search_logs(logs: DataFrame, f: LogFilter) -> DataFrame:
@@ -120,8 +157,8 @@ def search_count(logs: DataFrame, f: LogFilter) -> DataFrame:
 def record_struct(df: DataFrame) -> Column:
     """API shape of one record (attributes as key/value lists)."""
     return F.struct(
-        F.col("ts").alias("timestamp"),
-        F.col("observed_ts").alias("observedTimestamp"),
+        _nano_text("ts", "ts_nanos").alias("timestamp"),
+        _nano_text("observed_ts", "observed_ts_nanos").alias("observedTimestamp"),
         F.col("trace_id").alias("traceId"),
         F.col("span_id").alias("spanId"),
         F.col("severity_text").alias("severityText"),
@@ -136,19 +173,24 @@ def record_struct(df: DataFrame) -> Column:
     )
 
 
-JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+def _nano_text(ts: str, nanos: str) -> Column:
+    """UTC time with as many fraction digits as it needs, up to nine."""
+    n = F.pmod(F.coalesce(F.col(nanos), F.unix_micros(ts) * 1000), F.lit(1_000_000_000))
+    fraction = F.regexp_replace(F.lpad(n.cast("string"), 9, "0"), "0+$", "")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(F.lit("")), F.lit("Z"))
 
 
 def search_page_with_total(logs: DataFrame, f: LogFilter) -> tuple[DataFrame, int]:
     """T1 + A11 in one scan: the filtered rows are counted by an
     ``Observation`` below the top-k, so computing the page also yields the
-    total. The page (at most ``limit`` rows) is cached so that building the
-    response from it does not scan again."""
+    total. The page (at most ``limit`` rows) is written to the checkpoint
+    folder, so building the response from it does not scan again and no
+    cache is left behind."""
     obs = Observation("search_total")
     counted = apply_filter(logs, f).observe(obs, F.count(F.lit(1)).alias("total"))
-    page = counted.orderBy(*_sort_keys(f)).offset(f.page_offset).limit(f.page_limit).cache()
-    page.count()
-    return page, int(obs.get["total"])
+    page = written(counted.orderBy(*_sort_keys(f)).offset(f.page_offset).limit(f.page_limit), "page")
+    return page.orderBy(*_sort_keys(f)), int(obs.get["total"])
 
 
 def search_json(logs: DataFrame, f: LogFilter, total: int | None = None) -> DataFrame:
@@ -160,7 +202,7 @@ def search_json(logs: DataFrame, f: LogFilter, total: int | None = None) -> Data
         page, total = search_page_with_total(logs, f)
     else:
         page = search_logs(logs, f)
-    ordered = page.select(F.struct(*[F.col(c) for c in (f.order_column, "trace_id", "span_id")]).alias("k"),
+    ordered = page.select(F.struct(*[F.col(c) for c in key_columns(f)]).alias("k"),
                           record_struct(page).alias("r"))
     arr = F.array_sort(F.collect_list(F.struct("k", "r")))
     if f.descending:
@@ -168,7 +210,7 @@ def search_json(logs: DataFrame, f: LogFilter, total: int | None = None) -> Data
     doc = ordered.agg(F.transform(arr, lambda x: x["r"]).alias("data"))
     return doc.select(F.to_json(F.struct(
         F.coalesce(F.col("data"), F.array()).alias("data"),
-        F.struct(F.lit(int(total)).alias("totalRowCount")).alias("meta")), JSON_OPTIONS).alias("json"))
+        F.struct(F.lit(int(total)).alias("totalRowCount")).alias("meta"))).alias("json"))
 
 
 # ---------------------------------------------------------------------------

@@ -92,18 +92,33 @@ JSON_PAGE = dict(order_by="ServiceName", descending=False, limit=20, offset=5, s
 , page AS (SELECT * FROM logs WHERE severity_text ILIKE 'FATAL%'
            ORDER BY service_name, trace_id, span_id LIMIT 20 OFFSET 5)
 SELECT CAST(row_number() OVER (ORDER BY service_name, trace_id, span_id) - 1 AS INTEGER) AS pos,
-       trace_id, service_name, body, severity_number,
+       trace_id, span_id, service_name, body, body_type, severity_number, severity_text, scope_name, scope_version,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S') || regexp_replace(regexp_replace('.' || lpad(CAST(ts_nanos % 1000000000 AS VARCHAR), 9, '0'), '0+$', ''), '[.]$', '') || 'Z' AS ts,
+       strftime(observed_ts, '%Y-%m-%dT%H:%M:%S') || regexp_replace(regexp_replace('.' || lpad(CAST(observed_ts_nanos % 1000000000 AS VARCHAR), 9, '0'), '0+$', ''), '[.]$', '') || 'Z' AS observed,
+       log_attr_keys[1] || '=' || log_attr_values[1] || ',' || log_attr_keys[2] || '=' || coalesce(log_attr_values[2], '') AS log_attrs,
+       res_attr_keys[1] || '=' || res_attr_values[1] AS res_attrs,
        (SELECT count(*) FROM logs WHERE severity_text ILIKE 'FATAL%') AS total
 FROM page""")
 def q_search_json(spark, sf_dir):
     doc = Q.search_json(read_logs(spark, sf_dir), Q.LogFilter(**JSON_PAGE))
-    # read the document back: one row per record with the response total
-    parsed = doc.select(F.from_json("json", "data array<struct<traceId string, serviceName string, body string,"
-                                            " severityNumber int>>, meta struct<totalRowCount bigint>").alias("d"))
+    # read the document back: every field of every record, and the total
+    kv = "array<struct<key string, value string>>"
+    parsed = doc.select(F.from_json(
+        "json", "data array<struct<traceId string, spanId string, serviceName string, body string, bodyType string,"
+                " severityNumber int, severityText string, scopeName string, scopeVersion string, timestamp string,"
+                f" observedTimestamp string, logAttributes {kv}, resourceAttributes {kv}>>,"
+                " meta struct<totalRowCount bigint>").alias("d"))
+
+    def pairs(c):
+        return F.array_join(F.transform(c, lambda a: F.concat(a["key"], F.lit("="), a["value"])), ",")
+
+    names = {"trace_id": "traceId", "span_id": "spanId", "service_name": "serviceName", "body": "body",
+             "body_type": "bodyType", "severity_number": "severityNumber", "severity_text": "severityText",
+             "scope_name": "scopeName", "scope_version": "scopeVersion", "ts": "timestamp", "observed": "observedTimestamp"}
     return parsed.select(F.posexplode("d.data").alias("pos", "r"), F.col("d.meta.totalRowCount").alias("total")) \
-        .select(F.col("pos").cast("int").alias("pos"), F.col("r.traceId").alias("trace_id"),
-                F.col("r.serviceName").alias("service_name"), F.col("r.body").alias("body"),
-                F.col("r.severityNumber").alias("severity_number"), "total")
+        .select(F.col("pos").cast("int").alias("pos"), *[F.col(f"r.{v}").alias(k) for k, v in names.items()],
+                pairs(F.col("r.logAttributes")).alias("log_attrs"), pairs(F.col("r.resourceAttributes")).alias("res_attrs"),
+                "total")
 
 
 @query("unflatten_attrs", BASE + """

@@ -28,6 +28,7 @@ from logpond import schema as S
 from logpond.operators import retry as RT
 from logpond.operators import rollups as R
 from logpond.operators import storage as ST
+from logpond.session import INGEST_SETTINGS
 from logpond.sources.envelopes import decode_envelopes
 from logpond.sources.otlp_json import flatten, quarantine
 
@@ -274,7 +275,13 @@ def start_ingest(spark: SparkSession, source_dir: str, out_root: str, *,
     trigger batches by time, ``maxFilesPerTrigger`` by size."""
     paths = IngestPaths(out_root)
     stream = envelope_stream(spark, source_dir, max_files_per_trigger)
-    w = (stream.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, paths))
+
+    def each(df: DataFrame, batch_id: int) -> None:
+        for key, value in INGEST_SETTINGS.items():      # the stream has a session of its own
+            df.sparkSession.conf.set(key, value)
+        process_batch(df, batch_id, paths)
+
+    w = (stream.writeStream.foreachBatch(each)
          .option("checkpointLocation", paths.checkpoint))
     if query_name:
         w = w.queryName(query_name)

@@ -1,9 +1,11 @@
+import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from logpond.operators import search as Q
-from tests.helpers import R1, R2, R3, R4, logs_df
+from tests.helpers import R1, R2, R3, R4, log_row, logs_df
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +130,36 @@ def test_unflatten_and_live_zip(spark):
     assert [[tuple(x) for x in g] for g in got] == [[("a", "1"), ("b", ""), ("c", "")], [], [("k", "v")]]
     live = [r["u"] for r in df.select(live_tail_attrs("k", "v").alias("u")).collect()]
     assert [[tuple(x) for x in g] for g in live] == [[("a", "1"), ("b", None), ("c", None)], [], [("k", "v")]]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_pages_by_key_equal_pages_by_offset(spark, descending):
+    rows = [log_row(dt.datetime(2024, 1, 1, 0, 0, i // 20), "s", "INFO", 9, str(i), f"{(i * 7) % 100:032d}", "0" * 16) for i in range(100)]
+    for i, r in enumerate(rows):
+        r["ts_nanos"] = 1704067200 * 10 ** 9 + i // 20 * 10 ** 9 + (i * 13) % 5      # below the microsecond
+    logs = logs_df(spark, rows)
+    whole = [r["body"] for r in Q.search_logs(logs, Q.LogFilter(limit=100, descending=descending)).collect()]
+    want = sorted(range(100), key=lambda i: (rows[i]["ts_nanos"], rows[i]["trace_id"]), reverse=descending)
+    assert whole == [str(i) for i in want]
+    f, got = Q.LogFilter(limit=30, descending=descending), []
+    page = Q.search_logs(logs, f).collect()
+    while page:
+        got += [r["body"] for r in page]
+        last = {k: page[-1][k] for k in Q.key_columns(f)}
+        last["ts"] = last["ts"].replace(tzinfo=None)
+        page = Q.search_after(logs, f, last).collect()
+    assert got == whole
+
+
+def test_id_prefix_is_pushed(spark, tmp_dir):
+    rows = [log_row(dt.datetime(2024, 1, 1), "s", "INFO", 9, str(i), f"{i:032x}", f"{i:016x}") for i in range(300)]
+    logs_df(spark, rows).write.parquet(tmp_dir + "/ids")
+    logs = spark.read.parquet(tmp_dir + "/ids")
+    for value in (f"{255:032x}", f"{255:032X}", "0" * 30 + "F", "0" * 29 + "12", "0%f", "zz"):
+        got = sorted(r["body"] for r in Q.apply_filter(logs, Q.LogFilter(trace_id=value)).collect())
+        like = sorted(r["body"] for r in logs.filter(F.col("trace_id").ilike(value + "%")).collect())
+        assert got == like
+    found = Q.apply_filter(logs, Q.LogFilter(trace_id="12")).select("body")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = found._jdf.queryExecution().explainString(mode)
+    assert "GreaterThanOrEqual(trace_id" in plan and "LessThan(trace_id" in plan
