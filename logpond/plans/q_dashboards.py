@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logpond import schema as S
 from logpond.operators import dashboards as D
 from logpond.operators import rollups as R
 from logpond.plans.oracle import logs_cte, metrics_1m_cte, metrics_1s_cte, ts_lit, with_ctes
 from logpond.plans.registry import ntz, query
+from logpond.session import scratch_path
 from logpond.sources.events_adapter import read_logs
+from logpond.streaming import ingest as I
 
 # Fixed query parameters (inside a burst of the dense clock at every scale)
 AS_OF_RATE = "2024-01-01 00:01:15"
@@ -22,6 +25,25 @@ def _m1s(spark, sf_dir):
     return R.metrics_1s(read_logs(spark, sf_dir))
 
 
+_ROLLUPS: dict = {}
+
+
+def rollup_root(spark, sf_dir) -> str:
+    """The rollup tables of the logs as the ingest writes them, by hour: made
+    once per session and input folder, read by every panel."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROLLUPS:
+        root = scratch_path(spark, "rollups")
+        I.write_rollups(read_logs(spark, sf_dir), 0, I.IngestPaths(root))
+        _ROLLUPS[key] = root
+    return _ROLLUPS[key]
+
+
+def recent(spark, sf_dir, grain, as_of, seconds):
+    """What a panel with that look-back reads: the hours it touches."""
+    return I.read_recent(spark, rollup_root(spark, sf_dir), grain, as_of, seconds)
+
+
 @query("metrics_1s", BASE + "SELECT ts, service_name, logs_count, errors_count FROM m1s")
 def q_metrics_1s(spark, sf_dir):
     m = _m1s(spark, sf_dir)
@@ -86,7 +108,7 @@ spine AS (SELECT unnest(generate_series(date_trunc('second', {ts_lit(AS_OF_RATE)
 SELECT svc.service_name, spine.ts, CAST(coalesce(w.n, 0) AS BIGINT) AS logs_count
 FROM svc CROSS JOIN spine LEFT JOIN w ON w.service_name = svc.service_name AND w.ts = spine.ts""")
 def q_ingestion_series(spark, sf_dir):
-    s = D.ingestion_series(_m1s(spark, sf_dir), AS_OF_RATE)
+    s = D.ingestion_series(recent(spark, sf_dir, "1s", AS_OF_RATE, S.INGESTION_WINDOW_SECONDS), AS_OF_RATE)
     return s.select("service_name", ntz("ts"), "logs_count")
 
 
@@ -103,7 +125,7 @@ SELECT svc.service_name, CAST(spine.idx AS INTEGER) AS idx,
 FROM svc CROSS JOIN spine LEFT JOIN w ON w.service_name = svc.service_name
   AND w.ts = date_trunc('second', {ts_lit(AS_OF_RATE)}) - INTERVAL 60 SECOND + spine.idx * INTERVAL 1 SECOND""")
 def q_ingestion_series_arrays(spark, sf_dir):
-    a = D.ingestion_series_arrays(_m1s(spark, sf_dir), AS_OF_RATE)
+    a = D.ingestion_series_arrays(recent(spark, sf_dir, "1s", AS_OF_RATE, S.INGESTION_WINDOW_SECONDS), AS_OF_RATE)
     z = a.select("service_name", F.posexplode(F.arrays_zip("timestamps", "counts")).alias("idx", "p"))
     return z.select("service_name", F.col("idx").cast("int").alias("idx"),
                     F.col("p.timestamps").alias("ts_ms"), F.col("p.counts").alias("logs_count"))
@@ -113,7 +135,7 @@ def q_ingestion_series_arrays(spark, sf_dir):
 SELECT coalesce(sum(errors_count) / nullif(sum(logs_count), 0), 0) * 100 AS current_rate
 FROM m1s WHERE ts >= {ts_lit(AS_OF_RATE)} - INTERVAL 5 MINUTE AND ts <= {ts_lit(AS_OF_RATE)}""")
 def q_error_rate(spark, sf_dir):
-    return D.error_rate(_m1s(spark, sf_dir), AS_OF_RATE)
+    return D.error_rate(recent(spark, sf_dir, "1s", AS_OF_RATE, 60 * S.ERROR_RATE_WINDOW_MINUTES), AS_OF_RATE)
 
 
 _TOP_SQL = BASE + f"""
@@ -125,7 +147,7 @@ GROUP BY service_name"""
 
 @query("top_service_errors", _TOP_SQL + " ORDER BY error_rate DESC, service_name ASC LIMIT 5")
 def q_top_service_errors(spark, sf_dir):
-    return D.top_service_errors(R.metrics_1m(_m1s(spark, sf_dir)), AS_OF_TOP)
+    return D.top_service_errors(recent(spark, sf_dir, "1m", AS_OF_TOP, 3600 * S.TOP_ERRORS_WINDOW_HOURS), AS_OF_TOP)
 
 
 @query("log_rate_stats", BASE + f"""
@@ -134,4 +156,4 @@ def q_top_service_errors(spark, sf_dir):
         FROM m1s WHERE ts >= date_trunc('second', {ts_lit(AS_OF_RATE)}) - INTERVAL 60 SECOND AND ts <= {ts_lit(AS_OF_RATE)})
 SELECT current_rate, avg_rate, coalesce(current_rate / nullif(avg_rate, 0), 0) AS ratio FROM s""")
 def q_log_rate_stats(spark, sf_dir):
-    return D.log_rate_stats(_m1s(spark, sf_dir), AS_OF_RATE)
+    return D.log_rate_stats(recent(spark, sf_dir, "1s", AS_OF_RATE, S.LOG_RATE_BASELINE_SECONDS), AS_OF_RATE)

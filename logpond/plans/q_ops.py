@@ -13,10 +13,9 @@ from logpond.operators import dashboards as D
 from logpond.operators import livetail as L
 from logpond.operators import queue as QU
 from logpond.operators import retry as RT
-from logpond.operators import rollups as R
 from logpond.operators.thresholds import error_rate_band
 from logpond.plans.oracle import logs_cte, metrics_1m_cte, metrics_1s_cte, ts_lit, with_ctes
-from logpond.plans.q_dashboards import AS_OF_RATE, AS_OF_TOP
+from logpond.plans.q_dashboards import AS_OF_RATE, AS_OF_TOP, recent
 from logpond.plans.registry import ntz, query
 from logpond.session import scratch_path
 from logpond.sources.events_adapter import dense_micros, read_logs
@@ -124,7 +123,7 @@ SELECT {_short_sql('current_rate')} AS value,
        ELSE 'text.secondary' END AS delta_colour
 FROM r""")
 def q_log_rate_card(spark, sf_dir):
-    return C.log_rate_card(D.log_rate_stats(R.metrics_1s(read_logs(spark, sf_dir)), AS_OF_RATE))
+    return C.log_rate_card(D.log_rate_stats(recent(spark, sf_dir, "1s", AS_OF_RATE, S.LOG_RATE_BASELINE_SECONDS), AS_OF_RATE))
 
 
 @query("error_level", METRICS + f"""
@@ -135,7 +134,7 @@ SELECT printf('%.2f', floor(r * 100 + 0.5) / 100) AS value,
   CASE WHEN r < 1 THEN 'success.main' WHEN r < 5 THEN 'warning.main' ELSE 'error.main' END AS delta_colour
 FROM e""")
 def q_error_level(spark, sf_dir):
-    return C.error_level(D.error_rate(R.metrics_1s(read_logs(spark, sf_dir)), AS_OF_RATE))
+    return C.error_level(D.error_rate(recent(spark, sf_dir, "1s", AS_OF_RATE, 60 * S.ERROR_RATE_WINDOW_MINUTES), AS_OF_RATE))
 
 
 @query("error_rate_band", METRICS + f"""
@@ -152,7 +151,7 @@ SELECT service_name, total_errors, error_rate,
        WHEN error_rate >= 0 THEN 'Minimal' END AS band_label
 FROM r""")
 def q_error_rate_band(spark, sf_dir):
-    rates = D.service_error_rates(R.metrics_1m(R.metrics_1s(read_logs(spark, sf_dir))), AS_OF_TOP)
+    rates = D.service_error_rates(recent(spark, sf_dir, "1m", AS_OF_TOP, 3600 * S.TOP_ERRORS_WINDOW_HOURS), AS_OF_TOP)
     return error_rate_band(rates, S.DEFAULT_THRESHOLDS)
 
 

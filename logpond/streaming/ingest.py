@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ from logpond import schema as S
 from logpond.operators import retry as RT
 from logpond.operators import rollups as R
 from logpond.operators import storage as ST
+from logpond.operators.dashboards import as_of_col
 from logpond.session import INGEST_SETTINGS
 from logpond.sources.envelopes import decode_envelopes
 from logpond.sources.otlp_json import flatten, quarantine
@@ -96,7 +97,20 @@ def rollup_deltas(rows: DataFrame) -> DataFrame:
     c = (m1s.groupBy("service_name").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
          .select(F.lit("service_registry").alias("kind"), null_ts.alias("ts"), "service_name",
                  null_n.alias("logs_count"), null_n.alias("errors_count"), "first_seen", "last_seen"))
-    return a.unionByName(b).unionByName(c)
+    return a.unionByName(b).unionByName(c).withColumn("bucket", bucket_of("ts"))
+
+
+def bucket_of(ts) -> Column:
+    """The hour folder of a rollup row, ``yyyy-MM-dd-HH`` (registry rows have
+    no time and lie in ``all``)."""
+    return F.coalesce(F.date_format(ts, "yyyy-MM-dd-HH"), F.lit("all"))
+
+
+def write_rollups(rows: DataFrame, batch_id: int, paths: IngestPaths) -> None:
+    """The rollup and registry deltas of one batch of log rows, by kind, hour
+    and batch."""
+    _overwrite_batch(rollup_deltas(rows).withColumn("batch_id", F.lit(batch_id).cast("bigint")),
+                     paths.rollups, "kind", "bucket", "batch_id")
 
 
 def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths, now=None) -> None:
@@ -177,7 +191,7 @@ def write_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
     2. Rollup deltas: three columns of the rows just written are read back;
        the 1 s delta is computed once (its shuffle is reused by the 1 m and
        registry deltas) and all three are written by one job into
-       ``rollups/kind=<kind>/batch_id=<id>``.
+       ``rollups/kind=<kind>/bucket=<hour>/batch_id=<id>``.
     3. Only when step 1 saw decode errors: the batch is decoded again and
        its bad payloads are written to the quarantine table.
     """
@@ -203,7 +217,7 @@ def write_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
                      paths.logs, "log_date", "batch_id")
     rows = batch_rows(spark, paths.logs, batch_id)
     if rows is not None:
-        _overwrite_batch(rollup_deltas(rows).withColumn("batch_id", bid), paths.rollups, "kind", "batch_id")
+        write_rollups(rows, batch_id, paths)
     if obs.get.get("errors", 0):
         bad = quarantine(decode_envelopes(env)).withColumn("batch_id", bid)
         _overwrite_batch(bad, paths.quarantine, "batch_id")
@@ -298,15 +312,38 @@ def read_stream_logs(spark: SparkSession, out_root: str) -> DataFrame:
     return logs.withColumn("arrival_seq", F.struct("batch_id", "arrival"))
 
 
-def read_metrics(spark: SparkSession, out_root: str, grain: str = "1s") -> DataFrame:
+DELTA_SCHEMA = T.StructType([
+    T.StructField("ts", T.TimestampType()), T.StructField("service_name", T.StringType()),
+    T.StructField("logs_count", T.LongType()), T.StructField("errors_count", T.LongType()),
+    T.StructField("first_seen", T.TimestampType()), T.StructField("last_seen", T.TimestampType()),
+    T.StructField("bucket", T.StringType()), T.StructField("batch_id", T.LongType())])
+
+
+def read_metrics(spark: SparkSession, out_root: str, grain: str = "1s", start=None, end=None) -> DataFrame:
+    """A summed rollup; with ``start`` and ``end`` (times) only the hours
+    between them are listed and read."""
     p = IngestPaths(out_root)
-    deltas = spark.read.parquet(p.metrics_1s if grain == "1s" else p.metrics_1m)
+    deltas = spark.read.schema(DELTA_SCHEMA).parquet(p.metrics_1s if grain == "1s" else p.metrics_1m)
+    if start is not None:
+        deltas = deltas.filter((F.col("bucket") >= bucket_of(as_of_col(start))) & (F.col("ts") >= as_of_col(start)))
+    if end is not None:
+        deltas = deltas.filter((F.col("bucket") <= bucket_of(as_of_col(end))) & (F.col("ts") <= as_of_col(end)))
     return R.metrics_compact(deltas.select("ts", "service_name", "logs_count", "errors_count"))
 
 
+def read_recent(spark: SparkSession, out_root: str, grain: str, as_of, seconds: int) -> DataFrame:
+    """``read_metrics`` of the last ``seconds`` before ``as_of`` and of the
+    second or minute that they begin in: what a panel with that look-back
+    needs."""
+    now = as_of_col(as_of)
+    start = F.date_trunc("minute" if grain == "1m" else "second", now) - F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+    return read_metrics(spark, out_root, grain, start, now)
+
+
 def read_registry(spark: SparkSession, out_root: str, first_seen: str = "global") -> DataFrame:
-    deltas = spark.read.parquet(IngestPaths(out_root).registry).select("service_name", "first_seen", "last_seen")
-    return R.registry_latest(deltas, first_seen)
+    deltas = spark.read.schema(DELTA_SCHEMA).parquet(IngestPaths(out_root).registry)
+    return R.registry_latest(deltas.select("service_name", "first_seen", "last_seen"), first_seen)
 
 
 def windowed_metrics_1s(logs_stream: DataFrame, watermark: str = "10 seconds") -> DataFrame:
@@ -413,35 +450,49 @@ def compact_deltas(spark: SparkSession, out_root: str, table: str, upto_batch_id
                    as_of=None, ttl: str | None = None) -> int:
     """Collapse the delta rows of batches ``<= upto`` of a rollup table
     (``metrics_1s``, ``metrics_1m``: summed; ``service_registry``: min / max)
-    into one partition, so readers scan one folder instead of one per
-    micro-batch. Results read through the summing readers are unchanged.
-    With ``ttl`` (e.g. ``"1 hour"`` for the 1 s rollup, ``"1 day"`` for the
-    1 m rollup) rows older than ``as_of - ttl`` are dropped on the way
-    (ST8 for the rollup tables)."""
-    from logpond.operators.dashboards import as_of_col
+    hour by hour into one folder each, so readers list one folder an hour
+    instead of one per micro-batch and hour. Results read through the summing
+    readers are unchanged. With ``ttl`` (e.g. ``"1 hour"`` for the 1 s rollup,
+    ``"1 day"`` for the 1 m rollup) hours that are expired whole are deleted
+    and expired rows of the edge hour dropped on the way (ST8 for the rollup
+    tables). Returns the number of batch folders merged."""
     paths = IngestPaths(out_root)
     path = getattr(paths, {"metrics_1s": "metrics_1s", "metrics_1m": "metrics_1m",
                            "service_registry": "registry"}[table])
-    recover_swap(spark, path)
-    olds = _batch_dirs(spark, path, upto_batch_id)
-    if len(olds) <= 1 and ttl is None:
-        return len(olds)
-    deltas = spark.read.parquet(path).filter(F.col("batch_id") <= upto_batch_id).drop("batch_id")
-    null_ts, null_n = F.lit(None).cast("timestamp"), F.lit(None).cast("bigint")
-    if table.startswith("metrics"):
-        merged = R.metrics_compact(deltas.select("ts", "service_name", "logs_count", "errors_count")).select(
-            "ts", "service_name", "logs_count", "errors_count", null_ts.alias("first_seen"), null_ts.alias("last_seen"))
-    else:
-        merged = R.registry_latest(deltas.select("service_name", "first_seen", "last_seen"), "global").select(
-            null_ts.alias("ts"), "service_name", null_n.alias("logs_count"), null_n.alias("errors_count"),
-            "first_seen", "last_seen")
-    if ttl is not None:
-        ts_col = "ts" if table.startswith("metrics") else "last_seen"
-        merged = merged.filter(F.col(ts_col) > as_of_col(as_of) - F.expr(f"INTERVAL {ttl}"))
-    tmp = f"{path}/_merged-{upto_batch_id}"
-    merged.write.mode("overwrite").option("compression", "zstd").parquet(tmp)
-    _swap_in(spark, path, tmp, upto_batch_id, olds)
-    return len(olds)
+    jvm, fs = _fs(spark, path)
+    Path = jvm.org.apache.hadoop.fs.Path
+    if not fs.exists(Path(path)):
+        return 0
+    is_metric = table.startswith("metrics")
+    cutoff = as_of_col(as_of) - F.expr(f"INTERVAL {ttl}") if ttl is not None else None
+    edge = spark.range(1).select(bucket_of(cutoff).alias("b")).first()["b"] if cutoff is not None and is_metric else None
+    merged_folders = 0
+    for name in sorted(st.getPath().getName() for st in fs.listStatus(Path(path))):
+        if not name.startswith("bucket="):
+            continue
+        bucket, parent = name.split("=", 1)[1], f"{path}/{name}"
+        if edge is not None and bucket < edge:
+            fs.delete(Path(parent), True)
+            continue
+        recover_swap(spark, parent)
+        olds = _batch_dirs(spark, parent, upto_batch_id)
+        expiring = cutoff is not None and (bucket == edge or not is_metric)
+        if not olds or len(olds) == 1 and not expiring:
+            merged_folders += len(olds)
+            continue
+        deltas = spark.read.schema(DELTA_SCHEMA).parquet(path).filter(
+            (F.col("bucket") == bucket) & (F.col("batch_id") <= upto_batch_id))
+        if is_metric:
+            merged = R.metrics_compact(deltas)
+        else:
+            merged = R.registry_latest(deltas, "global")
+        if expiring:
+            merged = merged.filter(F.col("ts" if is_metric else "last_seen") > cutoff)
+        tmp = f"{parent}/_merged-{upto_batch_id}"
+        merged.write.mode("overwrite").option("compression", "zstd").parquet(tmp)
+        _swap_in(spark, parent, tmp, upto_batch_id, olds)
+        merged_folders += len(olds)
+    return merged_folders
 
 
 def committed_batch_id(spark: SparkSession, out_root: str) -> int | None:
