@@ -194,7 +194,7 @@ def subtree(texts: list[bytes], counts: list[int], window: int) -> list[int]:
 def repeated(distinct: DataFrame, window: int, group: int) -> DataFrame:
     """rid, mask: repeated windows of distinct regions (h, region, n copies,
     rid)."""
-    sizes = distinct.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("m"))
+    sizes = saved(distinct.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("m")), "sizes")
     d = distinct.join(sizes, F.col("h") == F.col("h2")).drop("h2")
     one = F.lit(1).cast("long")
     windows = F.size(F.split(F.col("region").cast("string"), " ")) - window + 1
@@ -220,7 +220,7 @@ def repeated(distinct: DataFrame, window: int, group: int) -> DataFrame:
         F.sequence(F.lit(0), F.size("w") - window),
         lambda j: F.struct(j.alias("j"), F.unhex(F.md5(F.array_join(F.slice("w", j + 1, F.lit(window)), " ").cast("binary"))).alias("key")),
     )).alias("s")).select("rid", "n", "s.j", "s.key")
-    again = w.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key")
+    again = saved(w.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key"), "windows")
     long = w.join(again, "key", "left_semi").groupBy("rid").agg(
         F.bit_or(F.call_function("shiftleft", one, F.col("j"))).alias("mask"))
     return alone.unionByName(trees).unionByName(long)
@@ -247,7 +247,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     d = pick(docs, id=id_col, t=text_col).select("id", F.xxhash64("t").alias("th"), "t")
     survey = saved(surveyed(d, window, gram), "survey")
     hashes = survey.select("id", "th", F.explode("hashes").alias("h"))
-    more = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written first: a join of two plain shuffles, whose hot keys Spark can split
+    more = saved(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     again = saved(hashes.join(more, "h", "left_semi").groupBy(F.col("id").alias("id2"), F.col("th").alias("th2")).agg(
         F.collect_set("h").alias("hs")), "returning")
     size = again.agg(F.count("*").alias("n"), F.sum(F.size("hs")).alias("h")).first()
