@@ -21,7 +21,7 @@ def model():
 
 def test_ids_equal_the_tokenizers(model):
     rng = random.Random(1)
-    parts = ["the", "Thing's", " ", "  ", "\n", "é", "\u0301", "İ", "ß", "12", "'s", "\t", "|", "%%", "\u00a0", "Σ", "ﬁ", "<|endoftext|>"]
+    parts = ["the", "Thing's", " ", "  ", "\n", "é", "\u0301", "İ", "ß", "12", "'s", "\t", "|", "%%", "\u00a0", "Σ", "ﬁ", "<|endoftext|>", ".", ",.", "%%%", "!!", "\u212b", "\u0958", "ǅ", ")", "ª", "Ⅷ"]
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(500)]
     want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
     enc = op.Encoder(vocabulary())
