@@ -172,4 +172,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if repeated.isEmpty():
         return once
     again = rows_matching(docs, id_col, text_col, small_side(repeated, repeated.count(), 48), "left_semi")
-    return once.unionByName(again.dropDuplicates([id_col, text_col]))
+    names = docs.columns
+    flat = again.toDF(*[f"c{i}" for i in range(len(names))])
+    one = flat.dropDuplicates([f"c{names.index(id_col)}", f"c{names.index(text_col)}"])
+    return once.union(one.toDF(*names))

@@ -112,3 +112,15 @@ def test_one_of_rows_without_ids(spark):
                                 (6, "x y z")], "doc_id long, text string")
     got = sorted(map(tuple, op4.keep_one_of_each(df).collect()), key=str)
     assert got == sorted([(None, "a b c d"), (None, "other words here now"), (5, "x y z")], key=str)
+
+
+def test_clashing_columns(spark, tables):
+    d, _ = tables
+    rows = [(1, "a b c", "en", "s", 5, "T", "th", 7), (1, "a b c", "en", "s", 5, "T", "th", 7), (None, None, None, None, None, None, None, None),
+            (2, "token=abcdefgh", None, "s", 14, "T", "spans", 8)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", Text string, th string, c0 int")
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, d)
+        if name != "packing":
+            assert got.columns == docs.columns
+        assert got.count() == {"near-dedup": 3, "packing": 4}.get(name, got.count())
