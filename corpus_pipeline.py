@@ -14,8 +14,9 @@ once per distinct (id, text).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logpond.llm.common import load
 from logpond.llm.op2_decontaminate import clean_documents
@@ -24,25 +25,40 @@ from logpond.llm.op4_simhash import keep_one_of_each
 from logpond.llm.op8_packing import best_fit
 from logpond.llm.op9_quality_model import keep_quality
 from logpond.llm.queries import QUALITY_LEAST, vocabulary
-from logpond.session import scratch_path
+from logpond.session import apply_runtime_defaults, scratch_path
+
+
+def _stage(fn):
+    """Session settings and the package on the executors, however a stage is
+    called."""
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apply_runtime_defaults(spark)
+        return fn(spark, docs, sf_dir)
+    return run_stage
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs, load(spark, sf_dir, "labels"), QUALITY_LEAST)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean_documents(docs, load(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mask_secrets(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit(docs, vocabulary()).withColumnRenamed("id", "doc_id")
 
