@@ -72,12 +72,6 @@ def split_words(c: Column, separators: str = WORD_SPLIT) -> Column:
     return F.array_remove(F.split(c, separators), "")
 
 
-def input_splits(df: DataFrame, name: str = "deal") -> DataFrame:
-    """Deal rows out evenly (round robin) before costly per-row work, whatever
-    files they came from."""
-    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def ranked(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
     """Adds ``out``: a gapless rank from 0 within ``group``, also for groups
     that hold most of the rows. A group is dealt into chunks by a hash of

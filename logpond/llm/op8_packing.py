@@ -24,19 +24,20 @@ from __future__ import annotations
 import os
 import zlib
 from collections import defaultdict
-from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logpond.llm.common import input_splits, pick, ranked, saved
+from logpond.llm.common import pick, ranked, saved
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 150_000     # words whose ids a Python worker remembers
+CACHE_WORDS = 700_000     # words whose ids a Python worker remembers
 CACHE_LENGTH = 64         # longer words are encoded each time
+TAIL = ".,;:!?%&*#$|)"    # one run of these after letters is a piece of its own
 ROWS = 256                # texts whose new words are encoded together
 
 _encoders: dict = {}
@@ -53,27 +54,60 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
+        vocab = self.model.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)       # tokens that end a word
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone, encoded as one line: each ends with one
+        word-ending token. If the counts differ (letters that the normalizer
+        takes apart), one by one."""
+        ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._encode(words)
+        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _learn(self, new: list[str], into: dict[str, bytes]) -> None:
+        """Ids of ``new`` parts. A part that is letters (which stay letters
+        when normalized) and then a run of ``TAIL`` characters is the ids of
+        both, cut where the tokenizer cuts too."""
+        other, stems, longer = set(), set(), []
+        for w in new:
+            s = w.rstrip(TAIL)
+            if s.isascii() and s.isalpha() or s.isalpha() and is_normalized("NFC", s) and "\u0130" not in s:
+                stems.add(s)
+                if len(s) < len(w):
+                    longer.append((w, s, w[len(s):]))
+            else:
+                other.add(w)
+        letters = [s for s in stems if s not in into]
+        for at in range(0, len(letters), 1000):
+            into.update(zip(letters[at:at + 1000], self._encode_letters(letters[at:at + 1000])))
+        other = [w for w in other.union(x[2] for x in longer) if w not in into]
+        for at in range(0, len(other), 1000):
+            into.update(zip(other[at:at + 1000], self._encode(other[at:at + 1000])))
+        for w, s, tail in longer:
+            into[w] = into[s] + into[tail]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = {w for parts in cut for w in parts if w not in known}
-        if len(known) + len(new) > CACHE_WORDS:
-            known = self.known = {"": b""}
-            new = {w for parts in cut for w in parts if w}
-        rare: dict[str, bytes] = {}
-        todo = iter(new)
-        while part := list(islice(todo, 4096)):
-            for w, b in zip(part, self._encode(part)):
-                (known if len(w) <= CACHE_LENGTH else rare)[w] = b
-        if not rare:
-            return [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        return [b"".join([rare[w] if len(w) > CACHE_LENGTH else known[w] for w in parts]) for parts in cut]
+        seen = {w for parts in cut for w in parts}
+        new = [w for w in seen if w not in self.known]
+        if len(self.known) + 2 * len(new) > CACHE_WORDS:
+            self.known = {"": b""}
+            new = [w for w in seen if w]
+        self._learn([w for w in new if len(w) <= CACHE_LENGTH], self.known)
+        known, rare = self.known, [w for w in new if len(w) > CACHE_LENGTH]
+        if rare:
+            known = {**{w: known[w] for w in seen if len(w) <= CACHE_LENGTH}, **dict(zip(rare, self._encode(rare)))}
+        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
 
 def encoder(path: str) -> Encoder:
@@ -232,5 +266,5 @@ def pack(piece_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def best_fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
              capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    table = saved(pieces(input_splits(docs), vocabulary, id_col, text_col, capacity, end_id, with_ids), "pieces")
+    table = saved(pieces(docs, vocabulary, id_col, text_col, capacity, end_id, with_ids), "pieces")
     return pack(table, capacity)
