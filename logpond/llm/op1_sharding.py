@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logpond.llm.common import pick, ranked, saved
+from logpond.llm.common import pick, ranked, saved, small_side
 
 SHARDS = 16
 ROUNDS = 6
@@ -129,8 +129,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     base = saved(d.select(
         "id", (F.octet_length("t") + 1).cast("long").alias("size"), F.crc32(F.col("t").cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2("t", 256)).alias("key"), F.monotonically_increasing_id().alias("row")), "texts")
-    shared = base.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.col("key").alias("hub"))
+    shared = saved(base.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(
+        "key", F.col("key").alias("hub")), "hubs")
     start = ranked(base.select("row", "key", F.lit(0).alias("all")), ["all"], ["row"], "rank")
-    nodes = start.join(shared, "key", "left").select("row", "hub", (F.col("rank") % shards).cast("int").alias("shard"))
+    nodes = start.join(small_side(shared, shared.count(), 128), "key", "left").select("row", "hub", (F.col("rank") % shards).cast("int").alias("shard"))
     placed = ranked(propagate(nodes, shards, rounds), ["shard"], ["hub", "row"], "slot")
     return base.drop("key").join(placed, "row").select("id", "size", "text_crc32", "hub", "shard", "slot")
