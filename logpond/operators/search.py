@@ -224,7 +224,7 @@ _INT = re.compile(r"^[+-]?[0-9]+$")
 
 def _parse_int(name: str, s: str | None) -> int:
     if s is None or not _INT.match(s):
-        raise ValueError(f"invalid {name} type")
+        raise ValueError(f"{name} must be a whole number, got {s!r}")
     return int(s)
 
 
@@ -240,12 +240,12 @@ def parse_search_params(params: dict[str, str]) -> LogFilter:
         try:
             start = dt.datetime.strptime(get("startTime"), _TIME_LAYOUT)
         except ValueError as e:
-            raise ValueError("invalid start time type") from e
+            raise ValueError(f"startTime must look like 2024-01-31T12:00:00, got {get('startTime')!r}") from e
     if get("endTime"):
         try:
             end = dt.datetime.strptime(get("endTime"), _TIME_LAYOUT)
         except ValueError as e:
-            raise ValueError("invalid end time type") from e
+            raise ValueError(f"endTime must look like 2024-01-31T12:00:00, got {get('endTime')!r}") from e
     order_by = get("orderBy") if get("orderBy") in S.ORDER_FIELDS else S.DEFAULT_ORDER_FIELD
     desc = params.get("descending")
     if desc in _TRUE:
@@ -253,7 +253,7 @@ def parse_search_params(params: dict[str, str]) -> LogFilter:
     elif desc in _FALSE:
         descending = False
     else:
-        raise ValueError("invalid descending type")
+        raise ValueError(f"descending must be true or false, got {desc!r}")
     severity_number = _parse_int("severityNumber", get("severityNumber")) if get("severityNumber") else -1
     limit = _parse_int("limit", params.get("limit"))
     offset = _parse_int("offset", params.get("offset"))
