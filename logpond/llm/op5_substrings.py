@@ -11,8 +11,9 @@ out costs many times the corpus, so suffixes are first thinned without loss:
 2. Around each anchor that occurs again, the run of windows that chose it is
    cut out as a region, at most ``WINDOW + GRAM_WINDOW - 1`` words.
 3. Regions are partitioned by the anchor sequence, the prefix that all their
-   anchored suffixes share, and equal regions are merged with a count, so a
-   passage copied everywhere is one region.
+   anchored suffixes share. Equal regions are counted by a 64-bit digest
+   inside their partition, so a passage copied everywhere is one region; only
+   regions that share an anchor with different ones go on with their words.
 4. In a partition of at most ``GROUP`` regions the suffixes, cut at
    ``WINDOW`` words, are sorted: the subtree in array form. Neighbours that
    agree in all their words lie under an internal node of that depth: a
@@ -22,8 +23,9 @@ out costs many times the corpus, so suffixes are first thinned without loss:
 5. Repeated windows go back to their documents, overlapping ones merge into
    the maximal repeats, and their words are removed.
 
-Equality is decided on the words themselves (in step 4's long prefixes by
-their 128-bit digest), hashes only rule out.
+Different regions are compared by their words (in step 4's long prefixes by
+a 128-bit digest); the digest that merges equal regions is only compared
+among regions with one anchor.
 
 Defined cases: a null or empty text has no words; texts under ``WINDOW``
 words lose nothing; repeated rows are documents of their own, so a row that
@@ -35,6 +37,7 @@ costs n log(GRAM_WINDOW).
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +45,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logpond.llm.common import BROADCAST_BYTES, pick, saved
+from logpond.llm.bloom import thinned
+from logpond.llm.common import pick, saved
 
 WINDOW = 35
 GRAM = 10
-GROUP = 500
+GROUP = 8000              # about 3 MB of regions in one partition
 KNOWN_WORDS = 400_000     # words whose hash a Python worker remembers
 
 
@@ -132,57 +136,59 @@ def surveyed(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(each, schema)
 
 
-def _with_text(docs: DataFrame, side: DataFrame, size: int) -> DataFrame:
-    """``docs`` joined with ``side`` (id2, th2, ...) of about ``size`` bytes."""
-    if size <= BROADCAST_BYTES:
-        side = F.broadcast(side)
-    return docs.join(side, docs["id"].eqNullSafe(side["id2"]) & (docs["th"] == side["th2"])).drop("id2", "th2")
+def _with_text(docs: DataFrame, side: DataFrame) -> DataFrame:
+    """``docs`` joined with the written table ``side`` (id2, th2, ...). A
+    Bloom filter of the ids wanted goes ahead of the shuffle of the texts."""
+    key = F.xxhash64("id", "th")
+    keys = side.select(F.xxhash64("id2", "th2").alias("k"))
+    few = thinned(docs, key, keys, side.count())
+    return few.join(side, few["id"].eqNullSafe(side["id2"]) & (few["th"] == side["th2"])).drop("id2", "th2")
 
 
-def regions(docs: DataFrame, wanted: DataFrame, size: int, window: int, gram: int) -> DataFrame:
-    """h, region (its words, joined by spaces), id, th, ats (words where it
+def regions(docs: DataFrame, wanted: DataFrame, window: int, gram: int) -> DataFrame:
+    """h, region (its words, joined by spaces), windows, id, th, ats (words where it
     starts): the regions of the anchors listed per document in ``wanted``
     (id2, th2, hs). Equal regions of a document are one row."""
-    d = _with_text(docs, wanted, size).select("id", "th", "t", "hs")
-    schema = d.select(F.lit(0).cast("long").alias("h"), F.lit(b"").cast("binary").alias("region"), "id", "th",
+    d = _with_text(docs, wanted).select("id", "th", "t", "hs")
+    schema = d.select(F.lit(0).cast("long").alias("h"), F.lit(b"").cast("binary").alias("region"),
+                      F.lit(0).alias("windows"), "id", "th",
                       F.array(F.lit(0)).alias("ats")).schema
 
     def each(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
-                row, hs, text, ats = [], [], [], []
+                row, hs, text, windows, ats = [], [], [], [], []
                 for k in range(part.num_rows):
                     words = words_of(part.column(2)[k].as_py())
                     h, first, end = anchors(words, window, gram)
-                    own: dict[bytes, tuple[int, list[int]]] = {}
+                    own: dict[bytes, tuple[int, int, list[int]]] = {}
                     for i in np.flatnonzero(np.isin(h, part.column(3)[k].values.to_numpy())).tolist():
                         a, z = int(first[i]), int(end[i])
-                        own.setdefault(b" ".join(words[a:z - 1 + window]), (int(h[i]), []))[1].append(a)
-                    for region, (hash_, at) in own.items():
+                        own.setdefault(b" ".join(words[a:z - 1 + window]), (int(h[i]), z - a, []))[2].append(a)
+                    for region, (hash_, size, at) in own.items():
                         row.append(k)
                         hs.append(hash_)
+                        windows.append(size)
                         text.append(region)
                         ats.append(at)
                 row = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hs, pa.int64()), pa.array(text, pa.binary()), part.column(0).take(row),
+                    [pa.array(hs, pa.int64()), pa.array(text, pa.binary()), pa.array(windows, pa.int32()), part.column(0).take(row),
                      part.column(1).take(row), pa.array(ats, pa.list_(pa.int32()))], names=schema.names)
 
     return d.mapInArrow(each, schema)
 
 
-def subtree(texts: list[bytes], counts: list[int], window: int) -> list[int]:
-    """Bit j of a region's mask: its window j is repeated among ``texts``
-    (``counts`` times each)."""
+def subtree(texts: list[bytes], window: int) -> list[int]:
+    """Bit j of a region's mask: its window j also starts elsewhere among
+    ``texts``. The suffixes are cut at the window's depth and sorted."""
     suffixes = []
     masks = [0] * len(texts)
     for r, text in enumerate(texts):
-        words = text.split(b" ")
-        n = len(words) - window + 1
-        if counts[r] > 1:
-            masks[r] = (1 << n) - 1
-        suffixes += [(words[j:j + window], r, j) for j in range(n)]
+        ends = [i for i, c in enumerate(text) if c == 32] + [len(text)]
+        starts = [0] + [e + 1 for e in ends[:-1]]
+        suffixes += [(text[starts[j]:ends[j + window - 1]], r, j) for j in range(len(ends) - window + 1)]
     suffixes.sort()
     for (a, r, j), (b, s, k) in zip(suffixes, suffixes[1:]):
         if a == b:                      # an internal node of the full depth above both leaves
@@ -191,52 +197,59 @@ def subtree(texts: list[bytes], counts: list[int], window: int) -> list[int]:
     return masks
 
 
-def repeated(distinct: DataFrame, window: int, group: int) -> DataFrame:
-    """rid, mask: repeated windows of distinct regions (h, region, n copies,
-    rid)."""
-    sizes = saved(distinct.groupBy(F.col("h").alias("h2")).agg(F.count("*").alias("m")), "sizes")
-    d = distinct.join(sizes, F.col("h") == F.col("h2")).drop("h2")
+def repeated(found: DataFrame, window: int, group: int) -> DataFrame:
+    """h, rid, mask: repeated windows of the distinct regions of ``found``
+    (h, rid, region, windows, ats; rid: a digest of the region).
+
+    Counting takes digests alone. A region that occurs twice is repeated
+    whole, and one that is alone with its anchor not at all; only where
+    different regions share an anchor their words decide, and only those,
+    one of each, are fetched."""
     one = F.lit(1).cast("long")
-    windows = F.size(F.split(F.col("region").cast("string"), " ")) - window + 1
-    alone = d.where("m = 1 and n > 1").select("rid", (F.call_function("shiftleft", one, windows) - 1).alias("mask"))
+    kinds = found.groupBy("h", "rid", "windows").agg(F.sum(F.size("ats")).alias("n"), F.min("uid").alias("uid"))
+    kinds = saved(kinds, "kinds")
+    several = saved(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "several")
+    whole = kinds.where("n > 1").select("h", "rid", (F.call_function("shiftleft", one, F.col("windows")) - 1).alias("mask"))
 
-    few = d.where((F.col("m") > 1) & (F.col("m") <= group)).groupBy("h").agg(
-        F.collect_list(F.struct("rid", "region", "n")).alias("g")).select("g")
+    firsts = saved(kinds.join(several, "h").select("uid", F.col("h").alias("h2"), "m"), "firsts")
+    texts = thinned(found.select("uid", "h", "rid", "region"), F.col("uid"), firsts.select("uid"), firsts.count())
+    texts = texts.join(firsts, "uid").drop("uid", "h2")
+    few = texts.where(F.col("m") <= group).groupBy("h").agg(F.collect_list(F.struct("rid", "region")).alias("g"))
 
     def each(batches):
         for b in batches:
-            rid, mask = [], []
-            for g in b.column(0):
-                members = g.as_py()
+            h, rid, mask = [], [], []
+            for k in range(b.num_rows):
+                members = b.column(1)[k].as_py()
+                h += [b.column(0)[k].as_py()] * len(members)
                 rid += [x["rid"] for x in members]
-                mask += subtree([x["region"] for x in members], [x["n"] for x in members], window)
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.binary()), pa.array(mask, pa.int64())], names=["rid", "mask"])
+                mask += subtree([x["region"] for x in members], window)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(rid, pa.int64()), pa.array(mask, pa.int64())],
+                                             names=["h", "rid", "mask"])
 
-    trees = few.mapInArrow(each, "rid binary, mask long").where("mask <> 0")
+    trees = few.mapInArrow(each, "h long, rid long, mask long").where("mask <> 0")
 
     # crowded partitions: the prefix is the whole window
-    w = d.where(F.col("m") > group).withColumn("w", F.split(F.col("region").cast("string"), " "))
-    w = w.select("rid", "n", F.explode(F.transform(
+    w = texts.where(F.col("m") > group).withColumn("w", F.split(F.col("region").cast("string"), " "))
+    w = w.select("h", "rid", F.explode(F.transform(
         F.sequence(F.lit(0), F.size("w") - window),
         lambda j: F.struct(j.alias("j"), F.unhex(F.md5(F.array_join(F.slice("w", j + 1, F.lit(window)), " ").cast("binary"))).alias("key")),
-    )).alias("s")).select("rid", "n", "s.j", "s.key")
-    again = saved(w.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key"), "windows")
-    long = w.join(again, "key", "left_semi").groupBy("rid").agg(
+    )).alias("s")).select("h", "rid", "s.j", "s.key")
+    again = saved(w.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "windows")
+    long = w.join(again, "key", "left_semi").groupBy("h", "rid").agg(
         F.bit_or(F.call_function("shiftleft", one, F.col("j"))).alias("mask"))
-    return alone.unionByName(trees).unionByName(long)
+    return whole.unionByName(trees).unionByName(long).groupBy("h", "rid").agg(F.bit_or("mask").alias("mask"))
 
 
-def _removed(words: list[bytes], marks, window: int) -> np.ndarray:
-    """Which words lie in a repeated window; marks: (ats, mask) pairs."""
-    edge = np.zeros(len(words) + 1, dtype=np.int64)
-    for ats, mask in marks:
-        while mask:
-            j = (mask & -mask).bit_length() - 1
-            at = np.asarray(ats) + j          # distinct places
-            edge[at] += 1
-            edge[at + window] -= 1
-            mask &= mask - 1
-    return np.cumsum(edge[:-1]) > 0
+def _removed(n: int, ats: pa.ListArray, masks: np.ndarray, window: int) -> np.ndarray:
+    """Which of ``n`` words lie in a repeated window. ``ats``: where each
+    region starts in the document; ``masks``: its repeated windows."""
+    counts = np.diff(ats.offsets.to_numpy())
+    at = ats.flatten().to_numpy()
+    bits = (np.repeat(masks, counts)[:, None] >> np.arange(62)) & 1
+    row, j = np.nonzero(bits)
+    edge = np.bincount(at[row] + j, minlength=n + 1)[:n + 1] - np.bincount(at[row] + j + window, minlength=n + 1)[:n + 1]
+    return np.cumsum(edge[:n]) > 0
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -249,18 +262,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     hashes = survey.select("id", "th", F.explode("hashes").alias("h"))
     # written first: a join of two plain shuffles, whose hot keys Spark can split
     more = saved(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    again = saved(hashes.join(more, "h", "left_semi").groupBy(F.col("id").alias("id2"), F.col("th").alias("th2")).agg(
-        F.collect_set("h").alias("hs")), "returning")
-    size = again.agg(F.count("*").alias("n"), F.sum(F.size("hs")).alias("h")).first()
-    found = saved(regions(d, again, size["n"] * 64 + (size["h"] or 0) * 8, window, gram).withColumn(
-        "rid", F.unhex(F.md5("region"))), "regions")
-    distinct = saved(found.groupBy("h", "region", "rid").agg(F.sum(F.size("ats")).alias("n")), "distinct")
-    masks = saved(repeated(distinct, window, group), "masks")
-    marks = found.select("rid", "id", "th", "ats").join(masks, "rid").groupBy(
+    again = saved(thinned(hashes, F.col("h"), more, more.count()).join(more, "h", "left_semi").groupBy(
+        F.col("id").alias("id2"), F.col("th").alias("th2")).agg(F.collect_set("h").alias("hs")), "returning")
+    found = saved(regions(d, again, window, gram).withColumns(
+        {"rid": F.xxhash64("region"), "uid": F.monotonically_increasing_id()}), "regions")
+    masks = saved(repeated(found, window, group), "masks")
+    marks = found.select("h", "rid", "id", "th", "ats").join(masks, ["h", "rid"]).groupBy(
         F.col("id").alias("id2"), F.col("th").alias("th2")).agg(F.collect_set(F.struct("ats", "mask")).alias("marks"))
-    marks = saved(marks, "marks")
-    size = marks.agg(F.count("*").alias("n"), F.sum(F.size("marks")).alias("m")).first()
-    touched = _with_text(d, marks, size["n"] * 64 + (size["m"] or 0) * 32).select("id", "th", "t", "marks")
+    touched = _with_text(d, saved(marks, "marks")).select("id", "th", "t", "marks")
     schema = touched.select("id", "th", F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("sha"),
                             F.lit(None).cast("string").alias("kept")).schema
 
@@ -269,8 +278,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             n, sha, kept = [], [], []
             for k in range(b.num_rows):
                 words = words_of(b.column(2)[k].as_py())
-                gone = _removed(words, [(m["ats"], m["mask"]) for m in b.column(3)[k].as_py()], window)
-                left = [w for w, g in zip(words, gone.tolist()) if not g]
+                m = b.column(3)[k].values
+                gone = _removed(len(words), m.field("ats"), m.field("mask").to_numpy(), window)
+                left = list(compress(words, (~gone).tolist()))
                 n.append(int(gone.sum()))
                 sha.append(_digest(left))
                 kept.append(b" ".join(left).decode("utf-8", "surrogatepass") if with_text else None)
