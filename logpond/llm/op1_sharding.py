@@ -68,24 +68,16 @@ def _flows(wish: dict[tuple[int, int], int], loose: dict[int, int], shards: int)
     return admitted, paid
 
 
-def _limits(flows: dict[tuple[int, int], int], shards: int) -> dict[int, list[tuple[int, int]]]:
-    """from -> [(rank below which, to)]."""
-    out: dict[int, list[tuple[int, int]]] = {}
+def _cuts(flows: dict[tuple[int, int], int], shards: int) -> list[tuple[int, int, int, int]]:
+    """(from, first rank, end of ranks, to): which ranks of a shard's loose
+    documents move where."""
+    out = []
     for f in range(shards):
         at = 0
         for t in range(shards):
             if n := flows.get((f, t), 0):
+                out.append((f, at, at + n, t))
                 at += n
-                out.setdefault(f, []).append((at, t))
-    return out
-
-
-def _target(flows: dict[tuple[int, int], int], frm: str, rank: str, shards: int):
-    """The shard a loose document moves to by its rank within its shard."""
-    out = F.col(frm)
-    for f, cuts in _limits(flows, shards).items():
-        for at, t in reversed(cuts):
-            out = F.when((F.col(frm) == f) & (F.col(rank) < at), F.lit(t)).otherwise(out)
     return out
 
 
@@ -107,15 +99,19 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
         admitted, paid = _flows(wish, loose, shards)
         if not admitted:
             break
-        allowed = F.lit(0)
-        for (f, t), n in admitted.items():
-            allowed = F.when((F.col("shard") == f) & (F.col("to") == t), F.lit(n)).otherwise(allowed)
+        # at most shards x shards rows each
+        spark = nodes.sparkSession
+        allowed = F.broadcast(spark.createDataFrame(
+            [(f, t, n) for (f, t), n in admitted.items()], "shard int, to int, allowed long"))
+        cuts = F.broadcast(spark.createDataFrame(_cuts(paid, shards), "f int, lo long, hi long, moved int"))
         linked = nodes.where("hub is not null").join(
             moves, (F.col("hub") == F.col("h")) & (F.col("shard") == F.col("s")), "left").select("row", "hub", "shard", "to")
-        willing = ranked(linked.where("to is not null"), ["shard", "to"], ["hub", "row"], "rank").select(
-            "row", "hub", F.when(F.col("rank") < allowed, F.col("to")).otherwise(F.col("shard")).alias("shard"))
-        free = ranked(nodes.where("hub is null"), ["shard"], ["row"], "rank").select(
-            "row", "hub", _target(paid, "shard", "rank", shards).alias("shard"))
+        willing = ranked(linked.where("to is not null"), ["shard", "to"], ["hub", "row"], "rank").join(
+            allowed, ["shard", "to"], "left").select(
+            "row", "hub", F.when(F.col("rank") < F.col("allowed"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
+        free = ranked(nodes.where("hub is null"), ["shard"], ["row"], "rank").join(
+            cuts, (F.col("shard") == F.col("f")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left").select(
+            "row", "hub", F.coalesce("moved", "shard").alias("shard"))
         nodes = saved(linked.where("to is null").select("row", "hub", "shard").unionByName(willing).unionByName(free),
                       "shards")
     return nodes
