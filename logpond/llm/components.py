@@ -2,7 +2,7 @@
 small-star joins (Kiveris et al., 2014).
 
 Every round is two aggregations and two joins, written to the checkpoint
-folder; rounds grow with the logarithm of the component size. Nothing is
+folder; the number of rounds is about log2 of the component size. Nothing is
 collected but a row count and a checksum of the edge table.
 """
 
