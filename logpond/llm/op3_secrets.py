@@ -1,8 +1,11 @@
 """Secret scan with a randomness test battery (DataFrame functions only).
 
-Base spans come from three fixed patterns. Beyond them, every long token
-that looks encoded (hex, base32, base36, base64) is put to a battery under
-the hypothesis that it is random in its inferred encoding:
+Base spans come from three fixed patterns. Beyond them, every long run of
+token characters is taken apart: ``=`` is padding at a token's end and a
+separator elsewhere (``NAME=VALUE``), and a token that fits no encoding as it
+stands is cut at ``/``, ``+``, ``_`` and ``-``. What fits one (hex, base32,
+base36, base64) is put to a battery under the hypothesis that it is random in
+its inferred encoding:
 
 * chi-squared test of a uniform alphabet,
 * runs test over the halves of the alphabet,
@@ -11,7 +14,7 @@ the hypothesis that it is random in its inferred encoding:
 The least p-value, times three, is the token's p-value (Bonferroni). Tokens
 that are not random (words, paths, names, counters) are cleared by
 Benjamini-Hochberg over all candidates of the corpus, separately for each
-length class, so short tokens, whose tests have little power, do not set the
+length class (pieces shorter than a run have their own), so short tokens, whose tests have little power, do not set the
 level of long ones: at most ``FDR`` of the cleared tokens are expected to be
 random. What is not cleared becomes a span of kind ``random``.
 
@@ -42,6 +45,9 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST = 6
 
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}"
+#: What lies between the separators of a run, with its padding; a piece that fits no encoding is cut into parts.
+PIECE = r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+PART = r"[A-Za-z0-9]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?"
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: encoding -> (what the token's body must match, alphabet); the first that fits is inferred
 ENCODINGS = {
@@ -55,7 +61,7 @@ ENCODINGS = {
 }
 FDR = 0.05
 MAX_STEP = 1200           # p-values below 1e-12 count as 1e-12
-LENGTH_CLASSES = 12       # floor(log2(length)), at most this
+LENGTH_CLASSES = 12       # floor(log2(length)), at most this; 3 for pieces of 16 to 23
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -85,20 +91,40 @@ def _erfc(df: DataFrame, x: str, out: str) -> DataFrame:
         out, poly * F.exp(-F.col(x) * F.col(x))).drop("_u")
 
 
-def encoded(tokens: DataFrame) -> DataFrame:
-    """Rows of ``tokens`` (column x) that look encoded, with ``body`` and
-    ``alphabet``. An encoded token has a digit and a letter, a base64 one
-    both cases."""
-    body = F.col("body")
+def _body(x: Column) -> Column:
+    return F.regexp_replace(x, "=+$", "")
+
+
+def _alphabet(body: Column) -> Column:
+    """Alphabet of the first encoding that ``body`` fits, or null. An encoded
+    token has a letter, a base64 one both cases."""
     alphabet = F.lit(None).cast("string")
     for name, (fits, letters) in reversed(ENCODINGS.items()):
         cond = body.rlike(fits)
         if name.startswith("base64"):
             cond = cond & body.rlike("[A-Z]") & body.rlike("[a-z]")
         alphabet = F.when(cond, F.lit(letters)).otherwise(alphabet)
-    return tokens.withColumn("body", F.regexp_replace("x", "=+$", "")).where(
-        (F.char_length("body") >= 16) & body.rlike("[0-9]") & body.rlike("[A-Za-z]")
-    ).withColumn("alphabet", alphabet).where("alphabet is not null")
+    return F.when((F.char_length(body) >= 16) & body.rlike("[A-Za-z]"), alphabet)
+
+
+def _moved(spans: Column, by: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(
+        (s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["x"].alias("x")))
+
+
+def _pieces(runs: Column) -> Column:
+    """The tokens in ``runs`` that can be tested: what lies between ``=``,
+    whole if it fits an encoding, else its parts."""
+    pieces = F.flatten(F.transform(runs, lambda r: _moved(_spans(r["x"], PIECE, 3), r["start"])))
+    return F.flatten(F.transform(pieces, lambda p: F.when(
+        _alphabet(_body(p["x"])).isNotNull(), F.array(p)).otherwise(_moved(_spans(p["x"], PART, 3), p["start"]))))
+
+
+def encoded(tokens: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` (column x) that look encoded, with ``body`` and
+    ``alphabet``."""
+    return tokens.withColumn("body", _body(F.col("x"))).withColumn(
+        "alphabet", _alphabet(F.col("body"))).where("alphabet is not null")
 
 
 def battery(rows: DataFrame) -> DataFrame:
@@ -137,19 +163,19 @@ def battery(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th, base (spans), token (start, end, text of long tokens that
-    overlap no base span): one row per input row, the only pass over the
-    texts."""
+    """id, th, base (spans), token (start, end, text of the tokens in long
+    runs that overlap no base span): one row per input row, the only pass over
+    the texts."""
     d = pick(docs, id=id_col, t=text_col).select("id", F.xxhash64("t").alias("th"),
                                                   F.coalesce("t", F.lit("")).alias("t"))
     t = F.col("t")
     d = d.select("id", "th", _spans(t, ASSIGN, 0).alias("assign"), _spans(t, ACCESS, 1).alias("access"),
                  _spans(t, HEX, 2).alias("hex"), _spans(t, TOKEN, 3).alias("token"))
     long_enough = F.filter("assign", lambda s: F.char_length(F.regexp_extract(s["x"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    d = d.select("id", "th", "token", F.array_sort(F.transform(
+    d = d.select("id", "th", _pieces(F.col("token")).alias("token"), F.array_sort(F.transform(
         F.concat(long_enough, "access", "hex"),
         lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).alias("base"))
-    fresh = F.filter("token", lambda s: s["x"].rlike("[0-9]") & ~F.exists(
+    fresh = F.filter("token", lambda s: ~F.exists(
         "base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
     return d.select("id", "th", "base", fresh.alias("token"))
 
@@ -161,7 +187,8 @@ def judged(cand: DataFrame) -> DataFrame:
     size = (F.col("end") - F.col("start")).cast("double")
     return battery(rows).select(
         "id", "th", "start", "end",
-        F.least(F.lit(LENGTH_CLASSES), F.floor(F.log2(size) + 1e-9).cast("int")).alias("cls"),
+        F.when(size < 24, F.lit(3)).otherwise(
+            F.least(F.lit(LENGTH_CLASSES), F.floor(F.log2(size) + 1e-9).cast("int"))).alias("cls"),
         F.least(F.lit(MAX_STEP), F.floor(-100 * F.log10(F.greatest("p", F.lit(1e-300)))).cast("int")).alias("step"))
 
 

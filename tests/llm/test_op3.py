@@ -97,3 +97,31 @@ def test_query_digest(spark, tmp_path, docs):
 
 def test_empty(spark, docs):
     assert op.scan(docs([(1, "a")]).where(F.lit(False))).count() == 0
+
+
+def test_random_values_of_names_parameters_and_paths(spark, docs):
+    rng = random.Random(3)
+    b64, url = op.ENCODINGS["base64"][1], op.ENCODINGS["base64url"][1]
+    word = url[:62]
+    forms = [("AWS_SECRET_ACCESS_KEY=", b64, 40, "", " more"), ("AccountKey=", b64, 86, "==", ";Suffix"),
+             ("see https://a.example/p?sig=", url, 43, "", "&b=1"), ("export DB_PASS=", word, 32, "", "\n"),
+             ("GET /ab_cd/", word, 40, "", " ok"), ("id sk_live/", word, 32, "", "."), ("MY_KEY=", word[:52], 32, "", "")]
+    rows, want = [], {}
+    for i in range(20 * len(forms)):
+        head, letters, n, pad, tail = forms[i % len(forms)]
+        rows.append((i, head + "aZ" + "".join(rng.choices(letters, k=n - 4)) + "qX" + pad + tail))
+        want[i] = (len(head), 3, len(head) + n + len(pad))
+    for i in range(1000, 1150):
+        w = "".join(rng.choices(["Path", "name", "tion", "item", "node"], k=10))
+        rows.append((i, f"CLASS_NAME={w} /some_dir/{w}"))
+    got = {r["id"]: [tuple(s) for s in r["spans"]] for r in op.scan(docs(rows)).collect()}
+    for k, form in enumerate(forms):
+        assert sum(got[i] == [want[i]] for i in range(k, 20 * len(forms), len(forms))) >= 18, form
+    assert sum(bool(got[i]) for i in range(1000, 1150)) <= 6
+
+
+def test_piece_beside_a_base_span(spark, docs):
+    rng = random.Random(4)
+    tok = "aZ" + "".join(rng.choices(op.ENCODINGS["base64url"][1][:62], k=44)) + "qX"
+    (r,) = op.scan(docs([(1, "é x=" + "0af39" * 6 + "=" + tok)])).collect()
+    assert [tuple(s) for s in r["spans"]] == [(4, 2, 34), (35, 3, 83)]
