@@ -3,14 +3,17 @@ while their row counts stay at most one apart.
 
 Documents are linked through hubs (here: documents of equal text share a
 hub). Start: documents are dealt out evenly by rank. Round: every linked
-document votes for the shard where most of its neighbours are; a shard
-admits as many as it can pay for, by handing over as many unlinked
-documents (they have no edge to cut) or linked ones that leave anyway. So
-every round keeps all counts as they were, and rounds end when no cut edge
+document votes for a shard where its neighbours are, in the first round the
+one with most of them; after it, half of the hubs (dealt anew each round) take
+any of their shards, so that what could not move one way can be met by what
+moves the other way. A shard admits as many as leave it, in swaps and cycles
+between shards, and as many more as it can pay for with unlinked documents
+(they have no edge to cut). So every round keeps all counts as they were, no
+hub comes to a shard where it has not been, and rounds end when no cut edge
 can be mended or ``ROUNDS`` is reached.
 
-A hub larger than what its shard can admit fills that shard and goes on to
-vote for one that still has unlinked documents to hand over. Votes are
+A hub of more than half a shard always votes for where it has most, and goes
+on to another shard when that one had to turn rows away. Votes are
 counts by (hub, shard), at most ``shards`` rows a hub however
 large it is, joined back to the members; no hub is ever collected and no
 pairs are made. Which of the willing documents move is decided by an exact,
@@ -36,21 +39,52 @@ def _flows(wish: dict[tuple[int, int], int], loose: dict[int, int], shards: int)
     """How many linked documents may move along each (from, to), and how many
     loose ones make room: what a shard takes in beyond what leaves it is paid
     with loose documents. Counts only, at most shards x shards."""
+    left = {k: n for k, n in wish.items() if n > 0}
     admitted: dict[tuple[int, int], int] = {}
-    for t in range(shards):
-        room = loose.get(t, 0)
-        for f in range(shards):
-            n = min(wish.get((f, t), 0), room)
-            if n > 0:
-                admitted[f, t] = n
-                room -= n
-    # mutual moves need no room: what was cut off on both sides is swapped
-    for f in range(shards):
-        for t in range(f):
-            n = min(wish.get((f, t), 0) - admitted.get((f, t), 0), wish.get((t, f), 0) - admitted.get((t, f), 0))
+
+    def admit(edges, n):
+        for e in edges:
+            admitted[e] = admitted.get(e, 0) + n
+            left[e] -= n
+            if not left[e]:
+                del left[e]
+
+    # swaps and cycles need no room
+    for f, t in sorted(left):
+        if f < t and (t, f) in left:
+            admit([(f, t), (t, f)], min(left[f, t], left[t, f]))
+    targets: dict[int, list[int]] = {}
+    for f, t in sorted(left):
+        targets.setdefault(f, []).append(t)
+    order: dict[int, None] = {}     # shards without a way into a cycle, targets before sources
+    for root in range(shards):
+        path = [] if root in order else [root]
+        while path:
+            f = path[-1]
+            ways = targets.get(f, [])
+            while ways and ((f, ways[-1]) not in left or ways[-1] in order):
+                ways.pop()
+            if not ways:
+                order[path.pop()] = None
+            elif ways[-1] in path:
+                at = path.index(ways[-1])
+                cycle = list(zip(path[at:], [*path[at + 1:], ways[-1]]))
+                admit(cycle, min(left[e] for e in cycle))
+                del path[at + 1:]
+            else:
+                path.append(ways[-1])
+    # no cycle is left: departures and loose documents make room
+    room = {s: loose.get(s, 0) for s in range(shards)}
+    sources: dict[int, list[int]] = {}
+    for f, t in sorted(left):
+        sources.setdefault(t, []).append(f)
+    for t in order:
+        for f in sources.get(t, []):
+            n = min(left[f, t], room[t])
             if n > 0:
-                admitted[f, t] = admitted.get((f, t), 0) + n
-                admitted[t, f] = admitted.get((t, f), 0) + n
+                admit([(f, t)], n)
+                room[t] -= n
+                room[f] += n
     net = [0] * shards
     for (f, t), n in admitted.items():
         net[t] += n
@@ -86,19 +120,32 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     dealt) -> row, hub, shard after propagation; the counts per shard are
     kept exactly."""
     nodes = saved(nodes.select("row", "hub", "shard"), "shards")
-    for _ in range(rounds):
+    # hubs of more than half a shard: fewer than 2 x shards
+    big = saved(nodes.where("hub is not null").groupBy("hub").agg(F.count("*").alias("n")).where(
+        F.col("n") * (2 * shards) > nodes.count()).select("hub", F.lit(True).alias("big")), "big")
+    closed: set[int] = set()
+    for turn in range(rounds):
         loose = {r["shard"]: r["n"] for r in
                  nodes.where("hub is null").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        votes = nodes.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n"))
+        votes = nodes.where("hub is not null").groupBy("hub", "shard").agg(F.count("*").alias("n")).join(
+            F.broadcast(big), "hub", "left").withColumn("big", F.coalesce("big", F.lit(False)))
         # most neighbours first; ties go by a hash, so that hubs spread over the shards
-        votes = saved(votes.withColumn("vote", F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")), "votes")
-        best = votes.where(F.col("shard").isin(sorted(loose))).groupBy("hub").agg(F.max("vote").alias("best"))
+        free_choice = ~F.col("big") & F.lit(turn > 0) & (F.pmod(F.xxhash64("hub", F.lit(turn)), F.lit(2)) == 1)
+        votes = saved(votes.withColumn("vote", F.struct(
+            F.when(free_choice, F.lit(0).cast("long")).otherwise(F.col("n")).alias("n"),
+            F.xxhash64("hub", "shard", F.when(F.col("big"), 0).otherwise(turn)).alias("tie"), "shard")), "votes")
+        best = votes.where(~(F.col("big") & F.col("shard").isin(sorted(closed)))).groupBy("hub").agg(F.max("vote").alias("best"))
         moves = votes.join(best, "hub").where("vote < best").select(
-            F.col("hub").alias("h"), F.col("shard").alias("s"), F.col("best.shard").alias("to"), "n")
-        wish = {(r["s"], r["to"]): r["n"] for r in moves.groupBy("s", "to").agg(F.sum("n").alias("n")).collect()}
+            F.col("hub").alias("h"), F.col("shard").alias("s"), F.col("best.shard").alias("to"), "n", "big")
+        wished = moves.groupBy("s", "to").agg(F.sum("n").alias("n"), F.min("big").alias("big")).collect()
+        wish = {(r["s"], r["to"]): r["n"] for r in wished}
         admitted, paid = _flows(wish, loose, shards)
         if not admitted:
-            break
+            if not closed and all(r["big"] for r in wished):
+                break
+            closed = set()
+            continue
+        closed |= {t for (f, t), n in wish.items() if n > admitted.get((f, t), 0)}
         # at most shards x shards rows each
         spark = nodes.sparkSession
         allowed = F.broadcast(spark.createDataFrame(

@@ -68,3 +68,19 @@ def test_flows_keep_counts():
         assert all(x <= wish[k] for k, x in admitted.items())
         for s in range(n):
             assert sum(x for (f, _), x in paid.items() if f == s) <= loose[s]
+
+
+def test_copies_alone_come_together(spark, docs):
+    rows = [(i, f"text {i % 200}") for i in range(1000)]      # 200 groups of 5, no unlinked rows
+    got = shard_documents(docs(rows), 16).collect()
+    check(rows, got, 16)
+    # 62 or 63 rows a shard: no 5 divides them, so some groups must stay cut
+    assert cut_groups(got) <= 40
+
+
+def test_flows_go_round_without_unlinked_rows():
+    ring = {(0, 1): 4, (1, 2): 6, (2, 3): 5, (3, 0): 9}
+    assert _flows(ring, {}, 4) == ({e: 4 for e in ring}, {})
+    # a departure is room: 2 pays for both
+    admitted, paid = _flows({(0, 1): 3, (1, 2): 5}, {2: 3}, 3)
+    assert admitted == {(0, 1): 3, (1, 2): 3} and paid == {(2, 0): 3}
