@@ -305,11 +305,15 @@ def start_ingest(spark: SparkSession, source_dir: str, out_root: str, *,
 
 # -- readers of the stream outputs (deltas are always summed on read) ---------
 def read_stream_logs(spark: SparkSession, out_root: str) -> DataFrame:
-    """The ingested rows; ``arrival_seq`` orders them by arrival (batch, then
-    place in the batch), as the live tail needs it."""
-    schema = T.StructType(S.LOGS_SCHEMA.fields + [T.StructField("arrival", T.LongType()), T.StructField("batch_id", T.LongType())])
+    """The ingested rows; ``arrival_seq`` orders them by arrival (batch they
+    came in, then place in the batch), as the live tail needs it. Only
+    compacted rows carry that batch (``arrival_batch``)."""
+    schema = T.StructType(S.LOGS_SCHEMA.fields + [
+        T.StructField("arrival", T.LongType()), T.StructField("arrival_batch", T.LongType()),
+        T.StructField("batch_id", T.LongType())])
     logs = spark.read.schema(schema).parquet(IngestPaths(out_root).logs)
-    return logs.withColumn("arrival_seq", F.struct("batch_id", "arrival"))
+    return logs.withColumn("arrival_seq", F.struct(
+        F.coalesce("arrival_batch", "batch_id").alias("batch_id"), "arrival")).drop("arrival_batch")
 
 
 DELTA_SCHEMA = T.StructType([
@@ -435,8 +439,8 @@ def compact_logs_day(spark: SparkSession, out_root: str, day: str, upto_batch_id
         return len(olds)
     rows = (read_stream_logs(spark, out_root)
             .filter((F.col("log_date") == F.lit(day).cast("date")) & (F.col("batch_id") <= upto_batch_id))
-            # one batch id is left: the arrival order of the merged ones goes on in the number
-            .withColumn("arrival", F.col("arrival") - (F.lit(upto_batch_id) - F.col("batch_id")) * (1 << 50))
+            # the folder has one batch id: each row keeps the one it came in
+            .withColumn("arrival_batch", F.col("arrival_seq.batch_id"))
             .drop("log_date", "batch_id", "arrival_seq"))
     keys = ["service_name", "ts"]
     ranged = rows.repartitionByRange(num_files, *keys) if num_files else rows.repartitionByRange(*keys)

@@ -253,3 +253,26 @@ def test_live_tail_over_ingested_rows(spark, tmp_dir):
     for b in range(3):
         LT.update_ring(logs.filter(F.col("batch_id") == b), b, root, "arrival_seq", 50)
     assert {r["trace_id"] for r in LT.read_ring(spark, root).collect()} == {x[2] for x in last}
+
+
+def test_compaction_of_distant_batches_keeps_arrival(spark, tmp_dir):
+    src = tmp_dir + "/src"
+    _envelopes(spark, src)
+    env = read_envelopes(spark, src)
+    paths = I.IngestPaths(tmp_dir + "/out")
+
+    def by_arrival():
+        return [r["trace_id"] for r in I.read_stream_logs(spark, paths.root).orderBy("arrival_seq").collect()]
+
+    for b, at in ((0, 0), (1, 7), (2, 100_000)):
+        I.process_batch(env.filter(F.col("batch_id") == b), at, paths)
+    before = by_arrival()
+    days = [d.split("=", 1)[1] for d in os.listdir(paths.logs) if d.startswith("log_date=")]
+    for day in days:
+        assert I.compact_logs_day(spark, paths.root, day, 100_000) == 3
+    assert by_arrival() == before
+    I.process_batch(env.filter(F.col("batch_id") == 3), 5_000_000, paths)      # compacted once more
+    before = by_arrival()
+    for day in days:
+        assert I.compact_logs_day(spark, paths.root, day, 5_000_000) == 2
+    assert by_arrival() == before
