@@ -102,3 +102,68 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGIN
        sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM w LEFT JOIN g USING (k) LEFT JOIN kept USING (k)
 """
+
+# crc32 of a decimal number's digits, bit by bit
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+  list_transform(range(1, length(c) + 1), lambda i: ascii(substr(c, i, 1))::BIGINT)),
+  lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP11 = f"""
+WITH t AS (SELECT conv_id AS v, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+               md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS d
+           FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT v, CAST(v AS VARCHAR) AS c FROM t),
+h AS (SELECT v, v - v % 100 AS base, {_CRC} % 6 AS h FROM ids),
+r AS (SELECT h.v, t.d, t.role, t.text FROM h JOIN t ON t.v = h.base WHERE t.d <= h.h
+      UNION ALL
+      SELECT h.v, t.d, t.role, t.text FROM h JOIN t ON t.v = h.v WHERE t.d > h.h),
+p AS (SELECT v, row_number() OVER (PARTITION BY v ORDER BY d) AS d, role, text FROM r),
+g AS (SELECT v, list(md5(strlen(role) || ':' || role || text) ORDER BY d) AS l, list(length(text) ORDER BY d) AS chars FROM p GROUP BY v),
+a AS (SELECT h.v, coalesce(l, []) AS l, coalesce(chars, []) AS chars FROM h LEFT JOIN g ON g.v = h.v),
+m AS (SELECT v, d, md5(array_to_string(l[1:d], '')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(l[1:d - 1], '')) END AS parent,
+             coalesce(chars[d], 0) AS chars, d = len(l) AS last
+      FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM a)),
+n AS (SELECT node, min(d) AS depth, min(v) AS v, min(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * min(chars) AS own,
+             sha256(coalesce(string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FILTER (WHERE last), '')) AS ends
+      FROM m GROUP BY node),
+k AS (SELECT parent, count(*) AS c FROM n WHERE parent IS NOT NULL GROUP BY parent),
+x AS (SELECT n.*, coalesce(k.c, 0) AS n_children FROM n LEFT JOIN k ON k.parent = n.node),
+s AS (SELECT m.node, sum(x.own) AS saved, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS leaves
+      FROM x JOIN m ON m.v = x.v AND m.d <= x.depth GROUP BY m.node)
+SELECT CAST(x.v AS BIGINT) AS conv_id, CAST(x.depth AS BIGINT) AS depth, CAST(q.v AS BIGINT) AS parent_conv_id,
+       CAST(x.n_convs AS BIGINT) AS n_convs, CAST(x.n_children AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, x.ends AS ends_sha256
+FROM x JOIN s ON s.node = x.node LEFT JOIN n q ON q.node = x.parent
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}+') AS w, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (SELECT part, CAST(len(w) < 50 AS INTEGER) AS a, CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER) AS b,
+             CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) AS INTEGER) AS c,
+             CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) AS d, CAST(coalesce(w.doc_id > low, false) AS INTEGER) AS e,
+             coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+m AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+      FROM f GROUP BY ALL),
+one AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM one p, one q, one r, one s, one t
+      WHERE p.x NOT IN (q.x, r.x, s.x, t.x) AND q.x NOT IN (r.x, s.x, t.x) AND r.x NOT IN (s.x, t.x) AND s.x <> t.x),
+st AS (SELECT o, step, substr(o, step, 1) AS x, list_sum(list_transform(range(1, step),
+              lambda i: 1 << (ascii(substr(o, i, 1)) - 65))) AS before FROM (SELECT o, unnest(range(1, 6)) AS step FROM o)),
+z AS (SELECT o, step, x, CAST(coalesce(before, 0) AS INTEGER) AS before, 1 << (ascii(x) - 65) AS own FROM st),
+r AS (SELECT part, o, step, x,
+        sum(CASE WHEN fails & (before + own) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN fails & before = 0 AND fails & own <> 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN fails & before <> 0 AND fails & own <> 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN fails & before = 0 AND fails & own <> 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN fails & before = 0 AND fails & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM m, z GROUP BY part, o, step, x)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM r
+"""

@@ -142,3 +142,33 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logpond.llm.op5_substrings import remove_repeats
     r = remove_repeats(load(spark, sf_dir, "documents"))
     return r.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+# ---- 11: conversation prefix trie -------------------------------------------
+
+@_query("op11_prefix_trie", oracles.OP11)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logpond.llm.op11_prefix_trie import prefix_trie
+    return prefix_trie(load(spark, sf_dir, "conversations"))
+
+
+# ---- 12: toxicity -----------------------------------------------------------
+
+#: Scores from here on count as toxic.
+TOXIC_LEAST = 0.3
+
+
+@_query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logpond.llm.op12_toxicity import toxicity
+    r = toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return r.select(F.col("id").alias("doc_id"), "held_out", "score",
+                    (F.col("score") >= TOXIC_LEAST).cast("int").alias("predicted"))
+
+
+# ---- 13: filter interaction audit -------------------------------------------
+
+@_query("op13_filter_audit", oracles.OP13)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logpond.llm.op13_filter_audit import audit
+    return audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
