@@ -3,10 +3,10 @@
 OTLP values (``AnyValue``) are read as a struct with one member per kind;
 nested kinds (array, kvlist) are kept as raw JSON text. Scalars become text
 with JVM expressions. In the standalone column functions below, only values
-that hold a nested array / kvlist (or a double outside the plain-decimal
-range) go through a pandas UDF; for every other row the UDF input is NULL.
-The decode job does better still: the codec step rewrites non-string values
-to text per payload (``rewrite_values_to_text``), so its flatten is pure JVM.
+that hold a nested array / kvlist go through a pandas UDF; for every other row
+the UDF input is NULL. In the decode job the codec step gives payloads with
+nested values their texts (``rewrite_values_to_text``), so its flatten is pure
+JVM.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ KEY_VALUE_TYPE = T.StructType([
     T.StructField("value", ANY_VALUE_TYPE),
 ])
 
-_DEC_MIN, _DEC_MAX = 1e-6, 1e20
+_DEC_MIN, _DEC_MAX = 1e-6, 1e21
 
 
 def _col(c) -> Column:
@@ -229,21 +229,32 @@ def _nested_attrs_text(values: pd.Series) -> pd.Series:
 # JVM side
 # ---------------------------------------------------------------------------
 def double_text(d: Column) -> Column:
-    """Plain decimal text of a double in [1e-6, 1e20) (else NULL)."""
+    """``float_text`` as an expression: the digits and the exponent are taken
+    from Java's text of the double (shortest from Java 19 on) and set anew."""
+    raw = d.cast("string")
+    part = [F.regexp_extract(raw, r"^(-?)(\d+)\.(\d+)(?:E(-?\d+))?$", k) for k in range(1, 5)]
+    sign, whole, e = part[0], part[1], F.coalesce(part[3].try_cast("int"), F.lit(0))
+    fraction = F.regexp_replace(part[2], "0+$", "")
+    size = F.char_length(fraction)
+    digits = F.concat(whole, fraction)
+    point = F.char_length(whole) + e              # digits before the point
+    exponent = F.concat(whole, F.when(size > 0, F.concat(F.lit("."), fraction)).otherwise(F.lit("")), F.lit("e"),
+                        F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.abs(e).cast("string"))
+    plain = (F.when(part[3] == "", F.concat(whole, F.when(size > 0, F.concat(F.lit("."), fraction)).otherwise(F.lit(""))))
+             .when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+             .when(size <= e, F.concat(digits, F.repeat(F.lit("0"), e - size)))
+             .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size))))
     a = F.abs(d)
-    in_range = (d == 0) | ((a >= _DEC_MIN) & (a < _DEC_MAX))
-    dec = d.try_cast(T.DecimalType(38, 18)).cast("string")
-    trimmed = F.regexp_replace(F.regexp_replace(dec, "0+$", ""), "\\.$", "")
-    zero = F.when(d == 0, F.when(d.cast("string").startswith("-"), F.lit("-0")).otherwise(F.lit("0")))
-    return F.when(in_range, F.coalesce(zero, trimmed))
+    return (F.when(F.isnan(d), F.lit("json: unsupported value: NaN"))
+            .when(a == F.lit(float("inf")), F.concat(F.lit("json: unsupported value: "),
+                                                     F.when(d > 0, F.lit("+Inf")).otherwise(F.lit("-Inf"))))
+            .when(d.isNotNull(), F.concat(sign, F.when((a != 0) & ((a < _DEC_MIN) | (a >= _DEC_MAX)), exponent).otherwise(plain))))
 
 
 def _needs_python(v: Column) -> Column:
-    d = v["doubleValue"]
-    odd_double = d.isNotNull() & ~((d == 0) | ((F.abs(d) >= _DEC_MIN) & (F.abs(d) < _DEC_MAX)))
     return (v["stringValue"].isNull() & v["boolValue"].isNull() & v["intValue"].isNull()
-            & v["bytesValue"].isNull()
-            & (v["arrayValue"].isNotNull() | v["kvlistValue"].isNotNull() | odd_double))
+            & v["bytesValue"].isNull() & v["doubleValue"].isNull()
+            & (v["arrayValue"].isNotNull() | v["kvlistValue"].isNotNull()))
 
 
 def scalar_value_text(v: Column) -> Column:

@@ -12,8 +12,9 @@ distributed top-k (``TakeOrderedAndProject``): every task keeps only its best
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -110,7 +111,28 @@ def filter_condition(f: LogFilter, has_log_date: bool = False) -> Column:
     return out
 
 
-def apply_filter(logs: DataFrame, f: LogFilter) -> DataFrame:
+#: A prefix that matches more services than this stays a pattern.
+MAX_SERVICES = 1000
+
+
+def services_with_prefix(registry: DataFrame, f: LogFilter) -> list[str] | None:
+    """F3 through the registry: the service names that the filter's prefix
+    matches (at most ``MAX_SERVICES``; None beyond that)."""
+    esc = _escape_like if f.literal else (lambda s: s)
+    names = [r["service_name"] for r in registry.where(F.col("service_name").ilike(esc(f.service_name) + "%"))
+             .select("service_name").distinct().orderBy("service_name").limit(MAX_SERVICES + 1).collect()]
+    return names if len(names) <= MAX_SERVICES else None
+
+
+def apply_filter(logs: DataFrame, f: LogFilter, registry: DataFrame | None = None) -> DataFrame:
+    """Rows that match. With the service registry a service prefix becomes the
+    list of its services, which reaches the scan's statistics; the registry
+    must know every service of ``logs``, as the ingest's own does."""
+    if registry is not None and f.service_name:
+        names = services_with_prefix(registry, f)
+        if names is not None:
+            return logs.filter(filter_condition(replace(f, service_name=""), "log_date" in logs.columns)
+                               & (F.col("service_name").isin(names) if names else F.lit(False)))
     return logs.filter(filter_condition(f, "log_date" in logs.columns))
 
 
@@ -119,34 +141,83 @@ def errors_only(logs: DataFrame) -> DataFrame:
     return logs.filter(F.col("severity_number") >= S.ERROR_SEVERITY_MIN)
 
 
-def key_columns(f: LogFilter) -> list[str]:
-    """The total order of a search: time to the nanosecond, then ids."""
-    first = ["ts", "ts_nanos"] if f.order_column == "ts" else [f.order_column]
-    return [*first, "trace_id", "span_id"]
-
-
-def _sort_keys(f: LogFilter) -> list[Column]:
-    return [F.col(k).desc() if f.descending else F.col(k).asc() for k in key_columns(f)]
-
-
-def search_after(logs: DataFrame, f: LogFilter, last: dict) -> DataFrame:
-    """The page that follows the row ``last`` (its ``key_columns``): deep
-    paging that keeps ``limit`` rows a task however far it goes. The bound on
-    the first column alone reaches the scan."""
-    def lit(k):
-        return _ts(last[k]) if k == "ts" else F.lit(last[k])
-
-    keys = key_columns(f)
-    here, there = F.struct(*[F.col(k) for k in keys]), F.struct(*[lit(k).alias(k) for k in keys])
-    first = F.col(keys[0])
-    beyond = (here < there) & (first <= lit(keys[0])) if f.descending else (here > there) & (first >= lit(keys[0]))
-    return apply_filter(logs, f).filter(beyond).orderBy(*_sort_keys(f)).limit(f.page_limit)
+def page_key(logs: DataFrame, f: LogFilter) -> Column:
+    """The total order of a search, as one struct: time to the nanosecond or
+    service, the ids, and what tells rows apart that share all of these: the
+    arrival (``arrival_seq`` of ingested rows), an ``event_id``, or else a hash
+    of the whole row, which only equal rows share."""
+    first = ([F.unix_micros("ts").alias("ts"), F.col("ts_nanos")] if f.order_column == "ts"
+             else [F.col(f.order_column)])
+    if "arrival_seq" in logs.columns:
+        last = F.col("arrival_seq")
+    elif "event_id" in logs.columns:
+        last = F.col("event_id")
+    else:
+        last = F.xxhash64(*logs.columns).alias("row_hash")
+    return F.struct(*first, F.col("trace_id"), F.col("span_id"), last)
+
+
+def _ordered(rows: DataFrame, f: LogFilter) -> DataFrame:
+    key = F.col("page_key")
+    return rows.orderBy(key.desc() if f.descending else key.asc())
+
+
+def search_page(logs: DataFrame, f: LogFilter, after: str | None = None) -> DataFrame:
+    """T1, deep paging: the page that follows the token ``after`` (the first
+    page without one), with the column ``page_key``. Every task keeps
+    ``limit`` rows however far the paging goes, and the bound on the first
+    sort column reaches the scan. ``next_token`` makes the token."""
+    rows = apply_filter(logs, f).withColumn("page_key", page_key(logs, f))
+    if after is None:
+        return _ordered(rows, f).limit(f.page_limit)
+    token = json.loads(after)
+    there = F.from_json(F.lit(json.dumps(token["key"])), rows.schema["page_key"].dataType)
+    here = F.col("page_key")
+    rows = rows.filter(here <= there if f.descending else here >= there)
+    # nulls are the smallest values: first when ascending, last when descending
+    first, bound = F.col(f.order_column), token["key"].get(f.order_column)
+    if bound is not None:
+        edge = F.timestamp_micros(F.lit(bound)) if f.order_column == "ts" else F.lit(bound)
+        rows = rows.filter((first <= edge) | first.isNull() if f.descending else first >= edge)
+    elif f.descending:
+        rows = rows.filter(first.isNull())
+    # equal keys mean equal rows: as many of them as were seen are passed over
+    return _ordered(rows, f).offset(token["seen"]).limit(f.page_limit)
+
+
+def last_rows(page: DataFrame, f: LogFilter) -> list:
+    """The rows of a stored page that ``next_token`` needs: those that share
+    the last key (at most a page)."""
+    key = F.col("page_key")
+    last = page.select((F.min(key) if f.descending else F.max(key)).alias("k")).first()["k"]
+    if last is None:
+        return []
+    there = F.from_json(F.lit(json.dumps(last.asDict(recursive=True))), page.schema["page_key"].dataType)
+    return page.where(key == there).select("page_key").collect()
+
+
+def next_token(page: list, after: str | None = None) -> str | None:
+    """The token for the page behind this one (its rows, collected), or None
+    when it is empty."""
+    if not page:
+        return None
+    key = page[-1]["page_key"].asDict(recursive=True)
+    seen = 0
+    for row in reversed(page):
+        if row["page_key"].asDict(recursive=True) != key:
+            break
+        seen += 1
+    before = json.loads(after) if after else None
+    if seen == len(page) and before and before["key"] == key:
+        seen += before["seen"]
+    return json.dumps({"key": key, "seen": seen})
 
 
 def search_logs(logs: DataFrame, f: LogFilter) -> DataFrame:
-    """One page of matching rows. Ties beyond the order field are broken
-    by trace id and span id so that pages are stable."""
-    return apply_filter(logs, f).orderBy(*_sort_keys(f)).offset(f.page_offset).limit(f.page_limit)
+    """One page of matching rows by offset. Ties beyond the order field
+    are broken by ``page_key``, so pages do not overlap."""
+    rows = apply_filter(logs, f).withColumn("page_key", page_key(logs, f))
+    return _ordered(rows, f).offset(f.page_offset).limit(f.page_limit).drop("page_key")
 
 
 def search_count(logs: DataFrame, f: LogFilter) -> DataFrame:
@@ -188,9 +259,9 @@ def search_page_with_total(logs: DataFrame, f: LogFilter) -> tuple[DataFrame, in
     folder, so building the response from it does not scan again and no
     cache is left behind."""
     obs = Observation("search_total")
-    counted = apply_filter(logs, f).observe(obs, F.count(F.lit(1)).alias("total"))
-    page = written(counted.orderBy(*_sort_keys(f)).offset(f.page_offset).limit(f.page_limit), "page")
-    return page.orderBy(*_sort_keys(f)), int(obs.get["total"])
+    counted = apply_filter(logs, f).observe(obs, F.count(F.lit(1)).alias("total")).withColumn("page_key", page_key(logs, f))
+    page = written(_ordered(counted, f).offset(f.page_offset).limit(f.page_limit), "page")
+    return _ordered(page, f), int(obs.get["total"])
 
 
 def search_json(logs: DataFrame, f: LogFilter, total: int | None = None) -> DataFrame:
@@ -201,13 +272,12 @@ def search_json(logs: DataFrame, f: LogFilter, total: int | None = None) -> Data
     if total is None:
         page, total = search_page_with_total(logs, f)
     else:
-        page = search_logs(logs, f)
-    ordered = page.select(F.struct(*[F.col(c) for c in key_columns(f)]).alias("k"),
-                          record_struct(page).alias("r"))
-    arr = F.array_sort(F.collect_list(F.struct("k", "r")))
+        rows = apply_filter(logs, f).withColumn("page_key", page_key(logs, f))
+        page = _ordered(rows, f).offset(f.page_offset).limit(f.page_limit)
+    arr = F.array_sort(F.collect_list(F.struct(F.col("page_key").alias("k"), record_struct(page).alias("r"))))
     if f.descending:
         arr = F.reverse(arr)
-    doc = ordered.agg(F.transform(arr, lambda x: x["r"]).alias("data"))
+    doc = page.agg(F.transform(arr, lambda x: x["r"]).alias("data"))
     return doc.select(F.to_json(F.struct(
         F.coalesce(F.col("data"), F.array()).alias("data"),
         F.struct(F.lit(int(total)).alias("totalRowCount")).alias("meta"))).alias("json"))

@@ -11,6 +11,7 @@ from logpond.plans.oracle import logs_cte, metrics_1m_cte, metrics_1s_cte, ts_li
 from logpond.plans.registry import ntz, query
 from logpond.session import scratch_path
 from logpond.sources.events_adapter import read_logs
+from logpond.streaming import commits as C
 from logpond.streaming import ingest as I
 
 # Fixed query parameters (inside a burst of the dense clock at every scale)
@@ -34,7 +35,9 @@ def rollup_root(spark, sf_dir) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ROLLUPS:
         root = scratch_path(spark, "rollups")
-        I.write_rollups(read_logs(spark, sf_dir), 0, I.IngestPaths(root))
+        attempt = C.new_attempt(0)
+        I.write_rollups(read_logs(spark, sf_dir), attempt, I.IngestPaths(root))
+        C.commit(spark, root, 0, attempt)
         _ROLLUPS[key] = root
     return _ROLLUPS[key]
 

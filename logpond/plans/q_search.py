@@ -31,11 +31,6 @@ def q_filter_time_range(spark, sf_dir):
     return _filtered(spark, sf_dir, Q.LogFilter(start=T_START, end=T_END))
 
 
-@query("filter_service_prefix", BASE + OUT_SQL + " WHERE service_name ILIKE 'SVC-1%'")
-def q_filter_service_prefix(spark, sf_dir):
-    return _filtered(spark, sf_dir, Q.LogFilter(service_name="SVC-1"))
-
-
 @query("filter_severity_text", BASE + OUT_SQL + " WHERE severity_text ILIKE 'warn%'")
 def q_filter_severity_text(spark, sf_dir):
     return _filtered(spark, sf_dir, Q.LogFilter(severity_text="warn"))

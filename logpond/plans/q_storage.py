@@ -151,15 +151,6 @@ def q_storage_runway(spark, sf_dir):
 RET_AS_OF = "2024-01-31 00:00:00"
 
 
-@query("retention_logs", WIDE + f"""
-SELECT trace_id, ts FROM logs WHERE ts > {ts_lit(RET_AS_OF)} - INTERVAL 7 DAY""")
-def q_retention_logs(spark, sf_dir):
-    path = _write(spark, sf_dir, "wide", "retained")
-    ST.apply_retention(spark, path, RET_AS_OF, "7 days")
-    left = ST.retention_view(ST.read_logs_table(spark, path), RET_AS_OF, "7 days")
-    return left.select("trace_id", ntz("ts"))
-
-
 MET_AS_OF = "2024-01-01 01:10:00"
 
 

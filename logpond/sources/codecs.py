@@ -4,18 +4,19 @@ decode job's single codec round trip.
 Sniffing is a JVM expression. (De)compression needs Python; it runs in
 Arrow-batched pandas UDFs, one call per envelope (not per record).
 ``decompress`` (P1 on its own) hands Python only gzip / zstd rows.
-``payload_codec`` (the decode job) also takes protobuf payloads (to JSON)
-and plain JSON payloads (a fast bytes search for non-string value kinds,
-rewritten to text only when present); it returns bytes only when it
-changed them, so unchanged JSON is not copied back.
+``payload_codec`` (the decode job) also decodes protobuf payloads, straight
+into typed Arrow columns, and rewrites JSON payloads with nested values. Plain
+JSON without nested values never reaches Python.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,67 +124,64 @@ def compress(payload, encoding) -> Column:
     return F.when(enc.isin("gzip", "zstd"), _compress_udf(F.when(enc.isin("gzip", "zstd"), p), enc)).otherwise(p)
 
 
-CODEC_DECODE_RESULT = T.StructType([
-    T.StructField("payload", T.BinaryType()),
-    T.StructField("json", T.StringType()),
-    T.StructField("error", T.StringType()),
-])
-
-
-_NON_STRING_KEYS = tuple(('"' + k + '"').encode() for k in (
-    "intValue", "doubleValue", "boolValue", "bytesValue", "arrayValue", "kvlistValue"))
-
-
-@F.pandas_udf(CODEC_DECODE_RESULT)
-def _payload_codec_udf(payload: pd.Series, encoding: pd.Series, is_proto: pd.Series) -> pd.DataFrame:
-    import json as _json
-
-    from logpond.functions.values import rewrite_values_to_text
-    from logpond.sources.otlp_proto import proto_to_text_dict
-    out_p, out_j, out_e = [], [], []
-    for data, enc, proto in zip(payload, encoding, is_proto):
-        if data is None:
-            out_p.append(None)
-            out_j.append(None)
-            out_e.append(None)
-            continue
-        raw = bytes(data)
-        try:
-            if enc in ("gzip", "zstd"):
-                raw = decompress_bytes(raw, enc)
-        except Exception as e:  # noqa: BLE001 - a codec failure is a row error
-            out_p.append(None)
-            out_j.append(None)
-            out_e.append(f"{enc} decompress error: {type(e).__name__}: {e}")
-            continue
-        if proto:
-            try:
-                d = proto_to_text_dict(raw)
-                out_j.append(_json.dumps(d, separators=(",", ":")))
-                out_e.append(None)
-            except Exception as e:  # noqa: BLE001
-                out_j.append(None)
-                out_e.append(f"protobuf decode error: {type(e).__name__}: {e}")
-            out_p.append(None)
-            continue
-        if any(k in raw for k in _NON_STRING_KEYS):
-            try:
-                d = rewrite_values_to_text(_json.loads(raw))
-                out_p.append(None)
-                out_j.append(_json.dumps(d, separators=(",", ":")))
-                out_e.append(None)
-                continue
-            except Exception:  # noqa: BLE001 - leave invalid JSON to the JVM parser
-                pass
-        # unchanged JSON: send nothing back unless it was decompressed
-        out_p.append(raw if enc in ("gzip", "zstd") else None)
-        out_j.append(None)
-        out_e.append(None)
-    return pd.DataFrame({"payload": out_p, "json": out_j, "error": out_e})
-
-
-def payload_codec(payload: Column, encoding: Column, is_proto: Column) -> Column:
-    """Decompression, protobuf-to-JSON and value-to-text rewriting in one
-    Arrow round trip: struct(payload = JSON bytes when unchanged, json =
-    rewritten JSON text, error). NULL payload in -> NULLs out."""
-    return _payload_codec_udf(payload, encoding, is_proto)
+# JSON value kinds whose text needs Python (every other kind is a JVM expression)
+NESTED_KEYS = (b'"arrayValue"', b'"kvlistValue"')
+
+
+def codec_result(request: T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField("payload", T.BinaryType()),
+        T.StructField("json", T.StringType()),
+        T.StructField("request", request),
+        T.StructField("error", T.StringType()),
+    ])
+
+
+def payload_codec(payload: Column, encoding: Column, is_proto: Column, request: T.DataType,
+                  on_payload: Callable[[], None] | None = None) -> Column:
+    """Decompression, protobuf decoding and the texts of nested JSON values in
+    one Arrow round trip: struct(payload = decompressed JSON bytes, json = JSON
+    text whose values became texts, request = a decoded protobuf request as
+    typed columns, error). NULL payload in -> NULLs out. ``on_payload`` is
+    called for every payload that Python handles (tests count them)."""
+
+    @F.arrow_udf(codec_result(request))
+    def codec(payloads: pa.Array, encodings: pa.Array, protos: pa.Array) -> pa.Array:
+        import json
+
+        from logpond.functions.values import rewrite_values_to_text
+        from logpond.sources.otlp_proto import RequestColumns
+        out_p, out_j, out_e, requests = [], [], [], RequestColumns()
+        for data, enc, proto in zip(payloads, encodings.to_pylist(), protos.to_pylist()):
+            raw, text, error = data.as_py(), None, None
+            if raw is not None:
+                if on_payload is not None:
+                    on_payload()
+                try:
+                    if enc in ("gzip", "zstd"):
+                        raw = decompress_bytes(raw, enc)
+                except Exception as e:  # noqa: BLE001 - a codec failure is a row error
+                    raw, error = None, f"{enc} decompress error: {type(e).__name__}: {e}"
+            if raw is not None and proto:
+                try:
+                    requests.add(raw)
+                except Exception as e:  # noqa: BLE001
+                    requests.add_null()
+                    error = f"protobuf decode error: {type(e).__name__}: {e}"
+                raw = None
+            else:
+                requests.add_null()
+                if raw is not None and any(k in raw for k in NESTED_KEYS):
+                    try:
+                        text = json.dumps(rewrite_values_to_text(json.loads(raw)), separators=(",", ":"))
+                        raw = None
+                    except Exception:  # noqa: BLE001 - leave invalid JSON to the JVM parser
+                        pass
+            out_p.append(raw)
+            out_j.append(text)
+            out_e.append(error)
+        return pa.StructArray.from_arrays(
+            [pa.array(out_p, pa.binary()), pa.array(out_j, pa.string()), requests.array(), pa.array(out_e, pa.string())],
+            names=["payload", "json", "request", "error"])
+
+    return codec(payload, encoding, is_proto)

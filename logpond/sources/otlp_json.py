@@ -3,8 +3,8 @@
 Envelopes in, flat log rows (plus quarantine rows) out:
 
 1. content-type routing (P5): JSON text is parsed by ``from_json`` with a
-   fixed schema; protobuf is first translated to the same JSON in a pandas
-   UDF (``otlp_proto``);
+   fixed schema; protobuf is read into typed columns of the same schema in an
+   Arrow UDF (``otlp_proto``);
 2. undecodable payloads get an error column instead of failing the job (P6);
 3. three nested ``explode`` (resourceLogs -> scopeLogs -> logRecords), not
    ``explode_outer``: an empty list yields no rows (P7);
@@ -101,15 +101,14 @@ def ids_valid(parsed: Column) -> Column:
 
 
 def decode_requests(env: DataFrame, payload: str = "payload", content_type: str = "content_type",
-                    content_encoding: str | None = "content_encoding") -> DataFrame:
+                    content_encoding: str | None = "content_encoding", on_payload=None) -> DataFrame:
     """P1 + P3-P5: decompress and parse; adds ``request`` (parsed struct)
     and ``decode_error``.
 
-    One Arrow round trip (``codecs.payload_codec``) decompresses, turns
-    protobuf into JSON and rewrites non-string values to text, so the JVM
-    parse and flatten below only meet string values. A plain JSON payload
-    with string values only comes back as NULLs (nothing copied back) and is
-    parsed from its original bytes.
+    One Arrow round trip (``codecs.payload_codec``) decompresses, decodes
+    protobuf into typed columns and gives nested JSON values their text. Plain
+    JSON without nested values is parsed from its original bytes and never
+    handed to Python; the texts of its scalar values are JVM expressions.
     Errors follow the worker's order: encoding, decompression, content
     type, protobuf, parse."""
     ct = F.coalesce(F.col(content_type), F.lit(""))
@@ -119,22 +118,29 @@ def decode_requests(env: DataFrame, payload: str = "payload", content_type: str
     passthrough = enc.isin(*S.PASSTHROUGH_ENCODINGS)
     compressed = enc.isin("gzip", "zstd")
     p = F.col(payload)
-    needs_py = (compressed | passthrough) & (is_json | is_proto)
-    df = env.withColumn("_codec", codecs.payload_codec(F.when(needs_py, p), enc, is_proto))
-    # the codec returns bytes only when it changed them (decompressed)
+    nested = F.lit(False)
+    for key in codecs.NESTED_KEYS:
+        nested = nested | F.contains(p, F.lit(key))
+    needs_py = (compressed & (is_json | is_proto)) | (passthrough & (is_proto | (is_json & nested)))
+    request_type = REQUEST_TYPE["resourceLogs"].dataType
+    df = env.withColumn("_codec", codecs.payload_codec(F.when(needs_py, p), enc, is_proto, request_type, on_payload))
     plain = F.coalesce(F.col("_codec.payload"), F.when(passthrough, p))
     text = F.coalesce(F.col("_codec.json"), F.when(is_json, plain.cast("string")))
     # two projections: CollapseProject does not inline a non-trivial
     # expression that is used twice, so from_json runs once per payload
     df = df.withColumn("_parsed", F.from_json(text, REQUEST_TYPE, JSON_OPTIONS))
     df = df.withColumn("_ids_ok", ids_valid(F.col("_parsed")))
-    df = df.withColumn("request", F.when(F.col("_ids_ok"), F.col("_parsed")))
+    typed = F.col("_codec.request")
+    df = df.withColumn("request", F.when(typed.isNotNull(), F.struct(
+        typed.alias("resourceLogs"), F.lit(None).cast("string").alias(CORRUPT)))
+        .when(F.col("_ids_ok"), F.col("_parsed")))
     err = (F.when(~passthrough & ~compressed, F.lit("unsupported encoding"))
            .when(~is_json & ~is_proto, F.concat(F.lit("unsupported or missing content type: "), ct))
            .when(F.col("_codec.error").isNotNull(), F.col("_codec.error"))
            .when(p.isNull(), F.lit("empty payload"))
-           .when(F.col("_parsed").isNull() | F.col(f"_parsed.{CORRUPT}").isNotNull(), F.lit("invalid json payload"))
-           .when(~F.col("_ids_ok"), F.lit("invalid trace or span id")))
+           .when(typed.isNull() & (F.col("_parsed").isNull() | F.col(f"_parsed.{CORRUPT}").isNotNull()),
+                 F.lit("invalid json payload"))
+           .when(typed.isNull() & ~F.col("_ids_ok"), F.lit("invalid trace or span id")))
     return df.withColumn("decode_error", err).drop("_codec", "_parsed", "_ids_ok")
 
 
@@ -144,10 +150,9 @@ def _keys(attrs: Column) -> Column:
 
 
 def _texts(attrs: Column) -> Column:
-    """Value texts of an attribute list. After ``decode_requests`` every
-    value is a ``stringValue`` (non-string kinds were rewritten to text in
-    the codec step), so this is field extraction; only a list with a missing
-    value takes the per-element path."""
+    """Value texts of an attribute list. A list of strings, as most are, is
+    field extraction; one with a missing value or another scalar kind takes
+    the per-element path (nested kinds became texts in ``decode_requests``)."""
     strings = attrs["value"]["stringValue"]
     all_strings = F.array_contains(strings, F.lit("\u0001")).isNotNull()
     return (F.when(attrs.isNull(), F.array().cast(T.ArrayType(T.StringType())))
@@ -155,10 +160,34 @@ def _texts(attrs: Column) -> Column:
             .otherwise(F.transform(attrs, lambda a: F.coalesce(V.scalar_value_text(a["value"]), F.lit("")))))
 
 
-def flatten(decoded: DataFrame, batch_nanos: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+QUARANTINE_COLUMNS = (("payload", T.BinaryType()), ("content_type", T.StringType()),
+                      ("content_encoding", T.StringType()), ("error", T.StringType()))
+
+
+def flatten_all(decoded: DataFrame, batch_nanos: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """P6 + P7 in one pass: the rows of ``flatten`` with null
+    ``QUARANTINE_COLUMNS``, and one row per payload that could not be decoded
+    with these columns filled and no record in the others."""
+    bad = F.col("decode_error").isNotNull()
+    marked = decoded.withColumn("error", F.col("decode_error"))
+    for name, _ in QUARANTINE_COLUMNS[:-1]:
+        marked = marked.withColumn(name, F.when(bad, F.col(name)))
+    return flatten(marked, batch_nanos, (*keep, *[n for n, _ in QUARANTINE_COLUMNS]), "error")
+
+
+def flatten(decoded: DataFrame, batch_nanos: Column | None = None, keep: tuple[str, ...] = (),
+            error: str | None = None) -> DataFrame:
     """One row per (resource, scope, record), resource and scope fields
     repeated. ``batch_nanos`` replaces missing times (P9); default is the
-    query's current time. ``keep`` names input columns carried along."""
+    query's current time. ``keep`` names input columns carried along;
+    ``error`` one of them that keeps a row without records where it is set
+    (see ``flatten_all``)."""
+    explode = F.explode if error is None else F.explode_outer
+    record = F.col("r").isNotNull()
+
+    def held(c: str) -> Column:
+        return F.col(c).isNotNull() if error is None else F.col(c).isNotNull() | F.col(error).isNotNull()
+
     if batch_nanos is None:
         batch_nanos = F.unix_micros(F.current_timestamp()) * 1000
     # No filter on decode_error: a payload that failed anywhere has a NULL
@@ -170,19 +199,23 @@ def flatten(decoded: DataFrame, batch_nanos: Column | None = None, keep: tuple[s
     # empty or missing lists are dropped on the generated column instead.
     rl = (decoded.select(*keep, batch_nanos.alias("_batch_nanos"),
                          F.explode_outer(F.col("request.resourceLogs")).alias("rl"))
-          .filter(F.col("rl").isNotNull()))
+          .filter(held("rl")))
     res_attrs = F.col("rl.resource.attributes")
     rl = rl.select(*keep, "_batch_nanos",
                    _keys(res_attrs).alias("res_attr_keys"),
                    _texts(res_attrs).alias("res_attr_values"),
-                   F.explode("rl.scopeLogs").alias("sl"))
+                   explode("rl.scopeLogs").alias("sl"))
     rl = rl.withColumn("service_name", V.service_name_from("res_attr_keys", "res_attr_values"))
     recs = rl.select(*keep, "_batch_nanos", "res_attr_keys", "res_attr_values", "service_name",
                      F.coalesce(F.col("sl.scope.name"), F.lit("")).alias("scope_name"),
                      F.coalesce(F.col("sl.scope.version"), F.lit("")).alias("scope_version"),
-                     F.explode("sl.logRecords").alias("r"))
+                     explode("sl.logRecords").alias("r"))
+    if error is not None:
+        recs = recs.filter(held("r"))
     ts_nanos = V.default_time_nanos(F.col("r.timeUnixNano").try_cast("bigint"), F.col("_batch_nanos"))
     obs_nanos = V.default_time_nanos(F.col("r.observedTimeUnixNano").try_cast("bigint"), F.col("_batch_nanos"))
+    if error is not None:
+        recs = recs.withColumn("_batch_nanos", F.when(record, F.col("_batch_nanos")))
     out = recs.select(
         *keep,
         V.nanos_to_ts(ts_nanos).alias("ts"),

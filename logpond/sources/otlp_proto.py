@@ -1,10 +1,10 @@
 """OTLP/protobuf codec (P4) for the decode job.
 
 The spark-protobuf module is not on the classpath, so protobuf payloads are
-translated to OTLP/JSON-shaped text inside the decode job's single codec
-UDF (``sources.codecs.payload_codec``) and then go through the same
-``from_json`` flatten as JSON payloads: Python only does the wire-format
-translation, every relational step stays in the JVM.
+read inside the decode job's single codec UDF (``sources.codecs.payload_codec``)
+into typed Arrow columns of the schema that JSON payloads are parsed to, and
+then go through the same flatten: Python only does the wire format, every
+relational step stays in the JVM.
 
 The message descriptors are declared here in code, following the public
 OpenTelemetry protocol definitions (logs v1, common v1, resource v1).
@@ -16,6 +16,7 @@ import base64
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,62 +120,138 @@ def proto_to_dict(data: bytes) -> dict:
     return d
 
 
-def _text_value(v) -> dict:
+def _text(v) -> str | None:
+    """The text of a value; None where no kind is set."""
     from logpond.functions.values import raw_from_message, raw_text
     kind = v.WhichOneof("value")
-    if kind is None:
-        return {}
     if kind == "string_value":
-        return {"stringValue": v.string_value}
-    return {"stringValue": raw_text(raw_from_message(v))}
-
-
-def _text_kvs(kvs) -> list:
-    out = []
-    append = out.append
-    for kv in kvs:
-        v = kv.value
-        if v.WhichOneof("value") == "string_value":   # the common case, inline
-            append({"key": kv.key, "value": {"stringValue": v.string_value}})
-        else:
-            append({"key": kv.key, "value": _text_value(v)})
-    return out
-
-
-def proto_to_text_dict(data: bytes) -> dict:
-    """Binary ExportLogsServiceRequest -> OTLP/JSON-shaped object for the
-    flatten, by direct field access (no generic JSON walker): ids as hex,
-    times as decimal strings, and every value already in text form as a
-    ``stringValue`` (the same text ``rewrite_values_to_text`` produces).
-    Fields the flatten does not read (scope attributes, flags, dropped
-    counts) are left out."""
-    msg = _request_class()()
-    msg.ParseFromString(data)
-    out = []
-    for rl in msg.resource_logs:
-        scopes = []
-        for sl in rl.scope_logs:
-            recs = []
-            append = recs.append
-            for r in sl.log_records:
-                tid, sid = r.trace_id, r.span_id
-                if len(tid) not in (0, 16) or len(sid) not in (0, 8):
-                    raise ValueError("invalid trace or span id length")
-                rec = {"timeUnixNano": str(r.time_unix_nano),
-                       "observedTimeUnixNano": str(r.observed_time_unix_nano),
-                       "severityNumber": r.severity_number,
-                       "severityText": r.severity_text,
-                       "attributes": _text_kvs(r.attributes),
-                       "traceId": tid.hex(),
-                       "spanId": sid.hex()}
-                if r.HasField("body"):
-                    b = r.body
-                    rec["body"] = ({"stringValue": b.string_value} if b.WhichOneof("value") == "string_value"
-                                   else _text_value(b))
-                append(rec)
-            scopes.append({"scope": {"name": sl.scope.name, "version": sl.scope.version}, "logRecords": recs})
-        out.append({"resource": {"attributes": _text_kvs(rl.resource.attributes)}, "scopeLogs": scopes})
-    return {"resourceLogs": out}
+        return v.string_value
+    return None if kind is None else raw_text(raw_from_message(v))
+
+
+class _Lists:
+    """A list column under construction: ends of the lists, values by field."""
+
+    def __init__(self, *fields: str):
+        self.ends = [0]
+        self.fields = {f: [] for f in fields}
+
+    def mark(self) -> tuple:
+        return len(self.ends), [len(v) for v in self.fields.values()]
+
+    def back(self, mark: tuple) -> None:
+        del self.ends[mark[0]:]
+        for v, n in zip(self.fields.values(), mark[1]):
+            del v[n:]
+
+
+def _strings(values: list) -> pa.Array:
+    return pa.array(values, pa.string())
+
+
+def _structs(fields: dict[str, pa.Array], names: T.StructType, n: int) -> pa.Array:
+    """A struct array of the Spark type; fields that are not given are null."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    return pa.StructArray.from_arrays(
+        [fields[f.name] if f.name in fields else pa.nulls(n, to_arrow_type(f.dataType)) for f in names.fields],
+        names=names.fieldNames())
+
+
+class RequestColumns:
+    """Decoded requests as nested Arrow columns in the JSON parser's schema
+    (``otlp_json.RESOURCE_LOGS_TYPE``): the wire format is read field by field
+    into flat lists, one per column, and list ends; no object per record and no
+    JSON text. Values are texts already, ids hexadecimal, fields that the
+    flatten does not read stay null. A request with an id of another length is
+    rejected whole, as the OTLP decoder does."""
+
+    def __init__(self):
+        self.null, self.resources = [], _Lists()
+        self.scopes = _Lists("name", "version")                        # by resource
+        self.records = _Lists("timeUnixNano", "observedTimeUnixNano", "severityNumber", "severityText", "body",
+                              "traceId", "spanId")                     # by scope
+        self.resource_kvs, self.record_kvs = _Lists("key", "value"), _Lists("key", "value")
+        self.parts = (self.resources, self.scopes, self.records, self.resource_kvs, self.record_kvs)
+        self.numbers: dict[int, str] = {}
+
+    def add_null(self) -> None:
+        self.null.append(True)
+        self.resources.ends.append(self.resources.ends[-1])
+
+    def add(self, data: bytes) -> None:
+        msg = _request_class()()
+        msg.ParseFromString(data)
+        marks = [p.mark() for p in self.parts]
+        try:
+            self._add(msg)
+        except Exception:
+            for p, m in zip(self.parts, marks):
+                p.back(m)
+            raise
+        self.null.append(False)
+
+    def _add(self, msg) -> None:
+        scope_name, scope_version = self.scopes.fields["name"].append, self.scopes.fields["version"].append
+        r = self.records.fields
+        time, observed, number, level, body, trace, span = (
+            r[k].append for k in ("timeUnixNano", "observedTimeUnixNano", "severityNumber", "severityText", "body",
+                                  "traceId", "spanId"))
+        key, value, kv_end = self.record_kvs.fields["key"].append, self.record_kvs.fields["value"].append, self.record_kvs.ends.append
+        keys = self.record_kvs.fields["key"]
+        numbers = self.numbers
+        for rl in msg.resource_logs:
+            for kv in rl.resource.attributes:
+                self.resource_kvs.fields["key"].append(kv.key)
+                self.resource_kvs.fields["value"].append(_text(kv.value))
+            self.resource_kvs.ends.append(len(self.resource_kvs.fields["key"]))
+            for sl in rl.scope_logs:
+                scope_name(sl.scope.name)
+                scope_version(sl.scope.version)
+                for rec in sl.log_records:
+                    tid, sid = rec.trace_id, rec.span_id
+                    if len(tid) not in (0, 16) or len(sid) not in (0, 8):
+                        raise ValueError("invalid trace or span id length")
+                    time(str(rec.time_unix_nano))
+                    observed(str(rec.observed_time_unix_nano))
+                    n = rec.severity_number
+                    number(numbers.get(n) or numbers.setdefault(n, str(n)))
+                    level(rec.severity_text)
+                    trace(tid.hex())
+                    span(sid.hex())
+                    body(_text(rec.body) if rec.HasField("body") else None)
+                    for kv in rec.attributes:
+                        v = kv.value
+                        key(kv.key)
+                        value(v.string_value if v.WhichOneof("value") == "string_value" else _text(v))
+                    kv_end(len(keys))
+                self.records.ends.append(len(r["traceId"]))
+            self.scopes.ends.append(len(self.scopes.fields["name"]))
+        self.resources.ends.append(len(self.scopes.ends) - 1)
+
+    def _kvs(self, lists: _Lists) -> pa.Array:
+        from logpond.functions.values import ANY_VALUE_TYPE, KEY_VALUE_TYPE
+        n = len(lists.fields["key"])
+        values = _structs({"stringValue": _strings(lists.fields["value"])}, ANY_VALUE_TYPE, n)
+        kv = _structs({"key": _strings(lists.fields["key"]), "value": values}, KEY_VALUE_TYPE, n)
+        return pa.ListArray.from_arrays(pa.array(lists.ends, pa.int32()), kv)
+
+    def array(self) -> pa.Array:
+        from logpond.functions.values import ANY_VALUE_TYPE
+        from logpond.sources.otlp_json import LOG_RECORD_TYPE, RESOURCE_LOGS_TYPE, SCOPE_LOGS_TYPE
+        f = self.records.fields
+        n = len(f["traceId"])
+        columns = {k: _strings(v) for k, v in f.items() if k != "body"}
+        columns["body"] = _structs({"stringValue": _strings(f["body"])}, ANY_VALUE_TYPE, n)
+        columns["attributes"] = self._kvs(self.record_kvs)
+        records = pa.ListArray.from_arrays(pa.array(self.records.ends, pa.int32()), _structs(columns, LOG_RECORD_TYPE, n))
+        n = len(self.scopes.fields["name"])
+        scope = _structs({k: _strings(v) for k, v in self.scopes.fields.items()}, SCOPE_LOGS_TYPE["scope"].dataType, n)
+        scopes = pa.ListArray.from_arrays(pa.array(self.scopes.ends, pa.int32()),
+                                          _structs({"scope": scope, "logRecords": records}, SCOPE_LOGS_TYPE, n))
+        n = len(self.scopes.ends) - 1
+        resource = _structs({"attributes": self._kvs(self.resource_kvs)}, RESOURCE_LOGS_TYPE["resource"].dataType, n)
+        logs = _structs({"resource": resource, "scopeLogs": scopes}, RESOURCE_LOGS_TYPE, n)
+        return pa.ListArray.from_arrays(pa.array(self.resources.ends, pa.int32()), logs, mask=pa.array(self.null, pa.bool_()))
 
 
 def _set_any(m, v: dict) -> None:

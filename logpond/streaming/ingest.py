@@ -1,17 +1,16 @@
-"""Ingest stream (ST1-ST6) with Structured Streaming.
+"""Ingest stream (ST1-ST7, ST10) with Structured Streaming.
 
 ``readStream`` over a folder of envelope files -> decompress -> decode ->
 flatten -> ``foreachBatch`` that writes, for each micro-batch:
 
-* the log rows into the logs table (partitioned by ``log_date``),
-* per-second and per-minute rollup deltas,
-* service registry deltas,
-* quarantine rows (undecodable payloads, with their reason).
+* its rows, partitioned by outcome: log records (by ``log_date``) and
+  undecodable payloads with their reason, in one pass over the payloads,
+* per-second and per-minute rollup deltas and service registry deltas,
+* when writing fails: its envelopes, for a later retry or as dead letters.
 
-Every output is partitioned by ``batch_id`` and written with dynamic
-partition overwrite, so a micro-batch that is replayed after a failure
-replaces its own output instead of adding to it: together with the
-checkpoint a replay leaves one copy (the original service is
+All of them belong to one attempt and become visible with its commit
+(``streaming.commits``), so each record is seen once in every table, whatever
+fails and whenever a batch is replayed (the original service is
 at-least-once). Rollup readers sum the deltas (``operators.rollups``), so
 late data of any age is simply counted, as in the service.
 """
@@ -31,7 +30,11 @@ from logpond.operators import storage as ST
 from logpond.operators.dashboards import as_of_col
 from logpond.session import INGEST_SETTINGS
 from logpond.sources.envelopes import decode_envelopes
-from logpond.sources.otlp_json import flatten, quarantine
+from logpond.sources.otlp_json import QUARANTINE_COLUMNS, flatten_all
+from logpond.streaming import commits as C
+
+LOGS, QUARANTINE = "rows/outcome=log", "rows/outcome=bad"
+KINDS = ("metrics_1s", "metrics_1m", "service_registry")
 
 
 @dataclass
@@ -40,44 +43,15 @@ class IngestPaths:
 
     @property
     def logs(self) -> str:
-        return f"{self.root}/logs"
-
-    @property
-    def rollups(self) -> str:
-        return f"{self.root}/rollups"
-
-    @property
-    def metrics_1s(self) -> str:
-        return f"{self.rollups}/kind=metrics_1s"
-
-    @property
-    def metrics_1m(self) -> str:
-        return f"{self.rollups}/kind=metrics_1m"
-
-    @property
-    def registry(self) -> str:
-        return f"{self.rollups}/kind=service_registry"
-
-    @property
-    def quarantine(self) -> str:
-        return f"{self.root}/quarantine"
-
-    @property
-    def retries(self) -> str:
-        return f"{self.root}/retries"
-
-    @property
-    def dlq(self) -> str:
-        return f"{self.root}/dlq"
+        return f"{self.root}/{LOGS}"
 
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/_checkpoint"
 
 
-def _overwrite_batch(df: DataFrame, path: str, *partition_cols: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("compression", "zstd").partitionBy(*partition_cols).parquet(path))
+def rollup_table(kind: str) -> str:
+    return f"rollups/kind={kind}"
 
 
 ROLLUP_COLUMNS = ["ts", "service_name", "logs_count", "errors_count", "first_seen", "last_seen"]
@@ -106,133 +80,106 @@ def bucket_of(ts) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM-dd-HH"), F.lit("all"))
 
 
-def write_rollups(rows: DataFrame, batch_id: int, paths: IngestPaths) -> None:
-    """The rollup and registry deltas of one batch of log rows, by kind, hour
-    and batch."""
-    _overwrite_batch(rollup_deltas(rows).withColumn("batch_id", F.lit(batch_id).cast("bigint")),
-                     paths.rollups, "kind", "bucket", "batch_id")
+def write_rollups(rows: DataFrame, attempt: str, paths: IngestPaths) -> None:
+    """The rollup and registry deltas of one batch of log rows, by kind and
+    hour."""
+    C.append(rollup_deltas(rows), paths.root, "rollups", attempt, "kind", "bucket")
 
 
-def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths, now=None) -> None:
-    """One micro-batch: retries that are due join it, and it is written by
-    ``write_batch``. When that fails, its envelopes are routed by their
-    delivery count (``operators.retry``): back to the retry table with a
-    delay, or to the dead letters; the stream goes on. Only a failure to
-    store the failures ends the query. ``now`` (a time) is for tests."""
+def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths, now=None, rollups=write_rollups) -> None:
+    """One micro-batch and its commit. Retries that are due join it. When
+    writing fails, the batch's outcome is that its envelopes are routed by
+    their delivery count (``operators.retry``): to the retry table with a
+    delay, or to the dead letters; the stream goes on. Only a failure to store
+    the failures ends the query, uncommitted. ``now`` (a time) and ``rollups`` (the job that writes them)
+    are for tests."""
     spark = env.sparkSession
-    waiting = claimed_retries(spark, paths, batch_id, now)
+    if C.is_finished(spark, paths.root, batch_id):
+        return                                   # replayed after its commit
+    waiting = due_retries(spark, paths, now)
     if waiting is not None:
-        env = env.unionByName(waiting, allowMissingColumns=True)
+        env = env.unionByName(waiting.drop("attempt", "due"), allowMissingColumns=True)
+    attempt, n_rows = C.new_attempt(batch_id), 0
     try:
-        write_batch(env, batch_id, paths)
+        n_rows = write_batch(env, attempt, paths, rollups)
     except Exception as e:  # noqa: BLE001 - any failed write is retried
-        store_failures(env, batch_id, paths, f"{type(e).__name__}: {e}", now)
+        attempt = C.new_attempt(batch_id)        # what the failed one has written is never seen
+        store_failures(env, attempt, paths, f"{type(e).__name__}: {e}", now)
+    if waiting is not None:
+        claims = waiting.select(F.col("attempt").alias("retry_attempt"), "due").distinct()
+        C.append(claims, paths.root, "claims", attempt)
+    C.commit(spark, paths.root, batch_id, attempt, n_rows)
 
 
 def _clock(now):
     return F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
 
 
-def store_failures(env: DataFrame, batch_id: int, paths: IngestPaths, reason: str, now=None) -> None:
-    """ST7 + S9: one folder of retries per failed batch and delay, and the
-    dead letters. Both are overwritten by batch, so a replay stores one copy."""
+RETRY_SCHEMA = T.StructType(S.ENVELOPE_SCHEMA.fields + [T.StructField("due", T.LongType())])
+CLAIM_SCHEMA = T.StructType([T.StructField("retry_attempt", T.StringType()), T.StructField("due", T.LongType())])
+
+
+def store_failures(env: DataFrame, attempt: str, paths: IngestPaths, reason: str, now=None) -> None:
+    """ST7 + S9: the envelopes of a failed batch, as retries with the second
+    from which they are due, and as dead letters."""
     failed = env.withColumn("msg_id", F.xxhash64("payload", "received_at")).withColumn(
         "failed_at", _clock(now)).withColumn("failure_reason", F.lit(reason))
     routed = RT.retry_route(failed)
-    again = routed.filter(F.col("action") == "retry").drop("action", "msg_id", "failed_at", "failure_reason")
-    due = F.unix_seconds("next_attempt_at")
-    _overwrite_batch(again.withColumn("failed_batch", F.lit(batch_id).cast("bigint")).withColumn("due", due)
-                     .drop("delay_seconds", "next_attempt_at"), paths.retries, "failed_batch", "due")
-    _overwrite_batch(RT.dead_letters(routed).withColumn("failed_batch", F.lit(batch_id).cast("bigint")),
-                     paths.dlq, "failed_batch")
-
-
-def claimed_retries(spark: SparkSession, paths: IngestPaths, batch_id: int, now=None) -> DataFrame | None:
-    """The envelopes whose delay has passed, with their delivery count
-    advanced, or None. Their folders are first moved under this batch's name
-    (``_claimed-<batch>-...``), so a replay of the batch takes the same ones
-    and no other batch does; claims of earlier batches are done with."""
-    jvm, fs = _fs(spark, paths.retries)
-    Path = jvm.org.apache.hadoop.fs.Path
-    if not fs.exists(Path(paths.retries)):
+    again = routed.filter(F.col("action") == "retry").withColumn("due", F.unix_seconds("next_attempt_at"))
+    C.append(again.select(*RETRY_SCHEMA.names), paths.root, "retries", attempt)
+    C.append(RT.dead_letters(routed), paths.root, "dlq", attempt)
+
+
+def due_retries(spark: SparkSession, paths: IngestPaths, now=None) -> DataFrame | None:
+    """The retries whose time has come and that no finished batch has
+    claimed, with their delivery count advanced; None before any failure."""
+    if not ST.table_exists(spark, f"{paths.root}/retries"):
         return None
     seconds = spark.range(1).select(F.unix_seconds(_clock(now)).alias("s")).first()["s"]
-    mine = f"_claimed-{batch_id}-"
-    taken = []
-    for st in fs.listStatus(Path(paths.retries)):
-        name = st.getPath().getName()
-        if name.startswith(mine):
-            taken.append(f"{paths.retries}/{name}")
-        elif name.startswith("_claimed-") and int(name.split("-")[1]) < batch_id:
-            fs.delete(st.getPath(), True)
-        elif name.startswith("failed_batch="):
-            failed = name.split("=", 1)[1]
-            if failed == str(batch_id):
-                continue                    # a replay: written by the attempt before
-            for d in fs.listStatus(st.getPath()):
-                due = d.getPath().getName()
-                if due.startswith("due=") and int(due[4:]) <= seconds:
-                    target = f"{paths.retries}/{mine}{failed}-{due[4:]}"
-                    _rename(fs, d.getPath(), Path(target))
-                    taken.append(target)
-    if not taken:
-        return None
-    rows = spark.read.schema(S.ENVELOPE_SCHEMA).parquet(*taken)
-    return rows.withColumn("num_delivered", (F.coalesce("num_delivered", F.lit(0)) + 1).cast("int"))
+    claimed = C.read(spark, paths.root, "claims", CLAIM_SCHEMA).select(F.col("retry_attempt").alias("attempt"), "due")
+    return (C.read(spark, paths.root, "retries", RETRY_SCHEMA).filter(F.col("due") <= seconds)
+            .join(claimed, ["attempt", "due"], "left_anti")
+            .withColumn("num_delivered", (F.coalesce("num_delivered", F.lit(0)) + 1).cast("int")))
 
 
-def write_batch(env: DataFrame, batch_id: int, paths: IngestPaths) -> None:
-    """The output of one micro-batch, usually two jobs.
+def write_batch(env: DataFrame, attempt: str, paths: IngestPaths, rollups=write_rollups) -> int:
+    """The output of one attempt, in two jobs; returns the number of log
+    records.
 
     1. Decode (codec UDF + ``from_json``, once per payload) and flatten,
-       written as the batch's rows; a row with an id of the wrong length
-       (S5) fails the job. An ``Observation`` on the decoded envelopes counts
-       decode errors in the same pass, so nothing is cached.
-    2. Rollup deltas: three columns of the rows just written are read back;
-       the 1 s delta is computed once (its shuffle is reused by the 1 m and
-       registry deltas) and all three are written by one job into
-       ``rollups/kind=<kind>/bucket=<hour>/batch_id=<id>``.
-    3. Only when step 1 saw decode errors: the batch is decoded again and
-       its bad payloads are written to the quarantine table.
+       written by outcome: records, and bad payloads with their reason. A
+       record with an id of the wrong length (S5) fails the job. An
+       ``Observation`` counts the records in the same pass, so nothing is
+       cached.
+    2. Rollup deltas: three columns of the records just written are read
+       back; the 1 s delta is computed once (its shuffle is reused by the 1 m
+       and registry deltas) and all three are written by one job.
     """
-    bid = F.lit(batch_id).cast("bigint")
     spark = env.sparkSession
-    obs = Observation(f"decode_errors_{batch_id}")
-    decoded = decode_envelopes(spread_envelopes(env)).observe(
-        obs, F.count_if(F.col("decode_error").isNotNull()).alias("errors"))
-    # records without a time get the envelope's arrival time, so a replay
-    # gives them the same day as the first attempt
+    obs = Observation(f"records_{attempt}")
+    # records without a time get the envelope's arrival time, so a second
+    # attempt gives them the same day as the first
     clock = F.unix_micros(F.coalesce("received_at", F.current_timestamp())) * 1000
-    logs = (flatten(decoded, clock)
-            .withColumn("inserted_at", F.date_trunc("second", F.current_timestamp()))
+    good = F.col("error").isNull()
+    rows = (flatten_all(decode_envelopes(spread_envelopes(env)), clock, ("batch_id",))
+            .withColumnRenamed("batch_id", "envelope")
+            .withColumn("inserted_at", F.when(good, F.date_trunc("second", F.current_timestamp())))
             .withColumn("arrival", F.monotonically_increasing_id())
-            .withColumn("batch_id", bid))
-    logs = logs.filter(F.when(ST.id_violation(), F.raise_error("an id has the wrong length").cast("boolean"))
-                       .otherwise(F.lit(True)))
+            .withColumn("outcome", F.when(good, F.lit("log")).otherwise(F.lit("bad"))))
+    rows = rows.filter(F.when(good & ST.id_violation(), F.raise_error("an id has the wrong length").cast("boolean"))
+                       .otherwise(F.lit(True))).observe(obs, F.count_if(good).alias("n"))
     # within-task sort only: a micro-batch is appended as one file per task
-    # and day, sorted for tight row-group statistics (the compaction job
-    # range-partitions whole days later); the key starts with the partition
+    # and day, sorted for tight row-group statistics (compaction range-
+    # partitions whole days later); the key starts with the partition
     # columns, so the file writer needs no sort of its own
-    _overwrite_batch(logs.sortWithinPartitions("log_date", "batch_id", "service_name", "ts"),
-                     paths.logs, "log_date", "batch_id")
-    rows = batch_rows(spark, paths.logs, batch_id)
-    if rows is not None:
-        write_rollups(rows, batch_id, paths)
-    if obs.get.get("errors", 0):
-        bad = quarantine(decode_envelopes(env)).withColumn("batch_id", bid)
-        _overwrite_batch(bad, paths.quarantine, "batch_id")
-
-
-def batch_rows(spark: SparkSession, logs_path: str, batch_id: int) -> DataFrame | None:
-    """The rows one batch just wrote, three columns. The glob lists only the
-    day folders (bounded by retention), never the whole table; None when the
-    batch wrote no rows."""
-    pattern = f"{logs_path}/log_date=*/batch_id={batch_id}"
-    jvm, fs = _fs(spark, logs_path)
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern))
-    if found is None or len(found) == 0:
-        return None
-    return spark.read.parquet(pattern).select("ts", "service_name", "severity_number")
+    rows = rows.sortWithinPartitions("outcome", "log_date", "service_name", "ts")
+    C.append(rows, paths.root, "rows", attempt, "outcome", "log_date")
+    n = int(obs.get.get("n") or 0)
+    if n:
+        # the glob lists only the day folders (bounded by retention)
+        written = spark.read.parquet(f"{paths.logs}/log_date=*/attempt={attempt}")
+        rollups(written.select("ts", "service_name", "severity_number"), attempt, paths)
+    return n
 
 
 def spread_envelopes(env: DataFrame) -> DataFrame:
@@ -304,30 +251,71 @@ def start_ingest(spark: SparkSession, source_dir: str, out_root: str, *,
 
 
 # -- readers of the stream outputs (deltas are always summed on read) ---------
+STREAM_LOGS_SCHEMA = T.StructType(S.LOGS_SCHEMA.fields + [
+    T.StructField("envelope", T.LongType()), T.StructField("arrival", T.LongType()),
+    T.StructField("arrival_batch", T.LongType())])
+
+
+def _stream_logs(spark: SparkSession, out_root: str) -> DataFrame:
+    return C.read(spark, out_root, LOGS, STREAM_LOGS_SCHEMA, "log_date")
+
+
+def _arrived(logs: DataFrame) -> DataFrame:
+    # only merged rows carry the batch that they came in
+    batch = F.coalesce("arrival_batch", C.batch_of())
+    return logs.withColumn("batch_id", batch).withColumn(
+        "arrival_seq", F.struct("batch_id", "envelope", "arrival")).drop("arrival_batch", "attempt")
+
+
 def read_stream_logs(spark: SparkSession, out_root: str) -> DataFrame:
-    """The ingested rows; ``arrival_seq`` orders them by arrival (batch they
-    came in, then place in the batch), as the live tail needs it. Only
-    compacted rows carry that batch (``arrival_batch``)."""
-    schema = T.StructType(S.LOGS_SCHEMA.fields + [
-        T.StructField("arrival", T.LongType()), T.StructField("arrival_batch", T.LongType()),
-        T.StructField("batch_id", T.LongType())])
-    logs = spark.read.schema(schema).parquet(IngestPaths(out_root).logs)
-    return logs.withColumn("arrival_seq", F.struct(
-        F.coalesce("arrival_batch", "batch_id").alias("batch_id"), "arrival")).drop("arrival_batch")
+    """The ingested rows; ``arrival_seq`` (batch they came in, envelope, place)
+    is unique and orders them by arrival."""
+    return _arrived(_stream_logs(spark, out_root))
+
+
+def read_quarantine(spark: SparkSession, out_root: str) -> DataFrame:
+    """The payloads that could not be decoded, with their batch."""
+    schema = T.StructType([T.StructField(n, t) for n, t in QUARANTINE_COLUMNS])
+    return C.read(spark, out_root, QUARANTINE, schema).withColumn("batch_id", C.batch_of()).drop("attempt", "log_date")
+
+
+def read_dead_letters(spark: SparkSession, out_root: str) -> DataFrame:
+    return C.read(spark, out_root, "dlq", RT.DLQ_SCHEMA).drop("attempt")
+
+
+def newest_rows(spark: SparkSession, out_root: str, size: int = S.LIVE_BUFFER_SIZE) -> DataFrame:
+    """ST10: rows that hold the newest ``size`` arrivals, for the live tail:
+    the last finished batches with so many records together. Only their
+    folders are read."""
+    taken, n = [], 0
+    last = C.finished(spark, out_root).where("merged is null and n_rows > 0").orderBy(F.col("batch_id").desc())
+    for r in last.limit(size).collect():         # every one of them has a record at least
+        taken.append(r["batch_id"])
+        n += r["n_rows"]
+        if n >= size:
+            break
+    logs = _stream_logs(spark, out_root)
+    if not taken:
+        return _arrived(logs)
+    # merged rows lie in attempts of later batches
+    return _arrived(logs.where(C.batch_of() >= min(taken))).where(F.col("batch_id") >= min(taken))
 
 
 DELTA_SCHEMA = T.StructType([
     T.StructField("ts", T.TimestampType()), T.StructField("service_name", T.StringType()),
     T.StructField("logs_count", T.LongType()), T.StructField("errors_count", T.LongType()),
     T.StructField("first_seen", T.TimestampType()), T.StructField("last_seen", T.TimestampType()),
-    T.StructField("bucket", T.StringType()), T.StructField("batch_id", T.LongType())])
+    T.StructField("bucket", T.StringType())])
+
+
+def _deltas(spark: SparkSession, out_root: str, kind: str) -> DataFrame:
+    return C.read(spark, out_root, rollup_table(kind), DELTA_SCHEMA, "bucket")
 
 
 def read_metrics(spark: SparkSession, out_root: str, grain: str = "1s", start=None, end=None) -> DataFrame:
     """A summed rollup; with ``start`` and ``end`` (times) only the hours
     between them are listed and read."""
-    p = IngestPaths(out_root)
-    deltas = spark.read.schema(DELTA_SCHEMA).parquet(p.metrics_1s if grain == "1s" else p.metrics_1m)
+    deltas = _deltas(spark, out_root, "metrics_1s" if grain == "1s" else "metrics_1m")
     if start is not None:
         deltas = deltas.filter((F.col("bucket") >= bucket_of(as_of_col(start))) & (F.col("ts") >= as_of_col(start)))
     if end is not None:
@@ -346,7 +334,7 @@ def read_recent(spark: SparkSession, out_root: str, grain: str, as_of, seconds:
 
 
 def read_registry(spark: SparkSession, out_root: str, first_seen: str = "global") -> DataFrame:
-    deltas = spark.read.schema(DELTA_SCHEMA).parquet(IngestPaths(out_root).registry)
+    deltas = _deltas(spark, out_root, "service_registry")
     return R.registry_latest(deltas.select("service_name", "first_seen", "last_seen"), first_seen)
 
 
@@ -361,149 +349,67 @@ def windowed_metrics_1s(logs_stream: DataFrame, watermark: str = "10 seconds") -
             .select(F.col("window.start").alias("ts"), "service_name", "logs_count", "errors_count"))
 
 
-# -- compaction of committed micro-batch partitions ---------------------------
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _batch_dirs(spark: SparkSession, parent: str, upto_batch_id: int) -> list:
-    jvm, fs = _fs(spark, parent)
-    p = jvm.org.apache.hadoop.fs.Path(parent)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("batch_id="):
-            bid = int(name.split("=", 1)[1])
-            if bid <= upto_batch_id:
-                out.append((bid, st.getPath()))
-    return sorted(out)
-
-
-def _rename(fs, source, target) -> None:
-    if not fs.rename(source, target):
-        raise OSError(f"cannot rename {source} to {target}")
-
-
-def recover_swap(spark: SparkSession, parent: str) -> None:
-    """Undo or finish a compaction that died in ``parent``. Working folders
-    start with ``_`` and hold no ``=``, so readers never list them. While
-    the merged data is still in its working folder, batches moved aside go
-    back; once it has its place, what is left aside is old."""
-    jvm, fs = _fs(spark, parent)
-    Path = jvm.org.apache.hadoop.fs.Path
-    if not fs.exists(Path(parent)):
+# -- maintenance: rewritten parts, committed like batches ----------------------
+def _cutoff(as_of, ttl: str) -> Column:
+    return as_of_col(as_of) - F.expr(f"INTERVAL {ttl}")
+
+
+def compact_logs(spark: SparkSession, out_root: str, days: list[str], as_of=None, ttl: str | None = None,
+                 num_files: int | None = None) -> None:
+    """Rewrite the finished batches of these days as one sorted run of files
+    each, range-partitioned on (day, service, time) for tight row-group
+    statistics. With ``ttl`` rows that are expired at ``as_of`` are left out
+    (ST8: a day that is expired whole becomes empty, the edge day keeps the
+    rest). Readers change over with the commit."""
+    upto = C.last_finished(spark, out_root)
+    if upto is None or not days:
         return
-    names = [st.getPath().getName() for st in fs.listStatus(Path(parent))]
-    merged = [n for n in names if n.startswith("_merged-")]
-    for n in names:
-        if n.startswith("_aside-"):
-            if merged:
-                _rename(fs, Path(f"{parent}/{n}"), Path(f"{parent}/batch_id={n[len('_aside-'):]}"))
-            else:
-                fs.delete(Path(f"{parent}/{n}"), True)
-    for n in merged:
-        fs.delete(Path(f"{parent}/{n}"), True)
-
-
-def _swap_in(spark: SparkSession, parent: str, merged: str, upto_batch_id: int, olds: list) -> None:
-    """Put the complete folder ``merged`` (``_merged-<id>`` in ``parent``) in
-    the place of the compacted batch folders. Every row is in a folder at
-    every moment; readers may briefly miss the affected batches."""
-    jvm, fs = _fs(spark, parent)
-    Path = jvm.org.apache.hadoop.fs.Path
-    aside = []
-    for bid, path in olds:
-        aside.append(Path(f"{parent}/_aside-{bid}"))
-        _rename(fs, path, aside[-1])
-    _rename(fs, Path(merged), Path(f"{parent}/batch_id={upto_batch_id}"))
-    for path in aside:
-        fs.delete(path, True)
-
-
-def compact_logs_day(spark: SparkSession, out_root: str, day: str, upto_batch_id: int,
-                     num_files: int | None = None) -> int:
-    """Merge the committed micro-batch partitions ``batch_id <= upto`` of one
-    ``log_date`` into a single partition, range-partitioned and sorted on
-    (service_name, ts) for tight row-group statistics. Only committed batch
-    ids may be compacted (a committed batch is never replayed). Returns the
-    number of batch folders merged."""
-    paths = IngestPaths(out_root)
-    parent = f"{paths.logs}/log_date={day}"
-    recover_swap(spark, parent)
-    olds = _batch_dirs(spark, parent, upto_batch_id)
-    if len(olds) <= 1:
-        return len(olds)
-    rows = (read_stream_logs(spark, out_root)
-            .filter((F.col("log_date") == F.lit(day).cast("date")) & (F.col("batch_id") <= upto_batch_id))
-            # the folder has one batch id: each row keeps the one it came in
-            .withColumn("arrival_batch", F.col("arrival_seq.batch_id"))
-            .drop("log_date", "batch_id", "arrival_seq"))
-    keys = ["service_name", "ts"]
+    rows = _stream_logs(spark, out_root).where(F.col("log_date").cast("string").isin(days) & (C.batch_of() <= upto))
+    rows = rows.withColumn("arrival_batch", F.coalesce("arrival_batch", C.batch_of())).drop("attempt")
+    if ttl is not None:
+        rows = rows.where(F.col("ts") > _cutoff(as_of, ttl))
+    keys = ["log_date", "service_name", "ts"]
     ranged = rows.repartitionByRange(num_files, *keys) if num_files else rows.repartitionByRange(*keys)
-    tmp = f"{parent}/_merged-{upto_batch_id}"
-    ranged.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(tmp)
-    _swap_in(spark, parent, tmp, upto_batch_id, olds)
-    return len(olds)
-
-
-def compact_deltas(spark: SparkSession, out_root: str, table: str, upto_batch_id: int,
-                   as_of=None, ttl: str | None = None) -> int:
-    """Collapse the delta rows of batches ``<= upto`` of a rollup table
-    (``metrics_1s``, ``metrics_1m``: summed; ``service_registry``: min / max)
-    hour by hour into one folder each, so readers list one folder an hour
-    instead of one per micro-batch and hour. Results read through the summing
-    readers are unchanged. With ``ttl`` (e.g. ``"1 hour"`` for the 1 s rollup,
-    ``"1 day"`` for the 1 m rollup) hours that are expired whole are deleted
-    and expired rows of the edge hour dropped on the way (ST8 for the rollup
-    tables). Returns the number of batch folders merged."""
-    paths = IngestPaths(out_root)
-    path = getattr(paths, {"metrics_1s": "metrics_1s", "metrics_1m": "metrics_1m",
-                           "service_registry": "registry"}[table])
-    jvm, fs = _fs(spark, path)
-    Path = jvm.org.apache.hadoop.fs.Path
-    if not fs.exists(Path(path)):
-        return 0
-    is_metric = table.startswith("metrics")
-    cutoff = as_of_col(as_of) - F.expr(f"INTERVAL {ttl}") if ttl is not None else None
-    edge = spark.range(1).select(bucket_of(cutoff).alias("b")).first()["b"] if cutoff is not None and is_metric else None
-    merged_folders = 0
-    for name in sorted(st.getPath().getName() for st in fs.listStatus(Path(path))):
-        if not name.startswith("bucket="):
-            continue
-        bucket, parent = name.split("=", 1)[1], f"{path}/{name}"
-        if edge is not None and bucket < edge:
-            fs.delete(Path(parent), True)
-            continue
-        recover_swap(spark, parent)
-        olds = _batch_dirs(spark, parent, upto_batch_id)
-        expiring = cutoff is not None and (bucket == edge or not is_metric)
-        if not olds or len(olds) == 1 and not expiring:
-            merged_folders += len(olds)
-            continue
-        deltas = spark.read.schema(DELTA_SCHEMA).parquet(path).filter(
-            (F.col("bucket") == bucket) & (F.col("batch_id") <= upto_batch_id))
-        if is_metric:
-            merged = R.metrics_compact(deltas)
-        else:
-            merged = R.registry_latest(deltas, "global")
-        if expiring:
-            merged = merged.filter(F.col("ts" if is_metric else "last_seen") > cutoff)
-        tmp = f"{parent}/_merged-{upto_batch_id}"
-        merged.write.mode("overwrite").option("compression", "zstd").parquet(tmp)
-        _swap_in(spark, parent, tmp, upto_batch_id, olds)
-        merged_folders += len(olds)
-    return merged_folders
-
-
-def committed_batch_id(spark: SparkSession, out_root: str) -> int | None:
-    """Highest micro-batch id whose commit the checkpoint has recorded."""
-    jvm, fs = _fs(spark, IngestPaths(out_root).checkpoint)
-    p = jvm.org.apache.hadoop.fs.Path(IngestPaths(out_root).checkpoint + "/commits")
-    if not fs.exists(p):
-        return None
-    ids = [int(st.getPath().getName()) for st in fs.listStatus(p) if st.getPath().getName().isdigit()]
-    return max(ids) if ids else None
+    attempt = C.new_attempt(upto)
+    C.append(ranged.sortWithinPartitions(*keys), out_root, LOGS, attempt, "log_date")
+    C.commit_parts(spark, out_root, LOGS, days, upto, attempt)
+
+
+def expire_logs(spark: SparkSession, out_root: str, as_of=None, ttl: str = f"{S.LOGS_TTL_DAYS} days") -> list[str]:
+    """ST8 on the stream's own table: days up to the edge day lose their
+    expired rows. Returns those days."""
+    edge = F.to_date(_cutoff(as_of, ttl))
+    days = [str(r["log_date"]) for r in _stream_logs(spark, out_root).where(F.col("log_date") <= edge)
+            .select("log_date").distinct().collect()]            # at most the days of the table
+    compact_logs(spark, out_root, sorted(days), as_of, ttl)
+    return sorted(days)
+
+
+def compact_deltas(spark: SparkSession, out_root: str, kind: str, as_of=None, ttl: str | None = None) -> None:
+    """Collapse the delta rows of the finished batches of a rollup
+    (``metrics_1s``, ``metrics_1m``: summed; ``service_registry``: min / max),
+    all hours in one job. Results read through the summing readers are
+    unchanged. With ``ttl`` (e.g. ``"1 hour"`` for the 1 s rollup) expired rows
+    are left out on the way (ST8 for the rollup tables)."""
+    upto = C.last_finished(spark, out_root)
+    if upto is None:
+        return
+    is_metric = kind != "service_registry"
+    deltas = _deltas(spark, out_root, kind).where(C.batch_of() <= upto)
+    hours = [r["bucket"] for r in deltas.select("bucket").distinct().collect()]      # bounded by retention
+    merged = R.metrics_compact(deltas) if is_metric else R.registry_latest(deltas, "global")
+    if ttl is not None:
+        merged = merged.filter(F.col("ts" if is_metric else "last_seen") > _cutoff(as_of, ttl))
+    merged = merged.withColumn("bucket", bucket_of("ts") if is_metric else F.lit("all"))
+    attempt = C.new_attempt(upto)
+    C.append(merged.repartition("bucket"), out_root, rollup_table(kind), attempt, "bucket")
+    if hours:
+        C.commit_parts(spark, out_root, rollup_table(kind), hours, upto, attempt)
+
+
+def vacuum(spark: SparkSession, out_root: str) -> int:
+    """Delete the folders that no commit shows any more, and gather the
+    commits in one file. Run it when no reader holds an older view."""
+    C.merge_log(spark, out_root)
+    return C.vacuum(spark, out_root, {LOGS: "log_date", QUARANTINE: "log_date", "retries": None, "claims": None, "dlq": None,
+                                      **{rollup_table(k): "bucket" for k in KINDS}})

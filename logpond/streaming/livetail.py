@@ -1,66 +1,40 @@
 """Live-tail stream (ST10).
 
-A second streaming query over arriving log rows keeps a ring of the newest
-``size`` arrivals. The ring is a small table (at most ``size`` rows) stored
-as one version per micro-batch: version N = top ``size`` of (version N-1
-union batch N) by arrival sequence. A replayed batch rewrites its own
-version, so restarts are safe; versions before the last two are removed. Failing to keep up never blocks ingest: the
-two queries are independent.
+A second streaming query, over the commits of the ingest: every time batches
+have been finished, the newest ``size`` arrivals are read from the folders of
+the last batches (``ingest.newest_rows``) and published. It keeps no table and
+no state of its own, a reader that lags skips to the newest rows, and failing
+to keep up never blocks the ingest: the two queries are independent.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logpond import schema as S
 from logpond.operators.livetail import live_buffer, live_tail_view
+from logpond.streaming import commits as C
+from logpond.streaming.ingest import newest_rows
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+def ring(spark: SparkSession, out_root: str, size: int = S.LIVE_BUFFER_SIZE) -> DataFrame:
+    """The newest ``size`` arrivals of an ingest."""
+    return live_buffer(newest_rows(spark, out_root, size), "arrival_seq", size)
 
 
-def update_ring(batch: DataFrame, batch_id: int, root: str, arrival_col: str, size: int) -> None:
-    spark = batch.sparkSession
-    prev = [v for v in _versions(spark, root) if v < batch_id]
-    rows = batch
-    if prev:
-        rows = spark.read.parquet(f"{root}/v={prev[-1]}").unionByName(batch, allowMissingColumns=True)
-    live_buffer(rows, arrival_col, size).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
-    if prev:      # the version before stays, for its readers and for a replay of this batch
-        jvm = spark.sparkContext._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for v in prev[:-1]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/v={v}"), True)
+def live_view(spark: SparkSession, out_root: str, size: int = S.LIVE_BUFFER_SIZE, **filters) -> DataFrame:
+    """T6 over the ring."""
+    return live_tail_view(newest_rows(spark, out_root, size), "arrival_seq", size=size, **filters)
 
 
-def start_live_tail(spark: SparkSession, rows_stream: DataFrame, root: str, checkpoint: str,
-                    arrival_col: str = "arrival_seq", size: int = S.LIVE_BUFFER_SIZE,
-                    available_now: bool = True, processing_time: str = "500 milliseconds"):
-    w = (rows_stream.writeStream
-         .foreachBatch(lambda df, bid: update_ring(df, bid, root, arrival_col, size))
+def start_live_tail(spark: SparkSession, out_root: str, checkpoint: str, publish: Callable[[DataFrame], None],
+                    size: int = S.LIVE_BUFFER_SIZE, available_now: bool = True,
+                    processing_time: str = "500 milliseconds"):
+    """Calls ``publish`` with the ring whenever new commits have arrived."""
+    stream = spark.readStream.schema(C.COMMIT_SCHEMA).parquet(f"{out_root}/commits")
+    w = (stream.writeStream.foreachBatch(lambda df, _: publish(ring(df.sparkSession, out_root, size)))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
-
-
-def read_ring(spark: SparkSession, root: str) -> DataFrame:
-    v = _versions(spark, root)
-    if not v:
-        raise FileNotFoundError(f"no live-tail ring under {root}")
-    return spark.read.parquet(f"{root}/v={v[-1]}")
-
-
-def live_view_from_ring(spark: SparkSession, root: str, arrival_col: str = "arrival_seq", **filters) -> DataFrame:
-    return live_tail_view(read_ring(spark, root), arrival_col, **filters)

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logpond.operators import search as Q
+from logpond.sources.events_adapter import read_logs
+from tests.conftest import SF_SMALL
 from tests.helpers import R1, R2, R3, R4, log_row, logs_df
 
 
@@ -132,6 +134,48 @@ def test_unflatten_and_live_zip(spark):
     assert [[tuple(x) for x in g] for g in live] == [[("a", "1"), ("b", None), ("c", None)], [], [("k", "v")]]
 
 
+def walk(logs, f):
+    token, out = None, []
+    while True:
+        page = Q.search_page(logs, f, token).collect()
+        if not page:
+            return out
+        assert len(page) <= f.page_limit
+        out.append(page)
+        token = Q.next_token(page, token)
+
+
+def _same(rows):
+    return sorted(str(r.asDict()) for r in rows)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("order_by", ["Timestamp", "ServiceName"])
+@pytest.mark.parametrize("unique", [False, True])
+def test_pages_reach_every_row_once(spark, order_by, descending, unique):
+    """Equal ids, equal times, rows equal in all columns, nulls in the keys."""
+    logs = read_logs(spark, SF_SMALL).where("event_id < 120")
+    same = logs.withColumn("trace_id", F.lit("0" * 32)).withColumn("span_id", F.lit("0" * 16)).withColumn(
+        "ts", F.when(F.col("event_id") % 4 == 0, F.lit("2024-01-01").cast("timestamp"))
+        .when(F.col("event_id") % 4 == 1, F.lit("2024-01-02").cast("timestamp"))
+        .when(F.col("event_id") % 4 == 2, F.col("ts"))).withColumn("ts_nanos", F.unix_micros("ts") * 1000).withColumn(
+        "service_name", F.when(F.col("event_id") % 3 > 0, F.lit("svc-0")).when(F.col("event_id") % 2 == 0, F.lit("svc-1")))
+    if not unique:
+        # rows that share everything, nine of them at a time
+        same = same.drop("event_id").withColumn("body", F.lit("b")).withColumn("log_attr_values", F.array(F.lit("v")))
+        same = same.select("*", F.explode(F.array(*[F.lit(k) for k in range(3)]))).drop("col")
+    same = same.repartition(4)
+    f = Q.LogFilter(order_by=order_by, descending=descending, limit=7)
+    pages = walk(same, f)
+    rows = [r for p in pages for r in p]
+    assert _same(rows) == _same(same.withColumn("page_key", Q.page_key(same, f)).collect())
+    first = [r["ts" if order_by == "Timestamp" else "service_name"] for r in rows]
+    known = [x for x in first if x is not None]
+    nulls = [None] * (len(first) - len(known))
+    assert first == (sorted(known, reverse=True) + nulls if descending else nulls + sorted(known))
+    assert {len(p) for p in pages[:-1]} == {7}
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_pages_by_key_equal_pages_by_offset(spark, descending):
     rows = [log_row(dt.datetime(2024, 1, 1, 0, 0, i // 20), "s", "INFO", 9, str(i), f"{(i * 7) % 100:032d}", "0" * 16) for i in range(100)]
@@ -141,14 +185,21 @@ def test_pages_by_key_equal_pages_by_offset(spark, descending):
     whole = [r["body"] for r in Q.search_logs(logs, Q.LogFilter(limit=100, descending=descending)).collect()]
     want = sorted(range(100), key=lambda i: (rows[i]["ts_nanos"], rows[i]["trace_id"]), reverse=descending)
     assert whole == [str(i) for i in want]
-    f, got = Q.LogFilter(limit=30, descending=descending), []
-    page = Q.search_logs(logs, f).collect()
-    while page:
-        got += [r["body"] for r in page]
-        last = {k: page[-1][k] for k in Q.key_columns(f)}
-        last["ts"] = last["ts"].replace(tzinfo=None)
-        page = Q.search_after(logs, f, last).collect()
-    assert got == whole
+    assert [r["body"] for p in walk(logs, Q.LogFilter(limit=30, descending=descending)) for r in p] == whole
+
+
+def test_service_prefix_through_the_registry(spark, tmp_dir):
+    from logpond.operators import rollups as R
+    logs = read_logs(spark, SF_SMALL)
+    registry = R.registry_delta(logs)
+    logs.write.parquet(tmp_dir + "/logs")
+    stored = spark.read.parquet(tmp_dir + "/logs")
+    for prefix in ("SVC-1", "svc", "s_c-2", "none", "svc-1%"):
+        f = Q.LogFilter(service_name=prefix)
+        pruned = Q.apply_filter(stored, f, registry)
+        assert _same(pruned.collect()) == _same(Q.apply_filter(stored, f).collect())
+    plan = Q.apply_filter(stored, Q.LogFilter(service_name="SVC-1"), registry)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(service_name,svc-1)" in plan or "In(service_name" in plan
 
 
 def test_id_prefix_is_pushed(spark, tmp_dir):

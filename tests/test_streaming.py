@@ -1,11 +1,13 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from logpond.operators import rollups as R
 from logpond.plans.q_decode import _requests
 from logpond.sources.envelopes import envelopes_to_logs, read_envelopes, to_envelopes
 from logpond.sources.events_adapter import read_logs
+from logpond.streaming import commits as C
 from logpond.streaming import ingest as I
 from logpond.streaming import livetail as LT
 from tests.conftest import SF_SMALL
@@ -50,19 +52,6 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, tmp_dir):
     assert _rows(I.read_metrics(spark, out, "1m")) == _rows(R.metrics_1m(R.metrics_1s(read_logs(spark, SF_SMALL))))
 
 
-def test_live_tail_ring(spark, tmp_dir):
-    src, root = tmp_dir + "/tail", tmp_dir + "/ring"
-    rows = read_logs(spark, SF_SMALL).withColumn("arrival_seq", F.col("event_id"))
-    rows.repartitionByRange(4, "arrival_seq").write.parquet(src)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = LT.start_live_tail(spark, stream, root, root + "_ckpt", size=300)
-    assert q.awaitTermination(300)
-    ring = LT.read_ring(spark, root)
-    assert ring.count() == 300
-    assert ring.agg(F.min("arrival_seq")).first()[0] == rows.count() - 300
-    assert len([d for d in os.listdir(root) if d.startswith("v=")]) == 2
-
-
 def test_windowed_variant_has_watermark(spark, tmp_dir):
     src = tmp_dir + "/w"
     read_logs(spark, SF_SMALL).write.parquet(src)
@@ -77,40 +66,74 @@ def test_windowed_variant_has_watermark(spark, tmp_dir):
     assert 0 < got <= read_logs(spark, SF_SMALL).count()
 
 
-def test_compaction_keeps_results(spark, tmp_dir):
+def _run(spark, src, out):
+    assert I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1).awaitTermination(300)
+
+
+COLS = ["trace_id", "span_id", "ts_nanos", "service_name", "body"]
+
+
+def _state(spark, out):
+    return (_rows(I.read_stream_logs(spark, out).select(COLS)), _rows(I.read_metrics(spark, out, "1s")),
+            _rows(I.read_metrics(spark, out, "1m")), _rows(I.read_registry(spark, out)),
+            [r["trace_id"] for r in I.read_stream_logs(spark, out).orderBy("arrival_seq").collect()])
+
+
+def test_compaction_and_vacuum_keep_results(spark, tmp_dir):
     src, out = tmp_dir + "/src", tmp_dir + "/out"
     _envelopes(spark, src)
-    q = I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1)
-    assert q.awaitTermination(300)
-    upto = I.committed_batch_id(spark, out)
-    assert upto == 2
-    cols = ["trace_id", "span_id", "ts_nanos", "service_name", "body"]
-    before_logs = _rows(I.read_stream_logs(spark, out).select(cols))
-    before_m = _rows(I.read_metrics(spark, out, "1s"))
-    before_r = _rows(I.read_registry(spark, out))
+    _run(spark, src, out)
+    before = _state(spark, out)
+    days = [d.split("=", 1)[1] for d in os.listdir(I.IngestPaths(out).logs) if d.startswith("log_date=")]
+    for _ in range(2):                                   # a merged part can be merged again
+        I.compact_logs(spark, out, days)
+        for kind in I.KINDS:
+            I.compact_deltas(spark, out, kind)
+        assert _state(spark, out) == before
+    assert I.vacuum(spark, out) > 0
+    assert _state(spark, out) == before
+    assert I.vacuum(spark, out) == 0
+    for day in days:                                     # one attempt is left in each day
+        assert len([d for d in os.listdir(f"{I.IngestPaths(out).logs}/log_date={day}") if d.startswith("attempt=")]) == 1
+    # later batches come on top of the merged parts
+    more = read_envelopes(spark, src).filter(F.col("batch_id") < 2)
+    I.process_batch(more, 100_000, I.IngestPaths(out))
+    assert len(_state(spark, out)[0]) == len(before[0]) + 200
+    assert _state(spark, out)[4][:len(before[4])] == before[4]
+    I.compact_logs(spark, out, days)
+    assert _state(spark, out)[4][:len(before[4])] == before[4]
+
+
+def test_maintenance_that_dies_changes_nothing(spark, tmp_dir, monkeypatch):
+    src, out = tmp_dir + "/src", tmp_dir + "/out"
+    _envelopes(spark, src)
+    _run(spark, src, out)
+    before = _state(spark, out)
     days = [d.split("=", 1)[1] for d in os.listdir(I.IngestPaths(out).logs) if d.startswith("log_date=")]
-    for day in days:
-        assert I.compact_logs_day(spark, out, day, upto) == 3
-    for t in ("metrics_1s", "metrics_1m", "service_registry"):
-        assert I.compact_deltas(spark, out, t, upto) == 3
-    assert _rows(I.read_stream_logs(spark, out).select(cols)) == before_logs
-    assert _rows(I.read_metrics(spark, out, "1s")) == before_m
-    assert _rows(I.read_registry(spark, out)) == before_r
-    for day in days:
-        sub = [d for d in os.listdir(f"{I.IngestPaths(out).logs}/log_date={day}") if d.startswith("batch_id=")]
-        assert sub == [f"batch_id={upto}"]
+    commit = C.commit_parts
+
+    def dying(*a):
+        raise OSError("died before the commit")
+
+    monkeypatch.setattr(C, "commit_parts", dying)
+    for job in (lambda: I.compact_logs(spark, out, days), lambda: I.compact_deltas(spark, out, "metrics_1s")):
+        with pytest.raises(OSError):
+            job()
+        assert _state(spark, out) == before
+    monkeypatch.setattr(C, "commit_parts", commit)
+    assert I.vacuum(spark, out) > 0                      # what the dead jobs had written
+    assert _state(spark, out) == before
 
 
 def test_delta_compaction_with_ttl(spark, tmp_dir):
     src, out = tmp_dir + "/src", tmp_dir + "/out"
     _envelopes(spark, src)
-    q = I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1)
-    assert q.awaitTermination(300)
+    _run(spark, src, out)
     m = I.read_metrics(spark, out, "1s")
     cutoff_row = m.orderBy("ts").collect()[len(m.collect()) // 2]
     as_of = cutoff_row["ts"].replace(tzinfo=None) + __import__("datetime").timedelta(hours=1)
     expected = _rows(m.filter(F.col("ts") > F.lit(cutoff_row["ts"])))
-    I.compact_deltas(spark, out, "metrics_1s", I.committed_batch_id(spark, out), as_of.isoformat(sep=" "), "1 hour")
+    I.compact_deltas(spark, out, "metrics_1s", as_of.isoformat(sep=" "), "1 hour")
     assert _rows(I.read_metrics(spark, out, "1s")) == expected
 
 
@@ -123,11 +146,12 @@ def test_batch_with_bad_payload_writes_quarantine(spark, tmp_dir):
         .withColumn("content_type", F.lit("application/json")).withColumn("content_encoding", F.lit(""))
     paths = I.IngestPaths(tmp_dir + "/out")
     I.process_batch(env.unionByName(bad), 3, paths)
-    q = spark.read.parquet(paths.quarantine).collect()
+    q = I.read_quarantine(spark, paths.root).collect()
     assert len(q) == 1 and q[0]["error"] == "invalid json payload" and q[0]["batch_id"] == 3
     assert I.read_stream_logs(spark, paths.root).count() == 300
     I.process_batch(env.unionByName(bad), 3, paths)   # replay: still one copy
-    assert spark.read.parquet(paths.quarantine).count() == 1
+    assert I.read_quarantine(spark, paths.root).count() == 1
+    assert q[0]["payload"] == b"{not json" and q[0]["content_type"] == "application/json"
 
 
 def test_replay_on_another_day_leaves_one_copy(spark, tmp_dir):
@@ -148,59 +172,86 @@ def test_replay_on_another_day_leaves_one_copy(spark, tmp_dir):
     assert I.read_metrics(spark, paths.root).agg(F.sum("logs_count")).first()[0] == 12
 
 
-def test_compaction_survives_a_crash_at_every_step(spark, tmp_dir, monkeypatch):
-    src, out = tmp_dir + "/src", tmp_dir + "/out"
+@pytest.mark.parametrize("failing", ["rows", "rollups", "retries", "dlq", "commit"])
+def test_a_failure_after_each_write_job(spark, tmp_dir, monkeypatch, failing):
+    """Whatever job of a batch fails, before or after it has written: readers
+    see none of that attempt, and after the retry each record is there once,
+    in every table."""
+    src = tmp_dir + "/src"
     _envelopes(spark, src)
-    assert I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1).awaitTermination(300)
-    upto = I.committed_batch_id(spark, out)
-    cols = ["trace_id", "span_id", "ts_nanos", "service_name", "body"]
-    before = _rows(I.read_stream_logs(spark, out).select(cols))
-    parent = I.IngestPaths(out).logs
-    day = next(d for d in os.listdir(parent) if d.startswith("log_date=")).split("=", 1)[1]
-    rename = I._rename
-
-    class Crash(Exception):
-        pass
-
-    for step in range(upto + 2):          # before each rename: three batches aside, then the merged one
-        done = []
-
-        def dying(fs, a, b):
-            if len(done) == step:
-                raise Crash
-            done.append(b)
-            rename(fs, a, b)
-
-        monkeypatch.setattr(I, "_rename", dying)
-        try:
-            I.compact_logs_day(spark, out, day, upto)
-            raise AssertionError("no crash")
-        except Crash:
-            pass
-        monkeypatch.setattr(I, "_rename", rename)
-        I.read_stream_logs(spark, out).count()                # readers go on
-        I.recover_swap(spark, f"{parent}/log_date={day}")
-        assert _rows(I.read_stream_logs(spark, out).select(cols)) == before
-    # after the merged folder has its place, before the old ones are gone
-    assert I.compact_logs_day(spark, out, day, upto) == upto + 1
-    os.makedirs(f"{parent}/log_date={day}/_aside-0")
-    I.recover_swap(spark, f"{parent}/log_date={day}")
-    assert not [d for d in os.listdir(f"{parent}/log_date={day}") if d.startswith("_")]
-    assert _rows(I.read_stream_logs(spark, out).select(cols)) == before
+    env = read_envelopes(spark, src).filter(F.col("batch_id") < 4)
+    bad = env.limit(1).withColumn("batch_id", F.lit(99).cast("bigint")).withColumn("payload", F.lit(b"x").cast("binary"))
+    paths = I.IngestPaths(tmp_dir + "/out")
+    append, commit = C.append, C.commit
+    broken = {"on": True}
+
+    def append_then_fail(rows, root, table, attempt, *parts):
+        append(rows, root, table, attempt, *parts)
+        stores = table == failing or (table == "rollups" and failing in ("retries", "dlq"))
+        if broken["on"] and stores:
+            raise OSError(f"lost after {table}")
+
+    def commit_fails(*a, **k):
+        if broken["on"] and failing == "commit":
+            raise OSError("lost before the commit")
+        commit(*a, **k)
+
+    monkeypatch.setattr(C, "append", append_then_fail)
+    monkeypatch.setattr(C, "commit", commit_fails)
+    ends = failing in ("retries", "dlq", "commit")           # the query itself fails, the batch is replayed
+    try:
+        I.process_batch(env.unionByName(bad), 1, paths, "2024-01-01 00:00:00")
+        assert not ends
+    except OSError:
+        assert ends
+    assert I.read_stream_logs(spark, paths.root).count() == 0
+    assert _rows(I.read_metrics(spark, paths.root)) == [] and I.read_quarantine(spark, paths.root).count() == 0
+    broken["on"] = False
+    I.process_batch(env.unionByName(bad), 1, paths, "2024-01-01 00:00:01")      # the replay
+    I.process_batch(env.limit(0), 2, paths, "2024-01-01 02:00:00")              # takes due retries
+    I.process_batch(env.limit(0), 3, paths, "2024-01-01 04:00:00")
+    logs = I.read_stream_logs(spark, paths.root)
+    assert logs.count() == logs.select("trace_id").distinct().count() == 400
+    assert I.read_metrics(spark, paths.root).agg(F.sum("logs_count")).first()[0] == 400
+    assert I.read_metrics(spark, paths.root, "1m").agg(F.sum("logs_count")).first()[0] == 400
+    assert I.read_quarantine(spark, paths.root).count() == 1
+    assert I.read_dead_letters(spark, paths.root).count() == 0
+    I.vacuum(spark, paths.root)
+    assert I.read_stream_logs(spark, paths.root).count() == 400
+
+
+def test_one_bad_payload_does_not_decode_the_batch_twice(spark, tmp_dir, monkeypatch):
+    from logpond.sources.otlp_json import decode_requests
+    src = tmp_dir + "/src"
+    _envelopes(spark, src)
+    env = read_envelopes(spark, src).filter(F.col("batch_id") < 6)
+    n = env.count()
+    bad = env.limit(1).withColumn("batch_id", F.lit(99).cast("bigint")).withColumn("payload", F.lit(b"x").cast("binary"))
+    calls = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(I, "decode_envelopes", lambda e: decode_requests(e, on_payload=lambda: calls.add(1)))
+    I.process_batch(env.unionByName(bad), 1, I.IngestPaths(tmp_dir + "/out"))
+    assert I.read_quarantine(spark, tmp_dir + "/out").count() == 1
+    assert 0 < calls.value <= n + 1
 
 
 def test_retention_on_the_streams_own_table(spark, tmp_dir):
     from logpond.operators import storage as ST
     src, out = tmp_dir + "/src", tmp_dir + "/out"
     _envelopes(spark, src)
-    assert I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1).awaitTermination(300)
+    _run(spark, src, out)
     logs = I.read_stream_logs(spark, out)
     first = logs.agg(F.min("ts")).first()[0].replace(tzinfo=None)
     as_of = (first + __import__("datetime").timedelta(days=1, seconds=60)).isoformat(sep=" ")
-    want = ST.retention_view(logs, as_of, "1 day").count()
-    assert 0 < want < logs.count()
-    ST.apply_retention(spark, I.IngestPaths(out).logs, as_of, "1 day")
-    assert ST.retention_view(I.read_stream_logs(spark, out), as_of, "1 day").count() == want
+    want = _rows(ST.retention_view(logs, as_of, "1 day").select(COLS))
+    n = logs.count()
+    assert 0 < len(want) < n
+    assert I.expire_logs(spark, out, as_of, "1 day") == [first.date().isoformat()]      # inside the edge day
+    assert _rows(I.read_stream_logs(spark, out).select(COLS)) == want
+    late = (first + __import__("datetime").timedelta(days=9)).isoformat(sep=" ")
+    I.expire_logs(spark, out, late, "1 day")                                            # whole days
+    assert I.read_stream_logs(spark, out).count() == 0
+    assert I.vacuum(spark, out) > 0 and not [
+        d for d in os.listdir(f"{I.IngestPaths(out).logs}/log_date={first.date()}") if d.startswith("attempt=")]
 
 
 def test_failed_writes_are_retried_then_dead(spark, tmp_dir, monkeypatch):
@@ -214,8 +265,9 @@ def test_failed_writes_are_retried_then_dead(spark, tmp_dir, monkeypatch):
     monkeypatch.setattr(I, "write_batch", lambda *x: (_ for _ in ()).throw(OSError("no store")))
     for _ in range(2):                                                # replayed: stored once
         I.process_batch(a.unionByName(old), 1, paths, "2024-01-01 00:00:00")
-    assert spark.read.parquet(paths.dlq).count() == 1                 # tenth delivery
-    assert "no store" in spark.read.parquet(paths.dlq).first()["failure_reason"]
+    dead = I.read_dead_letters(spark, paths.root).collect()
+    assert len(dead) == 1 and "no store" in dead[0]["failure_reason"]  # tenth delivery
+    assert dead[0]["payload"] == old.first()["payload"]
     monkeypatch.setattr(I, "write_batch", write)
     I.process_batch(b, 2, paths, "2024-01-01 00:00:02")               # not yet due
     assert I.read_stream_logs(spark, paths.root).count() == 300
@@ -237,42 +289,51 @@ def test_retries_run_out(spark, tmp_dir, monkeypatch):
     monkeypatch.setattr(I, "write_batch", lambda *x: (_ for _ in ()).throw(OSError("no store")))
     for k, at in enumerate(["00:00:00", "02:00:00", "04:00:00", "06:00:00"]):
         I.process_batch(one if k == 0 else none, k, paths, f"2024-01-01 {at}")
-    dead = spark.read.parquet(paths.dlq).collect()
+    dead = I.read_dead_letters(spark, paths.root).collect()
     assert len(dead) == 1 and dead[0]["num_delivered"] == 10
 
 
-def test_live_tail_over_ingested_rows(spark, tmp_dir):
-    from logpond.operators.livetail import live_tail_view
-    src, out, root = tmp_dir + "/src", tmp_dir + "/out", tmp_dir + "/ring"
-    _envelopes(spark, src)
-    assert I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1).awaitTermination(300)
-    logs = I.read_stream_logs(spark, out)
-    last = sorted(((r["batch_id"], r["arrival"], r["trace_id"]) for r in logs.collect()), reverse=True)[:50]
-    view = live_tail_view(logs, "arrival_seq", size=50, rows=50)
-    assert {r["trace_id"] for r in view.collect()} == {x[2] for x in last}
-    for b in range(3):
-        LT.update_ring(logs.filter(F.col("batch_id") == b), b, root, "arrival_seq", 50)
-    assert {r["trace_id"] for r in LT.read_ring(spark, root).collect()} == {x[2] for x in last}
-
-
-def test_compaction_of_distant_batches_keeps_arrival(spark, tmp_dir):
+def test_claims_of_a_batch_that_dies(spark, tmp_dir, monkeypatch):
+    """A batch takes due retries and dies before its commit: its claim does
+    not count, the replay takes them; two batches never both do."""
     src = tmp_dir + "/src"
     _envelopes(spark, src)
     env = read_envelopes(spark, src)
     paths = I.IngestPaths(tmp_dir + "/out")
+    write, commit = I.write_batch, C.commit
+    monkeypatch.setattr(I, "write_batch", lambda *x: (_ for _ in ()).throw(OSError("no store")))
+    I.process_batch(env.filter("batch_id < 2"), 1, paths, "2024-01-01 00:00:00")
+    monkeypatch.setattr(I, "write_batch", write)
+    monkeypatch.setattr(C, "commit", lambda *x: (_ for _ in ()).throw(OSError("died")))
+    with pytest.raises(OSError):
+        I.process_batch(env.filter("batch_id = 2"), 2, paths, "2024-01-01 01:00:00")
+    monkeypatch.setattr(C, "commit", commit)
+    assert I.read_stream_logs(spark, paths.root).count() == 0
+    I.process_batch(env.filter("batch_id = 2"), 2, paths, "2024-01-01 01:00:05")
+    I.process_batch(env.filter("batch_id = 3"), 3, paths, "2024-01-01 05:00:00")
+    logs = I.read_stream_logs(spark, paths.root)
+    assert logs.count() == logs.select("trace_id").distinct().count() == 400
+
 
-    def by_arrival():
-        return [r["trace_id"] for r in I.read_stream_logs(spark, paths.root).orderBy("arrival_seq").collect()]
-
-    for b, at in ((0, 0), (1, 7), (2, 100_000)):
-        I.process_batch(env.filter(F.col("batch_id") == b), at, paths)
-    before = by_arrival()
-    days = [d.split("=", 1)[1] for d in os.listdir(paths.logs) if d.startswith("log_date=")]
-    for day in days:
-        assert I.compact_logs_day(spark, paths.root, day, 100_000) == 3
-    assert by_arrival() == before
-    I.process_batch(env.filter(F.col("batch_id") == 3), 5_000_000, paths)      # compacted once more
-    before = by_arrival()
-    for day in days:
-        assert I.compact_logs_day(spark, paths.root, day, 5_000_000) == 2
-    assert by_arrival() == before
+def test_live_tail_over_ingested_rows(spark, tmp_dir):
+    src, out = tmp_dir + "/src", tmp_dir + "/out"
+    _envelopes(spark, src)
+    _run(spark, src, out)
+    logs = I.read_stream_logs(spark, out)
+    last = [r["trace_id"] for r in logs.orderBy(F.col("arrival_seq").desc()).limit(50).collect()]
+    assert logs.select("arrival_seq").distinct().count() == logs.count()
+    seen = []
+    q = LT.start_live_tail(spark, out, tmp_dir + "/tail_ckpt", lambda df: seen.append([r["trace_id"] for r in df.collect()]), 50)
+    assert q.awaitTermination(300)
+    assert set(seen[-1]) == set(last)
+    assert {r["trace_id"] for r in LT.live_view(spark, out, 50, rows=50).collect()} == set(last)
+    # the same after compaction, and only the last batches' folders are read
+    days = [str(r[0]) for r in logs.select("log_date").distinct().collect()]
+    I.compact_logs(spark, out, days)
+    assert {r["trace_id"] for r in LT.ring(spark, out, 50).collect()} == set(last)
+    I.process_batch(read_envelopes(spark, src).filter("batch_id = 0"), 50, I.IngestPaths(out))
+    newest = I.newest_rows(spark, out, 50)
+    assert {r["batch_id"] for r in newest.select("batch_id").distinct().collect()} == {50}
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(attempt" in plan and "substring(attempt" in plan
+    assert LT.ring(spark, tmp_dir + "/nothing", 50).count() == 0
