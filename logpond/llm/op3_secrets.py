@@ -24,7 +24,10 @@ procedure needs only a histogram of at most ``LENGTH_CLASSES`` x
 
 Defined cases: a null or empty text has no spans; repeated rows and null
 ids each get their result; an empty table gives an empty result; extra
-columns are ignored; positions are code points.
+columns are ignored; positions are code points. A very long text, and one
+with very many matches, costs time in proportion: matches become rows, places
+are running sums and overlaps are found by a sorted sweep; only the matches of
+one text have to fit a task's sort, which spills.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logpond.llm.common import pick, saved, small_side
+from logpond.llm.common import BROADCAST_BYTES, pick, saved
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run that is too short holds no longer one, so the least length can stand in the pattern.
@@ -66,20 +69,27 @@ LENGTH_CLASSES = 12       # floor(log2(length)), at most this; 3 for pieces of 1
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _spans(t: Column, pattern: str, kind: int) -> Column:
-    """All matches of ``pattern`` as (start, kind, end, text): what lies
-    between the matches gives their places."""
-    hit = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    gap = F.split(t, pattern)
-    pairs = F.transform(hit, lambda x, i: F.struct(F.char_length(F.get(gap, i)).alias("g"), x.alias("x")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(
-        "array<struct<start:int,kind:int,end:int,x:string>>").alias("out"))
-    walked = F.aggregate(pairs, zero, lambda a, p: F.struct(
-        (a["at"] + p["g"] + F.char_length(p["x"])).alias("at"),
-        F.array_append(a["out"], F.struct(
-            (a["at"] + p["g"]).alias("start"), F.lit(kind).alias("kind"),
-            (a["at"] + p["g"] + F.char_length(p["x"])).alias("end"), p["x"].alias("x"))).alias("out")))
-    return F.when(F.size(hit) > 0, walked["out"]).otherwise(zero["out"])
+def _matches(t: Column, pattern: str) -> Column:
+    """Every match of ``pattern`` (x) with the number of characters between
+    the match before and it (g); the last entry, the text's end, has no x."""
+    gap = F.transform(F.split(t, pattern, -1), F.char_length).alias("g")
+    return F.arrays_zip(gap, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("x"))
+
+
+def _placed(rows: DataFrame, keys: list[str], at: Column) -> DataFrame:
+    """Adds start and end to exploded matches (``keys`` name their text, pos,
+    g, x): a running sum over the lengths, whatever their number."""
+    so_far = F.sum(F.col("g") + F.char_length("x")).over(
+        Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    d = rows.where("x is not null").withColumn("end", (at + so_far).cast("int"))
+    return d.withColumn("start", F.col("end") - F.char_length("x"))
+
+
+def _within(rows: DataFrame, pattern: str) -> DataFrame:
+    """row, start, end, x of the matches of ``pattern`` in the texts x of
+    ``rows`` (row, start, x)."""
+    d = rows.select("row", F.col("start").alias("at"), F.posexplode(_matches(F.col("x"), pattern)).alias("pos", "m"))
+    return _placed(d.select("row", "at", "pos", "m.g", "m.x"), ["row", "at"], F.col("at")).select("row", "start", "end", "x")
 
 
 def _erfc(df: DataFrame, x: str, out: str) -> DataFrame:
@@ -107,17 +117,12 @@ def _alphabet(body: Column) -> Column:
     return F.when((F.char_length(body) >= 16) & body.rlike("[A-Za-z]"), alphabet)
 
 
-def _moved(spans: Column, by: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(
-        (s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["x"].alias("x")))
-
-
-def _pieces(runs: Column) -> Column:
+def _pieces(runs: DataFrame) -> DataFrame:
     """The tokens in ``runs`` that can be tested: what lies between ``=``,
     whole if it fits an encoding, else its parts."""
-    pieces = F.flatten(F.transform(runs, lambda r: _moved(_spans(r["x"], PIECE, 3), r["start"])))
-    return F.flatten(F.transform(pieces, lambda p: F.when(
-        _alphabet(_body(p["x"])).isNotNull(), F.array(p)).otherwise(_moved(_spans(p["x"], PART, 3), p["start"]))))
+    pieces = _within(runs, PIECE)
+    fits = _alphabet(_body(F.col("x"))).isNotNull()
+    return pieces.where(fits).unionByName(_within(pieces.where(~fits), PART))
 
 
 def encoded(tokens: DataFrame) -> DataFrame:
@@ -162,31 +167,42 @@ def battery(rows: DataFrame) -> DataFrame:
     return d.drop(*[x for x in d.columns if x.startswith("_")])
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th, base (spans), token (start, end, text of the tokens in long
-    runs that overlap no base span): one row per input row, the only pass over
-    the texts."""
-    d = pick(docs, id=id_col, t=text_col).select("id", F.xxhash64("t").alias("th"),
-                                                  F.coalesce("t", F.lit("")).alias("t"))
-    t = F.col("t")
-    d = d.select("id", "th", _spans(t, ASSIGN, 0).alias("assign"), _spans(t, ACCESS, 1).alias("access"),
-                 _spans(t, HEX, 2).alias("hex"), _spans(t, TOKEN, 3).alias("token"))
-    long_enough = F.filter("assign", lambda s: F.char_length(F.regexp_extract(s["x"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    d = d.select("id", "th", _pieces(F.col("token")).alias("token"), F.array_sort(F.transform(
-        F.concat(long_enough, "access", "hex"),
-        lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).alias("base"))
-    fresh = F.filter("token", lambda s: ~F.exists(
-        "base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    return d.select("id", "th", "base", fresh.alias("token"))
-
-
-def judged(cand: DataFrame) -> DataFrame:
-    """id, th, start, end, cls (length class), step (p-value in steps of
-    1/100 decade): a row per encoded token."""
-    rows = encoded(cand.select("id", "th", F.explode("token").alias("s")).select("id", "th", "s.start", "s.end", "s.x"))
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (a number of its own for each input row), id, th, and the matches
+    of each pattern (m0 to m3): the only pass over the texts, written."""
+    d = pick(docs, id=id_col, t=text_col).select(
+        F.monotonically_increasing_id().alias("row"), "id", F.xxhash64("t").alias("th"), F.coalesce("t", F.lit("")).alias("t"))
+    return saved(d.select("row", "id", "th", *[
+        _matches(F.col("t"), p).alias(f"m{k}") for k, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN))]), "matches")
+
+
+def candidates(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(base spans: row, start, kind, end; tokens in long runs that overlap
+    no base span: row, start, end, x), a row each, both dealt by the text they
+    come from. A text's spans are sorted, never compared in pairs."""
+    each = [found.select("row", F.lit(k).alias("kind"), F.posexplode(f"m{k}").alias("pos", "m")) for k in range(4)]
+    spans = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    spans = spans.select("row", "kind", "pos", "m.g", "m.x").where("x is not null").repartition("row")
+    spans = saved(_placed(spans, ["row", "kind"], F.lit(0)), "spans")
+    value = F.char_length(F.regexp_extract("x", ASSIGN, 2))
+    base = spans.where((F.col("kind") < 3) & ((F.col("kind") > 0) | (value >= ASSIGN_LEAST))).select("row", "start", "kind", "end")
+    tokens = _pieces(spans.where("kind = 3").select("row", "start", "x").repartition("row"))
+    # a base span that starts before the token's end and ends after its start
+    events = base.select("row", F.col("start").alias("at"), F.lit(1).alias("b"), F.col("end").alias("reach"),
+                         *[F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("end", "int"), ("x", "string"))])
+    events = events.unionByName(tokens.select("row", F.col("end").alias("at"), F.lit(0).alias("b"),
+                                              F.lit(None).cast("int").alias("reach"), "start", "end", "x"))
+    reach = F.max("reach").over(Window.partitionBy("row").orderBy("at", "b").rowsBetween(Window.unboundedPreceding, 0))
+    fresh = events.withColumn("reach", reach).where((F.col("b") == 0) & (F.coalesce("reach", F.lit(0)) <= F.col("start")))
+    return base, fresh.select("row", "start", "end", "x")
+
+
+def judged(tokens: DataFrame) -> DataFrame:
+    """row, start, end, cls (length class), step (p-value in steps of 1/100
+    decade): a row per encoded token."""
     size = (F.col("end") - F.col("start")).cast("double")
-    return battery(rows).select(
-        "id", "th", "start", "end",
+    return battery(encoded(tokens)).select(
+        "row", "start", "end",
         F.when(size < 24, F.lit(3)).otherwise(
             F.least(F.lit(LENGTH_CLASSES), F.floor(F.log2(size) + 1e-9).cast("int"))).alias("cls"),
         F.least(F.lit(MAX_STEP), F.floor(-100 * F.log10(F.greatest("p", F.lit(1e-300)))).cast("int")).alias("step"))
@@ -203,20 +219,29 @@ def cleared_from(tokens: DataFrame, fdr: float = FDR) -> dict[int, int]:
     return {r["cls"]: r["step"] for r in passing.groupBy("cls").agg(F.min("step").alias("step")).collect()}
 
 
+def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                fdr: float = FDR) -> tuple[DataFrame, DataFrame]:
+    """(row, id, th of every input row; row, start, kind, end of every span)."""
+    found = matches(docs, id_col, text_col)
+    base, tokens = candidates(found)
+    tested = saved(judged(tokens), "tokens")
+    cleared = F.lit(MAX_STEP + 1)
+    for cls, step in sorted(cleared_from(tested, fdr).items()):    # at most LENGTH_CLASSES entries
+        cleared = F.when(F.col("cls") == cls, F.lit(step)).otherwise(cleared)
+    flagged = tested.where(F.col("step") < cleared).select("row", "start", F.lit(3).alias("kind"), "end")
+    return found.select("row", "id", "th"), base.unionByName(flagged)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """id, th (hash of the text), base, spans: arrays of (start, kind index
     of ``KINDS``, end), by start and kind; one row per input row."""
-    cand = saved(candidates(docs, id_col, text_col), "candidates")
-    tokens = saved(judged(cand), "tokens")
-    cleared = F.lit(MAX_STEP + 1)
-    for cls, step in sorted(cleared_from(tokens, fdr).items()):    # at most LENGTH_CLASSES entries
-        cleared = F.when(F.col("cls") == cls, F.lit(step)).otherwise(cleared)
-    flagged = tokens.where(F.col("step") < cleared).groupBy(F.col("id").alias("id2"), F.col("th").alias("th2")).agg(
-        F.collect_set(F.struct("start", F.lit(3).alias("kind"), "end")).alias("extra"))
-    same = cand["id"].eqNullSafe(flagged["id2"]) & cand["th"].eqNullSafe(flagged["th2"])
-    return cand.join(flagged, same, "left").select(
-        "id", "th", "base",
-        F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(SPAN)))).alias("spans"))
+    rows, spans = found_spans(docs, id_col, text_col, fdr)
+    span = F.struct("start", "kind", "end")
+    by_row = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("kind") < 3, span))).alias("base"),
+                                      F.array_sort(F.collect_list(span)).alias("spans"))
+    none = F.array().cast(SPAN)
+    return rows.join(by_row, "row", "left").select("id", "th", F.coalesce("base", none).alias("base"),
+                                                   F.coalesce("spans", none).alias("spans"))
 
 
 def render(spans: Column) -> Column:
@@ -226,27 +251,73 @@ def render(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span, overlapping ones merged, replaced by ``mark``."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, zero, lambda a, s: F.struct(
-        F.greatest(a["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= a["at"], F.concat(
-            a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out")))
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substr(text, done["at"] + 1))).otherwise(text)
+def _merged(spans: Column) -> Column:
+    """Overlapping spans as one; spans that do not overlap are left as they
+    are, without a walk."""
+    overlap = F.exists(F.transform(spans, lambda s, i: (i > 0) & (s["start"] < F.get(spans, i - 1)["end"])), lambda x: x)
+    walked = F.aggregate(spans, F.array().cast(SPAN), lambda a, s: F.when(
+        (F.size(a) > 0) & (s["start"] < F.get(a, F.size(a) - 1)["end"]),
+        F.array_append(F.slice(a, F.lit(1), F.size(a) - 1), F.struct(
+            F.get(a, F.size(a) - 1)["start"].alias("start"), s["kind"].alias("kind"),
+            F.greatest(F.get(a, F.size(a) - 1)["end"], s["end"]).alias("end")))).otherwise(F.array_append(a, s)))
+    return F.when(overlap, walked).otherwise(spans)
+
+
+def redact(text: Column, spans: Column, mark: str = "[SECRET]", blocks: Column | None = None) -> Column:
+    """``text`` with every span replaced by ``mark``; overlapping ones are
+    merged. ``blocks``, a stored column of ``text_blocks``, makes the cost
+    linear in a long text: what lies between two spans is then taken from the
+    blocks that it touches."""
+    def kept(lo: Column, hi: Column) -> Column:
+        if blocks is None:
+            return F.substr(text, lo + 1, hi - lo)
+        first = F.floor(lo / BLOCK).cast("int")
+        touched = F.slice(blocks, first + 1, F.floor(hi / BLOCK).cast("int") - first + 1)
+        return F.substr(F.array_join(touched, ""), lo - first * BLOCK + 1, hi - lo)
+
+    cut = _merged(spans) if blocks is None else spans
+    before = F.transform(cut, lambda s, i: kept(F.when(i > 0, F.get(cut, i - 1)["end"]).otherwise(F.lit(0)), s["start"]))
+    tail = kept(F.get(cut, F.size(cut) - 1)["end"], F.char_length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(before, lambda x: F.concat(x, F.lit(mark))), ""), tail)
+                  ).otherwise(text)
+
+
+BLOCK = 1024
+
+
+def text_blocks(text: Column) -> Column:
+    """``text`` in pieces of ``BLOCK`` characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def disjoint(spans: DataFrame) -> DataFrame:
+    """row, start, kind, end: overlapping spans of a row as one."""
+    w = Window.partitionBy("row").orderBy("start", "end", "kind")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = spans.withColumn("fresh", F.when(F.col("start") < reach, 0).otherwise(1))
+    d = d.withColumn("g", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy("row", "g").agg(F.min("start").alias("start"), F.min("kind").alias("kind"), F.max("end").alias("end")).drop("g")
 
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs``, all rows and columns, with every span of the scan replaced
     by a mark and ``chars_col`` (if there is one) renewed for those rows."""
     names = docs.columns
-    found = scan(docs, id_col, text_col).where(F.size("spans") > 0).groupBy("id", "th").agg(F.first("spans").alias("spans"))
+    rows, spans = found_spans(docs, id_col, text_col)
+    by_row = disjoint(spans).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    found = rows.join(by_row, "row").groupBy("id", "th").agg(F.first("spans").alias("spans"))
     found = saved(found, "masked").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans")
+    measured = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("s")).first()
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index(text_col)}"
     same = F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
-    d = flat.join(small_side(found, found.count(), 200), same, "left")
-    d = d.withColumn(text, F.when(F.col("spans").isNotNull(), redact(F.col(text), F.col("spans"))).otherwise(F.col(text)))
+    # the ids and hashes, and 32 bytes a span
+    side = F.broadcast(found) if measured["n"] * 64 + measured["s"] * 32 <= BROADCAST_BYTES else found
+    d = flat.join(side, same, "left")
+    # the blocks are a column of their own, used twice, so that they are made once a row
+    d = d.withColumn("_blocks", F.when(F.col("spans").isNotNull(), text_blocks(F.col(text))))
+    d = d.withColumn(text, F.when(F.col("spans").isNotNull(), redact(F.col(text), F.col("spans"), blocks=F.col("_blocks")))
+                     .otherwise(F.col(text)))
     if chars_col in names:
         chars = f"c{names.index(chars_col)}"
         kind = docs.schema[names.index(chars_col)].dataType

@@ -2,20 +2,27 @@
 
 Writer: one WARC/1.1 record per page, written by Spark's text writer (the
 record separator is the line separator), so archives go to any store that
-Spark can write and a file never holds more than ``RECORDS_A_FILE`` records.
+Spark can write. A file holds at most ``RECORDS_A_FILE`` records, and fewer if
+the longest payload would let it grow beyond ``ARCHIVE_BYTES``.
 Pages of equal payload (by SHA-1) share one response record, that with the
 smallest id; the others are revisits without the payload.
 
 Reader: archives, plain or gzip (a member a record, or any other cut), are
 read record by record. A record must have a version line, a Content-Length,
 its whole block, the closing blank line and, for a response, the payload
-digest it states. When one of these checks fails, the reader searches for
+digest it states (by value: base32 or hexadecimal, of either case; folded
+header lines are one). When one of these checks fails, the reader searches for
 the next gzip member or version line from which a whole record can be read,
-goes on from there and logs the bytes between as a quarantined gap. Every
-byte of a file is in a record, in the padding between records or in a gap.
-An archive is held in memory whole, so archives must be of bounded size (a
-usual 1 GB archive fits; the reader fails on larger ones than
-``spark.sql.sources.binaryFile.maxLength``, it never drops one).
+goes on from there and logs the bytes between as a quarantined gap. A gzip
+member that is cut or damaged is kept up to the damage: whole records in it
+whose digest is right are recovered, the rest is a gap. Every byte of a file
+is in a record, in the padding between records or in a gap.
+
+Members are decompressed in chunks, so the time is in proportion to the
+archive, however many members it has. An archive, and the text of one member
+of it, are held in memory by the task that reads it, which bounds their size:
+the reader fails on archives larger than
+``spark.sql.sources.binaryFile.maxLength`` (2 GB), it never drops one.
 
 Defined cases: a null html is an empty payload; rows that repeat an id and
 its payload are responses all (none has a smaller id); null ids come after
@@ -39,6 +46,7 @@ from logpond.llm.common import pick, saved, small_side
 from logpond.session import scratch_path
 
 RECORDS_A_FILE = 2000
+ARCHIVE_BYTES = 256 << 20     # of an archive, unless one record alone is larger
 LEAST_SHARED = 0              # payloads of at least so many bytes are deduplicated
 DATE = "2026-01-01T00:00:00Z"
 #: Fixed by the WARC format.
@@ -83,6 +91,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     name = F.coalesce(F.col("id").cast("string"), F.lit("none"))
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
     d = d.withColumn("block", block)
+    longest = pick(pages, t=html_col).agg(F.max(F.octet_length("t")).alias("n")).first()["n"] or 0
+    records = max(1, min(RECORDS_A_FILE, ARCHIVE_BYTES // (longest + 4096)))
     head = F.concat(
         F.lit(f"{VERSION}{eol}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit(f"{eol}WARC-Record-ID: <urn:page:"), name, F.lit(f">{eol}WARC-Date: {DATE}{eol}WARC-Target-URI: "), url,
@@ -93,7 +103,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit(f"{eol}Content-Type: application/http; msgtype=response{eol}Content-Length: "),
         F.octet_length("block").cast("string"), F.lit(eol + eol))
     d.select(F.concat(head, F.col("block")).alias("value")).write.option("lineSep", eol + eol).option(
-        "maxRecordsPerFile", RECORDS_A_FILE).text(path)
+        "maxRecordsPerFile", records).text(path)
 
 
 # ---- reader -----------------------------------------------------------------
@@ -108,7 +118,7 @@ class Damaged(Exception):
 
 def _headers(raw: bytes) -> dict[str, str]:
     out = {}
-    for line in raw.split(b"\r\n")[1:]:
+    for line in re.sub(rb"\r\n[ \t]+", b" ", raw).split(b"\r\n")[1:]:      # folded lines are one
         k, colon, v = line.partition(b":")
         if not colon:
             raise Damaged("header line without a colon")
@@ -134,10 +144,8 @@ def _record(data: bytes, at: int) -> tuple[int, dict, bytes]:
     if data[hi:hi + 4] != b"\r\n\r\n":
         raise Damaged("no blank line after the block")
     block = data[lo:hi]
-    stated = head.get("warc-payload-digest", "")
-    if head.get("warc-type") == "response" and stated.startswith("sha1:"):
-        if base64.b32encode(hashlib.sha1(payload_of(head, block)).digest()).decode() != stated[5:]:
-            raise Damaged("payload digest differs")
+    if head.get("warc-type") == "response" and _verified(head, block) is False:
+        raise Damaged("payload digest differs")
     return hi + 4, head, block
 
 
@@ -148,27 +156,85 @@ def payload_of(head: dict, block: bytes) -> bytes:
     return block
 
 
-def _member(data: bytes, at: int) -> tuple[int, bytes]:
-    d = zlib.decompressobj(31)
+def stated_digest(head: dict) -> tuple[str, bytes] | None:
+    """(algorithm, value) of the payload digest that a record states, in
+    base32 or hexadecimal digits of either case; None if there is none that
+    can be checked."""
+    name, _, text = head.get("warc-payload-digest", "").partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size = hashlib.new(name).digest_size
     try:
-        inner = d.decompress(data[at:])
-    except zlib.error as e:
-        raise Damaged(f"gzip member: {e}") from None
-    if not d.eof:
-        raise Damaged("gzip member cut off")
-    return len(data) - len(d.unused_data), inner
+        if len(text) == 2 * size:
+            return name, bytes.fromhex(text)
+        text = text.rstrip("=").upper()
+        value = base64.b32decode(text + "=" * (-len(text) % 8))
+    except ValueError:
+        return None
+    return (name, value) if len(value) == size else None
+
+
+def _verified(head: dict, block: bytes) -> bool | None:
+    """Whether the payload has the stated digest; None if none is stated (one
+    that is no digest of its kind cannot be right)."""
+    stated = stated_digest(head)
+    if stated is None:
+        known = re.match(r"(?i)(md5|sha-?1|sha-?256|sha-?512):", head.get("warc-payload-digest", ""))
+        return False if known else None
+    return hashlib.new(stated[0], payload_of(head, block)).digest() == stated[1]
+
+
+CHUNK = 1 << 16
+
+
+def _member(data: memoryview, at: int) -> tuple[int, bytes, str | None]:
+    """(end, text, damage) of the gzip member at ``at``, read in bounded
+    chunks. Of a cut or damaged member the text up to the damage is kept;
+    ``end`` is then the first byte that could not be used."""
+    def feed(lo: int, step: int, d, out: list) -> tuple[int, str | None]:
+        while not d.eof:
+            if lo >= len(data):
+                return lo, "gzip member cut off"
+            try:
+                out.append(d.decompress(data[lo:lo + step]))
+            except zlib.error as e:
+                return lo, f"gzip member: {e}"
+            lo += min(step, len(data) - lo)
+        return lo - len(d.unused_data), None
+
+    d, out = zlib.decompressobj(31), []
+    end, why = feed(at, CHUNK, d, out)
+    if why and end < len(data):
+        # once more, byte by byte in the chunk that failed: its whole part counts
+        failed, d, out = end, zlib.decompressobj(31), []
+        lo = at
+        while lo < failed:
+            out.append(d.decompress(data[lo:min(lo + CHUNK, failed)]))
+            lo = min(lo + CHUNK, failed)
+        end, why = feed(lo, 1, d, out)
+    return end, b"".join(out), why
 
 
 def _read_at(data: bytes, at: int) -> tuple[int, list[tuple[int, int, dict, bytes]], list[tuple[int, int, str]]]:
     """(end, records, gaps) of the member or record at ``at``."""
     if data.startswith(_GZIP, at):
-        end, inner = _member(data, at)
-        found, gaps = [], []
+        end, inner, damage = _member(memoryview(data), at)
+        found, gaps, lost = [], [], 0
         for kind, _, size, x, block in salvage(inner):
-            if kind == "record":
+            # what a damaged member holds counts only if its digest says so
+            if kind == "record" and (damage is None or _verified(x, block)):
                 found.append((at, end - at, x, block))
             else:
                 gaps.append((at, size, f"in a member: {x}"))
+                lost += size
+        if damage is not None:
+            if not found:
+                raise Damaged(damage)
+            stop = _start_behind(data, at, end, {(x.get("warc-record-id"), y) for _, _, x, y in found})
+            end = min(end, stop)
+            return (stop, [(o, end - at, x, y) for o, _, x, y in found],
+                    [(end, stop - end, f"{damage}; {lost} bytes of its text are in no record")])
         if inner and not found:
             raise Damaged("gzip member without a record")
         return end, found, gaps
@@ -176,6 +242,25 @@ def _read_at(data: bytes, at: int) -> tuple[int, list[tuple[int, int, dict, byte
     return end, [(at, end - at, head, block)], []
 
 
+def _start_behind(data: bytes, at: int, end: int, known: set) -> int:
+    """Where reading goes on after the damaged member at ``at``: a cut member
+    takes bytes of what follows it for its own until that fails at ``end``, so
+    a start before ``end`` counts if a new record can be read there."""
+    pos = at + 1
+    while m := _START.search(data, pos):
+        if m.start() >= end:
+            return m.start()
+        try:
+            stop, found, _ = _read_at(data, m.start())
+        except Damaged:
+            pos = m.start() + 1
+            continue
+        if any((x.get("warc-record-id"), y) not in known for _, _, x, y in found):
+            return m.start()
+        pos = max(stop, m.start() + 1)
+    return len(data)
+
+
 def salvage(data: bytes):
     """("record", offset, length, headers, block) and ("gap", offset, length,
     reason, None) in order of place."""
@@ -225,9 +310,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                 continue
             payload = payload_of(head, block)
             revisit = head.get("warc-type") == "revisit"
-            stated = head.get("warc-payload-digest", "")
-            if revisit and stated.startswith("sha1:"):
-                digest, length = stated[5:], head.get("x-payload-length", "")
+            stated = stated_digest(head)
+            if revisit and stated and stated[0] == "sha1":
+                digest, length = base64.b32encode(stated[1]).decode(), head.get("x-payload-length", "")
                 length = int(length) if length.isdigit() else None
             else:
                 digest, length = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)

@@ -112,3 +112,56 @@ def test_damaged_archive_through_spark(spark, tmp_path):
     assert [(r["page_id"], r["payload"]) for r in got if r["kind"] == "record"] == [(1, b"a"), (3, b"c")]
     gap = [r for r in got if r["kind"] == "gap"]
     assert len(gap) == 1 and gap[0]["length"] == len(record(b"b", page=2)) - 4 and gap[0]["reason"]
+
+
+def test_digests_by_value_and_folded_headers():
+    sha = hashlib.sha1(b"one").digest()
+    forms = [sha.hex(), sha.hex().upper(), base64.b32encode(sha).decode().lower()]
+    data = b"".join(record(b"one", page=i, digest=d) for i, d in enumerate(forms))
+    folded = record(b"one", page=3).replace(b"Content-Type: application/http; ", b"Content-Type: application/http;\r\n\t ")
+    sha256 = record(b"one", page=4, digest="x").replace(b"sha1:x", b"sha256:" + hashlib.sha256(b"one").hexdigest().encode())
+    unknown = record(b"one", page=5, digest="x").replace(b"sha1:x", b"crc32:00000000")
+    assert pages(data + folded + sha256 + unknown) == list(range(6)) and not gaps(data + folded + sha256 + unknown)
+    wrong = [record(b"one", page=1, digest=hashlib.sha1(b"two").hexdigest()), record(b"one", page=2, digest="abc"),
+             record(b"one", page=3, digest="not hexadecimal, but forty digits long!!")]
+    assert pages(b"".join(wrong)) == []
+
+
+def test_a_cut_member_gives_its_whole_records():
+    rng = random.Random(8)
+    recs = [record(rng.randbytes(300), page=i) for i in range(100)]
+    data = gzip.compress(b"".join(recs))
+    got = pages(data[:-200])
+    assert got == list(range(len(got))) and len(got) >= 98
+    assert [g for g in gaps(data[:-200])]
+    after = record(b"next", page=500)
+    assert pages(data[:-200] + after)[-1] == 500 and len(pages(data[:-200] + after)) >= 99
+    # one byte flipped in the middle, another member behind it
+    bad = bytearray(data)
+    bad[len(bad) // 2] ^= 255
+    got = pages(bytes(bad) + gzip.compress(record(b"x", page=600)))
+    assert got[-1] == 600 and got[:40] == list(range(40)) and set(got) <= {*range(100), 600}
+    # without a digest, what a damaged member holds is not trusted
+    blind = [r.replace(b"sha1:", b"none:") for r in recs]
+    assert pages(gzip.compress(b"".join(blind))[:-200]) == []
+
+
+def test_many_members_in_proportional_time():
+    import time
+    one = gzip.compress(record(b"payload" * 100, page=1))
+    times = []
+    for n in (5_000, 50_000):
+        data = one * n
+        t0 = time.perf_counter()
+        assert sum(1 for x in op.salvage(data) if x[0] == "record") == n
+        times.append(time.perf_counter() - t0)
+    assert times[1] < 30 * times[0] + 1
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op, "ARCHIVE_BYTES", 100_000)
+    df = spark.createDataFrame([(i, "u", chr(97 + i) * 30_000) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    op.write_archives(df, f"{tmp_path}/w")
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) >= 7 and max(sizes) <= 100_000
+    assert op.read_archives(spark, f"{tmp_path}/w/part-*").where("kind = 'record'").count() == 20
