@@ -51,12 +51,6 @@ def q_filter_severity_number(spark, sf_dir):
     return _filtered(spark, sf_dir, Q.LogFilter(severity_number=18))
 
 
-# '_' is a one-character wildcard, as in the service
-@query("filter_body_contains", BASE + OUT_SQL + " WHERE body ILIKE '%PURCHASE by user 4_ %'")
-def q_filter_body_contains(spark, sf_dir):
-    return _filtered(spark, sf_dir, Q.LogFilter(body="PURCHASE by user 4_ "))
-
-
 @query("filter_errors", BASE + OUT_SQL + " WHERE severity_number >= 17")
 def q_filter_errors(spark, sf_dir):
     return _rows(Q.errors_only(read_logs(spark, sf_dir)))

@@ -127,7 +127,7 @@ def q_stream_retry(spark, sf_dir):
     logs = I.read_stream_logs(spark, root)
     counted = I.read_metrics(spark, root, "1s").agg(F.sum("logs_count").alias("in_rollups"))
     by = logs.groupBy("service_name").agg(F.count("*").alias("records"), F.countDistinct("trace_id").alias("distinct_records"))
-    return by.withColumn("in_rollups", F.lit(counted.first()["in_rollups"]))
+    return by.withColumn("in_rollups", F.lit(counted.first()["in_rollups"]).cast("bigint"))
 
 
 def _no_rollups(*_):
@@ -159,6 +159,21 @@ def q_filter_service_prefix(spark, sf_dir):
     return rows.select("trace_id", ntz("ts"), "service_name", "severity_number")
 
 
+BODY = "PURCHASE by user 4_ "
+
+
+# '_' is a one-character wildcard, as in the service
+@query("filter_body_contains", LOGS + f"""
+SELECT trace_id, ts, service_name, severity_number FROM logs WHERE body ILIKE '%{BODY}%'""")
+def q_filter_body_contains(spark, sf_dir):
+    """F8 on the compacted table: files that cannot hold the term are skipped."""
+    out = _ingest_run(spark, sf_dir)
+    days = [str(r["log_date"]) for r in I.read_stream_logs(spark, out).select("log_date").distinct().collect()]
+    I.compact_logs(spark, out, days)
+    rows = Q.apply_filter(I.read_stream_logs(spark, out, body=BODY), Q.LogFilter(body=BODY))
+    return rows.select("trace_id", ntz("ts"), "service_name", "severity_number")
+
+
 PAGES = 6
 
 

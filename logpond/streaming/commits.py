@@ -87,13 +87,18 @@ def visible(spark: SparkSession, root: str, table: str, rows: DataFrame, part: s
         F.col("_m").isNull() | (F.col("attempt") == F.col("_m.attempt")) | (batch_of() > F.col("_m.upto"))).drop("_part", "_m")
 
 
-def read(spark: SparkSession, root: str, table: str, schema: T.StructType, part: str | None = None) -> DataFrame:
-    """A table of the ingest (its visible rows, with ``attempt``)."""
+def read(spark: SparkSession, root: str, table: str, schema: T.StructType, part: str | None = None,
+         without: list[str] = ()) -> DataFrame:
+    """A table of the ingest (its visible rows, with ``attempt``), but for the
+    files named in ``without``."""
     full = T.StructType(schema.fields + [T.StructField("attempt", T.StringType())])
     path = f"{root}/{table}"
     if not table_exists(spark, path):
         return spark.createDataFrame([], full)
-    return visible(spark, root, table, spark.read.schema(full).parquet(path), part)
+    rows = spark.read.schema(full).parquet(path)
+    if without:
+        rows = rows.where(~F.col("_metadata.file_name").isin(list(without)))
+    return visible(spark, root, table, rows, part)
 
 
 def append(rows: DataFrame, root: str, table: str, attempt: str, *parts: str) -> None:

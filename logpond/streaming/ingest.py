@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logpond import schema as S
+from logpond.operators import bodyindex as BI
 from logpond.operators import retry as RT
 from logpond.operators import rollups as R
 from logpond.operators import storage as ST
@@ -256,8 +257,8 @@ STREAM_LOGS_SCHEMA = T.StructType(S.LOGS_SCHEMA.fields + [
     T.StructField("arrival_batch", T.LongType())])
 
 
-def _stream_logs(spark: SparkSession, out_root: str) -> DataFrame:
-    return C.read(spark, out_root, LOGS, STREAM_LOGS_SCHEMA, "log_date")
+def _stream_logs(spark: SparkSession, out_root: str, without: list[str] = ()) -> DataFrame:
+    return C.read(spark, out_root, LOGS, STREAM_LOGS_SCHEMA, "log_date", without)
 
 
 def _arrived(logs: DataFrame) -> DataFrame:
@@ -267,10 +268,21 @@ def _arrived(logs: DataFrame) -> DataFrame:
         "arrival_seq", F.struct("batch_id", "envelope", "arrival")).drop("arrival_batch", "attempt")
 
 
-def read_stream_logs(spark: SparkSession, out_root: str) -> DataFrame:
+def read_stream_logs(spark: SparkSession, out_root: str, body: str = "", literal: bool = False) -> DataFrame:
     """The ingested rows; ``arrival_seq`` (batch they came in, envelope, place)
-    is unique and orders them by arrival."""
-    return _arrived(_stream_logs(spark, out_root))
+    is unique and orders them by arrival. With ``body``, the term that a search
+    will look for (F8), compacted files that cannot hold it are not read."""
+    skip = BI.cannot_match(C.read(spark, out_root, "bodies", BI.SCHEMA), body, literal) if body else []
+    return _arrived(_stream_logs(spark, out_root, skip))
+
+
+def stream_partition_bytes(spark: SparkSession, out_root: str) -> DataFrame:
+    """A14 (physical) of the ingest's table: file bytes per day, of the
+    attempts that commits show. Files are listed, never opened."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{out_root}/{LOGS}")
+             .select("log_date", "attempt", "length"))
+    return C.visible(spark, out_root, LOGS, files, "log_date").groupBy("log_date").agg(
+        F.sum("length").cast("bigint").alias("partition_bytes"))
 
 
 def read_quarantine(spark: SparkSession, out_root: str) -> DataFrame:
@@ -354,11 +366,34 @@ def _cutoff(as_of, ttl: str) -> Column:
     return as_of_col(as_of) - F.expr(f"INTERVAL {ttl}")
 
 
+#: Bits of each half of a Z-order key.
+Z_BITS = 16
+
+
+def z_key(services: list[str]) -> Column:
+    """Place on a Z-shaped curve over service and time of day: rows that are
+    close in both are close in the order, so ranges of it have narrow ranges of
+    either, and a search by service alone or by time alone skips most of them.
+    ``services`` are the known names in order; others share one place."""
+    step = max(1, (1 << Z_BITS) // (len(services) + 1))
+    places = F.create_map(*[x for k, n in enumerate(services) for x in (F.lit(n), F.lit((k + 1) * step))]) if services else None
+    service = F.coalesce(F.try_element_at(places, F.col("service_name")), F.lit(0)) if services else F.lit(0)
+    second = F.unix_seconds("ts") - F.unix_seconds(F.date_trunc("day", "ts"))
+    time = F.floor(second * (1 << Z_BITS) / 86400)
+    key = F.lit(0).cast("bigint")
+    for k in range(Z_BITS):
+        for place, value in ((2 * k + 1, service), (2 * k, time)):
+            bit = F.shiftright(value.cast("bigint"), k).bitwiseAND(F.lit(1).cast("bigint"))
+            key = key.bitwiseOR(F.shiftleft(bit, place))
+    return key
+
+
 def compact_logs(spark: SparkSession, out_root: str, days: list[str], as_of=None, ttl: str | None = None,
                  num_files: int | None = None) -> None:
     """Rewrite the finished batches of these days as one sorted run of files
-    each, range-partitioned on (day, service, time) for tight row-group
-    statistics. With ``ttl`` rows that are expired at ``as_of`` are left out
+    each, range-partitioned on day and a curve over service and time
+    (``z_key``) for tight statistics by either, with an index of their bodies
+    (``operators.bodyindex``). With ``ttl`` rows that are expired at ``as_of`` are left out
     (ST8: a day that is expired whole becomes empty, the edge day keeps the
     rest). Readers change over with the commit."""
     upto = C.last_finished(spark, out_root)
@@ -368,10 +403,17 @@ def compact_logs(spark: SparkSession, out_root: str, days: list[str], as_of=None
     rows = rows.withColumn("arrival_batch", F.coalesce("arrival_batch", C.batch_of())).drop("attempt")
     if ttl is not None:
         rows = rows.where(F.col("ts") > _cutoff(as_of, ttl))
-    keys = ["log_date", "service_name", "ts"]
+    names = [r["service_name"] for r in read_registry(spark, out_root).select("service_name").where("service_name is not null")
+             .orderBy("service_name").limit(1 << (Z_BITS - 4)).collect()]
+    keys = ["log_date", "_z", "service_name", "ts"]
+    rows = rows.withColumn("_z", z_key(names))
     ranged = rows.repartitionByRange(num_files, *keys) if num_files else rows.repartitionByRange(*keys)
-    attempt = C.new_attempt(upto)
-    C.append(ranged.sortWithinPartitions(*keys), out_root, LOGS, attempt, "log_date")
+    attempt, obs = C.new_attempt(upto), Observation("compacted")
+    ranged = ranged.sortWithinPartitions(*keys).drop("_z").observe(obs, F.count(F.lit(1)).alias("n"))
+    C.append(ranged, out_root, LOGS, attempt, "log_date")
+    if obs.get.get("n"):
+        files = spark.read.parquet(f"{out_root}/{LOGS}/log_date=*/attempt={attempt}")
+        C.append(BI.build(files.select(F.col("_metadata.file_name").alias("file"), "body")), out_root, "bodies", attempt)
     C.commit_parts(spark, out_root, LOGS, days, upto, attempt)
 
 
@@ -411,5 +453,5 @@ def vacuum(spark: SparkSession, out_root: str) -> int:
     """Delete the folders that no commit shows any more, and gather the
     commits in one file. Run it when no reader holds an older view."""
     C.merge_log(spark, out_root)
-    return C.vacuum(spark, out_root, {LOGS: "log_date", QUARANTINE: "log_date", "retries": None, "claims": None, "dlq": None,
+    return C.vacuum(spark, out_root, {LOGS: "log_date", QUARANTINE: "log_date", "retries": None, "claims": None, "dlq": None, "bodies": None,
                                       **{rollup_table(k): "bucket" for k in KINDS}})

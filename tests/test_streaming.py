@@ -337,3 +337,81 @@ def test_live_tail_over_ingested_rows(spark, tmp_dir):
     plan = newest._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(attempt" in plan and "substring(attempt" in plan
     assert LT.ring(spark, tmp_dir + "/nothing", 50).count() == 0
+
+
+def test_body_index_loses_no_row_and_skips_files(spark, tmp_dir):
+    from logpond.operators import bodyindex as BI
+    from logpond.operators import search as Q
+    src, out = tmp_dir + "/src", tmp_dir + "/out"
+    _envelopes(spark, src)
+    _run(spark, src, out)
+    before = I.read_stream_logs(spark, out)
+    body = before.select("trace_id", "body").orderBy("trace_id").collect()
+    days = [str(r[0]) for r in before.select("log_date").distinct().collect()]
+    I.compact_logs(spark, out, days, num_files=8)
+    index = C.read(spark, out, "bodies", BI.SCHEMA)
+    assert index.select("file").distinct().count() == 8
+    whole = body[7]["body"]
+    terms = [whole, whole.upper(), whole[3:20], whole[:2], "", "%", "click%user", "user 4_ ", "no such text", "ÄÖ", "a\\_b",
+             "error by user 7", '"k"']
+    skipped = 0
+    for term in terms:
+        for literal in (False, True):
+            f = Q.LogFilter(body=term, literal=literal)
+            got = Q.apply_filter(I.read_stream_logs(spark, out, body=term, literal=literal), f).select("trace_id").collect()
+            want = Q.apply_filter(I.read_stream_logs(spark, out), f).select("trace_id").collect()
+            assert sorted(got) == sorted(want), term
+            skipped += len(BI.cannot_match(index, term, literal))
+    assert BI.cannot_match(index, whole) and len(BI.cannot_match(index, "no such text")) == 8 and skipped >= 16
+    plan = I.read_stream_logs(spark, out, body="no such text")
+    assert plan.rdd.getNumPartitions() >= 0 and plan.count() == 0
+    # rows that came later have no index and are read
+    I.process_batch(read_envelopes(spark, src).filter("batch_id = 0"), 50, I.IngestPaths(out))
+    f = Q.LogFilter(body=whole)
+    assert Q.apply_filter(I.read_stream_logs(spark, out, body=whole), f).count() == Q.apply_filter(
+        I.read_stream_logs(spark, out), f).count() >= 1
+
+
+def test_compacted_files_are_narrow_in_service_and_in_time(spark, tmp_dir):
+    out = tmp_dir + "/out"
+    day = read_logs(spark, SF_SMALL).withColumn("log_date", F.lit("2024-01-01").cast("date")).withColumn(
+        "ts", F.timestamp_micros(F.lit(1704067200000000) + F.col("event_id") * 86_400_000)).withColumn(
+        "service_name", F.concat(F.lit("svc-"), F.pmod(F.xxhash64("event_id"), F.lit(8)))).drop("event_id")
+    attempt = C.new_attempt(0)
+    C.append(day, out, I.LOGS, attempt, "log_date")
+    I.write_rollups(day, attempt, I.IngestPaths(out))
+    C.commit(spark, out, 0, attempt, day.count())
+    I.compact_logs(spark, out, ["2024-01-01"], num_files=16)
+    assert I.read_stream_logs(spark, out).count() == day.count()
+    last = [d for d in os.listdir(f"{out}/{I.LOGS}/log_date=2024-01-01") if attempt not in d][0]
+    files = spark.read.parquet(f"{out}/{I.LOGS}/log_date=2024-01-01/{last}").groupBy("_metadata.file_name").agg(
+        F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.min("service_name").alias("s0"), F.max("service_name").alias("s1")).collect()
+    assert len(files) == 16
+    for service in ("svc-0", "svc-3", "svc-7"):
+        assert sum(f["s0"] <= service <= f["s1"] for f in files) <= 8
+    for hour in (3, 12, 21):
+        at = f"2024-01-01 {hour:02d}:30:00"
+        assert sum(str(f["t0"]) <= at <= str(f["t1"]) for f in files) <= 8
+
+
+def test_partition_bytes_are_those_of_the_visible_files(spark, tmp_dir):
+    src, out = tmp_dir + "/src", tmp_dir + "/out"
+    _envelopes(spark, src)
+    _run(spark, src, out)
+
+    def listed(attempts):
+        total = {}
+        for top, _, names in os.walk(I.IngestPaths(out).logs):
+            if any(f"attempt={a}" in top for a in attempts):
+                key = top.split("log_date=")[1].split("/")[0]
+                total[key] = total.get(key, 0) + sum(os.path.getsize(f"{top}/{n}") for n in names if n.endswith(".parquet"))
+        return total
+
+    def found():
+        return {str(r["log_date"]): r["partition_bytes"] for r in I.stream_partition_bytes(spark, out).collect()}
+
+    batches = [r["attempt"] for r in C.finished(spark, out).collect()]
+    assert found() == listed(batches) and found()
+    I.compact_logs(spark, out, list(found()))          # the old files are still there, and no longer counted
+    merged = [r["attempt"] for r in C.finished(spark, out).where("merged is not null").collect()]
+    assert found() == listed(merged)
