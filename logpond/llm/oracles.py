@@ -7,7 +7,7 @@ WITH a AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url
            FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host,
              regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a),
-fits AS (SELECT *, ('.' || host) AS h FROM b),
+fits AS (SELECT *, ('.' || host) AS h, count(*) OVER (PARTITION BY host, path) AS pages FROM b),
 r AS (SELECT *, CASE
         WHEN h LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
         WHEN h LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
@@ -17,6 +17,7 @@ SELECT page_id, host, path, rule,
        CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block'
                  WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block'
             ELSE CASE WHEN regexp_matches(h, '[.](spam-farm|free-bets)[.]example[.](com|net|org)$')
+                        OR (host <> '' AND pages >= 2)
                  THEN 'block' ELSE 'allow' END END AS verdict
 FROM r
 """

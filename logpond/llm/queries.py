@@ -28,14 +28,19 @@ def _query(name: str, sql: str | None = None):
 #: The judged rules (host, path, action).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
              ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Listed canonical urls: hosts that only carry advertising.
+#: Listed sites: hosts that only carry advertising.
 URL_LIST = [(f"{h}.example.{t}", "", "block") for h in ("spam-farm", "free-bets") for t in ("com", "net", "org")]
 
 
+#: Canonical urls that so many pages share are listed, too: crawler traps.
+URL_PAGES = 2
+
+
 @_query("op7_url_filters", oracles.OP7)
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from logpond.llm.op7_url_filters import entries_table, url_filter
-    out = url_filter(load(spark, sf_dir, "pages"), entries_table(spark, URL_RULES), entries_table(spark, URL_LIST))
+    from logpond.llm.op7_url_filters import entries_table, repeated_urls, url_filter
+    pages = load(spark, sf_dir, "pages")
+    out = url_filter(pages, entries_table(spark, URL_RULES), entries_table(spark, URL_LIST), repeated_urls(pages, URL_PAGES))
     return out.withColumnRenamed("id", "page_id")
 
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from logpond.llm.op7_url_filters import build_filter, entries_table, matches, url_filter
+from logpond.llm.op7_url_filters import build_filter, entries_table, matches, repeated_urls, url_filter, whole_matches
 from logpond.llm.queries import URL_LIST, URL_RULES
 
 
@@ -62,3 +62,25 @@ def test_filter_rules_out_most(spark):
     assert bloom.count() <= blocks
     probe = spark.range(5000).select(F.concat(F.lit("g"), F.col("id").cast("string"), F.lit(".com")).alias("host"), F.lit("/").alias("path"))
     assert matches(probe, listed).count() == 0
+
+
+def test_list_of_whole_urls(spark):
+    rng = random.Random(3)
+    urls = [f"http{rng.choice(['', 's'])}://H{rng.randrange(40)}.example.org/p/{rng.randrange(60)}{rng.choice(['', '?a', '#b', '/'])}"
+            for _ in range(2500)] + [None, None, "no scheme", "no scheme", "http://x.org", "http://x.org?q"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    seen = {}
+    for u in urls:
+        seen[parts(u)] = seen.get(parts(u), 0) + 1
+    want = {k for k, n in seen.items() if n >= 2 and k[0]}
+    listed = repeated_urls(df, 2)
+    assert {(r["host"], r["path"]) for r in listed.collect()} == want and ("x.org", "") in want
+    got = url_filter(df, entries_table(spark, URL_RULES), entries_table(spark, URL_LIST), listed).collect()
+    for r in got:
+        host, path, rule, verdict = brute(urls[r["id"]], URL_RULES, URL_LIST)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (verdict if rule else "block" if verdict == "block" or (host, path) in want else "allow")
+    # the filter lets only few through that are not listed, the join none
+    others = spark.range(20_000).select(F.concat(F.lit("o"), F.col("id").cast("string")).alias("host"), F.lit("/").alias("path"))
+    assert whole_matches(others, listed).count() == 0
+    assert whole_matches(others, listed.limit(0)).count() == 0
