@@ -13,15 +13,16 @@ by rarity in the corpus, is one token: its rarest one. So
    and end inside the document) and verifies the words themselves.
 
 Document words are never shuffled: the benchmark side is broadcast, in as
-many blocks as its measured size needs (each block is one more pass, so a
-benchmark of any size is handled with the same memory). What is shuffled is
-verified occurrences and one narrow row per document.
+many blocks as its measured bytes need (each block is one more pass, so a
+benchmark of any size is handled with the same memory, and a very large one
+costs as many passes). Which items hold a window is joined after verification.
+What is shuffled is verified occurrences and one narrow row per document.
 
 Defined cases: null or empty texts have no words; an item without words has
 no window; items with a null id count under the empty string; repeated rows
 of a document each get their result; repeated items count once; an empty
 benchmark leaves every document clean; empty documents give an empty
-result; extra columns are ignored.
+result; extra columns are ignored; a long text costs time in proportion.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ WINDOW = 10
 SHINGLE = 3
 #: Everything of ASCII but 0-9, A-Z (before lower-casing) and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-PROBE_BYTES = 400     # generous size of one broadcast window
 
 
 def words_of(text: Column) -> Column:
@@ -47,18 +47,24 @@ def _shingle_key(words: Column, at: Column, q: int) -> Column:
     return F.xxhash64(*[F.get(words, at + j) for j in range(q)])
 
 
-def item_windows(items: DataFrame, item_id_col: str, text_col: str, window: int) -> DataFrame:
-    """wid, w (words), q (shingle size), items (sorted ids as text):
-    distinct windows, saved."""
+def item_windows(items: DataFrame, item_id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """(distinct windows: wid, w (words), q (shingle size), bytes; which items
+    hold them: wid, item (id as text)), saved. A window's id is the digest of
+    its words, so a passage that all items share is one row of the first and a
+    row an item of the second, never a list."""
     i = pick(items, item=item_id_col, t=text_col)
     i = i.select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), words_of(F.col("t")).alias("w"))
     n = F.size("w")
     wins = F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))),
                        lambda s: F.slice("w", s, F.least(n, F.lit(window))))
     d = i.where(n > 0).select("item", F.explode(wins).alias("w"))
-    d = d.groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return saved(d.select(F.monotonically_increasing_id().alias("wid"), "w", "items",
-                          F.least(F.size("w"), F.lit(SHINGLE)).alias("q")), "windows")
+    # words hold no space, so the joined text stands for the list
+    text = F.array_join("w", " ")
+    d = saved(d.select(F.unhex(F.sha2(text, 256)).alias("wid"), "item", text.alias("text")), "item-windows")
+    windows = d.select("wid", "text").distinct().select("wid", F.split("text", " ").alias("w"), (
+        F.octet_length("text") + 128 + 32 * F.size(F.split("text", " "))).cast("long").alias("bytes"))
+    windows = windows.withColumn("q", F.least(F.size("w"), F.lit(SHINGLE)))
+    return saved(windows, "windows"), saved(d.select("wid", "item").distinct(), "members")
 
 
 def _positions(docs: DataFrame, qs: list[int]) -> DataFrame:
@@ -77,11 +83,10 @@ def _positions(docs: DataFrame, qs: list[int]) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Verified occurrences (id, th, start, len, wid, items) of ``windows`` in
+    """Verified occurrences (id, th, start, len, wid) of ``windows`` in
     ``docs`` (columns id, th, words)."""
-    shape = windows.agg(F.collect_set("q").alias("qs"), F.sum(F.size("w") - F.col("q") + 1).alias("tokens"),
-                        F.count("*").alias("n")).first()
-    qs, tokens, n = sorted(shape["qs"]), shape["tokens"] or 0, shape["n"]
+    shape = windows.agg(F.collect_set("q").alias("qs"), F.sum(F.size("w") - F.col("q") + 1).alias("tokens")).first()
+    qs, tokens = sorted(shape["qs"]), shape["tokens"] or 0
     token = None
     for q in qs:
         def keyed(p: Column, q: int = q) -> Column:
@@ -90,8 +95,8 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
         part = windows.where(F.col("q") == q).select("wid", F.explode(F.transform(
             F.sequence(F.lit(0), F.size("w") - q), lambda p: keyed(p))).alias("e"))
         token = part if token is None else token.unionByName(part)
-    empty = docs.select("id", "th", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("wid"),
-                        F.array(F.lit("")).alias("items")).where(F.lit(False))
+    empty = docs.select("id", "th", F.lit(0).alias("start"), F.lit(0).alias("len"),
+                        F.lit(b"").alias("wid")).where(F.lit(False))
     if token is None:
         return empty
     token = saved(token.select("wid", "e.p", "e.key"), "tokens")
@@ -110,18 +115,19 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     prefix = token.join(counts, "key", "left").groupBy("wid").agg(
         F.min(F.coalesce("df", F.lit(0).cast("long"))).alias("least"),
         F.min(F.struct("df", "key", "p")).alias("t")).where("least > 0")
-    probe = saved(prefix.join(windows, "wid").select("wid", "w", "items", "t.key", "t.p"), "probe")
+    probe = saved(prefix.join(windows, "wid").select("wid", "w", "bytes", "t.key", "t.p"), "probe")
 
-    # 3: join, bounds, verification
-    blocks = max(1, -(-n * PROBE_BYTES // BROADCAST_BYTES))
+    # 3: join, bounds, verification; the bytes of the windows left are summed
+    size = probe.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
+    blocks = max(1, -(-size // BROADCAST_BYTES))
     start = F.col("pos") - F.col("p")
     found = None
     for b in range(blocks):
-        side = F.broadcast(probe.where(F.pmod(F.hash("wid"), F.lit(blocks)) == b))
+        side = F.broadcast(probe.where(F.pmod(F.hash("wid"), F.lit(blocks)) == b).drop("bytes"))
         part = _positions(docs, qs).join(side, "key").where(
             (start >= 0) & (start + F.size("w") <= F.size("words"))
         ).where(F.slice("words", start + 1, F.size("w")) == F.col("w"))
-        part = part.select("id", "th", start.alias("start"), F.size("w").alias("len"), "wid", "items")
+        part = part.select("id", "th", start.alias("start"), F.size("w").alias("len"), "wid")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -134,11 +140,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     row."""
     d = pick(docs, id=id_col, t=text_col).select("id", F.xxhash64("t").alias("th"), "t")
     worded = d.select("id", "th", words_of(F.col("t")).alias("words"))
-    found = occurrences(worded, item_windows(items, item_id_col, item_text_col, window))
+    windows, members = item_windows(items, item_id_col, item_text_col, window)
+    found = saved(occurrences(worded, windows), "found")
     # a document has at most `window` occurrences a word: bounded by its text
-    per = found.groupBy("id", "th").agg(
-        F.sort_array(F.collect_set(F.struct("start", "len"))).alias("occ"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    held = found.select("id", "th", "wid").distinct().join(members, "wid").groupBy(
+        F.col("id").alias("id3"), F.col("th").alias("th3")).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    occ = found.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("occ"))
+    per = occ.join(held, F.col("id").eqNullSafe(F.col("id3")) & (F.col("th") == F.col("th3")))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     n_hit = F.aggregate("occ", zero, lambda a, o: F.struct(
         F.greatest(a["end"], o["start"] + o["len"]).alias("end"),
@@ -158,6 +166,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     item. Texts are not shuffled when few documents are contaminated: the
     (id, text hash) list of those is small enough for Spark to broadcast."""
     d = pick(docs, id=id_col, t=text_col).select("id", F.xxhash64("t").alias("th"), words_of(F.col("t")).alias("words"))
-    found = occurrences(d, item_windows(items, "item_id", "text", window))
+    found = occurrences(d, item_windows(items, "item_id", "text", window)[0])
     bad = saved(found.select("id", "th").distinct(), "contaminated")
     return rows_matching(docs, id_col, text_col, small_side(bad, bad.count(), 48), "left_anti")

@@ -81,3 +81,13 @@ def test_clean_documents(spark, docs):
     kept = clean_documents(d, it).collect()
     want = [r for r, b in zip(rows, brute(rows, items)) if not b[2]]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+def test_a_window_that_all_items_share(spark, docs):
+    passage = "one two three four five six seven eight nine ten"
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit(passage).alias("text"))
+    windows, members = op.item_windows(items, "item_id", "text", 10)
+    assert windows.count() == 1 and members.count() == 100_000
+    got = decontaminate(docs([(1, f"x {passage} y"), (2, "clean"), (3, passage.upper())]), items).collect()
+    want = sorted(map(str, range(100_000)))
+    assert {r["id"]: (r["n_hit"], list(r["items"]) == want) for r in got} == {1: (10, True), 2: (0, False), 3: (10, True)}
