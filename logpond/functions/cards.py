@@ -17,10 +17,9 @@ def log_rate_card(stats: DataFrame) -> DataFrame:
              .when(pct > 0, F.concat(F.lit("↑ "), absolute, F.lit("% vs 60s avg")))
              .when(pct < 0, F.concat(F.lit("↓ "), absolute, F.lit("% vs 60s avg")))
              .otherwise(F.lit("~ 0% vs 60s avg")))
-    colour = (F.when(F.col("avg_rate") == 0, F.lit("error.main")).when(pct > 0, F.lit("success.main"))
-              .when(pct < 0, F.lit("error.main")).otherwise(F.lit("text.secondary")))
-    return stats.select(short_number("current_rate").alias("value"), delta.alias("delta"),
-                        colour.alias("delta_colour"))
+    level = (F.when(F.col("avg_rate") == 0, F.lit("silent")).when(pct > 0, F.lit("up"))
+             .when(pct < 0, F.lit("down")).otherwise(F.lit("flat")))
+    return stats.select(short_number("current_rate").alias("value"), delta.alias("delta"), level.alias("level"))
 
 
 def error_level(rate: DataFrame) -> DataFrame:
@@ -28,9 +27,9 @@ def error_level(rate: DataFrame) -> DataFrame:
     r = F.col("current_rate")
     text = (F.when(r < S.ERROR_LEVEL_NORMAL_BELOW, F.lit("● Normal"))
             .when(r < S.ERROR_LEVEL_ELEVATED_BELOW, F.lit("● Elevated")).otherwise(F.lit("● Critical")))
-    colour = (F.when(r < S.ERROR_LEVEL_NORMAL_BELOW, F.lit("success.main"))
-              .when(r < S.ERROR_LEVEL_ELEVATED_BELOW, F.lit("warning.main")).otherwise(F.lit("error.main")))
-    return rate.select(fixed(r, 2).alias("value"), text.alias("delta"), colour.alias("delta_colour"))
+    level = (F.when(r < S.ERROR_LEVEL_NORMAL_BELOW, F.lit("normal"))
+             .when(r < S.ERROR_LEVEL_ELEVATED_BELOW, F.lit("elevated")).otherwise(F.lit("critical")))
+    return rate.select(fixed(r, 2).alias("value"), text.alias("delta"), level.alias("level"))
 
 
 def dlq_state(depth: DataFrame) -> DataFrame:
@@ -38,4 +37,4 @@ def dlq_state(depth: DataFrame) -> DataFrame:
     n = F.col("num_messages")
     return depth.select(n.alias("value"),
                         F.when(n == 0, F.lit("● Empty")).otherwise(F.lit("● Messages need recovery")).alias("delta"),
-                        F.when(n == 0, F.lit("success.main")).otherwise(F.lit("error.main")).alias("delta_colour"))
+                        F.when(n == 0, F.lit("empty")).otherwise(F.lit("recovery")).alias("level"))

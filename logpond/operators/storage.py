@@ -149,23 +149,31 @@ def storage_runway(disks: DataFrame, outlook: DataFrame, ttl_days: int = S.LOGS_
     o = outlook.select(F.lit(None).cast(d.schema["d"].dataType).alias("d"),
                        F.col("projected_steady_state_bytes").alias("projected"))
     one = d.unionByName(o).agg(F.min_by("d", "d.disk_name").alias("d"), F.max("projected").alias("projected"))
-    free, total = F.col("d.free_bytes"), F.col("d.total_bytes")
+    return _runway_card(one.select("d.*", "projected"), ttl_days).drop("disk_name")
+
+
+def storage_runways(disks: DataFrame, outlook: DataFrame, ttl_days: int = S.LOGS_TTL_DAYS) -> DataFrame:
+    """A17 for every disk: the outlook is one row, broadcast."""
+    one = outlook.agg(F.max("projected_steady_state_bytes").alias("projected"))
+    return _runway_card(disks.join(F.broadcast(one), F.lit(True)), ttl_days)
+
+
+def _runway_card(d: DataFrame, ttl_days: int) -> DataFrame:
+    free, total = F.col("free_bytes"), F.col("total_bytes")
     used = total - free
-    used_pct = used / total * 100
     growth = (F.col("projected") - used) / F.lit(float(ttl_days))
     days = free / growth
     stable = F.col("projected") <= used
     # the card's numbers are printed with round-half-to-even (%.0f in the
     # original service); format_string alone would round half up
     days_txt = F.format_string("%.0f", F.bround(days, 0))
-    delta = (F.when(stable, F.lit("Stable"))
-             .when(days > 30, F.concat(F.lit("~"), days_txt, F.lit(" days at current rate")))
-             .otherwise(F.concat(F.lit("~"), days_txt, F.lit(" days — action needed"))))
-    colour = (F.when(stable, F.lit("text.secondary")).when(days > 30, F.lit("warning.main"))
-              .otherwise(F.lit("error.main")))
-    return one.select(F.format_string("%.0f", F.bround(used_pct, 0)).alias("value"), F.lit("%").alias("unit"),
-                      delta.alias("delta"), colour.alias("delta_colour"),
-                      F.when(~stable, days).alias("days_remaining"))
+    soon = days <= S.RUNWAY_WARNING_DAYS
+    delta = F.when(stable, F.lit(S.RUNWAY_STABLE)).otherwise(F.concat(
+        F.lit("~"), days_txt, F.when(soon, F.lit(S.RUNWAY_ACTION)).otherwise(F.lit(S.RUNWAY_DAYS))))
+    level = F.when(stable, F.lit("stable")).when(soon, F.lit("action")).otherwise(F.lit("growing"))
+    return d.select("disk_name", F.format_string("%.0f", F.bround(used / total * 100, 0)).alias("value"),
+                    F.lit("%").alias("unit"), delta.alias("delta"), level.alias("level"),
+                    F.when(~stable, days).alias("days_remaining"))
 
 
 # ---------------------------------------------------------------------------

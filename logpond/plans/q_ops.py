@@ -119,8 +119,7 @@ SELECT {_short_sql('current_rate')} AS value,
        WHEN pct > 0 THEN '↑ ' || printf('%.0f', floor(abs(pct) + 0.5)) || '% vs 60s avg'
        WHEN pct < 0 THEN '↓ ' || printf('%.0f', floor(abs(pct) + 0.5)) || '% vs 60s avg'
        ELSE '~ 0% vs 60s avg' END AS delta,
-  CASE WHEN avg_rate = 0 THEN 'error.main' WHEN pct > 0 THEN 'success.main' WHEN pct < 0 THEN 'error.main'
-       ELSE 'text.secondary' END AS delta_colour
+  CASE WHEN avg_rate = 0 THEN 'silent' WHEN pct > 0 THEN 'up' WHEN pct < 0 THEN 'down' ELSE 'flat' END AS level
 FROM r""")
 def q_log_rate_card(spark, sf_dir):
     return C.log_rate_card(D.log_rate_stats(recent(spark, sf_dir, "1s", AS_OF_RATE, S.LOG_RATE_BASELINE_SECONDS), AS_OF_RATE))
@@ -131,7 +130,7 @@ def q_log_rate_card(spark, sf_dir):
         FROM m1s WHERE ts >= {ts_lit(AS_OF_RATE)} - INTERVAL 5 MINUTE AND ts <= {ts_lit(AS_OF_RATE)})
 SELECT printf('%.2f', floor(r * 100 + 0.5) / 100) AS value,
   CASE WHEN r < 1 THEN '● Normal' WHEN r < 5 THEN '● Elevated' ELSE '● Critical' END AS delta,
-  CASE WHEN r < 1 THEN 'success.main' WHEN r < 5 THEN 'warning.main' ELSE 'error.main' END AS delta_colour
+  CASE WHEN r < 1 THEN 'normal' WHEN r < 5 THEN 'elevated' ELSE 'critical' END AS level
 FROM e""")
 def q_error_level(spark, sf_dir):
     return C.error_level(D.error_rate(recent(spark, sf_dir, "1s", AS_OF_RATE, 60 * S.ERROR_RATE_WINDOW_MINUTES), AS_OF_RATE))
@@ -163,12 +162,14 @@ def _failures(spark, sf_dir):
                      F.when(m == 12, F.lit(None)).otherwise(m).cast("int").alias("num_delivered"),
                      F.timestamp_micros(dense_micros("event_id")).alias("failed_at"),
                      F.encode("props", "UTF-8").alias("payload"),
-                     F.lit("application/json").alias("content_type"),
-                     F.lit("").alias("content_encoding"))
+                     F.when(F.col("event_id") % 2 == 0, "application/json").otherwise("application/x-protobuf").alias("content_type"),
+                     F.get(F.array(F.lit(""), F.lit("gzip"), F.lit("zstd")), F.col("event_id") % 3).alias("content_encoding"))
 
 
 _FAIL_SQL = """
-WITH f AS (SELECT event_id AS msg_id, CASE WHEN event_id % 13 = 12 THEN NULL ELSE event_id % 13 END AS n FROM events)
+WITH f AS (SELECT event_id AS msg_id, CASE WHEN event_id % 13 = 12 THEN NULL ELSE event_id % 13 END AS n, props,
+                  CASE WHEN event_id % 2 = 0 THEN 'application/json' ELSE 'application/x-protobuf' END AS content_type,
+                  ['', 'gzip', 'zstd'][1 + event_id % 3] AS content_encoding FROM events)
 """
 
 
@@ -189,10 +190,11 @@ def _dlq_table(spark, sf_dir):
 
 
 @query("dlq_sink", _FAIL_SQL + """
-SELECT msg_id, CAST(n AS INTEGER) AS num_delivered, 'max deliveries reached' AS failure_reason
-FROM f WHERE n >= 10""")
+SELECT msg_id, CAST(n AS INTEGER) AS num_delivered, 'max deliveries reached' AS failure_reason,
+       props AS payload_text, content_type, content_encoding FROM f WHERE n >= 10""")
 def q_dlq_sink(spark, sf_dir):
-    return _dlq_table(spark, sf_dir).select("msg_id", "num_delivered", "failure_reason")
+    return _dlq_table(spark, sf_dir).select("msg_id", "num_delivered", "failure_reason",
+                                          F.decode("payload", "UTF-8").alias("payload_text"), "content_type", "content_encoding")
 
 
 @query("dlq_depth", _FAIL_SQL + "SELECT count(*) AS num_messages FROM f WHERE n >= 10")
@@ -203,7 +205,7 @@ def q_dlq_depth(spark, sf_dir):
 @query("dlq_state", _FAIL_SQL + """
 , d AS (SELECT count(*) AS n FROM f WHERE n >= 10)
 SELECT n AS value, CASE WHEN n = 0 THEN '● Empty' ELSE '● Messages need recovery' END AS delta,
-       CASE WHEN n = 0 THEN 'success.main' ELSE 'error.main' END AS delta_colour FROM d""")
+       CASE WHEN n = 0 THEN 'empty' ELSE 'recovery' END AS level FROM d""")
 def q_dlq_state(spark, sf_dir):
     return C.dlq_state(RT.dlq_depth(_dlq_table(spark, sf_dir)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logpond import schema as S
 from logpond.operators import rollups as R
 from logpond.operators import search as Q
 from logpond.operators import storage as ST
@@ -46,12 +47,15 @@ def q_logs_scan(spark, sf_dir):
 
 
 @query("validate_ids", BASE + """
-SELECT count(*) FILTER (WHERE event_id % 11 <> 0) AS valid,
-       count(*) FILTER (WHERE event_id % 11 = 0) AS invalid FROM logs""")
+SELECT event_id, event_id % 11 <> 0 AS valid, count(*) FILTER (WHERE event_id % 11 <> 0) OVER () AS n_valid,
+       count(*) FILTER (WHERE event_id % 11 = 0) OVER () AS n_invalid FROM logs""")
 def q_validate_ids(spark, sf_dir):
     logs = read_logs(spark, sf_dir).withColumn(
         "trace_id", F.when(F.col("event_id") % 11 == 0, F.substring("trace_id", 1, 31)).otherwise(F.col("trace_id")))
-    return ST.id_check_counts(logs)
+    good, bad = ST.validate_ids(logs, strict=False)
+    n = ST.id_check_counts(logs).select(F.col("valid").alias("n_valid"), F.col("invalid").alias("n_invalid"))
+    both = good.select("event_id", F.lit(True).alias("valid")).unionByName(bad.select("event_id", F.lit(False).alias("valid")))
+    return both.join(F.broadcast(n), F.lit(True))
 
 
 @query("load_if_empty", BASE + """
@@ -103,22 +107,22 @@ def q_storage_outlook(spark, sf_dir):
             .unionByName(_outlook(spark, sf_dir, "ttl90").select(F.lit("ttl90").alias("scenario"), "*")))
 
 
-#: the disk holds this many times the table's bytes
-DISK_TIMES = 3
-
-
 def _disks(spark, sf_dir):
-    # one disk holding the logs table: used = the table's bytes
+    """A disk per part: its size in times of the logs' bytes is the part's
+    size, its free share the last two digits of the part's key."""
     logs = read_logs(spark, sf_dir, "wide")
-    used = logs.agg(F.sum(F.octet_length("body")).cast("bigint").alias("used"))
-    return used.select(F.lit("default").alias("disk_name"),
-                       (F.col("used") * (DISK_TIMES - 1)).alias("free_bytes"),
-                       (F.col("used") * DISK_TIMES).alias("total_bytes"))
-
-
-_DISK_SQL = f"""
-, d AS (SELECT 'default' AS disk_name, CAST(sum(strlen(body)) * {DISK_TIMES - 1} AS BIGINT) AS free_bytes,
-               CAST(sum(strlen(body)) * {DISK_TIMES} AS BIGINT) AS total_bytes FROM logs)
+    table = logs.agg(F.sum(F.octet_length("body")).cast("bigint").alias("b"))
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("size"))
+    total = F.col("size") * F.col("b")
+    return parts.join(F.broadcast(table), F.lit(True)).select(
+        F.concat(F.lit("disk-"), F.col("p_partkey")).alias("disk_name"),
+        F.expr("size * b * (p_partkey % 100) div 100").alias("free_bytes"), total.alias("total_bytes"))
+
+
+_DISK_SQL = """
+, t AS (SELECT CAST(sum(strlen(body)) AS BIGINT) AS b FROM logs)
+, d AS (SELECT 'disk-' || p_partkey AS disk_name, CAST((p_size * b * (p_partkey % 100)) // 100 AS BIGINT) AS free_bytes,
+               CAST(p_size * b AS BIGINT) AS total_bytes FROM part, t)
 """
 
 
@@ -129,21 +133,20 @@ def q_disk_usage(spark, sf_dir):
     return ST.disk_usage(_disks(spark, sf_dir))
 
 
-@query("storage_runway", _OUTLOOK_SQL + _DISK_SQL + """
+@query("storage_runway", _OUTLOOK_SQL + _DISK_SQL + f"""
 , j AS (SELECT o.scenario, d.*, o.projected_steady_state_bytes AS projected,
                (d.total_bytes - d.free_bytes) AS used FROM o, d)
 , c AS (SELECT *, (projected - used) / CAST(CASE scenario WHEN 'all' THEN 30 ELSE 90 END AS DOUBLE) AS growth FROM j)
-SELECT scenario, printf('%.0f', used / total_bytes * 100) AS value, '%' AS unit,
-  CASE WHEN projected <= used THEN 'Stable'
-       WHEN free_bytes / growth > 30 THEN '~' || printf('%.0f', free_bytes / growth) || ' days at current rate'
-       ELSE '~' || printf('%.0f', free_bytes / growth) || ' days — action needed' END AS delta,
-  CASE WHEN projected <= used THEN 'text.secondary' WHEN free_bytes / growth > 30 THEN 'warning.main'
-       ELSE 'error.main' END AS delta_colour,
+SELECT scenario, disk_name, printf('%.0f', round_even(used / total_bytes * 100, 0)) AS value, '%' AS unit,
+  CASE WHEN projected <= used THEN '{S.RUNWAY_STABLE}'
+       WHEN free_bytes / growth > {S.RUNWAY_WARNING_DAYS} THEN '~' || printf('%.0f', round_even(free_bytes / growth, 0)) || '{S.RUNWAY_DAYS}'
+       ELSE '~' || printf('%.0f', round_even(free_bytes / growth, 0)) || '{S.RUNWAY_ACTION}' END AS delta,
+  CASE WHEN projected <= used THEN 'stable' WHEN free_bytes / growth > {S.RUNWAY_WARNING_DAYS} THEN 'growing' ELSE 'action' END AS level,
   CASE WHEN projected > used THEN free_bytes / growth END AS days_remaining
 FROM c""")
 def q_storage_runway(spark, sf_dir):
     disks = _disks(spark, sf_dir)
-    both = [ST.storage_runway(disks, _outlook(spark, sf_dir, k), ttl).select(F.lit(k).alias("scenario"), "*")
+    both = [ST.storage_runways(disks, _outlook(spark, sf_dir, k), ttl).select(F.lit(k).alias("scenario"), "*")
             for k, ttl in TTL_DAYS.items()]
     return both[0].unionByName(both[1])
 

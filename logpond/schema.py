@@ -70,6 +70,12 @@ SEVERITY_NORMALISE = {
 }
 SEVERITY_FALLBACK = "info"
 
+# storage card: texts, and from how many days on the disk is not yet urgent
+RUNWAY_STABLE = "Stable"
+RUNWAY_DAYS = " days at current rate"
+RUNWAY_ACTION = " days — action needed"
+RUNWAY_WARNING_DAYS = 30
+
 # error-rate card levels (percent)
 ERROR_LEVEL_NORMAL_BELOW = 1.0
 ERROR_LEVEL_ELEVATED_BELOW = 5.0

@@ -37,7 +37,7 @@ def test_disk_usage_and_runway(spark):
     stable = ST.storage_runway(disks, spark.createDataFrame([(400,)], "projected_steady_state_bytes bigint")).first()
     assert (stable["value"], stable["delta"]) == ("40", "Stable")
     warn = ST.storage_runway(disks, spark.createDataFrame([(430,)], "projected_steady_state_bytes bigint")).first()
-    assert warn["delta"] == "~600 days at current rate" and warn["delta_colour"] == "warning.main"
+    assert warn["delta"] == "~600 days at current rate" and warn["level"] == "growing"
     act = ST.storage_runway(disks, spark.createDataFrame([(10400,)], "projected_steady_state_bytes bigint")).first()
     assert act["delta"] == "~2 days — action needed"
 
