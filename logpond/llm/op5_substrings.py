@@ -17,15 +17,16 @@ out costs many times the corpus, so suffixes are first thinned without loss:
 4. In a partition of at most ``GROUP`` regions the suffixes, cut at
    ``WINDOW`` words, are sorted: the subtree in array form. Neighbours that
    agree in all their words lie under an internal node of that depth: a
-   repeat. A larger partition gets a longer prefix, the whole window, and
-   is counted by Spark's aggregation instead; no partition of unbounded size
-   is ever in one task.
+   repeat. A larger partition is split by longer prefixes of its suffixes,
+   ``GROWTH`` words more at a time, until each part fits and gets its tree
+   (``_grown``); only suffixes of crowded anchors are written out for that. No
+   partition of unbounded size is ever in one task.
 5. Repeated windows go back to their documents, overlapping ones merge into
    the maximal repeats, and their words are removed.
 
-Different regions are compared by their words (in step 4's long prefixes by
-a 128-bit digest); the digest that merges equal regions is only compared
-among regions with one anchor.
+Different regions are compared by their words (prefixes that have grown by a
+256-bit digest); the digest that merges equal regions is only compared among
+regions with one anchor.
 
 Defined cases: a null or empty text has no words; texts under ``WINDOW``
 words lose nothing; repeated rows are documents of their own, so a row that
@@ -51,6 +52,7 @@ from logpond.llm.common import pick, saved
 WINDOW = 35
 GRAM = 10
 GROUP = 8000              # about 3 MB of regions in one partition
+GROWTH = 5                # words that a prefix gains when its partition does not fit
 KNOWN_WORDS = 400_000     # words whose hash a Python worker remembers
 
 
@@ -197,7 +199,7 @@ def subtree(texts: list[bytes], window: int) -> list[int]:
     return masks
 
 
-def repeated(found: DataFrame, window: int, group: int) -> DataFrame:
+def repeated(found: DataFrame, window: int, group: int, gram: int = GRAM) -> DataFrame:
     """h, rid, mask: repeated windows of the distinct regions of ``found``
     (h, rid, region, windows, ats; rid: a digest of the region).
 
@@ -229,16 +231,69 @@ def repeated(found: DataFrame, window: int, group: int) -> DataFrame:
 
     trees = few.mapInArrow(each, "h long, rid long, mask long").where("mask <> 0")
 
-    # crowded partitions: the prefix is the whole window
-    w = texts.where(F.col("m") > group).withColumn("w", F.split(F.col("region").cast("string"), " "))
-    w = w.select("h", "rid", F.explode(F.transform(
-        F.sequence(F.lit(0), F.size("w") - window),
-        lambda j: F.struct(j.alias("j"), F.unhex(F.md5(F.array_join(F.slice("w", j + 1, F.lit(window)), " ").cast("binary"))).alias("key")),
-    )).alias("s")).select("h", "rid", "s.j", "s.key")
-    again = saved(w.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "windows")
-    long = w.join(again, "key", "left_semi").groupBy("h", "rid").agg(
-        F.bit_or(F.call_function("shiftleft", one, F.col("j"))).alias("mask"))
-    return whole.unionByName(trees).unionByName(long).groupBy("h", "rid").agg(F.bit_or("mask").alias("mask"))
+    # crowded partitions: longer prefixes, until a partition fits
+    grown = []
+    if not several.where(F.col("m") > group).isEmpty():
+        w = texts.where(F.col("m") > group).withColumn("w", F.split(F.col("region").cast("string"), " "))
+        grown = _grown(w.select("h", "rid", F.posexplode(F.transform(
+            F.sequence(F.lit(1), F.size("w") - window + 1), lambda j: F.array_join(F.slice("w", j, F.lit(window)), " "))).alias(
+                "j", "suffix")), window, group, gram)
+    found_masks = whole.unionByName(trees)
+    for part in grown:
+        found_masks = found_masks.unionByName(part.select("h", "rid", F.call_function("shiftleft", one, F.col("j")).alias("mask")))
+    return found_masks.groupBy("h", "rid").agg(F.bit_or("mask").alias("mask"))
+
+
+def deep_nodes(suffixes: list[bytes], window: int) -> list[bool]:
+    """Whether each suffix (``window`` words) is a leaf under an internal node
+    of depth ``window`` in the tree of all of them: the suffixes are sorted,
+    the words that neighbours share are their node's depth."""
+    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+    split = [suffixes[k].split(b" ") for k in order]
+    deep = [False] * len(suffixes)
+    for x, y, a, b in zip(order, order[1:], split, split[1:]):
+        depth = next((d for d in range(min(len(a), len(b))) if a[d] != b[d]), min(len(a), len(b)))
+        if depth >= window:
+            deep[x] = deep[y] = True
+    return deep
+
+
+def _grown(suffixes: DataFrame, window: int, group: int, gram: int) -> list[DataFrame]:
+    """(h, rid, j) of the repeated ones among ``suffixes`` (h, rid, j, suffix:
+    window j of a region, as text). Suffixes are partitioned by their first
+    words, ``GROWTH`` words more in each round: a suffix alone in its partition
+    repeats nowhere, a partition of at most ``group`` gets its tree, a larger
+    one goes on. When the prefix is the whole window, a partition is one leaf's
+    equals: each of them is a repeat, without a tree."""
+    size, out, pending = gram, [], saved(suffixes, "suffixes")
+    while True:
+        size = min(window, size + GROWTH)
+        prefix = F.substring_index(F.col("suffix"), " ", size)
+        keyed = pending.withColumn("p", F.unhex(F.sha2(F.concat(F.col("h").cast("string"), F.lit(" "), prefix), 256)))
+        counted = saved(keyed.groupBy("p").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
+        shared = saved(keyed.join(counted, "p"), "shared-prefixes")
+        if size == window:
+            out.append(shared.select("h", "rid", "j"))
+            return out
+        few = shared.where(F.col("n") <= group).groupBy("p").agg(F.collect_list(F.struct("h", "rid", "j", "suffix")).alias("g"))
+
+        def each(batches):
+            for b in batches:
+                h, rid, j = [], [], []
+                for k in range(b.num_rows):
+                    members = b.column(0)[k].as_py()
+                    for x, deep in zip(members, deep_nodes([x["suffix"].encode("utf-8", "surrogatepass") for x in members], window)):
+                        if deep:
+                            h.append(x["h"])
+                            rid.append(x["rid"])
+                            j.append(x["j"])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(rid, pa.int64()), pa.array(j, pa.int32())],
+                                                 names=["h", "rid", "j"])
+
+        out.append(few.select("g").mapInArrow(each, "h long, rid long, j int"))
+        pending = shared.where(F.col("n") > group).drop("p", "n")
+        if pending.isEmpty():
+            return out
 
 
 def _removed(n: int, ats: pa.ListArray, masks: np.ndarray, window: int) -> np.ndarray:
@@ -266,7 +321,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         F.col("id").alias("id2"), F.col("th").alias("th2")).agg(F.collect_set("h").alias("hs")), "returning")
     found = saved(regions(d, again, window, gram).withColumns(
         {"rid": F.xxhash64("region"), "uid": F.monotonically_increasing_id()}), "regions")
-    masks = saved(repeated(found, window, group), "masks")
+    masks = saved(repeated(found, window, group, gram), "masks")
     marks = found.select("h", "rid", "id", "th", "ats").join(masks, ["h", "rid"]).groupBy(
         F.col("id").alias("id2"), F.col("th").alias("th2")).agg(F.collect_set(F.struct("ats", "mask")).alias("marks"))
     touched = _with_text(d, saved(marks, "marks")).select("id", "th", "t", "marks")

@@ -54,6 +54,25 @@ def test_against_brute_force(spark, docs):
     assert run(docs, rows, window=12, gram=4, group=1) == want        # crowded partitions
 
 
+def test_prefixes_grow_until_a_partition_fits(spark, docs, monkeypatch):
+    monkeypatch.setattr(op, "GROWTH", 3)
+    rng = random.Random(9)
+    # one anchor-rich phrase in front of many different continuations
+    head = " ".join(f"h{k}" for k in range(8))
+    rows = [(i, f"{head} " + " ".join(f"{rng.choice('ab')}{k}" for k in range(8)) + f" end{i}") for i in range(120)]
+    want = sorted(brute(rows, 12), key=key)
+    for group in (1, 6, 40):
+        assert run(docs, rows, window=12, gram=4, group=group) == want
+
+
+def test_deep_nodes():
+    rng = random.Random(10)
+    for _ in range(50):
+        s = [b" ".join(rng.choice([b"a", b"ab", b"b"]) for _ in range(4)) for _ in range(rng.randrange(1, 40))]
+        n = Counter(s)
+        assert op.deep_nodes(s, 4) == [n[x] > 1 for x in s]
+
+
 def test_contract_window(spark, docs):
     rows = material(2)
     assert run(docs, rows) == sorted(brute(rows, 35), key=key)
