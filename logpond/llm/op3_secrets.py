@@ -73,7 +73,9 @@ def _matches(t: Column, pattern: str) -> Column:
     """Every match of ``pattern`` (x) with the number of characters between
     the match before and it (g); the last entry, the text's end, has no x."""
     gap = F.transform(F.split(t, pattern, -1), F.char_length).alias("g")
-    return F.arrays_zip(gap, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("x"))
+    zipped = F.arrays_zip(gap, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("x"))
+    # most texts hold none and are searched only once; null has no rows
+    return F.when(t.rlike(pattern), zipped)
 
 
 def _placed(rows: DataFrame, keys: list[str], at: Column) -> DataFrame:
