@@ -236,6 +236,9 @@ def start_ingest(spark: SparkSession, source_dir: str, out_root: str, *,
     there and stops (tests, backfills); otherwise a ``processingTime``
     trigger batches by time, ``maxFilesPerTrigger`` by size."""
     paths = IngestPaths(out_root)
+    if not ST.table_exists(spark, paths.checkpoint) and C.last_finished(spark, out_root) is not None:
+        # batch numbers would begin anew, and finished ones are not written again
+        raise RuntimeError(f"{out_root} holds finished batches but not the stream's checkpoint")
     stream = envelope_stream(spark, source_dir, max_files_per_trigger)
 
     def each(df: DataFrame, batch_id: int) -> None:

@@ -46,6 +46,9 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, tmp_dir):
     I.process_batch(part, 7, replay)
     twice = (I.read_stream_logs(spark, replay.root).count(), _rows(I.read_metrics(spark, replay.root)))
     assert once == twice and once[0] == 400
+    # a table without its checkpoint is not taken for a new stream's
+    with pytest.raises(RuntimeError):
+        I.start_ingest(spark, src, replay.root)
     # a restart finds nothing new
     q2 = I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=1)
     assert q2.awaitTermination(300)
