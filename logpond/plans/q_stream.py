@@ -3,8 +3,9 @@
 Each runs a bounded stream: the envelopes derived from ``events`` are written
 as files, the ingest query processes ``FILES_A_TRIGGER`` of them a micro-batch
 with an ``availableNow`` trigger, and the batch read of its output tables is
-returned. The stream run is shared by the keys that only read: they check
-outputs of one run, and only the first of them carries its time. Keys that
+returned. The stream run, with the compaction of its days, is shared by the
+keys that only read: they check outputs of one run, and only the first of them
+carries its time. Keys that
 change a table (retries, retention) run an ingest of their own.
 """
 
@@ -59,7 +60,10 @@ def _ingest_run(spark, sf_dir) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         if key not in _RUNS:
-            _RUNS[key] = _run(spark, _envelopes(spark, sf_dir))
+            out = _run(spark, _envelopes(spark, sf_dir))
+            days = I.read_stream_logs(spark, out).select("log_date").distinct().collect()
+            I.compact_logs(spark, out, [str(r["log_date"]) for r in days])
+            _RUNS[key] = out
         return _RUNS[key]
 
 
@@ -168,8 +172,6 @@ SELECT trace_id, ts, service_name, severity_number FROM logs WHERE body ILIKE '%
 def q_filter_body_contains(spark, sf_dir):
     """F8 on the compacted table: files that cannot hold the term are skipped."""
     out = _ingest_run(spark, sf_dir)
-    days = [str(r["log_date"]) for r in I.read_stream_logs(spark, out).select("log_date").distinct().collect()]
-    I.compact_logs(spark, out, days)
     rows = Q.apply_filter(I.read_stream_logs(spark, out, body=BODY), Q.LogFilter(body=BODY))
     return rows.select("trace_id", ntz("ts"), "service_name", "severity_number")
 
