@@ -30,8 +30,9 @@ def build(rows: DataFrame) -> DataFrame:
     """``SCHEMA`` from the rows' file and body."""
     # a look-ahead consumes nothing, so matches overlap; linear in the body
     grams = F.regexp_extract_all(F.lower("body"), F.lit("(?s)(?=(...))"), F.lit(1))
-    at = rows.select("file", F.explode(F.array_distinct(grams)).alias("g")).select("file", _position(F.col("g")).alias("p"))
-    return at.groupBy("file", F.floor(F.col("p") / BITMAP).cast("int").alias("k")).agg(
+    at = rows.select("file", F.explode(grams).alias("g")).select("file", _position(F.col("g")).alias("p"))
+    # bitmap_construct_agg sorts its input: it gets each position of a file once
+    return at.distinct().groupBy("file", F.floor(F.col("p") / BITMAP).cast("int").alias("k")).agg(
         F.bitmap_construct_agg(F.col("p") % BITMAP).alias("bits"))
 
 

@@ -20,7 +20,7 @@ from logpond.operators.livetail import live_tail_view
 from logpond.plans.oracle import logs_cte, metrics_1m_cte, metrics_1s_cte, ts_lit, with_ctes
 from logpond.plans.q_decode import _FLAT_SQL, BATCH, _flat_out
 from logpond.plans.registry import ntz, query
-from logpond.session import scratch_path
+from logpond.session import payload_session, scratch_path
 from logpond.sources import envelopes as E
 from logpond.sources.events_adapter import read_logs
 from logpond.streaming import ingest as I
@@ -35,23 +35,31 @@ _LOCK = threading.Lock()
 
 def _envelopes(spark, sf_dir, clock="dense"):
     """JSON and protobuf requests by turns, plain, gzip and zstd."""
-    logs = read_logs(spark, sf_dir, clock).withColumn("batch_id", F.expr(f"event_id div {BATCH}"))
+    logs = read_logs(payload_session(spark), sf_dir, clock).withColumn("batch_id", F.expr(f"event_id div {BATCH}"))
     b = F.col("batch_id")
     ct = F.when(b % 2 == 0, F.lit("application/json")).otherwise(F.lit("application/x-protobuf"))
     enc = F.element_at(F.array(F.lit(""), F.lit("gzip"), F.lit("zstd")), (b % 3 + 1).cast("int"))
     return E.to_envelopes(E.otlp_export(logs, "batch_id"), ct, enc)
 
 
-def _run(spark, env) -> str:
+def _by_arrival(env):
+    """The envelopes in files by arrival, as a queue stores them (a micro-batch
+    then writes to few hours), and the last ones for a file of their own. The
+    table is read by all tasks for both."""
+    newest = env.agg(F.max("batch_id").alias("b")).first()["b"]
+    late = F.col("batch_id") > (newest if newest is not None else 0) - LAST_ENVELOPES
+    return env.where(~late).repartitionByRange("batch_id"), env.where(late).repartition(1)
+
+
+def _run(env) -> str:
     """An ingest of these envelopes; the last ones arrive after all others."""
+    spark = env.sparkSession
     src, out = scratch_path(spark, "ingest_src"), scratch_path(spark, "ingest_out")
     staged = scratch_path(spark, "ingest_staged")
     env.write.parquet(staged)
-    env = E.read_envelopes(spark, staged)
-    newest = env.agg(F.max("batch_id").alias("b")).first()["b"]
-    late = F.col("batch_id") > (newest if newest is not None else 0) - LAST_ENVELOPES
-    env.where(~late).write.parquet(src)
-    env.where(late).coalesce(1).write.mode("append").parquet(src)
+    early, late = _by_arrival(E.read_envelopes(spark, staged))
+    early.write.parquet(src)
+    late.write.mode("append").parquet(src)
     I.start_ingest(spark, src, out, available_now=True, max_files_per_trigger=FILES_A_TRIGGER).awaitTermination()
     return out
 
@@ -60,7 +68,7 @@ def _ingest_run(spark, sf_dir) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         if key not in _RUNS:
-            out = _run(spark, _envelopes(spark, sf_dir))
+            out = _run(_envelopes(spark, sf_dir))
             days = I.read_stream_logs(spark, out).select("log_date").distinct().collect()
             I.compact_logs(spark, out, [str(r["log_date"]) for r in days])
             _RUNS[key] = out
@@ -119,6 +127,7 @@ SELECT service_name, count(*) AS records, count(DISTINCT trace_id) AS distinct_r
 def q_stream_retry(spark, sf_dir):
     """ST3 + ST7: the rollups of the first attempt fail after the rows are
     written, the batch is retried when it is due: one copy everywhere."""
+    spark = payload_session(spark)
     root = scratch_path(spark, "retried")
     paths = I.IngestPaths(root)
     staged = scratch_path(spark, "retried_src")
@@ -144,7 +153,7 @@ RET_AS_OF = "2024-01-31 00:00:00"
 @query("retention_logs", with_ctes(logs_cte(clock="wide")) + f"""
 SELECT trace_id, ts FROM logs WHERE ts > {ts_lit(RET_AS_OF)} - INTERVAL 7 DAY""")
 def q_retention_logs(spark, sf_dir):
-    out = _run(spark, _envelopes(spark, sf_dir, "wide"))
+    out = _run(_envelopes(spark, sf_dir, "wide"))
     I.expire_logs(spark, out, RET_AS_OF, "7 days")
     I.vacuum(spark, out)
     return I.read_stream_logs(spark, out).select("trace_id", ntz("ts"))

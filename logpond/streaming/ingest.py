@@ -83,8 +83,10 @@ def bucket_of(ts) -> Column:
 
 def write_rollups(rows: DataFrame, attempt: str, paths: IngestPaths) -> None:
     """The rollup and registry deltas of one batch of log rows, by kind and
-    hour."""
-    C.append(rollup_deltas(rows), paths.root, "rollups", attempt, "kind", "bucket")
+    hour. An hour's deltas (at most its seconds times the services) go to one
+    task, so a batch adds one file to an hour, however many tasks it has."""
+    deltas = rollup_deltas(rows).repartition(rows.sparkSession.sparkContext.defaultParallelism, "kind", "bucket")
+    C.append(deltas, paths.root, "rollups", attempt, "kind", "bucket")
 
 
 def process_batch(env: DataFrame, batch_id: int, paths: IngestPaths, now=None, rollups=write_rollups) -> None:
