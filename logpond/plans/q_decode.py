@@ -17,14 +17,14 @@ from logpond.sources.events_adapter import dense_micros, logs_from_events, read_
 from logpond.sources.tables import read_table
 from logpond.plans.oracle import logs_cte, with_ctes
 from logpond.plans.registry import ntz, query
-from logpond.session import scratch_path
+from logpond.session import payload_session, scratch_path
 
 BATCH = 100
 BASE = with_ctes(logs_cte())
 
 
 def _requests(spark, sf_dir, batch: int = BATCH):
-    logs = read_logs(spark, sf_dir).withColumn("batch_id", F.expr(f"event_id div {batch}"))
+    logs = read_logs(payload_session(spark), sf_dir).withColumn("batch_id", F.expr(f"event_id div {batch}"))
     return E.otlp_export(logs, "batch_id")
 
 
@@ -90,7 +90,7 @@ def q_decompress_payloads(spark, sf_dir):
     enc = F.element_at(F.array(F.lit("identity"), F.lit("gzip"), F.lit("zstd")), (m + 1).cast("int"))
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     cut = F.when((F.col("doc_id") % 2 == 0) & (m > 0), F.floor(F.octet_length("raw") / 2)).otherwise(F.octet_length("raw")).cast("int")
-    d = read_table(spark, sf_dir, "documents").select("doc_id", enc.alias("enc"), raw.alias("raw")).withColumn("cut", cut)
+    d = read_table(payload_session(spark), sf_dir, "documents").select("doc_id", enc.alias("enc"), raw.alias("raw")).withColumn("cut", cut)
     d = d.select("doc_id", "enc", F.expr("substring(raw, 1, cut)").alias("a"), F.expr("substring(raw, cut + 1)").alias("b"))
     d = d.select("doc_id", "enc", F.concat(codecs.compress("a", "enc"), F.when(
         F.octet_length("b") > 0, codecs.compress("b", "enc")).otherwise(F.lit(b"").cast("binary"))).alias("payload"))
@@ -317,7 +317,7 @@ UNION ALL SELECT trace_id, 2, 'value', regexp_replace(CAST(value AS VARCHAR), '\
 UNION ALL SELECT trace_id, 3, 'big', CASE WHEN value > 50 THEN 'true' ELSE 'false' END FROM e
 UNION ALL SELECT trace_id, 4, 'ctx', '{"type":"' || event_type || '","user":' || CAST(user_id AS VARCHAR) || '}' FROM e""")
 def q_otlp_value_kinds(spark, sf_dir):
-    ev = _events(spark, sf_dir).withColumn("log_attributes", _typed_attributes())
+    ev = _events(payload_session(spark), sf_dir).withColumn("log_attributes", _typed_attributes())
     logs = logs_from_events(ev, keep=("log_attributes",)).withColumn("batch_id", F.expr(f"event_id div {BATCH}"))
     b = F.col("batch_id")
     ct = F.when(b % 2 == 0, F.lit("application/json")).otherwise(F.lit("application/x-protobuf"))
