@@ -24,7 +24,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections import defaultdict
-from unicodedata import is_normalized
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -38,76 +38,76 @@ END_ID = 1
 CACHE_WORDS = 700_000     # words whose ids a Python worker remembers
 CACHE_LENGTH = 64         # longer words are encoded each time
 TAIL = ".,;:!?%&*#$|)"    # one run of these after letters is a piece of its own
-ROWS = 256                # texts whose new words are encoded together
+LETTERS = range(0x1100)   # alphabets below the first letters that combine (Hangul)
+ROWS = 256                # texts encoded together
 
 _encoders: dict = {}
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of a text as little-endian 32-bit words.
 
     The tokenizer drops white space and never joins what a space or line
     feed separates, so a text's ids are those of its parts between them,
-    which repeat and are remembered."""
+    which repeat: this is the dictionary of parts, filled as they are met."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        super().__init__()
         self.model = Tokenizer.from_file(path)
-        vocab = self.model.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)       # tokens that end a word
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters alone, encoded as one line: each ends with one
-        word-ending token. If the counts differ (letters that the normalizer
-        takes apart), one by one."""
-        ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
-            return self._encode(words)
-        raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
-
-    def _learn(self, new: list[str], into: dict[str, bytes]) -> None:
-        """Ids of ``new`` parts. A part that is letters (which stay letters
-        when normalized) and then a run of ``TAIL`` characters is the ids of
-        both, cut where the tokenizer cuts too."""
-        other, stems, longer = set(), set(), []
-        for w in new:
-            s = w.rstrip(TAIL)
-            if s.isascii() and s.isalpha() or s.isalpha() and is_normalized("NFC", s) and "\u0130" not in s:
-                stems.add(s)
-                if len(s) < len(w):
-                    longer.append((w, s, w[len(s):]))
-            else:
-                other.add(w)
-        letters = [s for s in stems if s not in into]
-        for at in range(0, len(letters), 1000):
-            into.update(zip(letters[at:at + 1000], self._encode_letters(letters[at:at + 1000])))
-        other = [w for w in other.union(x[2] for x in longer) if w not in into]
-        for at in range(0, len(other), 1000):
-            into.update(zip(other[at:at + 1000], self._encode(other[at:at + 1000])))
-        for w, s, tail in longer:
-            into[w] = into[s] + into[tail]
+        self.raw = {i: i.to_bytes(4, "little") for i in self.model.get_vocab().values()}
+        letters = self._letters()
+        self.letters = frozenset(letters)
+        self.codes = str.maketrans(letters)
+        self.rare: dict[str, bytes] = {}      # long parts of this batch
+
+    def _letters(self) -> dict[str, str]:
+        """Letters and what the model gets for them, of those that the
+        normalizer and the pre-tokenizer turn each into something of its own:
+        a run of them reaches the model whole, so the model alone gives its
+        ids. No letters of ``LETTERS`` combine with each other."""
+        m = self.model
+        added = m.get_added_tokens_decoder().values()
+        if m.normalizer is None or m.pre_tokenizer is None or m.truncation or m.padding or any(t.content.isalpha() for t in added):
+            return {}
+        found = {}
+        for c in filter(str.isalpha, map(chr, LETTERS)):
+            low = m.normalizer.normalize_str(c)
+            cut = m.pre_tokenizer.pre_tokenize_str(low)
+            twice = m.pre_tokenizer.pre_tokenize_str(m.normalizer.normalize_str(c + c))
+            if len(low) == 1 and low.isalpha() and len(cut) == 1 and [x for x, _ in twice] == [2 * cut[0][0]]:
+                found[c] = cut[0][0]
+        return found
+
+    def _encode(self, part: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[i] for i in self.model.encode_batch_fast([part], add_special_tokens=False)[0].ids])
+
+    def __missing__(self, part: str) -> bytes:
+        """Ids of a new part. One that is ``letters`` and then a run of
+        ``TAIL`` characters is the ids of both, cut where the tokenizer cuts
+        too."""
+        if len(part) > CACHE_LENGTH:
+            if part not in self.rare:
+                self.rare[part] = self._encode(part)
+            return self.rare[part]
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        stem = part.rstrip(TAIL)
+        if not stem or not self.letters.issuperset(stem):
+            ids = self._encode(part)
+        elif len(stem) < len(part):
+            ids = self[stem] + self[part[len(stem):]]
+        else:
+            raw = self.raw
+            ids = b"".join([raw[t.id] for t in self.model.model.tokenize(part.translate(self.codes))])
+        self[part] = ids
+        return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = {w for parts in cut for w in parts}
-        new = [w for w in seen if w not in self.known]
-        if len(self.known) + 2 * len(new) > CACHE_WORDS:
-            self.known = {"": b""}
-            new = [w for w in seen if w]
-        self._learn([w for w in new if len(w) <= CACHE_LENGTH], self.known)
-        known, rare = self.known, [w for w in new if len(w) > CACHE_LENGTH]
-        if rare:
-            known = {**{w: known[w] for w in seen if len(w) <= CACHE_LENGTH}, **dict(zip(rare, self._encode(rare)))}
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        self.rare = {}
+        return [b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def encoder(path: str) -> Encoder:

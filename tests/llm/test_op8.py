@@ -35,6 +35,38 @@ def test_ids_equal_the_tokenizers(model):
         op.CACHE_WORDS = kept
 
 
+class _Counted:
+    """A tokenizer whose full encodings are counted."""
+
+    def __init__(self, model):
+        self.whole, self.model, self.parts = model, model.model, []
+
+    def encode_batch_fast(self, parts, **kw):
+        self.parts += parts
+        return self.whole.encode_batch_fast(parts, **kw)
+
+
+def test_words_of_letters_take_the_model_alone(model):
+    rng = random.Random(4)
+    letters = [c for c in map(chr, op.LETTERS) if c.isalpha()]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(1, 20))) for _ in range(3000)]
+    texts += ["".join(c if c.isascii() else "x" for c in t) + rng.choice(op.TAIL) for t in texts[:200]] + letters + ["ΑΣ.", "ǅ!", "Straße,"]
+    enc = op.Encoder(vocabulary())
+    enc.model = _Counted(enc.model)
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == [
+        e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    seen = len(enc.model.parts)
+    enc.ids(["Crème BRÛLÉE, naïve Ünïted: Привет ΑΣ ΟΔΟΣ the quick Brown fox."])
+    assert set(enc.model.parts[seen:]) <= set(",:.")       # single characters, once each
+
+
+def test_long_parts_are_not_kept(model):
+    enc = op.Encoder(vocabulary())
+    texts = ["y" * 70 + " z", "y" * 70]
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert set(enc) == {"z"}
+
+
 def test_plan_uses_every_piece_once():
     rng = random.Random(2)
     for trial in range(60):
