@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from logpond.llm import op5_substrings as op
+from logpond.llm.queries import QUERIES
 
 
 def brute(rows, window):
@@ -89,3 +90,27 @@ def test_least_is_leftmost():
 def test_empty(spark, docs):
     assert op.remove_repeats(docs([(1, "a")]).where(F.lit(False))).count() == 0
     assert run(docs, [(1, None), (2, "a b")]) == sorted(brute([(1, None), (2, "a b")], 35), key=key)
+
+
+def test_query_hands_python_bounded_batches(spark, tmp_path, monkeypatch):
+    # texts of 40 KB each: a batch of 10,000 rows would be the whole table
+    rows = [(i, " ".join(f"{chr(97 + (i * 7 + k) % 26)}{i}w{k}" for k in range(4000))) for i in range(90)] + [(90, "p q " * 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = f"{tmp_path}/sizes"
+    survey = op.surveyed
+
+    def watched(d, window, gram):
+        def each(batches):
+            for b in batches:
+                with open(sizes, "a") as f:
+                    print(b.num_rows, b.nbytes, file=f)
+                yield b
+        return survey(d.mapInArrow(each, d.schema), window, gram)
+
+    monkeypatch.setattr(op, "surveyed", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = QUERIES["op5_substrings"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(brute(rows, 35))
+    seen = [tuple(map(int, x.split())) for x in open(sizes)]
+    assert sum(n for n, _ in seen) >= len(rows) and max(n for n, _ in seen) <= 64 and max(b for _, b in seen) <= 2 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
